@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .textkit import WHITE_SPACE, Memo, chunks, only, slices
+from .textkit import WHITE_SPACE, Memo, chunks, fields, only, slices
 
 #: Added to the code of a word's last symbol.
 _END = 0x4000
@@ -255,22 +255,30 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", text: str = "decod
     return keep.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256, from encoding the text and decoding the ids.
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256, from encoding the text and decoding the ids; and ids if asked.
 
-    Null and empty texts have no ids and decode to the empty string. Ids and decoded texts stay in the worker.
+    Null and empty texts have no ids and decode to the empty string. Other columns are left out; decoded texts stay in
+    the worker.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = load(path), lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in slices(batches):
-            counts, coded, back = [], [], []
+            counts, coded, back, own = [], [], [], []
             for x in b.column(1).to_pylist():
-                ids = codec.encode(x).tolist()
+                found = codec.encode(x)
+                ids = found.tolist()
                 counts.append(len(ids))
                 coded.append(sha(codec.decimals(ids)))
                 back.append(sha(codec.decode(ids)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                own.append(found.astype(np.int32))
+            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())]
+            if with_ids:
+                columns.append(pa.array(own, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     thin = only(docs, doc_id=doc_id, text=text)
-    return thin.mapInArrow(run, T.StructType([thin.schema["doc_id"], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string").fields]))
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
+    return thin.mapInArrow(run, T.StructType([thin.schema["doc_id"], *fields("n_tokens long, ids_sha256 string, decoded_sha256 string"), *more]))

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_files
+from . import bpe, decontam, langid, neardup, quality, sharding, tiff, token_files, toolcalls, warc
 from .textkit import shared_folder
 
+#: Path of the tokenizer file; it stays where the public package keeps it.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Appended to each document in token files.
 END_ID = 1
+SHARDS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +28,83 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, with_ids=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", (~langid.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.TURN_TOOLS)
+
+
+#: What op3_tool_calls gives: DuckDB has its own JSON functions.
+OP3_SQL = """
+WITH calls AS (
+  SELECT conv_id, turn, CAST(turn AS VARCHAR) AS call_id, CASE role WHEN 'system' THEN 'configure' ELSE 'ask' END AS name, text
+  FROM conversations WHERE role IN ('system', 'user') AND turn IS NOT NULL AND conv_id IS NOT NULL
+), results AS (
+  SELECT conv_id, CAST(turn - 1 AS VARCHAR) AS call_id, min(text) AS content, count(*) AS n
+  FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY 1, 2
+), checked AS (
+  SELECT c.*, r.content, r.n, list_filter([
+    CASE WHEN text IS NULL THEN 'text: missing' END,
+    CASE WHEN name = 'ask' AND length(text) > 400 THEN 'text: maxLength' END,
+    CASE WHEN length(text) < 1 THEN 'text: minLength' END,
+    CASE WHEN name = 'configure' AND turn > 0 THEN 'turn: maximum' END,
+    CASE WHEN turn < 0 THEN 'turn: minimum' END], x -> x IS NOT NULL) AS found
+  FROM calls c LEFT JOIN results r USING (conv_id, call_id)
+)
+SELECT conv_id, call_id, CAST(turn AS BIGINT) AS level, turn AS seq, name, len(found) = 0 AS valid, coalesce(array_to_string(found, '; '), '') AS errors, n IS NOT NULL AS linked,
+  '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"turn":' || turn || '},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS record
+FROM checked
+"""
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (~quality.learnable(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write(warc.records(table(spark, sf_dir, "pages")), folder)
+    chunks = warc.read(spark, folder, with_payload=False)
+    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sharding.assign(docs, sharding.plan(docs, SHARDS))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find(table(spark, sf_dir, "documents"), words=2)
+
+
+def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.round_trip(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op5_bpe": op5_bpe}
+    return {f.__name__: f for f in (op1_token_files, op2_language_id, op3_tool_calls, op4_quality, op5_bpe, op6_warc, op7_sharding, op8_decontamination, op9_near_duplicates, op10_tiff, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_tool_calls": OP3_SQL}

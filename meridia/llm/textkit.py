@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Rows that a worker turns into Python strings at once; a batch of long texts stays small.
 SLICE_ROWS = 64
@@ -84,3 +85,11 @@ def free_name(wanted: str, taken: list[str]) -> str:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names (new=old); all others are left out, so clashing names do no harm."""
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
+
+
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def fields(ddl: str) -> list[T.StructField]:
+    """Nullable fields of simple types, without a session."""
+    return [T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in ddl.split(","))]
