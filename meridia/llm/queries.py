@@ -53,7 +53,7 @@ WITH calls AS (
     CASE WHEN name = 'ask' AND length(text) > 400 THEN 'text: maxLength' END,
     CASE WHEN length(text) < 1 THEN 'text: minLength' END,
     CASE WHEN name = 'configure' AND turn > 0 THEN 'turn: maximum' END,
-    CASE WHEN turn < 0 THEN 'turn: minimum' END], x -> x IS NOT NULL) AS found
+    CASE WHEN turn < 0 THEN 'turn: minimum' END], lambda x: x IS NOT NULL) AS found
   FROM calls c LEFT JOIN results r USING (conv_id, call_id)
 )
 SELECT conv_id, call_id, CAST(turn AS BIGINT) AS level, turn AS seq, name, len(found) = 0 AS valid, coalesce(array_to_string(found, '; '), '') AS errors, n IS NOT NULL AS linked,
