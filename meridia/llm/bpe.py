@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .textkit import WHITE_SPACE, Memo, chunks, fields, only, slices
+from .textkit import WHITE_SPACE, Memo, chunks, fields, only, slices, word_and_signs
 
 #: Added to the code of a word's last symbol.
 _END = 0x4000
@@ -118,6 +118,7 @@ class WordBpe:
             if sound[i]:
                 self._prefix[i] = next((j for k in range(len(s) - 1, 0, -1) if (j := self._ids.get(s[:k], -1)) >= 0 and sound[j]), -1)
         self._compatible: dict[int, bool] = {}
+        self._kept = Memo(self._split, 600_000)  # plain words and signs, some 150 MB
         self._memo = Memo(self._chunk)
 
     def _meet(self, a: int, b: int, limit: int) -> bool:
@@ -172,16 +173,20 @@ class WordBpe:
                 t = prefix[t]
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
+    def _split(self, chunk: str) -> bytes:
         if _BEYOND_LATIN.search(chunk):
             words = [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(chunk)]
         else:
             words = ["".join([self._bytes[b] for b in w.encode()]) for w in self._words(chunk)]
+        ids: list[int] = []
         for word in words:
             ids += self._word(word)
         return np.array(ids, "<u4").tobytes()
 
+    def _chunk(self, chunk: str) -> bytes:
+        parts = word_and_signs(chunk)
+        return self._split(chunk) if parts is None else self._kept[parts[0]] + self._kept[parts[1]] if parts[1] else self._kept[parts[0]]
+
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, as little-endian 32-bit integers."""
         if _BEYOND_LATIN.search(text):  # the library's own Unicode tables

@@ -51,10 +51,20 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+#: A plain word of Latin letters and the signs after it; tokenizers split these two everywhere.
+_WORD_AND_SIGNS = re.compile("([a-z\\u00df-\\u00f6\\u00f8-\\u00ff]+)([.,;:!?*#%&$|]*)")
+
+
+def word_and_signs(chunk: str) -> tuple[str, str] | None:
+    """The lower-case letters of a chunk and the signs after them, if it is of that kind."""
+    found = _WORD_AND_SIGNS.fullmatch(chunk.lower())
+    return found.groups() if found else None
+
+
 class Memo(dict):
     """A table from chunks to values that is emptied when it is full, so its memory is bounded; long chunks aren't kept."""
 
-    def __init__(self, make: Callable[[str], object], limit: int = 200_000, longest: int = 64):
+    def __init__(self, make: Callable[[str], object], limit: int = 500_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
 

@@ -28,34 +28,46 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .textkit import Memo, chunks, only, slices
+from .textkit import Memo, chunks, only, slices, word_and_signs
 
+#: Words whose ids a worker keeps, some 150 MB.
+WORDS = 600_000
 MANIFEST = "shard int, dtype string, n_rows long, n_tokens long, n_null_ids long"
 
 
 @functools.lru_cache(2)
-def _tokenizer(path: str) -> tuple[Tokenizer, Memo]:
+def _tokenizer(path: str) -> Memo:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    return library, Memo(lambda chunk: np.array(library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+    model = library.model
+    encode = lambda x: np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    plain = lambda x: np.array([t.id for t in model.tokenize(x)], "<u4").tobytes() if x.isascii() and x.isalpha() else encode(x)
+    words = Memo(plain, WORDS)  # ASCII letters are their own byte symbols: the library's model takes them as they are
+
+    def chunk_bytes(chunk: str) -> bytes:
+        parts = word_and_signs(chunk)
+        return encode(chunk) if parts is None else words[parts[0]] + words[parts[1]] if parts[1] else words[parts[0]]
+
+    return Memo(chunk_bytes)
 
 
 def token_bytes(path: str, text: str | None) -> bytes:
     """The library's ids of `text`, as little-endian 32-bit integers; null counts as empty.
 
-    The library is asked for each chunk between white space and the answers are kept: a vocabulary of this kind drops
-    white space, so the ids of a text are those of its chunks.
+    The library is asked for each chunk between white space, for plain words and the signs after them one by one, and
+    the answers are kept: a vocabulary of this kind drops white space and splits words from signs, so the ids of a text
+    are those of its parts.
     """
-    return b"".join(map(_tokenizer(path)[1].__getitem__, chunks(text))) if text else b""
+    return b"".join(map(_tokenizer(path).__getitem__, chunks(text))) if text else b""
 
 
 def _check_kind(path: str) -> int:
     """The number of ids; raises ValueError if white space can be part of a token of this vocabulary."""
     library = Tokenizer.from_file(path)
-    for probe in ("a b", "a \t\n b", "  a b "):
-        if library.encode(probe, add_special_tokens=False).ids != [i for x in probe.split() for i in library.encode(x, add_special_tokens=False).ids]:
-            raise ValueError(f"{path}: white space is part of its tokens")
+    for probe, parts in (("a b", "a b"), ("a \t\n b", "a b"), ("  A b. ", "a b ."), ("Was|", "was |"), ("\u00c9t\u00e9!!", "\u00e9t\u00e9 !!")):
+        if library.encode(probe, add_special_tokens=False).ids != [i for x in parts.split() for i in library.encode(x, add_special_tokens=False).ids]:
+            raise ValueError(f"{path}: white space is part of its tokens, or signs, or capitals differ from other letters")
     return library.get_vocab_size()
 
 
