@@ -3,7 +3,7 @@
 1. Each document becomes a set of word shingles (64-bit hashes) and a signature of `coordinates` minima. Equal sets are one
    class from here on, so copies cost a row each and no pairs.
 2. A class is posted under its coordinate-value pairs. Two sets that must be linked agree in far more than `matches`
-   coordinates (with 20 coordinates and 6 matches, a pair at similarity 0.8 is missed with probability 2e-7), so they
+   coordinates (with 48 coordinates and 24 matches, a pair at similarity 0.8 is missed with probability 8e-7), so they
    share one of the first (coordinates - matches + 1) pairs of each, with rare pairs first: only that prefix is posted,
    pairs of one class alone are skipped.
 3. Collisions are counted on 7-bit fingerprints of the coordinates, and the candidates with at least `matches` are
@@ -30,7 +30,7 @@ from .textkit import Memo, only, shared_folder, slices
 #: Multipliers and offsets of the coordinates' hash functions come from this generator.
 _SEED = 20240229
 #: Shingles that are hashed for all coordinates at once.
-_BLOCK = 4096
+_BLOCK = 2048
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
@@ -68,9 +68,8 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
     offsets, factors = _functions(coordinates)
     least = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), _BLOCK):
-        x = (found[at : at + _BLOCK, None] ^ offsets) * factors
-        x ^= x >> np.uint64(32)
-        x *= _M3
+        x = found[at : at + _BLOCK, None] ^ offsets
+        x *= factors  # the shingles are mixed already: their order by another odd factor is another random order
         np.minimum(least, x.min(0), out=least)
     return least
 
@@ -147,7 +146,7 @@ def _collisions(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
-def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 20, matches: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id and kept.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle sets. component_id is the smallest doc_id
