@@ -28,6 +28,7 @@ class Perceptron:
         self.w = [self.rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])]
         self.b = [np.zeros(b) for b in sizes[1:]]
         self.dropout, self.mean, self.sd = dropout, np.zeros(inputs), np.ones(inputs)
+        self.y_mean, self.y_sd = np.zeros(2), np.ones(2)  # targets are standardised, too
         self.losses: list[float] = []
 
     def _forward(self, x: np.ndarray, train: bool = False) -> tuple[np.ndarray, list]:
@@ -42,10 +43,12 @@ class Perceptron:
         return h, kept
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return self._forward(x)[0]
+        return self._forward(x)[0] * self.y_sd + self.y_mean
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, xv: np.ndarray, yv: np.ndarray, epochs: int = 200, patience: int = 20, lr: float = 1e-2, l2: float = 0.0, batch: int = 64) -> Perceptron:
         self.mean, self.sd = x.mean(0), np.maximum(x.std(0), 1e-6)
+        self.y_mean, self.y_sd = y.mean(0), np.maximum(y.std(0), 1e-9)
+        y = (y - self.y_mean) / self.y_sd
         params = self.w + self.b
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         best, since, saved = np.inf, 0, [p.copy() for p in params]
@@ -87,15 +90,16 @@ class Perceptron:
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        np.savez_compressed(out, mean=self.mean, sd=self.sd, **{f"w{i}": w for i, w in enumerate(self.w)}, **{f"b{i}": b for i, b in enumerate(self.b)})
+        np.savez_compressed(out, mean=self.mean, sd=self.sd, y_mean=self.y_mean, y_sd=self.y_sd, **{f"w{i}": w for i, w in enumerate(self.w)}, **{f"b{i}": b for i, b in enumerate(self.b)})
         return out.getvalue()
 
     @classmethod
     def loads(cls, data: bytes) -> Perceptron:
         z = np.load(io.BytesIO(data))
-        n = sum(k.startswith("w") for k in z.files)
+        n = sum(k[0] == "w" for k in z.files)
         out = cls.__new__(cls)
         out.w, out.b, out.mean, out.sd, out.dropout, out.losses = [z[f"w{i}"] for i in range(n)], [z[f"b{i}"] for i in range(n)], z["mean"], z["sd"], 0.0, []
+        out.y_mean, out.y_sd = z["y_mean"], z["y_sd"]
         return out
 
 

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.functions import genetics, geo
-from meridia.operators import clusters, density, embedding, genotype, losses, metrics, model, neighbors, outliers, samples, spatial, summary
+from meridia.functions import genetics, geo, labels
+from meridia.operators import clusters, density, embedding, genotype, losses, metrics, model, neighbors, outliers, resample, samples, spatial, summary
 from meridia.sources import files
 from meridia.sources import testviews as tv
 
@@ -866,3 +866,87 @@ def bootstrap_training(spark, sf_dir):
 @query()
 def tuning(spark, sf_dir):
     return model.tune(_training(spark, sf_dir), 4, 16, epochs=5).select("plan", "loss")
+
+
+# ---- labels, resampling and the tables behind plots ---------------------------------------------------------------------
+
+
+@query("", """
+SELECT l_linenumber AS k, count(*) AS n, CASE l_linenumber WHEN 1 THEN 'Mean Error' WHEN 2 THEN 'Rho (Latitude)' ELSE 'other' END AS metric,
+ CASE WHEN l_linenumber%2 = 0 THEN 'Oversampling' ELSE 'No Oversampling' END || ', Weighted Loss, ' || CASE WHEN l_linenumber%3 = 0 THEN 'Outlier Detection' ELSE 'No Outlier Detection' END AS config,
+ CASE WHEN l_linenumber%2 = 0 THEN 'Tool Base' ELSE 'Tool + Loss + Sampler' END AS prefix, l_linenumber%2 = 0 AS kept FROM lineitem GROUP BY 1""")
+def labels_of_configs(spark, sf_dir):
+    k = F.col("k")
+    t = tv.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.count("*").alias("n"))
+    key = F.when(k == 1, "mean_dist").when(k == 2, "spearman_corr_latitude").otherwise("other")
+    config = F.concat(F.when(k % 2 == 0, "kmeans").otherwise("none"), F.lit("_loss_"), F.when(k % 3 == 0, "true").otherwise("false"))
+    prefix = labels.config_prefix(F.when(k % 2 == 0, "nn_base_opt_1").otherwise("nn_both_opt_2"), "Tool")
+    return t.select("k", "n", labels.metric(key).alias("metric"), labels.config_parts(config).alias("config"), prefix.alias("prefix"), labels.without(prefix, "Sampler").alias("kept"))
+
+
+@query("p", """
+WITH s AS (SELECT id, CASE WHEN q < 0.75 THEN 'train' WHEN q < 0.875 THEN 'val' ELSE 'test' END AS split, id%3 AS gt FROM (SELECT id, (row_number() OVER (PARTITION BY g ORDER BY (id*7919)%10007, id)-1)/CAST(count(*) OVER (PARTITION BY g) AS DOUBLE) AS q FROM p))
+SELECT split, gt, count(*) AS n FROM s GROUP BY 1, 2""")
+def class_counts_by_split(spark, sf_dir):
+    return stratified_split(spark, sf_dir).groupBy("split", (F.col("sample") % 3).alias("gt")).agg(F.count("*").alias("n"))
+
+
+@query("p q e", """
+WITH m AS (SELECT g, avg(km) AS mean_dist, median(km) AS median_dist FROM e GROUP BY 1), u AS (SELECT g, metric, value FROM m UNPIVOT (value FOR metric IN (mean_dist, median_dist)))
+SELECT metric, count(*) AS count, R[avg(value)] AS mean, R[stddev_samp(value)] AS std, R[min(value)] AS min, R[quantile_cont(value, 0.25)] AS q25, R[quantile_cont(value, 0.5)] AS q50, R[quantile_cont(value, 0.75)] AS q75, R[max(value)] AS max FROM u GROUP BY 1""")
+def metric_distributions(spark, sf_dir):
+    m = metrics.distance_metrics(metrics.errors(tv.pairs(spark, sf_dir)), ["g"])
+    return summary.describe(summary.long_form(m, ["g"], ["mean_dist", "median_dist"]), ["metric"], "value")
+
+
+@query("p q e", """
+WITH s AS (SELECT g, quantile_cont(km, 0.25) AS a, median(km) AS b, quantile_cont(km, 0.75) AS c, count(*) AS n FROM e GROUP BY 1)
+SELECT e.g, R[any_value(a)] AS q25, R[any_value(b)] AS q50, R[any_value(c)] AS q75, R[min(km) FILTER (km BETWEEN a-1.5*(c-a) AND c+1.5*(c-a))] AS low, R[max(km) FILTER (km BETWEEN a-1.5*(c-a) AND c+1.5*(c-a))] AS high,
+ count(*) FILTER (NOT km BETWEEN a-1.5*(c-a) AND c+1.5*(c-a)) AS beyond, R[any_value(b-1.57*(c-a)/sqrt(n))] AS notch_low, R[any_value(b+1.57*(c-a)/sqrt(n))] AS notch_high FROM e JOIN s ON s.g = e.g GROUP BY 1""")
+def box_statistics(spark, sf_dir):
+    return resample.box_statistics(metrics.errors(tv.pairs(spark, sf_dir)), "km", ["g"])
+
+
+@query()
+def quantile_plot(spark, sf_dir):
+    return resample.quantile_plot(metrics.errors(tv.pairs(spark, sf_dir)), "km")
+
+
+@query()
+def weighted_draws(spark, sf_dir):
+    p = tv.points(spark, sf_dir).withColumn("w", 1.0 + F.col("id") % 5)
+    return resample.weighted_draws(p, "w", 1000, F.pmod(F.xxhash64("draw"), F.lit(1_000_003)) / 1_000_003.0)
+
+
+@query()
+def smote(spark, sf_dir):
+    v = tv.vectors(spark, sf_dir)
+    copies = v.groupBy("label").agg(F.count("*").alias("n")).select("label", F.when(F.col("label") % 2 == 0, 1).otherwise(0).alias("copies"))
+    return resample.smote(v, "label", copies).select("id", "copy", "label", F.col("features")[0].alias("f0"))
+
+
+@query("v", f"""
+WITH {_VKNN}, l AS (SELECT DISTINCT id, label FROM v), n AS (SELECT knn.id, l.label AS v, count(*) AS c FROM knn JOIN l ON l.id = nbr_id WHERE rank <= 3 GROUP BY 1, 2),
+x AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY c DESC, v) AS r FROM n)
+SELECT l.id, l.label FROM l JOIN x ON x.id = l.id WHERE r = 1 AND v = l.label""")
+def edited_neighbours(spark, sf_dir):
+    return resample.edited(tv.vectors(spark, sf_dir), "label").select("id", "label")
+
+
+@query("v", """
+WITH s AS (SELECT label FROM v GROUP BY 1 ORDER BY count(*), label LIMIT 1), o AS (SELECT * FROM v WHERE label = (SELECT label FROM s)), m AS (SELECT k, avg(f) AS m FROM o GROUP BY 1)
+SELECT id, R[sqrt(sum(power(f-m, 2)))] AS distance FROM o JOIN m ON m.k = o.k GROUP BY 1""")
+def minority_distance(spark, sf_dir):
+    return resample.minority_distance(tv.vectors(spark, sf_dir), "label")
+
+
+@query()
+def boosted_trees(spark, sf_dir):
+    t = _training(spark, sf_dir)
+    return resample.boosted(t.where("split = 'train'"), t.where("split = 'val'"), rounds=3, depth=3)
+
+
+@query()
+def hull_areas(spark, sf_dir):
+    near = tv.points(spark, sf_dir).select("g", "id", (-93 + F.col("x") / 60).alias("x"), (35 + F.col("y") / 60).alias("y"))
+    return resample.ring_area_km2(spatial.convex_hull(near, "g"), "g")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from meridia import queries as Q
 from meridia.functions import genetics, geo, kernels
-from meridia.operators import clusters, density, embedding, genotype, metrics, model, neighbors, outliers, samples, spatial, summary
-from meridia.plans import pipeline
+from meridia.operators import clusters, density, embedding, genotype, metrics, model, neighbors, outliers, resample, samples, spatial, summary
+from meridia.plans import options, pipeline
 from meridia.sources import files, sinks
 from meridia.streaming import replicates
 
@@ -326,3 +326,24 @@ def test_streaming_summary(spark, tmp_path):
     got = {r["sample"]: r["x_mean"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {r["sample"]: r["x_mean"] for r in summary.bootstrap(q).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in got)
+
+
+def test_area_of_a_square(spark):
+    square = [(1, 0, -93.0, 35.0), (1, 1, -92.9, 35.0), (1, 2, -92.9, 35.1), (1, 3, -93.0, 35.1)]
+    km2 = resample.ring_area_km2(spark.createDataFrame(square, "g int, i int, x double, y double"), "g").head()["km2"]
+    assert abs(km2 - 0.1 * 110.94 * 0.1 * 91.23) < 0.3
+
+
+def test_weighted_draws(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 3.0)], "id long, w double")
+    got = resample.weighted_draws(df, "w", 4000, (F.col("draw") + 0.5) / 4000.0).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {2: 1000, 3: 3000}
+
+
+def test_options():
+    assert options.jobs("-1") == -1 and options.split("0.5") == 0.5 and options.seed(None) is None and options.embedding("MDS", 2) == "mds"
+    for f, bad in ((options.jobs, 0), (options.positive_int, -1), (options.split, 1.0), (options.verbosity, 4), (options.weighting, "both"), (options.neighbours, 1), (options.level, 0), (options.positive_float, 0)):
+        with pytest.raises(ValueError):
+            f(bad)
+    with pytest.raises(ValueError):
+        options.color_scale(5, 5)
