@@ -79,6 +79,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP6_SQL = """
+WITH r AS (SELECT page_id, coalesce(html, '') AS p, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY p) END AS first FROM r)
+SELECT page_id, n AS payload_bytes, sha1(p) AS payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM m
+"""
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.assign(docs, sharding.plan(docs, SHARDS))
@@ -92,6 +100,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "documents"), words=2)
 
 
+#: Whole texts and all pairs that share a shingle; reach over links by recursion.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+t AS (SELECT s.doc_id, sh, n FROM s JOIN n ON n.doc_id = s.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS id, doc_id AS far FROM w UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.far),
+c AS (SELECT id, min(far) AS component_id FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.id = w.doc_id
+"""
+
+
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.round_trip(table(spark, sf_dir, "documents"))
 
@@ -107,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tool_calls": OP3_SQL}
+    return {"op3_tool_calls": OP3_SQL, "op6_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL}
