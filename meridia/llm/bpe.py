@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .textkit import WHITE_SPACE, Memo, chunks, fields, only, slices, word_and_signs
+from .textkit import WHITE_SPACE, chunks, fields, mapped, Memo, only, owned, slices, word_and_signs
 
 #: Added to the code of a word's last symbol.
 _END = 0x4000
@@ -119,7 +119,7 @@ class WordBpe:
                 self._prefix[i] = next((j for k in range(len(s) - 1, 0, -1) if (j := self._ids.get(s[:k], -1)) >= 0 and sound[j]), -1)
         self._compatible: dict[int, bool] = {}
         self._kept = Memo(self._split, 600_000)  # plain words and signs, some 150 MB
-        self._memo = Memo(self._chunk)
+        self._memo = Memo(self._chunk, 400_000)
 
     def _meet(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge across the border of a and b comes before `limit`, looking back through both tokens' merges.
@@ -221,6 +221,7 @@ class WordBpe:
 @functools.lru_cache(2)
 def load(path: str) -> WordBpe:
     """One model a worker process."""
+    owned(__name__, load.cache_clear)
     return WordBpe(path)
 
 
@@ -242,7 +243,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", ids: str = "id
             values = np.concatenate(found) if found else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[*b.schema.names, ids])
 
-    return keep.mapInArrow(run, schema)
+    return mapped(keep, run, schema, __name__)
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -257,7 +258,7 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", text: str = "decod
             found = [None if x is None else codec.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, text])
 
-    return keep.mapInArrow(run, schema)
+    return mapped(keep, run, schema, __name__)
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -286,4 +287,4 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     thin = only(docs, doc_id=doc_id, text=text)
     more = [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
-    return thin.mapInArrow(run, T.StructType([thin.schema["doc_id"], *fields("n_tokens long, ids_sha256 string, decoded_sha256 string"), *more]))
+    return mapped(thin, run, T.StructType([thin.schema["doc_id"], *fields("n_tokens long, ids_sha256 string, decoded_sha256 string"), *more]), __name__)

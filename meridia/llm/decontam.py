@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Memo, chunks, fields, only, slices
+from .textkit import chunks, fields, mapped, Memo, only, owned, slices
 
 #: Words of the shortest tile.
 LEAST = 5
@@ -38,6 +38,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 @functools.cache
 def _memo() -> Memo:
+    owned(__name__, _memo.cache_clear)
     return Memo(lambda chunk: b"".join(xxhash.xxh3_64_intdigest(w.encode()).to_bytes(8, "little") for w in _WORD.findall(chunk.lower())))
 
 
@@ -161,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
                 cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols, pa.array([r[3] / r[1] for r in rows], pa.float64())], names=schema.names)
 
-        out = out.union(thin.mapInArrow(run, schema))
+        out = out.union(mapped(thin, run, schema, __name__))
     return out
 
 
@@ -176,5 +177,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
                 keep = [not _leaks(shared.value, x, coverage) for x in b.column(b.schema.get_field_index(text)).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = mapped(out, run, docs.schema, __name__)
     return out

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import only, slices
+from .textkit import mapped, only, slices
 
 #: Language of texts without letters.
 NONE = "und"
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float =
             at = [np.flatnonzero(x) for x in n]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([x[i].astype("<u4").tobytes() for x, i in zip(n, at, strict=True)], pa.binary())], names=["lang", "doc_id", "at", "n"])
 
-    got = drawn.mapInArrow(run, "lang string, doc_id long, at binary, n binary").toPandas().sort_values(["lang", "doc_id"], kind="stable") if sizes else None
+    got = mapped(drawn, run, "lang string, doc_id long, at binary, n binary", __name__).toPandas().sort_values(["lang", "doc_id"], kind="stable") if sizes else None
     width = 1 << BITS
     if got is None or not len(got) or not got["at"].map(len).sum():
         return Model([], np.zeros((0, width), np.float32), np.ones(width, np.float32), np.zeros(24, np.float32))
@@ -156,4 +156,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", columns: tuple[st
             new = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *columns])
 
-    return keep.mapInArrow(run, schema)
+    return mapped(keep, run, schema, __name__)

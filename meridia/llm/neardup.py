@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Memo, only, shared_folder, slices
+from .textkit import mapped, Memo, only, owned, shared_folder, slices
 
 #: Multipliers and offsets of the coordinates' hash functions come from this generator.
 _SEED = 20240229
@@ -36,6 +36,7 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 
 @functools.cache
 def _memo() -> Memo:
+    owned(__name__, _memo.cache_clear)
     return Memo(lambda word: xxhash.xxh3_64_intdigest(word).to_bytes(8, "little"))
 
 
@@ -87,7 +88,7 @@ def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
                 sig.append(signature(s, coordinates).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * coordinates, pa.int32()), pa.array(np.concatenate(sig)))], names=["doc_id", "n", "k1", "k2", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig array<long>")
+    return mapped(docs, run, "doc_id long, n long, k1 long, k2 long, sig array<long>", __name__)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -107,7 +108,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")  # last: rows of one a come together
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return mapped(with_a.select("a", "b", "text_a", "text_b"), run, "a long, b long", __name__)
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Memo, chunks, only, slices
+from .textkit import chunks, mapped, Memo, only, owned, slices
 
 #: Bits of the n-gram hash.
 BITS = 18
@@ -41,6 +41,7 @@ def _pair(chunk: str) -> bytes:
 
 @functools.cache
 def _memo() -> Memo:
+    owned(__name__, _memo.cache_clear)
     return Memo(_pair)
 
 
@@ -89,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, label: str = "qual
             found = [np.unique(grams(x), return_counts=True) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([f[i].astype("<u4").tobytes() for f in found], pa.binary()) for i in (0, 1))], names=["doc_id", "y", "at", "n"])
 
-    got = drawn.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(run, "doc_id long, y int, at binary, n binary").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    got = mapped(drawn.select("doc_id", "text", F.col("y").cast("int").alias("y")), run, "doc_id long, y int, at binary, n binary", __name__).toPandas().sort_values(["doc_id", "y"], kind="stable")
     data = [(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(n, "<u4")) for a, n in zip(got["at"], got["n"], strict=True)]
     return ftrl([(at, SCALE * n / max(1, n.sum())) for at, n in data], got["y"].tolist(), epochs, alpha, beta, l1, l2, seed)
 
@@ -132,4 +133,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
             found = [m.score(grams(x)) for x in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, column])
 
-    return keep.mapInArrow(run, schema)
+    return mapped(keep, run, schema, __name__)

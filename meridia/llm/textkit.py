@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows that a worker turns into Python strings at once; a batch of long texts stays small.
 SLICE_ROWS = 64
+#: Rows of an Arrow batch between Spark and a worker.
+BATCH_ROWS = 1000
 
 #: The White_Space property of Unicode (str.split also splits at U+001C to U+001F, which lack it).
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,10 +63,26 @@ def word_and_signs(chunk: str) -> tuple[str, str] | None:
     return found.groups() if found else None
 
 
+#: By owner: what empties its tables.
+_TABLES: dict[str, list[Callable[[], object]]] = {}
+
+
+def owned(owner: str, empty: Callable[[], object]) -> None:
+    """Registers how to empty a table of an operator."""
+    _TABLES.setdefault(owner, []).append(empty)
+
+
+def claim(owner: str) -> None:
+    """Empties the tables of all other operators: a worker that goes on to another operator doesn't keep them."""
+    for other in [o for o in _TABLES if o != owner]:
+        for empty in _TABLES.pop(other):
+            empty()
+
+
 class Memo(dict):
     """A table from chunks to values that is emptied when it is full, so its memory is bounded; long chunks aren't kept."""
 
-    def __init__(self, make: Callable[[str], object], limit: int = 500_000, longest: int = 64):
+    def __init__(self, make: Callable[[str], object], limit: int = 200_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
 
@@ -77,6 +95,19 @@ class Memo(dict):
         return value
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, owner: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of at most BATCH_ROWS rows, in workers that keep only the owner's tables."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def owning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
+        yield from run(batches)
+
+    return df.mapInArrow(owning, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most `rows` rows."""
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import fields, only, slices
+from .textkit import fields, mapped, only, slices
 
 #: Fixed values of the TIFF format: compression codes and sizes of the field types.
 CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
@@ -247,7 +247,7 @@ def store(docs: DataFrame, text: str = "text", media: str = "media", size: str =
             made = [encode(x.ljust(max(1, -(-len(x) // WIDTH)) * WIDTH, bytes([PAD])), compression=compression, predictor=predictor) for x in raw]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in raw], pa.int64()), pa.array(made, pa.binary())], names=[*b.schema.names, size, media])
 
-    return keep.mapInArrow(run, schema)
+    return mapped(keep, run, schema, __name__)
 
 
 _PAGE = fields("media_bytes long, media_sha256 string, page int, n_pages int, width int, height int, channels int, bits int, compression int, predictor int, pixels binary, error string")
@@ -279,7 +279,7 @@ def explode_pages(df: DataFrame, media: str = "media") -> DataFrame:
             columns = [c.take(pa.array(at, pa.int64())) for c in b.columns[: len(others)]]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r.get(n) for r in rows], k) for n, k in _PAGE_ARROW)], names=[*others, *(n for n, _ in _PAGE_ARROW)])
 
-    return keep.mapInArrow(run, T.StructType([*keep.schema.fields[: len(others)], *_PAGE]))
+    return mapped(keep, run, T.StructType([*keep.schema.fields[: len(others)], *_PAGE]), __name__)
 
 
 def fold_pages(found: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def fold_pages(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = T.StructType([thin.schema["doc_id"], *fields("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")])
-    return thin.mapInArrow(run, schema)
+    return mapped(thin, run, schema, __name__)
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .textkit import Memo, chunks, only, slices, word_and_signs
+from .textkit import chunks, mapped, Memo, only, owned, slices, word_and_signs
 
 #: Words whose ids a worker keeps, some 150 MB.
 WORDS = 600_000
@@ -49,7 +49,8 @@ def _tokenizer(path: str) -> Memo:
         parts = word_and_signs(chunk)
         return encode(chunk) if parts is None else words[parts[0]] + words[parts[1]] if parts[1] else words[parts[0]]
 
-    return Memo(chunk_bytes)
+    owned(__name__, _tokenizer.cache_clear)
+    return Memo(chunk_bytes, 400_000)
 
 
 def token_bytes(path: str, text: str | None) -> bytes:
@@ -117,7 +118,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, doc_id: str = "d
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "dtype": [dtype], "n_rows": [len(ends) - 1], "n_tokens": [total], "n_null_ids": [nulls]})
 
     # One small row for each shard, kept as a table: the prefix sums need no driver and the files are written once.
-    thin.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/shards.parquet")
+    mapped(thin, run, MANIFEST, __name__).write.mode("overwrite").parquet(f"{folder}/shards.parquet")
     parts = spark.read.schema(MANIFEST).parquet(f"{folder}/shards.parquet")
     base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     parts.withColumn("base", base).write.mode("overwrite").parquet(f"{folder}/manifest.parquet")
@@ -162,4 +163,4 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
                         cols["ids"] = pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(cols)
 
-    return parts.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return mapped(parts.repartition(n, "shard"), run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids, __name__)

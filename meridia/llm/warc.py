@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import only, slices
+from .textkit import mapped, only, slices
 
 #: Payload bytes of a chunk.
 CHUNK = 1 << 18
@@ -97,7 +97,7 @@ def write(found: DataFrame, folder: str, level: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": [f"{name}.warc.gz"], "n_records": pa.array([n], pa.int64())})
 
     # The table of archives names one file for each partition, whatever attempts left behind.
-    found.mapInArrow(run, "path string, n_records long").write.mode("overwrite").parquet(f"{folder}/archives.parquet")
+    mapped(found, run, "path string, n_records long", __name__).write.mode("overwrite").parquet(f"{folder}/archives.parquet")
     return spark.read.schema("path string, n_records long").parquet(f"{folder}/archives.parquet")
 
 
@@ -172,4 +172,4 @@ def read(spark: SparkSession, folder: str, chunk: int = CHUNK, with_payload: boo
                 if held:
                     yield pa.RecordBatch.from_pylist(held, kind)
 
-    return parts.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(run, _CHUNKS)
+    return mapped(parts.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path"), run, _CHUNKS, __name__)
