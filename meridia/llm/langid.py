@@ -80,7 +80,7 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float = 0.6, seed: int = 7) -> Model:
+def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float = 0.4, seed: int = 7) -> Model:
     """Learns from `doc_id`, `text` and `lang` of at most about `per_lang` rows of each language, drawn by a hash of doc_id.
 
     The bound on the sample is `per_lang`; whole texts of the drawn rows are counted on the executors. Rows with a null
