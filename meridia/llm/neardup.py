@@ -6,8 +6,8 @@
    coordinates (with 48 coordinates and 24 matches, a pair at similarity 0.8 is missed with probability 8e-7), so they
    share one of the first (coordinates - matches + 1) pairs of each, with rare pairs first: only that prefix is posted,
    pairs of one class alone are skipped.
-3. Collisions are counted on 7-bit fingerprints of the coordinates, and the candidates with at least `matches` are
-   confirmed on the full sets. First each class meets the smallest class of each of its postings. These links give
+3. Collisions are counted over all coordinates; candidates with at least `matches` whose sketches (whole sets up to 192
+   shingles, samples of larger ones) allow the similarity are confirmed on the full sets. First each class meets the smallest class of each of its postings. These links give
    components; then classes of one posting meet again, but only across components, and only those outside of the
    posting's largest component look for partners. A link inside a component would change nothing, so none is lost.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ from .textkit import mapped, Memo, only, owned, shared_folder, slices
 
 #: Multipliers and offsets of the coordinates' hash functions come from this generator.
 _SEED = 20240229
+#: Shingles of a set of which all are in its sketch.
+SKETCH = 192
+#: Bits of each coordinate's value by which signatures are compared: others agree by chance once in 2 ** PLANES.
+PLANES = 28
 #: Shingles that are hashed for all coordinates at once.
 _BLOCK = 2048
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
@@ -75,10 +80,28 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
     return least
 
 
+def planes(sig: np.ndarray) -> np.ndarray:
+    """The last PLANES bits of a signature of up to 62 coordinates: number b holds bit b of all coordinates, a bit each."""
+    bits = sig.view(np.uint64)[:, None] >> np.arange(PLANES, dtype=np.uint64) & np.uint64(1)
+    return (bits << np.arange(len(sig), dtype=np.uint64)[:, None]).sum(0, dtype=np.uint64).view(np.int64)
+
+
+def level(n: int) -> int:
+    """Sets of up to SKETCH shingles are sampled whole (0); each level halves the share."""
+    return max(0, (-(-n // SKETCH) - 1).bit_length())
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The shingles whose hash has level() zeros at its end: 15 other bits of each, and whether the next bit is set."""
+    bits = np.uint64(level(len(found)))
+    part = found[found & ((np.uint64(1) << bits) - np.uint64(1)) == 0]
+    return (((part >> np.uint64(48)) & np.uint64(0x7FFF)) << np.uint64(1) | (part >> bits) & np.uint64(1)).astype(np.uint16).view(np.int16)
+
+
 def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, sig, low = [], [], [], [], []
             for x in b.column(1).to_pylist():
                 s = shingles(x, words)
                 both = xxhash.xxh3_128_digest(s.tobytes())
@@ -86,9 +109,11 @@ def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
                 k1.append(int.from_bytes(both[:8], "little", signed=True))
                 k2.append(int.from_bytes(both[8:], "little", signed=True))
                 sig.append(signature(s, coordinates).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * coordinates, pa.int32()), pa.array(np.concatenate(sig)))], names=["doc_id", "n", "k1", "k2", "sig"])
+                low.append(sketch(s))
+            flat = lambda x, width: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(np.concatenate(x)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), flat(sig, coordinates), pa.array(low, pa.list_(pa.int16())), flat([planes(x) for x in sig], PLANES)], names=["doc_id", "n", "k1", "k2", "sig", "low", "planes"])
 
-    return mapped(docs, run, "doc_id long, n long, k1 long, k2 long, sig array<long>", __name__)
+    return mapped(docs, run, "doc_id long, n long, k1 long, k2 long, sig array<long>, low array<short>, planes array<long>", __name__)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -143,8 +168,22 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
-def _collisions(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+def _agree(x: str, y: str, coordinates: int) -> Column:
+    """A bit for each coordinate: whether both signatures have the same value. Plain arithmetic on whole numbers."""
+    apart = reduce(lambda s, b: s.bitwiseOR(F.col(x)[b].bitwiseXOR(F.col(y)[b])), range(1, PLANES), F.col(x)[0].bitwiseXOR(F.col(y)[0]))
+    return F.bitwise_not(apart).bitwiseAND(F.lit((1 << coordinates) - 1))
+
+
+def _near(x: dict[str, str], y: dict[str, str], percent: int) -> Column:
+    """Whether two sets can have the similarity by their sketches: six deviations and six shared bits of doubt are allowed."""
+    deep = F.greatest(x["level"], y["level"])
+    at = lambda s: F.transform(F.filter(s["low"], lambda v: (F.col(s["level"]) == deep) | (v.bitwiseAND(F.lit(1).cast("short")) == 0)), lambda v: F.shiftrightunsigned(v.cast("int").bitwiseAND(F.lit(0xFFFF)), 1))
+    a, b = at(x), at(y)
+    both = F.size(F.array_intersect(a, b)) + 6
+    union = F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
+    p = percent / 100
+    doubt = 6 * F.sqrt(p * (1 - p) / union * (1 - F.pow(F.lit(2.0), -deep)))
+    return both >= (p - doubt) * union
 
 
 def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,29 +209,39 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     # Only sets that can be linked to a different one: a set with one shingle more or less must be able to reach `percent`.
     linkable = some.where((F.floor(F.col("n") * 100 / percent) > F.col("n")) | (F.ceil(F.col("n") * percent / 100) < F.col("n")))
     nodes = linkable.join(least, ["k1", "k2"]).where("doc_id = node").dropDuplicates(["node"])
-    nodes = kept("nodes", nodes.select("node", "n", "sig", F.transform("sig", lambda v: v.bitwiseAND(F.lit(127)).cast("tinyint")).alias("mark")))
+    parts = F.ceil(F.col("n") / SKETCH)
+    deep = F.when(parts <= 1, 0).otherwise(F.length(F.bin(parts - 1)))  # level(), by the binary digits
+    nodes = kept("nodes", nodes.select("node", "n", "sig", "planes", "low", deep.alias("level")))
 
-    posted = nodes.select("node", F.explode("sig").alias("value"))
+    posted = nodes.select("node", F.posexplode("sig").alias("c", "value"))
     often = posted.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
-    lists = posted.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("own"))
+    lists = posted.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value", "c"))).alias("own"))
     prefix = lists.where(F.size("own") >= matches).select("node", F.slice("own", F.lit(1), F.size("own") - (matches - 1)).alias("own"))
-    postings = kept("postings", prefix.join(nodes.select("node", "n", "mark"), "node").select("node", "n", "mark", F.explode("own.value").alias("value")))
+    prefix = prefix.withColumn("mask", F.aggregate("own", F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e["c"]))))
+    facts = ["node", "n", "planes", "low", "level", "mask"]
+    postings = kept("postings", prefix.join(nodes.drop("sig"), "node").select(*facts, F.explode("own").alias("e")).select(*facts, "e.value", "e.c"))
 
     fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    heads = postings.groupBy("value").agg(F.min(F.struct("node", "n", "mark")).alias("head"))
-    star = postings.join(heads, "value").where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n")) & (_collisions("mark", "head.mark") >= matches))
-    star = kept("star", star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
+    enough = lambda x, y: F.bit_count(_agree(x, y, coordinates)) >= matches
+    heads = postings.groupBy("value").agg(F.min(F.struct("node", "n", "planes", "low", "level")).alias("head")).select("value", *[F.col(f"head.{c}").alias(f"h_{c}") for c in ("node", "n", "planes", "low", "level")])
+    side = lambda p: {c: f"{p}{c}" for c in ("low", "level")}
+    star = postings.join(heads, "value").where((F.col("node") != F.col("h_node")) & fits(F.col("n"), F.col("h_n")) & enough("planes", "h_planes") & _near(side(""), side("h_"), percent))
+    star = kept("star", star.select(F.col("h_node").alias("a"), F.col("node").alias("b")).distinct())
     links = kept("links", _confirm(star, thin, words, percent))
     roots = components(links, f"{folder}/roots-1")
 
     placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
-    mixed = by_root.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
+    by_root = placed.groupBy("value", "root").agg(F.count("*").alias("times"))
+    mixed = by_root.groupBy("value").agg(F.max(F.struct("times", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
     placed = kept("placed", placed.join(mixed, "value"))
-    x = placed.where("root <> main").select("value", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "mark", "root")])
-    y = placed.select("value", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "mark", "root")])
-    across = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))) & fits(F.col("x_n"), F.col("y_n")) & (_collisions("x_mark", "y_mark") >= matches)
-    more = x.join(y, "value").where(across).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    facts = [*facts, "root"]
+    x = placed.where("root <> main").select("value", "c", *[F.col(c).alias(f"x_{c}") for c in facts])
+    y = placed.select("value", "main", *[F.col(c).alias(f"y_{c}") for c in facts])
+    across = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))) & fits(F.col("x_n"), F.col("y_n"))
+    # A pair counts at the first coordinate that both have in their prefixes, so it comes once.
+    shared = _agree("x_planes", "y_planes", coordinates).bitwiseAND(F.col("x_mask")).bitwiseAND(F.col("y_mask"))
+    once = shared.bitwiseAND(F.negative(shared)) == F.call_function("shiftleft", F.lit(1).cast("long"), F.col("c"))
+    more = x.join(y, "value").where(across & enough("x_planes", "y_planes") & once & _near(side("x_"), side("y_"), percent)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     more = kept("more", more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         new = kept("links-2", _confirm(more, thin, words, percent))
