@@ -74,7 +74,7 @@ def coordinate_validity(spark, sf_dir):
     return tv.holed(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(~geo.on_globe(F.col("x") * 1.1, F.col("y") * 1.1)).alias("bad"))
 
 
-@query("p q e", f"SELECT id, R[{_hav('px', 'py', 'x', 'y')}/100] AS d, R[CASE WHEN abs(x-px) <= 1e-8 THEN 1e-6 ELSE abs(x-px) END] AS floored FROM e")
+@query("p q e", f"SELECT id, R[CASE WHEN {_hav('px', 'py', 'x', 'y')}/100 <= 1e-8 THEN 1e-8 ELSE {_hav('px', 'py', 'x', 'y')}/100 END] AS d, R[CASE WHEN abs(x-px) <= 1e-8 THEN 1e-6 ELSE abs(x-px) END] AS floored FROM e")
 def dgeo(spark, sf_dir):
     p = tv.pairs(spark, sf_dir)
     return p.select("id", outliers.dgeo(F.col("px"), F.col("py"), F.col("x"), F.col("y")).alias("d"), geo.zero_floor(F.abs(F.col("x") - F.col("px")), True).alias("floored"))
