@@ -85,7 +85,8 @@ def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float =
 
     The bound on the sample is `per_lang`; whole texts of the drawn rows are counted on the executors. Rows with a null
     text, language or id, and texts without letters, teach nothing; an empty table gives a model that rejects all.
-    `slack`: the limit of rejection is the least cosine of the sample's texts of about that many n-grams times this.
+    `slack`: the limit of rejection is the least cosine of the sample's texts of about that many n-grams times this; where
+    the sample has no text of that size, those of the nearest size count.
     """
     rows = only(docs, doc_id="doc_id", text="text", lang="lang").where("lang is not null and text is not null and doc_id is not null").where(learnable(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -123,7 +124,9 @@ def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float =
     best, size = (x @ model.centroids.T).max(1), np.array([len(at).bit_length() for at, _ in sparse])
     least = np.full(24, np.inf)
     np.minimum.at(least, size, best)
-    model.least = np.where(np.isfinite(least), np.minimum.accumulate(least[::-1])[::-1] * slack, 0).astype(np.float32)
+    seen = np.flatnonzero(np.isfinite(least))
+    nearest = seen[np.abs(np.arange(24)[:, None] - seen[None]).argmin(1)]  # sizes that the sample lacks have the limit of the nearest one
+    model.least = (np.minimum.accumulate(least[::-1])[::-1] * slack)[nearest].astype(np.float32)
     return model
 
 

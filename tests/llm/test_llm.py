@@ -99,6 +99,20 @@ def test_language(spark, docs, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def test_foreign_scripts_are_rejected_at_any_size(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(big)
+    assert (model.least > 0).all()
+    rng = np.random.default_rng(3)
+    for first, last in ((0x430, 0x450), (0x3B1, 0x3CA), (0x627, 0x64A), (0x4E00, 0x5400)):
+        letters = np.array([" "] * 6 + [chr(c) for c in range(first, last)])
+        for n in (3, 12, 200, 2000, 50_000, 300_000):
+            text = chr(first) + "".join(rng.choice(letters, n))
+            assert model.nearest(langid.counts(text))[2], (hex(first), n)
+    for text in big.where("lang = 'de' and n_chars > 300").limit(5).toPandas()["text"]:
+        assert not model.nearest(langid.counts(text))[2]
+
+
 def test_long_text_counts_like_pieces():
     text = "Der schnelle Fuchs. " * 30000
     whole = langid.counts(text)
