@@ -267,6 +267,19 @@ def test_embeddings(spark):
     assert embedding.kernel_pca(df, 2).count() == 80
 
 
+def test_kernel_pca_and_scaling_use_all_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 3)) * [3, 1, 0.5]  # more rows than the 500 that were once drawn
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>").repartition(3)
+    square = ((x[:, None] - x[None]) ** 2).sum(2)
+    j = np.eye(700) - 1 / 700
+    for got, m in ((embedding.kernel_pca(df, 3, 0.2, size=150), j @ np.exp(-0.2 * square) @ j), (embedding.mds(df, 3), -0.5 * j @ square @ j)):
+        values, vectors = np.linalg.eigh(m)
+        want = vectors[:, ::-1][:, :3] * np.sqrt(values[::-1][:3])
+        z = np.stack(got.orderBy("id").toPandas()["features"])
+        assert np.allclose(np.abs(z), np.abs(want), atol=1e-6)
+
+
 def _cline(spark, n=200, loci=60, swap=()):
     rng = np.random.default_rng(7)
     xy = rng.uniform([-10, 30], [10, 50], (n, 2))
