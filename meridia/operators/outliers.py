@@ -78,23 +78,28 @@ def detect(samples: DataFrame, space: str, k: int, level: float, min_km: float =
     return gamma_p(stats, shape, rate, level)
 
 
-def detect_outliers(samples: DataFrame, mode: str = "composite", k: int = 10, level: float = 0.01, rounds: int = 10, **options) -> DataFrame:  # noqa: ANN003
+def detect_outliers(samples: DataFrame, mode: str = "composite", k: int = 10, level: float = 0.01, rounds: int | None = None, **options) -> DataFrame:  # noqa: ANN003
     """(id, space) of the outliers: passes over the samples that are left, until one finds none.
 
-    Each pass is written to the shared folder, so plans don't grow with the passes.
+    There are at most half as many passes as samples; `rounds` stops them earlier. Each pass is written to the shared
+    folder, and what passes found is read as one table, so plans don't grow with the passes.
     """
     from meridia.operators.clusters import work_folder
 
     spark, out = samples.sparkSession, None
+    most = samples.count() // 2 if rounds is None else rounds
     for space in ("geographic", "genetic") if mode == "composite" else (mode,):
         left, folder = samples, work_folder(samples, f"outliers-{space}")
-        for r in range(rounds):
+        for r in range(most):
             found = detect(left, space, k, level, **options).where("is_outlier").select("id")
             found.write.parquet(f"{folder}/{r}")
-            found = spark.read.schema(found.schema).parquet(f"{folder}/{r}")
-            if found.isEmpty():
+            if spark.read.schema(found.schema).parquet(f"{folder}/{r}").isEmpty():
                 break
-            part = found.withColumn("space", F.lit(space))
+            known = spark.read.schema(found.schema).parquet(*(f"{folder}/{i}" for i in range(r + 1)))
+            left = samples.join(known, "id", "left_anti")
+        else:
+            r = most
+        if r:
+            part = spark.read.schema(found.schema).parquet(*(f"{folder}/{i}" for i in range(r))).withColumn("space", F.lit(space))
             out = part if out is None else out.union(part)
-            left = left.join(found, "id", "left_anti")
     return out.distinct() if out is not None else spark.createDataFrame([], "id long, space string")

@@ -738,7 +738,7 @@ def outliers_genetic(spark, sf_dir):
 
 @query()
 def outliers_composite(spark, sf_dir):
-    return outliers.detect_outliers(_placed(spark, sf_dir), k=5, level=0.05, rounds=2)
+    return outliers.detect_outliers(_placed(spark, sf_dir), k=5, level=0.05)
 
 
 # ---- losses and series ----------------------------------------------------------------------------------------------

@@ -301,6 +301,14 @@ def test_planted_outliers(spark):
     assert len(found & set(map(int, far))) >= 3 and len(found) < 30
 
 
+def test_outlier_passes_go_on_until_one_is_empty(spark, monkeypatch):
+    rows = spark.range(60).select("id", F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"), F.array(F.lit(0.0)).alias("features"))
+    # each pass finds the largest id that is left, down to 42
+    monkeypatch.setattr(outliers, "detect", lambda left, *_, **__: left.crossJoin(left.agg(F.max("id").alias("top"))).select("id", ((F.col("id") == F.col("top")) & (F.col("id") >= 42)).alias("is_outlier")))
+    assert sorted(r["id"] for r in outliers.detect_outliers(rows, "geographic").collect()) == list(range(42, 60))
+    assert sorted(r["id"] for r in outliers.detect_outliers(rows, "geographic", rounds=2).collect()) == [58, 59]
+
+
 def test_pipeline_on_a_cline(spark):
     place, g = _cline(spark)
     d = spark.createDataFrame([(f"s{i}", j, int(v)) for i, r in enumerate(g) for j, v in enumerate(r)], "sample string, locus int, dosage int")
