@@ -171,19 +171,28 @@ def jenks(values: np.ndarray, weights: np.ndarray, classes: int) -> list[float]:
     """Fisher-Jenks breaks of sorted different values with weights: lowest value and the upper ends of the classes."""
     v, w = np.asarray(values, float), np.asarray(weights, float)
     n, k = len(v), min(classes, len(values))
-    cw, cs, cq = (np.concatenate([[0], np.cumsum(z)]) for z in (w, w * v, w * v * v))
+    z = v - np.average(v, weights=w)
+    cw, cs, cq = (np.concatenate([[0], np.cumsum(x)]) for x in (w, w * z, w * z * z))
 
     def cost(i: np.ndarray, j: int) -> np.ndarray:
         return cq[j] - cq[i] - (cs[j] - cs[i]) ** 2 / (cw[j] - cw[i])
 
-    best, cut = np.full((k + 1, n + 1), np.inf), np.zeros((k + 1, n + 1), int)
-    best[0, 0] = 0
+    best, cut = np.full(n + 1, np.inf), np.zeros((k + 1, n + 1), int)
+    best[0] = 0
     for c in range(1, k + 1):
-        for j in range(c, n + 1):
-            i = np.arange(c - 1, j)
-            t = best[c - 1, i] + cost(i, j)
+        new, todo = np.full(n + 1, np.inf), [(c, n, c - 1, n - 1)]
+        while todo:  # cuts grow with j, so the cut of the middle j bounds those of both halves
+            low, high, first, last = todo.pop()
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            t = best[i] + cost(i, j)
             at = int(t.argmin())
-            best[c, j], cut[c, j] = t[at], i[at]
+            new[j], cut[c, j] = t[at], i[at]
+            if low < j:
+                todo.append((low, j - 1, first, i[at]))
+            if j < high:
+                todo.append((j + 1, high, i[at], last))
+        best = new
     ends, j = [], n
     for c in range(k, 0, -1):
         ends.append(float(v[j - 1]))

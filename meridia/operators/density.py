@@ -106,17 +106,11 @@ def quantile_thresholds(df: DataFrame, value: str, bins: int) -> DataFrame:
     return df.agg(q.alias("q")).select(F.posexplode("q").alias("i", "threshold")).select((F.col("i") + 1).alias("i"), "threshold")
 
 
-def jenks_thresholds(df: DataFrame, value: str, classes: int, most: int = 2000) -> list[float]:
-    """Natural breaks. The values come as at most `most` weighted means of equal-width bins: the result is exact for fewer values."""
+def jenks_thresholds(df: DataFrame, value: str, classes: int) -> list[float]:
+    """Natural breaks over all different values and their counts, which come to the driver."""
     v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    few = v.groupBy("v").agg(F.count("*").alias("n"))
-    if few.limit(most + 1).count() <= most:
-        rows = few.orderBy("v").collect()
-        return kernels.jenks(np.array([r["v"] for r in rows]), np.array([r["n"] for r in rows]), classes) if rows else []
-    ends = v.agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    binned = v.crossJoin(F.broadcast(ends)).withColumn("k", F.floor((F.col("v") - F.col("a")) * (most - 1) / (F.col("b") - F.col("a"))))
-    rows = binned.groupBy("k").agg(F.avg("v").alias("v"), F.count("*").alias("n")).orderBy("v").collect()
-    return kernels.jenks(np.array([r["v"] for r in rows]), np.array([r["n"] for r in rows]), classes)
+    rows = v.groupBy("v").agg(F.count("*").alias("n")).toPandas().sort_values("v")
+    return kernels.jenks(rows["v"].to_numpy(), rows["n"].to_numpy(), classes) if len(rows) else []
 
 
 def to_cell(points: DataFrame, cells: int = 100) -> DataFrame:

@@ -85,6 +85,18 @@ def test_kriging_reproduces_points():
     assert np.allclose(z, [1, 2, 3, 4], atol=1e-4)
 
 
+def test_jenks_uses_all_values(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.exponential(size=2300), 5 + rng.exponential(size=200)])  # beyond 2,000 different values
+    breaks = density.jenks_thresholds(spark.createDataFrame([(float(x),) for x in v], "v double"), "v", 3)
+    s = np.sort(v)
+    spread = lambda x: ((x - x.mean()) ** 2).sum()
+    total = lambda i, j: spread(s[:i]) + spread(s[i:j]) + spread(s[j:])
+    assert set(breaks) <= set(v) and breaks[0] == s[0] and breaks[-1] == s[-1]
+    i, j = (int(np.searchsorted(s, b, "right")) for b in breaks[1:3])
+    assert all(total(i, j) <= total(i + a, j + b) + 1e-9 for a in range(-40, 41, 4) for b in range(-40, 41, 4))
+
+
 # ---- sources and sinks ----
 
 VCF = """##fileformat=VCFv4.2
