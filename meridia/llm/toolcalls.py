@@ -18,6 +18,10 @@ from .textkit import only, shared_folder
 #: Variant types that a JSON schema's type allows.
 _TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY<.*", "object": "^OBJECT<.*", "null": "^VOID$"}
 
+#: Keywords that schema_errors() checks, and those that say nothing of validity.
+_OF_OBJECT, _OF_KEY = {"type", "properties", "required", "additionalProperties"}, {"type", "enum", "minLength", "maxLength", "minimum", "maximum"}
+_NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
+
 #: The tools of turns_as_calls().
 TURN_TOOLS = {
     "ask": {"type": "object", "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 400}, "turn": {"type": "integer", "minimum": 0}}, "required": ["text", "turn"], "additionalProperties": False},
@@ -45,15 +49,23 @@ def _typed(kind: Column, wanted: str | list[str]) -> Column:
 
 
 def schema_errors(arguments: Column, schema: dict) -> Column:
-    """The violations of a schema (object with properties, required, additionalProperties; type, enum, lengths, bounds), sorted."""
+    """The violations of a schema (object with properties, required, additionalProperties; type, enum, lengths, bounds), sorted.
+
+    A schema with other keywords raises ValueError, as they would go unchecked.
+    """
+    for place, rule, known in (("schema", schema, _OF_OBJECT), *((k, r, _OF_KEY) for k, r in schema.get("properties", {}).items())):
+        if unknown := set(rule) - known - _NOTES:
+            raise ValueError(f"{place}: unsupported keywords {sorted(unknown)}")
+    if schema.get("type", "object") != "object" or not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError("schema: only type object, and additionalProperties true or false, are supported")
     v = F.try_parse_json(arguments)
     found: list[Column] = [F.when(v.isNull(), "not JSON"), F.when(v.isNotNull() & ~_typed(F.schema_of_variant(v), "object"), "not an object")]
+    for key in schema.get("required", []):
+        found.append(F.when(v.isNotNull() & F.try_variant_get(v, f"$['{key}']", "variant").isNull(), f"{key}: missing"))
     for key, rule in schema.get("properties", {}).items():
         path = f"$['{key}']"
         own = F.try_variant_get(v, path, "variant")
         kind, text, number = F.schema_of_variant(own), F.try_variant_get(v, path, "string"), F.try_variant_get(v, path, "double")
-        if key in schema.get("required", []):
-            found.append(F.when(v.isNotNull() & own.isNull(), f"{key}: missing"))
         if "type" in rule:
             found.append(F.when(own.isNotNull() & ~_typed(kind, rule["type"]), f"{key}: type"))
         if "enum" in rule:

@@ -397,6 +397,15 @@ def test_tool_calls(spark):
     assert toolcalls.link(*toolcalls.turns_as_calls(empty), toolcalls.TURN_TOOLS).count() == 0
 
 
+def test_tool_call_schemas(spark):
+    df = spark.createDataFrame([('{"a":1}',), ('{"a":1,"b":2}',)], "j string")
+    rows = df.select("j", toolcalls.schema_errors(F.col("j"), {"properties": {"a": {"type": "integer"}}, "required": ["b"]}).alias("e")).collect()
+    assert {r["j"]: r["e"] for r in rows} == {'{"a":1}': ["b: missing"], '{"a":1,"b":2}': []}
+    for bad in ({"properties": {"a": {"pattern": "x"}}}, {"properties": {"a": {"type": "object", "properties": {}}}}, {"minProperties": 1}, {"type": "array"}):
+        with pytest.raises(ValueError):
+            toolcalls.schema_errors(F.col("j"), bad)
+
+
 def test_tool_calls_sql(spark):
     import duckdb
 
