@@ -57,28 +57,30 @@ def rolling(w: np.ndarray, least: int) -> np.ndarray:
 
 
 class Seeds:
-    """The seeds of a block of items. Items with fewer than `least` words have none and never match."""
+    """The seeds of a block of items. Items with fewer than `least` words have themselves as seed."""
 
     def __init__(self, items: list[tuple[int, str | None]], least: int):
-        self.least, self.items = least, [(i, words(x)) for i, x in items]
-        h = [rolling(w, least) for _, w in self.items]
-        flat = np.concatenate([*h, np.zeros(0, np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        self.hash = flat[order]
-        self.item = np.repeat(np.arange(len(h)), [len(x) for x in h])[order]
-        self.place = np.concatenate([*(np.arange(len(x)) for x in h), np.zeros(0, np.int64)])[order]
+        self.items = [(i, words(x)) for i, x in items]
+        self.least = [min(least, len(w)) for _, w in self.items]  # words of the shortest tile of each item
+        self.by_size = {}
+        for size in sorted({n for n in self.least if n}):
+            h = [rolling(w, size) if n == size else np.zeros(0, np.uint64) for n, (_, w) in zip(self.least, self.items, strict=True)]
+            flat = np.concatenate(h)
+            order = np.argsort(flat, kind="stable")
+            item = np.repeat(np.arange(len(h)), [len(x) for x in h])[order]
+            self.by_size[size] = flat[order], item, np.concatenate([np.arange(len(x)) for x in h])[order]
 
     def hits(self, w: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By item: the pairs (place in the item, place in w) that share a seed."""
-        own, found = rolling(w, self.least), {}
-        if not len(own) or not len(self.hash):
-            return found
-        low = np.searchsorted(self.hash, own)
-        for q in np.flatnonzero(self.hash[np.minimum(low, len(self.hash) - 1)] == own):
-            k = low[q]
-            while k < len(self.hash) and self.hash[k] == own[q]:
-                found.setdefault(int(self.item[k]), []).append((int(self.place[k]), int(q)))
-                k += 1
+        found = {}
+        for size, (seeds, item, place) in self.by_size.items():
+            own = rolling(w, size)
+            low = np.searchsorted(seeds, own)
+            for q in np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == own):
+                k = low[q]
+                while k < len(seeds) and seeds[k] == own[q]:
+                    found.setdefault(int(item[k]), []).append((int(place[k]), int(q)))
+                    k += 1
         return found
 
 
@@ -122,7 +124,7 @@ def _leaks(seeds: Seeds, text: str | None, coverage: float) -> list[tuple[int, i
     w, out = words(text), []
     for k, pairs in seeds.hits(w).items():
         item, a = seeds.items[k]
-        found = tiles(a, w, pairs, seeds.least)
+        found = tiles(a, w, pairs, seeds.least[k])
         covered = sum(n for *_, n in found)
         if found and covered >= coverage * len(a):
             out.append((item, len(a), len(found), covered, max(n for *_, n in found)))
@@ -142,7 +144,8 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterato
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item that leaks into it: doc_id, item_id, item_words, n_tiles, covered_words, longest_tile, coverage.
 
-    Null and short texts leak nothing, nor do null items or items of fewer than `least` words. Repeated documents give
+    Null texts leak nothing, nor do null items; items of fewer than `least` words leak where
+    they stand as a whole. Repeated documents give
     repeated rows; items repeated with id and text count once, a repeated id with another text is an item of its own.
     An empty benchmark or table gives no rows. Other columns are left out.
     """

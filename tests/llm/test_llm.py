@@ -256,6 +256,13 @@ def test_decontamination(spark, odd, none):
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(df, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
 
 
+def test_short_items_leak_as_a_whole(spark):
+    docs = spark.createDataFrame([(0, "it says: Too SHORT, here"), (1, "too long, short"), (2, "one two three four"), (3, "one two three")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "too short"), (8, "one two three four"), (9, "..."), (10, "long")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["longest_tile"]) for r in decontam.leaks(docs, bench).collect()) == [(0, 7, 2), (1, 10, 1), (2, 8, 4)]
+    assert [r["doc_id"] for r in decontam.clean(docs, bench).collect()] == [3]
+
+
 def test_decontamination_of_the_table(spark):
     sf = "/root/testdata/sf0.01"
     d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
