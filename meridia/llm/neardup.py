@@ -1,23 +1,28 @@
 """Near-duplicates by MinHash signatures and an inverted join over signature coordinates.
 
-1. Each document becomes a set of word shingles (64-bit hashes) and a signature of `coordinates` minima. Equal sets are one
-   class from here on, so copies cost a row each and no pairs.
+1. Each document becomes a set of word shingles (64-bit hashes), a signature of `coordinates` minima and a parity sketch:
+   bit i says whether an odd number of shingles fall on i. Equal sets are one class from here on, so copies cost a row each
+   and no pairs. The exclusive or of two sketches is the sketch of the symmetric difference, and has at most as many ones as
+   that has members: a bound on similarity from above that never drops a link.
 2. A class is posted under its coordinate-value pairs. Two sets that must be linked agree in far more than `matches`
    coordinates (with 48 coordinates and 24 matches, a pair at similarity 0.8 is missed with probability 8e-7), so they
    share one of the first (coordinates - matches + 1) pairs of each, with rare pairs first: only that prefix is posted,
    pairs of one class alone are skipped.
-3. Collisions are counted on 7-bit fingerprints of the coordinates, and the candidates with at least `matches` are
-   confirmed on the full sets. First each class meets the smallest class of each of its postings. These links give
-   components; then classes of one posting meet again, but only across components, and only those outside of the
-   posting's largest component look for partners. A link inside a component would change nothing, so none is lost.
-
-No step gathers a posting, a group of copies or a component in one task: all are joins and partial aggregates.
+3. Where two classes meet in a posting, the join itself tests sizes and sketches and counts collisions, on 7-bit
+   fingerprints of all coordinates; only pairs that pass leave it, and are confirmed on the shingle sets of the classes,
+   written once. First each class meets the head of each of its postings, the class there with the most coordinate values
+   in common with others. These links give components; then classes of one posting meet again, but only across
+   components, and only those outside of the posting's largest component look for partners. A link inside a component
+   would change nothing, so none is lost.
+
+No step gathers a posting, a group of copies or a component in one task: all are joins and partial aggregates. Pairs that
+leave a join are linked or nearly so; members of a group that aren't linked are told apart by sketches, inside the join.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,9 @@ from .textkit import mapped, Memo, only, owned, shared_folder, slices
 _SEED = 20240229
 #: Shingles that are hashed for all coordinates at once.
 _BLOCK = 2048
+#: Bits of the parity sketch of a set, and the size of a set above which it gets a second, wider one.
+_BITS, _FEW = 1024, 1500
+_SKETCH = [f"s{i}" for i in range(_BITS // 64)]
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
@@ -75,40 +83,67 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
     return least
 
 
+def sketch(found: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of the number of shingles on each of `bits` bits (a power of two, 64 at least), as 64-bit integers."""
+    at = (found >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def wide_bits(n: int) -> int:
+    """Bits of the second sketch of a set of n shingles, for which the first is too small; 0 if it isn't."""
+    return 0 if n <= _FEW else _BITS << (-(-n // _FEW) - 1).bit_length()
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), kind))
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    both = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
+
+
 def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, sig, narrow, wide = [], [], [], [], [], []
             for x in b.column(1).to_pylist():
                 s = shingles(x, words)
-                both = xxhash.xxh3_128_digest(s.tobytes())
+                d1, d2 = _digest(s)
                 n.append(len(s))
-                k1.append(int.from_bytes(both[:8], "little", signed=True))
-                k2.append(int.from_bytes(both[8:], "little", signed=True))
+                k1.append(d1)
+                k2.append(d2)
                 sig.append(signature(s, coordinates).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * coordinates, pa.int32()), pa.array(np.concatenate(sig)))], names=["doc_id", "n", "k1", "k2", "sig"])
+                narrow.append(sketch(s, _BITS))
+                wide.append(sketch(s, wide_bits(len(s))) if wide_bits(len(s)) else sig[-1][:0])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(_lists(x, pa.int64()) for x in (sig, narrow, wide))], names=["doc_id", "n", "k1", "k2", "sig", "narrow", "wide"])
 
-    return mapped(docs, run, "doc_id long, n long, k1 long, k2 long, sig array<long>", __name__)
+    return mapped(docs, run, "doc_id long, n long, k1 long, k2 long, sig array<long>, narrow array<long>, wide array<long>", __name__)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets have 100 * intersection >= percent * union."""
+def _grams(texts: DataFrame, words: int) -> DataFrame:
+    """(node, grams) from (node, k1, k2, text): the shingles, where the text's set is the one with these digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for b in slices(batches):
-            keep = []
-            for a, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if last != a:
-                    last, own = a, shingles(x, words)
-                other = shingles(y, words)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            node, found = [], []
+            for k, k1, k2, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = shingles(x, words)
+                if _digest(s) == (k1, k2):
+                    node.append(k)
+                    found.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), _lists(found, pa.int64())], names=["node", "grams"])
+
+    return mapped(texts.select("node", "k1", "k2", "text"), run, "node long, grams array<long>", __name__)
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")  # last: rows of one a come together
-    return mapped(with_a.select("a", "b", "text_a", "text_b"), run, "a long, b long", __name__)
+
+def _confirm(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets have 100 * intersection >= percent * union."""
+    side = lambda name: grams.select(F.col("node").alias(name), F.col("grams").alias(f"grams_{name}"))
+    both = F.size(F.array_intersect("grams_a", "grams_b"))
+    linked = both * (100 + percent) >= (F.size("grams_a") + F.size("grams_b")) * percent
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(linked).select("a", "b")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -143,17 +178,32 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
-def _collisions(x: str, y: str) -> Column:
+def _collisions(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """Ones of the exclusive or of two arrays; only called on arrays of one length."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
+def _may_link(x: str, y: str, percent: int, matches: int) -> Column:
+    """Whether the classes with columns under the prefixes x and y can be linked: sizes, sketches, then collisions."""
+    p, q = (lambda c: F.col(x + c)), (lambda c: F.col(y + c))
+    room = (p("n") + q("n")) * (100 - percent)  # a link has (100 + percent) * (members of one set only) within this
+    sizes = F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent
+    ones = functools.reduce(Column.__add__, (F.bit_count(p(c).bitwiseXOR(q(c))) for c in _SKETCH))
+    wide = (F.size(p("wide")) != F.size(q("wide"))) | (F.size(p("wide")) == 0) | (_apart(p("wide"), q("wide")) * (100 + percent) <= room)
+    return sizes & (ones * (100 + percent) <= room) & wide & (_collisions(p("mark"), q("mark")) >= matches)
+
+
 def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id and kept.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle sets. component_id is the smallest doc_id
     that a row reaches over links, itself included, and kept says that it is the row's own. Rows without shingles are
     linked with nothing. Rows with a null id get the component of their equals, if those have one, and are kept if not.
-    Repeated rows are equal sets; two sets whose smallest ids are the same id are taken as one document.
+    Repeated rows are equal sets; rows of one id with different texts are one document, whose links are those of all.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "neardup")
@@ -166,41 +216,49 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     sets = kept("sets", _sets(thin, words, coordinates))
     members = sets.select("doc_id", "n", "k1", "k2")
     some = sets.where("n > 0 and doc_id is not null")
-    least = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    body = [F.first(c).alias(c) for c in ("n", "sig", "narrow", "wide")]  # equal in all rows of a class
+    classes = kept("classes", some.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *body).withColumn("node", F.monotonically_increasing_id()))
     # Only sets that can be linked to a different one: a set with one shingle more or less must be able to reach `percent`.
-    linkable = some.where((F.floor(F.col("n") * 100 / percent) > F.col("n")) | (F.ceil(F.col("n") * percent / 100) < F.col("n")))
-    nodes = linkable.join(least, ["k1", "k2"]).where("doc_id = node").dropDuplicates(["node"])
-    nodes = kept("nodes", nodes.select("node", "n", "sig", F.transform("sig", lambda v: v.bitwiseAND(F.lit(127)).cast("tinyint")).alias("mark")))
+    linkable = classes.where((F.floor(F.col("n") * 100 / percent) > F.col("n")) | (F.ceil(F.col("n") * percent / 100) < F.col("n")))
+    detail = ["n", "mark", *_SKETCH, "wide"]
+    nodes = linkable.select("node", "n", F.transform("sig", lambda v: v.bitwiseAND(F.lit(127)).cast("tinyint")).alias("mark"), *[F.col("narrow")[i].alias(c) for i, c in enumerate(_SKETCH)], "wide")
 
-    posted = nodes.select("node", F.explode("sig").alias("value"))
+    posted = linkable.select("node", F.explode("sig").alias("value"))
     often = posted.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
-    lists = posted.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("own"))
-    prefix = lists.where(F.size("own") >= matches).select("node", F.slice("own", F.lit(1), F.size("own") - (matches - 1)).alias("own"))
-    postings = kept("postings", prefix.join(nodes.select("node", "n", "mark"), "node").select("node", "n", "mark", F.explode("own.value").alias("value")))
-
-    fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    heads = postings.groupBy("value").agg(F.min(F.struct("node", "n", "mark")).alias("head"))
-    star = postings.join(heads, "value").where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n")) & (_collisions("mark", "head.mark") >= matches))
-    star = kept("star", star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = kept("links", _confirm(star, thin, words, percent))
+    lists = posted.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("own"), (-F.sum("times")).alias("seldom"))
+    prefix = lists.where(F.size("own") >= matches).select("node", (-F.size("own")).alias("alone"), "seldom", F.slice("own", F.lit(1), F.size("own") - (matches - 1)).alias("own"))
+    postings = kept("postings", prefix.join(nodes, "node").select(F.explode("own.value").alias("value"), "alone", "seldom", "node", *detail))
+
+    central = postings.groupBy("value").agg(F.min(F.struct("alone", "seldom", "node", *detail)).alias("head"))
+    heads = central.select("value", F.col("head.node").alias("head_node"), *[F.col(f"head.{c}").alias(f"head_{c}") for c in detail])
+    star = postings.join(heads, "value").where((F.col("node") != F.col("head_node")) & _may_link("", "head_", percent, matches))
+    star = kept("star", star.select(F.col("head_node").alias("a"), F.col("node").alias("b")).distinct())
+
+    posted_classes = classes.join(postings.select("node").distinct(), "node").select("node", "k1", "k2", F.col("id").alias("doc_id"))
+    grams = kept("grams", _grams(thin.join(posted_classes, "doc_id"), words))
+    if grams.count() > posted_classes.count():  # rows of one id and text came repeatedly
+        grams = kept("grams-once", grams.dropDuplicates(["node"]))
+    links = kept("links", _confirm(star, grams, percent))
+    links = links.union(_one_document(some, classes, kept))
     roots = components(links, f"{folder}/roots-1")
 
-    placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = postings.drop("alone", "seldom").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
     mixed = by_root.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
     placed = kept("placed", placed.join(mixed, "value"))
-    x = placed.where("root <> main").select("value", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "mark", "root")])
-    y = placed.select("value", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "mark", "root")])
-    across = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))) & fits(F.col("x_n"), F.col("y_n")) & (_collisions("x_mark", "y_mark") >= matches)
-    more = x.join(y, "value").where(across).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    x = placed.where("root <> main").select("value", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", *detail)])
+    y = placed.select("value", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", *detail)])
+    across = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
+    more = x.join(y, "value").where(across & _may_link("x_", "y_", percent, matches)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     more = kept("more", more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        new = kept("links-2", _confirm(more, thin, words, percent))
+        new = kept("links-2", _confirm(more, grams, percent))
         if not new.isEmpty():
             roots = components(links.union(new), f"{folder}/roots-2")
 
-    of = least.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-    known = kept("classes", of)
+    linked = roots.join(classes.select("node", "id"), "node")
+    least = linked.groupBy("root").agg(F.min("id").alias("component"))
+    known = kept("known", classes.select("k1", "k2", "node", "id").join(linked.join(least, "root").select("node", "component"), "node", "left").select("k1", "k2", F.coalesce("component", "id").alias("root")))
     spread = members.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     joined = spread.join(salted, ["k1", "k2", "salt"], "left").select("doc_id", "n", "root")
@@ -208,6 +266,14 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("root")).alias("kept"))
 
 
+def _one_document(some: DataFrame, classes: DataFrame, kept: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that tie the classes of each id that has several."""
+    several = some.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("doc_id")
+    found = kept("several", some.select("doc_id", "k1", "k2").join(several, "doc_id").join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node").distinct())
+    first = found.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return found.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+
+
 def first_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` that `found` keeps; rows that were repeated with their id stay repeated, null ids stay."""
     gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(doc_id)).distinct()
