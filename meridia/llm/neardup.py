@@ -8,12 +8,13 @@
    coordinates (with 48 coordinates and 24 matches, a pair at similarity 0.8 is missed with probability 8e-7), so they
    share one of the first (coordinates - matches + 1) pairs of each, with rare pairs first: only that prefix is posted,
    pairs of one class alone are skipped.
-3. Where two classes meet in a posting, the join itself tests sizes and sketches and counts collisions, on 7-bit
-   fingerprints of all coordinates; only pairs that pass leave it, and are confirmed on the shingle sets of the classes,
-   written once. First each class meets the head of each of its postings, the class there with the most coordinate values
-   in common with others. These links give components; then classes of one posting meet again, but only across
-   components, and only those outside of the posting's largest component look for partners. A link inside a component
-   would change nothing, so none is lost.
+3. First each class meets the head of each of its postings, and of those of its few commonest values: the class there with
+   the most coordinate values in common with others. Sizes and sketches are tested and collisions counted, on 4-bit
+   fingerprints of all coordinates (so never too few), and what is left is confirmed on the shingle sets. These links give
+   components.
+4. Then classes of one posting meet again, but only across components, and only those outside of the posting's largest
+   component look for partners. The join itself makes the same tests, so only pairs that pass leave it, to be confirmed. A
+   link inside a component would change nothing, so none is lost.
 
 No step gathers a posting, a group of copies or a component in one task: all are joins and partial aggregates. Pairs that
 leave a join are linked or nearly so; members of a group that aren't linked are told apart by sketches, inside the join.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import mapped, Memo, only, owned, shared_folder, slices
+from .textkit import dropped, mapped, Memo, only, owned, shared_folder, slices
 
 #: Multipliers and offsets of the coordinates' hash functions come from this generator.
 _SEED = 20240229
@@ -39,6 +40,10 @@ _BLOCK = 2048
 #: Bits of the parity sketch of a set, and the size of a set above which it gets a second, wider one.
 _BITS, _FEW = 1024, 1500
 _SKETCH = [f"s{i}" for i in range(_BITS // 64)]
+#: Of each class's values the commonest ones, under which it looks for the head of its group.
+_COMMON = 4
+#: Ids that are broadcast to pick texts; more are joined.
+_IDS = 1_000_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
@@ -89,6 +94,13 @@ def sketch(found: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def marks(sig: np.ndarray) -> np.ndarray:
+    """The last 4 bits of each coordinate, 16 in a 64-bit integer."""
+    low = np.zeros(-(-len(sig) // 16) * 16, np.uint64)
+    low[: len(sig)] = sig.view(np.uint64) & np.uint64(15)
+    return (low.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def wide_bits(n: int) -> int:
     """Bits of the second sketch of a set of n shingles, for which the first is too small; 0 if it isn't."""
     return 0 if n <= _FEW else _BITS << (-(-n // _FEW) - 1).bit_length()
@@ -107,7 +119,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
-            n, k1, k2, sig, narrow, wide = [], [], [], [], [], []
+            n, k1, k2, sig, mark, narrow, wide = [], [], [], [], [], [], []
             for x in b.column(1).to_pylist():
                 s = shingles(x, words)
                 d1, d2 = _digest(s)
@@ -115,11 +127,12 @@ def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
                 k1.append(d1)
                 k2.append(d2)
                 sig.append(signature(s, coordinates).view(np.int64))
+                mark.append(marks(sig[-1]))
                 narrow.append(sketch(s, _BITS))
                 wide.append(sketch(s, wide_bits(len(s))) if wide_bits(len(s)) else sig[-1][:0])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(_lists(x, pa.int64()) for x in (sig, narrow, wide))], names=["doc_id", "n", "k1", "k2", "sig", "narrow", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(_lists(x, pa.int64()) for x in (sig, mark, narrow, wide))], names=["doc_id", "n", "k1", "k2", "sig", "mark", "narrow", "wide"])
 
-    return mapped(docs, run, "doc_id long, n long, k1 long, k2 long, sig array<long>, narrow array<long>, wide array<long>", __name__)
+    return mapped(docs, run, "doc_id long, n long, k1 long, k2 long, sig array<long>, mark array<long>, narrow array<long>, wide array<long>", __name__)
 
 
 def _grams(texts: DataFrame, words: int) -> DataFrame:
@@ -178,8 +191,11 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
-def _collisions(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+def _differing(x: Column, y: Column) -> Column:
+    """The number of 4-bit fingerprints in which two integers differ."""
+    z = x.bitwiseXOR(y)
+    z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+    return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x1111111111111111)))
 
 
 def _apart(x: Column, y: Column) -> Column:
@@ -187,14 +203,19 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def _may_link(x: str, y: str, percent: int, matches: int) -> Column:
-    """Whether the classes with columns under the prefixes x and y can be linked: sizes, sketches, then collisions."""
+def _may_link(x: str, y: str, percent: int, coordinates: int, matches: int) -> Column:
+    """Whether the classes with columns under the prefixes x and y can be linked: sizes, collisions, then sketches."""
     p, q = (lambda c: F.col(x + c)), (lambda c: F.col(y + c))
     room = (p("n") + q("n")) * (100 - percent)  # a link has (100 + percent) * (members of one set only) within this
     sizes = F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent
     ones = functools.reduce(Column.__add__, (F.bit_count(p(c).bitwiseXOR(q(c))) for c in _SKETCH))
     wide = (F.size(p("wide")) != F.size(q("wide"))) | (F.size(p("wide")) == 0) | (_apart(p("wide"), q("wide")) * (100 + percent) <= room)
-    return sizes & (ones * (100 + percent) <= room) & wide & (_collisions(p("mark"), q("mark")) >= matches)
+    apart = functools.reduce(Column.__add__, (_differing(p(c), q(c)) for c in _mark_names(coordinates)))
+    return sizes & (apart <= coordinates - matches) & (ones * (100 + percent) <= room) & wide
+
+
+def _mark_names(coordinates: int) -> list[str]:
+    return [f"m{i}" for i in range(-(-coordinates // 16))]
 
 
 def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,49 +237,61 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     sets = kept("sets", _sets(thin, words, coordinates))
     members = sets.select("doc_id", "n", "k1", "k2")
     some = sets.where("n > 0 and doc_id is not null")
-    body = [F.first(c).alias(c) for c in ("n", "sig", "narrow", "wide")]  # equal in all rows of a class
+    body = [F.first(c).alias(c) for c in ("n", "sig", "mark", "narrow", "wide")]  # equal in all rows of a class
     classes = kept("classes", some.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *body).withColumn("node", F.monotonically_increasing_id()))
     # Only sets that can be linked to a different one: a set with one shingle more or less must be able to reach `percent`.
     linkable = classes.where((F.floor(F.col("n") * 100 / percent) > F.col("n")) | (F.ceil(F.col("n") * percent / 100) < F.col("n")))
-    detail = ["n", "mark", *_SKETCH, "wide"]
-    nodes = linkable.select("node", "n", F.transform("sig", lambda v: v.bitwiseAND(F.lit(127)).cast("tinyint")).alias("mark"), *[F.col("narrow")[i].alias(c) for i, c in enumerate(_SKETCH)], "wide")
+    marked = _mark_names(coordinates)
+    detail = ["n", *marked, *_SKETCH, "wide"]
+    nodes = kept("nodes", linkable.select("node", "n", *[F.col("mark")[i].alias(c) for i, c in enumerate(marked)], *[F.col("narrow")[i].alias(c) for i, c in enumerate(_SKETCH)], "wide"))
+
+    def with_detail(pairs: DataFrame, *sides: str) -> DataFrame:
+        for side in sides:
+            pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("node", *detail)]), f"{side}_node")
+        return pairs
 
     posted = linkable.select("node", F.explode("sig").alias("value"))
     often = posted.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
     lists = posted.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("own"), (-F.sum("times")).alias("seldom"))
-    prefix = lists.where(F.size("own") >= matches).select("node", (-F.size("own")).alias("alone"), "seldom", F.slice("own", F.lit(1), F.size("own") - (matches - 1)).alias("own"))
-    postings = kept("postings", prefix.join(nodes, "node").select(F.explode("own.value").alias("value"), "alone", "seldom", "node", *detail))
-
-    central = postings.groupBy("value").agg(F.min(F.struct("alone", "seldom", "node", *detail)).alias("head"))
-    heads = central.select("value", F.col("head.node").alias("head_node"), *[F.col(f"head.{c}").alias(f"head_{c}") for c in detail])
-    star = postings.join(heads, "value").where((F.col("node") != F.col("head_node")) & _may_link("", "head_", percent, matches))
-    star = kept("star", star.select(F.col("head_node").alias("a"), F.col("node").alias("b")).distinct())
-
-    posted_classes = classes.join(postings.select("node").distinct(), "node").select("node", "k1", "k2", F.col("id").alias("doc_id"))
-    grams = kept("grams", _grams(thin.join(posted_classes, "doc_id"), words))
-    if grams.count() > posted_classes.count():  # rows of one id and text came repeatedly
-        grams = kept("grams-once", grams.dropDuplicates(["node"]))
-    links = kept("links", _confirm(star, grams, percent))
-    links = links.union(_one_document(some, classes, kept))
+    first = F.size("own") - (matches - 1)
+    chosen = F.filter(F.transform("own", lambda v, i: F.struct(v["value"].alias("value"), (i < first).alias("first"), (i >= F.size("own") - _COMMON).alias("common"))), lambda v: v["first"] | v["common"])
+    postings = kept("postings", lists.where(F.size("own") >= matches).select("node", (-F.size("own")).alias("alone"), "seldom", F.explode(chosen).alias("v")).select("v.value", "v.first", "node", "alone", "seldom"))
+
+    heads = postings.groupBy("value").agg(F.min(F.struct("alone", "seldom", "node")).alias("head")).select("value", F.col("head.node").alias("x_node"))
+    met = postings.select("value", F.col("node").alias("y_node")).join(heads, "value").where("x_node <> y_node").select("x_node", "y_node").distinct()
+    star = with_detail(met, "y", "x").where(_may_link("x_", "y_", percent, coordinates, matches))
+    star = kept("star", star.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
+
+    def confirmed(name: str, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+        wanted = kept(f"{name}-wanted", wanted.join(classes, "node").select("node", "k1", "k2", F.col("id").alias("doc_id")))
+        n = wanted.count()
+        grams = kept(f"{name}-grams", _grams(thin.join(F.broadcast(wanted) if n <= _IDS else wanted, "doc_id"), words))
+        if grams.count() > n:  # rows of one id and text came repeatedly
+            grams = kept(f"{name}-grams-once", grams.dropDuplicates(["node"]))
+        return kept(f"{name}-links", _confirm(pairs, grams, percent))
+
+    links = confirmed("star", star).union(_one_document(some, classes, kept))
     roots = components(links, f"{folder}/roots-1")
 
-    placed = postings.drop("alone", "seldom").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = postings.where("first").select("value", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
     mixed = by_root.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
-    placed = kept("placed", placed.join(mixed, "value"))
-    x = placed.where("root <> main").select("value", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", *detail)])
-    y = placed.select("value", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", *detail)])
+    placed = placed.join(mixed, "value").select("value", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "root")])
+    placed = kept("placed", with_detail(placed, "y"))
+    x = placed.where("y_root <> main").select("value", *[F.col(f"y_{c}").alias(f"x_{c}") for c in ("node", "root", *detail)])
     across = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
-    more = x.join(y, "value").where(across & _may_link("x_", "y_", percent, matches)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    more = x.join(placed, "value").where(across & _may_link("x_", "y_", percent, coordinates, matches)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     more = kept("more", more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        new = kept("links-2", _confirm(more, grams, percent))
+        new = confirmed("more", more)
         if not new.isEmpty():
             roots = components(links.union(new), f"{folder}/roots-2")
 
     linked = roots.join(classes.select("node", "id"), "node")
     least = linked.groupBy("root").agg(F.min("id").alias("component"))
     known = kept("known", classes.select("k1", "k2", "node", "id").join(linked.join(least, "root").select("node", "component"), "node", "left").select("k1", "k2", F.coalesce("component", "id").alias("root")))
+    dropped(spark, *(f"{folder}/{name}" for name in ("classes", "nodes", "postings", "star", "star-wanted", "star-grams", "star-grams-once", "star-links", "several", "placed", "more", "more-wanted", "more-grams", "more-grams-once", "more-links", "roots-1", "roots-2")))
     spread = members.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     joined = spread.join(salted, ["k1", "k2", "salt"], "left").select("doc_id", "n", "root")

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows that a worker turns into Python strings at once; a batch of long texts stays small.
 SLICE_ROWS = 64
-#: Rows of an Arrow batch between Spark and a worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between Spark and a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
 
 #: The White_Space property of Unicode (str.split also splits at U+001C to U+001F, which lack it).
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -27,11 +27,14 @@ _SEPARATOR_CONTROLS = re.compile(r"[\x1c-\x1f]")
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, one machine) a folder of this machine is made and set as checkpoint folder.
+    Only where that is unset and the master is this machine alone (tests), a folder of this machine is made and set as
+    checkpoint folder; on a cluster RuntimeError says what is missing, as executors would write where none can read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_meridia_shared", None)
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="meridia-shared-")
             spark._meridia_shared = base
@@ -46,6 +49,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + os.path.abspath(base)}/{label}-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, *folders: str) -> None:
+    """Removes folders of the shared folder that no table reads any more."""
+    jvm = spark._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def chunks(text: str) -> list[str]:
     """The maximal runs of characters without the White_Space property."""
     if _SEPARATOR_CONTROLS.search(text):
@@ -96,10 +107,14 @@ class Memo(dict):
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, owner: str) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of at most BATCH_ROWS rows, in workers that keep only the owner's tables."""
+    """df.mapInArrow(run, schema) with batches of at most BATCH_ROWS rows and about BATCH_BYTES, in workers that keep only the owner's tables.
+
+    Spark reads both sizes from the session when the result runs, so they are set there and stay so.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def owning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(owner)
