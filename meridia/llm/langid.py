@@ -40,6 +40,8 @@ def counts(text: str | None) -> np.ndarray:
     table, text = _letters(), text or ""
     for at in range(0, len(text), _PIECE):
         c = np.frombuffer((" " + text[max(0, at - 2) : at + _PIECE].lower() + " ").encode("utf-32-le", "replace"), "<u4")
+        if (high := c[c >= 0x10000]).size:
+            c = np.where(np.isin(c, [x for x in np.unique(high).tolist() if not chr(x).isalpha()]), np.uint32(32), c)
         c = np.where(c < 0x10000, table[np.minimum(c, 0xFFFF)], c)
         c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
         if len(c) < 3:
@@ -80,13 +82,15 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float = 0.4, seed: int = 7) -> Model:
+def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float = 0.6, seed: int = 7) -> Model:
     """Learns from `doc_id`, `text` and `lang` of at most about `per_lang` rows of each language, drawn by a hash of doc_id.
 
     The bound on the sample is `per_lang`; whole texts of the drawn rows are counted on the executors. Rows with a null
     text, language or id, and texts without letters, teach nothing; an empty table gives a model that rejects all.
     `slack`: the limit of rejection is the least cosine of the sample's texts of about that many n-grams times this; where
     the sample has no text of that size, those of the nearest size count.
+    The driver holds the sample's counts (6 bytes for each different n-gram of a text) and one language's rows at a time
+    as vectors.
     """
     rows = only(docs, doc_id="doc_id", text="text", lang="lang").where("lang is not null and text is not null and doc_id is not null").where(learnable(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -111,19 +115,25 @@ def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float =
     for at, _ in sparse:
         seen[at] += 1
     idf = (np.log((1 + len(sparse)) / (1 + seen)) + 0.1).astype(np.float32)
-    x = np.zeros((len(sparse), width), np.float32)
-    for row, (at, n) in zip(x, sparse, strict=True):
-        row[at] = np.sqrt(n) * idf[at]
-        row /= max(float(np.linalg.norm(row)), 1e-9)
+
+    def vectors(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), width), np.float32)
+        for row, k in zip(x, rows, strict=True):
+            at, n = sparse[k]
+            row[at] = np.sqrt(n) * idf[at]
+            row /= max(float(np.linalg.norm(row)), 1e-9)
+        return x
+
     langs, centroids, of = [], [], got["lang"].to_numpy()
-    for lang in sorted(set(of)):
-        found = _spherical(x[of == lang], clusters, seed)
+    rows_of = {lang: np.flatnonzero(of == lang) for lang in sorted(set(of))}
+    for lang, own in rows_of.items():
+        found = _spherical(vectors(own), clusters, seed)
         langs += [lang] * len(found)
         centroids.append(found)
     model = Model(langs, np.concatenate(centroids), idf, np.zeros(24, np.float32))
-    best, size = (x @ model.centroids.T).max(1), np.array([len(at).bit_length() for at, _ in sparse])
     least = np.full(24, np.inf)
-    np.minimum.at(least, size, best)
+    for own in rows_of.values():
+        np.minimum.at(least, np.array([len(sparse[k][0]).bit_length() for k in own]), (vectors(own) @ model.centroids.T).max(1))
     seen = np.flatnonzero(np.isfinite(least))
     nearest = seen[np.abs(np.arange(24)[:, None] - seen[None]).argmin(1)]  # sizes that the sample lacks have the limit of the nearest one
     model.least = (np.minimum.accumulate(least[::-1])[::-1] * slack)[nearest].astype(np.float32)
