@@ -32,7 +32,8 @@ _END = 0x4000
 #: Below U+0250 nothing composes, and all Unicode versions agree on letters, digits and cases.
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
-_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+#: The normaliser of the files that are read here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
 def byte_symbols() -> list[str]:
@@ -53,7 +54,7 @@ class WordBpe:
         spec = json.load(open(path, encoding="utf-8"))
         model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
         splits = spec["pre_tokenizer"]["pretokenizers"]
-        if model["type"] != "BPE" or not suffix or spec["normalizer"] != _NORMALIZER or splits[0]["behavior"] != "Removed" or splits[1]["type"] != "ByteLevel" or spec.get("decoder") or model.get("dropout"):
+        if model["type"] != "BPE" or not suffix or spec["normalizer"] != NORMALIZER or splits[0]["behavior"] != "Removed" or splits[1]["type"] != "ByteLevel" or spec.get("decoder") or model.get("dropout"):
             raise ValueError(f"{path}: not a word-end BPE file of the kind that this encoder reads")
         pattern = splits[0]["pattern"]["Regex"].replace(r"^\s", "^" + WHITE_SPACE)
         self._words = regex.compile(pattern).findall

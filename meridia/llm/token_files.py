@@ -7,7 +7,8 @@ A data set is a folder of shards in ascending order of document id. Shard k has
 * keys-k.bin: signed 64-bit document ids. Rows with a null id come first; the manifest counts them.
 
 manifest.parquet has a row for each shard: its rows, tokens, null ids, and its base: the tokens of all shards before
-it, a prefix sum. A global position is base + offset. Readers map the files into memory.
+it, a prefix sum. A global position is base + offset. Readers map the files into memory where the folder is mounted,
+and else read the ranges that they need.
 
 A shard's task writes under a name of its own and then renames, so a task that runs again after a lost executor
 replaces its files by equal ones; nothing is kept on a machine's own disk.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import io
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,10 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import NORMALIZER
 from .textkit import chunks, mapped, Memo, only, owned, slices, word_and_signs
 
 #: Words whose ids a worker keeps, some 150 MB.
 WORDS = 600_000
+#: Bytes of text that a shard holds, about.
+SHARD_BYTES = 16_000_000
+#: The parts that a text is split into, each for itself, by files of the kind that is read here.
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 MANIFEST = "shard int, dtype string, n_rows long, n_tokens long, n_null_ids long"
 
 
@@ -64,12 +71,18 @@ def token_bytes(path: str, text: str | None) -> bytes:
 
 
 def _check_kind(path: str) -> int:
-    """The number of ids; raises ValueError if white space can be part of a token of this vocabulary."""
-    library = Tokenizer.from_file(path)
-    for probe, parts in (("a b", "a b"), ("a \t\n b", "a b"), ("  A b. ", "a b ."), ("Was|", "was |"), ("\u00c9t\u00e9!!", "\u00e9t\u00e9 !!")):
-        if library.encode(probe, add_special_tokens=False).ids != [i for x in parts.split() for i in library.encode(x, add_special_tokens=False).ids]:
-            raise ValueError(f"{path}: white space is part of its tokens, or signs, or capitals differ from other letters")
-    return library.get_vocab_size()
+    """The number of ids; raises ValueError if texts can't be encoded by their words, signs apart, in lower case.
+
+    The file's own parts say so: its normaliser lowers letters, its pre-tokenizer drops white space and splits letters from
+    signs, and no added token holds white space or is found in normalised text.
+    """
+    spec = json.load(open(path, encoding="utf-8"))
+    splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    apart = spec["normalizer"] == NORMALIZER and len(splits) == 2 and splits[0] == _SPLIT and splits[1]["type"] == "ByteLevel" and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+    added = any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].isascii() or any(x.isspace() for x in t["content"]) or t["content"][:1].isalnum() for t in spec["added_tokens"])
+    if not apart or added or spec["model"]["type"] != "BPE" or spec["model"].get("dropout") or spec["post_processor"]:
+        raise ValueError(f"{path}: its texts can't be encoded by words: normaliser, pre-tokenizer, added tokens or model are of another kind")
+    return Tokenizer.from_file(path).get_vocab_size()
 
 
 def _put(fs: pafs.FileSystem, path: str, data: bytes) -> None:
@@ -84,11 +97,12 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, doc_id: str = "d
     """Encodes the whole texts of `docs`, appends `end_id` to each, writes the files and returns the manifest.
 
     Null and empty texts have just the end id. Repeated document ids stay as rows of their own, in order of their text.
-    An empty table makes a data set without tokens. Other columns are left out.
+    An empty table makes a data set without tokens. Other columns are left out. Unless `shards` says how many, there are as
+    many as SHARD_BYTES of text each need, so a shard doesn't grow with the data.
     """
     spark = docs.sparkSession
     dtype = "<u2" if max(_check_kind(path), end_id + 1) <= 1 << 16 else "<u4"
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or 1 + (only(docs, text=text).agg(F.sum(F.octet_length("text"))).head()[0] or 0) // SHARD_BYTES
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     thin = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -129,18 +143,27 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(f"{MANIFEST}, base long").parquet(f"{folder}/manifest.parquet")
 
 
-def _mapped(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """A flat file as an array: mapped into memory where the folder is mounted, else read."""
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if fs.get_file_info(path).size else np.zeros(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class _Flat:
+    """A flat file of numbers: mapped into memory where the folder is mounted, else read by ranges."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, dtype: str):
+        self.dtype, self.map, self.file = np.dtype(dtype), None, None
+        if not isinstance(fs, pafs.LocalFileSystem):
+            self.file = fs.open_input_file(path)
+        elif fs.get_file_info(path).size:
+            self.map = np.memmap(path, dtype, "r")
+
+    def __getitem__(self, of: slice) -> np.ndarray:
+        if self.file is not None:
+            w = self.dtype.itemsize
+            return np.frombuffer(self.file.read_at((of.stop - of.start) * w, of.start * w), self.dtype)
+        return np.zeros(0, self.dtype) if self.map is None else self.map[of]
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Per document: doc_id, start (the tokens of all documents before it), n_tokens, ids_crc32 and, if asked, ids.
 
-    ids_crc32 is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers, whatever the file's width.
+    A data set of an empty table gives no rows; repeated and null document ids come back as they were written. ids_crc32 is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers, whatever the file's width.
     """
     parts = manifest(spark, folder)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -149,14 +172,16 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
         fs, root = pafs.FileSystem.from_uri(folder)
         for b in batches:
             for s in b.to_pylist():
-                ids, at, keys = (_mapped(fs, f"{root}/{name}-{s['shard']}.bin", kind) for name, kind in (("ids", s["dtype"]), ("offsets", "<i8"), ("keys", "<i8")))
+                ids, ends, names = (_Flat(fs, f"{root}/{name}-{s['shard']}.bin", kind) for name, kind in (("ids", s["dtype"]), ("offsets", "<i8"), ("keys", "<i8")))
                 for i in range(0, s["n_rows"], 256):
                     to = min(i + 256, s["n_rows"])
-                    own = [ids[at[k] : at[k + 1]].astype("<u4") for k in range(i, to)]
+                    at, keys = ends[i : to + 1], names[i:to]
+                    block = ids[int(at[0]) : int(at[-1])].astype("<u4")
+                    own = [block[x - at[0] : y - at[0]] for x, y in zip(at[:-1], at[1:], strict=True)]
                     cols = {
-                        "doc_id": pa.array([None if k < s["n_null_ids"] else int(keys[k]) for k in range(i, to)], pa.int64()),
-                        "start": pa.array(at[i:to] + s["base"], pa.int64()),
-                        "n_tokens": pa.array(at[i + 1 : to + 1] - at[i:to], pa.int64()),
+                        "doc_id": pa.array([None if k < s["n_null_ids"] else int(keys[k - i]) for k in range(i, to)], pa.int64()),
+                        "start": pa.array(at[:-1] + s["base"], pa.int64()),
+                        "n_tokens": pa.array(np.diff(at), pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
                     }
                     if with_ids:
