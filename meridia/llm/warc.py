@@ -46,25 +46,27 @@ def records(pages: DataFrame, key: str = "page_id", payload: str = "html", url:
     # Repeated payloads only, a row each: partial sums before the shuffle keep a hot payload small.
     repeated = rows.where(F.col("payload_bytes") >= least).groupBy("payload_bytes", "payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["payload_bytes", "payload_digest", "salt"], "left")
+    # Short payloads revisit nothing: they are dealt by their key, not by their few digests.
+    salt = F.when(F.col("payload_bytes") >= least, F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).otherwise(-1 - F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)).cast("int"))
+    joined = rows.withColumn("salt", salt).join(salted, ["payload_bytes", "payload_digest", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"), (F.col("first").isNotNull() & ~revisit).alias("named"))
 
 
-def _record_id(key: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{key}/{digest}')}>"
+def _record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, name)}>"
 
 
-def _head(r: dict) -> bytes:
+def _head(r: dict, own: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r['payload_bytes']}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if r['revisit'] else 'response'}", f"WARC-Record-ID: {_record_id(r['page_id'], r['payload_digest'])}", "WARC-Date: 2020-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if r['revisit'] else 'response'}", f"WARC-Record-ID: {_record_id(own)}", "WARC-Date: 2020-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response"]
     lines += [f"WARC-Payload-Digest: sha1:{r['payload_digest']}", f"WARC-X-Payload-Length: {r['payload_bytes']}"]
     if r["url"] is not None:
         lines.append("WARC-Target-URI: " + r["url"].replace("\r", "%0D").replace("\n", "%0A"))
     if r["page_id"] is not None:
         lines.append(f"WARC-X-Key: {r['page_id']}")
     if r["revisit"]:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(r['refers_to'], r['payload_digest'])}", f"WARC-X-Refers-To-Key: {r['refers_to']}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(f"{r['refers_to']}/{r['payload_digest']}")}", f"WARC-X-Refers-To-Key: {r['refers_to']}"]
     lines.append(f"Content-Length: {len(http) + (0 if r['revisit'] else r['payload_bytes'])}")
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
@@ -72,7 +74,10 @@ def _head(r: dict) -> bytes:
 def write(found: DataFrame, folder: str, level: int = 4) -> DataFrame:
     """Writes the rows of records() as one archive a partition, and returns the table of archives (path, n_records).
 
-    A task writes under a name of its own and renames in the end, so that it can run again.
+    A task writes under a name of its own and renames in the end, so that it can run again. A response that others revisit
+    has a record id made of its key and digest; all other records, among them rows that repeat such a response, have ids
+    made of the archive's name and their place in it, so a record id is never given twice. An empty table gives no
+    archive; rows of null keys or urls have no such field.
     """
     spark = found.sparkSession
     fs, root = pafs.FileSystem.from_uri(folder)
@@ -80,12 +85,17 @@ def write(found: DataFrame, folder: str, level: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        name, n, out = uuid.uuid4().hex, 0, None
+        name, n, out, given = uuid.uuid4().hex, 0, None, set()
         for b in slices(batches):
             out = out or fs.open_output_stream(f"{root}/.{name}")
             for r in b.to_pylist():
                 member = zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.write(member.compress(_head(r)))
+                own = f"{r['page_id']}/{r['payload_digest']}"
+                if not r["named"] or own in given:
+                    own = f"{name}/{n}"
+                else:
+                    given.add(own)
+                out.write(member.compress(_head(r, own)))
                 body = memoryview(b"" if r["revisit"] else r["payload"])
                 for at in range(0, len(body), CHUNK):
                     out.write(member.compress(body[at : at + CHUNK]))
