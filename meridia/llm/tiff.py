@@ -1,7 +1,8 @@
-"""TIFF as media columns: bytes stored as grey pages, and any baseline TIFF read as a row for each page.
+"""TIFF as media columns: bytes stored as grey pages, and TIFF files read as a row for each page.
 
 The reader walks the image directories and decodes PackBits, LZW or deflate strips and tiles, undoes the horizontal
-predictor, and gives the samples of one page at a time.
+predictor, and gives the samples of one page at a time. It reads samples of 1, 2, 4, 8 and 16 bits, in pixels or in planes;
+other kinds, and pages of more than PAGE_BYTES samples, are errors of their row.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _TYPE_CODES = {1: "B", 3: "H", 4: "I"}
 #: Payloads are padded with PAD to a positive multiple of WIDTH, a row of samples.
 WIDTH, PAD = 576, 255
 PAGE_ROWS, STRIP_ROWS = 256, 64
+#: Largest page that is decoded, in bytes of samples, and most pages of a file.
+PAGE_BYTES, FILE_PAGES = 1 << 28, 1 << 16
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -55,9 +58,10 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """The bytes of a PackBits stream, or the first `most` and a few more."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         k = data[at]
         if k < 128:
             out += data[at + 1 : at + 2 + k]
@@ -112,7 +116,8 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, most: int | None = None) -> bytes:
+    """The bytes of a stream of lzw(), or the first `most` and a few more."""
     out, acc, bits, width = bytearray(), 0, 0, 9
     start = [bytes([i]) for i in range(256)] + [b"", b""]
     table, last = list(start), b""
@@ -134,6 +139,8 @@ def unlzw(data: bytes) -> bytes:
             else:
                 raise ValueError("broken LZW data")
             out += entry
+            if most is not None and len(out) >= most:
+                return bytes(out)
             if last:
                 table.append(last + entry[:1])
             last = entry
@@ -146,13 +153,23 @@ def _squeeze(data: bytes, compression: str) -> bytes:
     return {"none": bytes, "lzw": lzw, "packbits": pack_bits, "deflate": lambda d: zlib.compress(d, 1)}[compression](data)
 
 
-def _expand(data: bytes, code: int) -> bytes:
+def _expand(data: bytes, code: int, need: int) -> bytes:
+    """The first `need` bytes at least; what follows them isn't expanded."""
     if code in (CODES["deflate"], _OLD_DEFLATE):
-        return zlib.decompress(data)
-    decode = {CODES["none"]: bytes, CODES["lzw"]: unlzw, CODES["packbits"]: unpack_bits}.get(code)
+        return zlib.decompressobj().decompress(data, max(1, need))
+    decode = {CODES["none"]: lambda d, _: d, CODES["lzw"]: unlzw, CODES["packbits"]: unpack_bits}.get(code)
     if decode is None:
         raise ValueError(f"compression {code} isn't supported")
-    return decode(data)
+    return decode(data, need)
+
+
+def _samples(data: bytes, rows: int, across: int, bits: int, kind: np.dtype) -> np.ndarray:
+    """Rows of `across` samples; those of less than 8 bits are packed, each row from a new byte."""
+    if bits >= 8:
+        return np.frombuffer(data, kind, rows * across).reshape(rows, across)
+    packed = np.frombuffer(data, np.uint8, rows * -(-across * bits // 8)).reshape(rows, -1)
+    single = np.unpackbits(packed, axis=1).reshape(rows, -1, bits)
+    return (single @ (1 << np.arange(bits)[::-1])).astype(kind)[:, :across]
 
 
 def encode(samples: bytes, width: int = WIDTH, page_rows: int = PAGE_ROWS, strip_rows: int = STRIP_ROWS, compression: str = "deflate", predictor: int = 2) -> bytes:
@@ -191,8 +208,8 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
         raise ValueError("not a TIFF")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at:
-        if at in seen:
-            raise ValueError("the image directories form a loop")
+        if at in seen or len(seen) >= FILE_PAGES:
+            raise ValueError("the image directories form a loop, or are too many")
         seen.add(at)
         tags: dict[int, list[int]] = {}
         (n,) = struct.unpack_from(order + "H", data, at)
@@ -200,6 +217,8 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
             if kind in _TYPE_CODES:
                 where = at + 10 + 12 * k
+                if count * _TYPE_BYTES[kind] > len(data):
+                    raise ValueError("a field is longer than the file")
                 if count * _TYPE_BYTES[kind] > 4:
                     (where,) = struct.unpack_from(order + "I", data, where)
                 tags[tag] = list(struct.unpack_from(f"{order}{count}{_TYPE_CODES[kind]}", data, where))
@@ -212,31 +231,39 @@ def pages(data: bytes) -> Iterator[tuple[dict[str, int], bytes]]:
     for order, tags in _directories(data):
         one = lambda tag, default: tags.get(tag, [default])[0]
         width, height, spp, code, predictor = one(256, 0), one(257, 0), one(277, 1), one(259, 1), one(317, 1)
-        bits = one(258, 1)
-        if bits not in (8, 16) or one(284, 1) != 1 or predictor not in (1, 2):
-            raise ValueError(f"{bits} bits, planar {one(284, 1)}, predictor {predictor}: not supported")
-        kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+        bits, planar = one(258, 1), one(284, 1)
+        if bits not in (1, 2, 4, 8, 16) or len({*tags.get(258, [bits])}) > 1 or planar not in (1, 2) or predictor not in ((1, 2) if bits >= 8 else (1,)):
+            raise ValueError(f"{tags.get(258, [bits])} bits, planar {planar}, predictor {predictor}: not supported")
+        kind = np.dtype(np.uint8 if bits <= 8 else order + "u2")
+        if width * height * spp * kind.itemsize > PAGE_BYTES:
+            raise ValueError(f"{width} x {height} x {spp} samples are more than a page may have")
         tiled = 322 in tags
         w, h = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
         starts, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-        across = -(-width // w)
+        across, down = -(-width // w), -(-height // h)
+        if w * h * spp * kind.itemsize > PAGE_BYTES:
+            raise ValueError(f"{w} x {h} samples are more than a tile may have")
+        channels = 1 if planar == 2 else spp  # of a strip or tile
         grid = np.zeros((height, width, spp), kind.newbyteorder("<"))
         for k, (start, size) in enumerate(zip(starts, sizes, strict=True)):
+            plane, k = divmod(k, across * down)
             y, x = k // across * h, k % across * w
             rows = h if tiled else min(h, height - y)
-            block = np.frombuffer(_expand(data[start : start + size], code), kind, rows * w * spp).reshape(rows, w, spp)
+            raw = _expand(data[start : start + size], code, rows * -(-w * channels * bits // 8))
+            block = _samples(raw, rows, w * channels, bits, kind).reshape(rows, w, channels)
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-            part = grid[y : y + rows, x : x + w]
+            part = grid[y : y + rows, x : x + w, plane : plane + channels]
             part[:] = block[: part.shape[0], : part.shape[1]]
         yield {"width": width, "height": height, "channels": spp, "bits": bits, "compression": code, "predictor": predictor}, grid.tobytes()
 
 
-def store(docs: DataFrame, text: str = "text", media: str = "media", size: str = "n_bytes", compression: str = "deflate", predictor: int = 2) -> DataFrame:
+def store(docs: DataFrame, text: str = "text", media: str = "media", size: str = "n_bytes", compression: str | None = "deflate", predictor: int = 2) -> DataFrame:
     """All columns of `docs`, `size` (UTF-8 bytes of the text) and `media`: its bytes, padded, as a TIFF.
 
-    Null texts count as empty; those are one row of padding. Equal texts give equal bytes. Columns called as the new
-    ones are replaced.
+    Null texts count as empty; those are one row of padding. Equal texts give equal bytes. Repeated rows stay, an empty
+    table gives no rows. Columns called as the new ones are replaced. Without a `compression`, the CRC-32 of the bytes picks
+    one for each row: LZW or PackBits for 1 of 16 each, else deflate.
     """
     keep = docs.drop(media, size)
     schema = T.StructType([*keep.schema.fields, T.StructField(size, T.LongType()), T.StructField(media, T.BinaryType())])
@@ -244,7 +271,8 @@ def store(docs: DataFrame, text: str = "text", media: str = "media", size: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             raw = [(x or "").encode() for x in b.column(b.schema.get_field_index(text)).to_pylist()]
-            made = [encode(x.ljust(max(1, -(-len(x) // WIDTH)) * WIDTH, bytes([PAD])), compression=compression, predictor=predictor) for x in raw]
+            kinds = [compression or {0: "lzw", 1: "packbits"}.get(zlib.crc32(x) % 16, "deflate") for x in raw]
+            made = [encode(x.ljust(max(1, -(-len(x) // WIDTH)) * WIDTH, bytes([PAD])), compression=c, predictor=predictor) for x, c in zip(raw, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in raw], pa.int64()), pa.array(made, pa.binary())], names=[*b.schema.names, size, media])
 
     return mapped(keep, run, schema, __name__)
@@ -257,7 +285,9 @@ _PAGE_ARROW = [("media_bytes", pa.int64()), ("media_sha256", pa.string()), *((n,
 def explode_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """A row for each page of the TIFF in `media`, with all other columns of `df`; the pages of a row stay together, in order.
 
-    A null gives no row. A file that can't be read gives one row with `error` set and null pixels.
+    A null gives no row. A file that can't be read, or whose pages are larger than PAGE_BYTES, gives one row with `error`
+    set and null pixels. Repeated rows give repeated pages, an empty table none. Columns of `df` called as one of the new
+    ones are replaced.
     """
     others = [c for c in df.columns if c.lower() != media.lower() and c.lower() not in {n for n, _ in _PAGE_ARROW}]
     keep = df.select(*others, media)
@@ -272,7 +302,7 @@ def explode_pages(df: DataFrame, media: str = "media") -> DataFrame:
                 try:
                     for facts, pixels in pages(data):
                         own.append(base | facts | {"page": len(own), "pixels": pixels, "error": None})
-                except (ValueError, struct.error, zlib.error, KeyError, IndexError, ZeroDivisionError) as e:
+                except (ValueError, struct.error, zlib.error, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError) as e:
                     own = [base | {"page": 0, "error": f"{type(e).__name__}: {e}"[:200]}]
                 rows += [r | {"n_pages": len(own)} for r in own]
                 at += [i] * len(own)
@@ -318,6 +348,6 @@ def fold_pages(found: DataFrame) -> DataFrame:
     return mapped(thin, run, schema, __name__)
 
 
-def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", compression: str | None = "deflate") -> DataFrame:
     """store(), explode_pages() and fold_pages() one after the other; no shuffle."""
-    return fold_pages(explode_pages(store(only(docs, doc_id=doc_id, text=text)).select("doc_id", "n_bytes", "media")))
+    return fold_pages(explode_pages(store(only(docs, doc_id=doc_id, text=text), compression=compression).select("doc_id", "n_bytes", "media")))
