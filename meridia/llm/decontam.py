@@ -66,45 +66,62 @@ class Seeds:
         for size in sorted({n for n in self.least if n}):
             h = [rolling(w, size) if n == size else np.zeros(0, np.uint64) for n, (_, w) in zip(self.least, self.items, strict=True)]
             flat = np.concatenate(h)
-            order = np.argsort(flat, kind="stable")
-            item = np.repeat(np.arange(len(h)), [len(x) for x in h])[order]
-            self.by_size[size] = flat[order], item, np.concatenate([np.arange(len(x)) for x in h])[order]
+            both = np.unique(np.stack([flat, np.repeat(np.arange(len(h)), [len(x) for x in h]).astype(np.uint64)], axis=1), axis=0)
+            self.by_size[size] = np.ascontiguousarray(both[:, 0]), both[:, 1].astype(np.int64), h
 
-    def hits(self, w: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By item: the pairs (place in the item, place in w) that share a seed."""
+    def hits(self, w: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """For each item that shares a seed with w: the runs of seeds that both have."""
         found = {}
-        for size, (seeds, item, place) in self.by_size.items():
+        for size, (seeds, item, of) in self.by_size.items():
             own = rolling(w, size)
-            low = np.searchsorted(seeds, own)
-            for q in np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == own):
-                k = low[q]
-                while k < len(seeds) and seeds[k] == own[q]:
-                    found.setdefault(int(item[k]), []).append((int(place[k]), int(q)))
-                    k += 1
+            shared = own[seeds[np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)] == own]
+            if len(shared):
+                order = np.argsort(own, kind="stable")
+                ends = np.searchsorted(seeds, np.unique(shared)), np.searchsorted(seeds, np.unique(shared), "right")
+                for k in {int(i) for x, y in zip(*ends, strict=True) for i in item[x:y]}:
+                    found[k] = runs(of[k], own[order], order, size)
         return found
 
 
+def runs(seeds: np.ndarray, own: np.ndarray, order: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, words) of the longest runs of seeds that a and b share on a diagonal.
+
+    `seeds` are those of a in order; `own` are those of b, sorted, and `order` their places. The places of b that have one
+    seed of a are held at a time, never all pairs of places: a repeated line in both costs its runs alone.
+    """
+    found, low, high = [], np.searchsorted(own, seeds), np.searchsorted(own, seeds, "right")
+    at = start = np.zeros(0, np.int64)  # places of b where runs stand at the last seed, ascending, and their first seed
+    for p in range(len(seeds) + 1):
+        here = order[low[p] : high[p]] if p < len(seeds) else at[:0]
+        if not len(at) and not len(here):
+            continue
+        k = np.minimum(np.searchsorted(here, at + 1), max(0, len(here) - 1))
+        on = here[k] == at + 1 if len(here) else np.zeros(len(at), bool)
+        for q, s in zip(at[~on].tolist(), start[~on].tolist(), strict=True):
+            found.append((s, q - (p - 1 - s), p - 1 - s + least))
+        first = np.full(len(here), p)
+        first[k[on]] = start[on]
+        at, start = here, first
+    return found
+
+
 def tiles(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in a, place in b, words) from the pairs of places that share a seed.
+    """Tiles (place in a, place in b, words) from the pairs of places that share a seed of `least` words."""
+    places = sorted({(q - p, p) for p, q in pairs})
+    ends = [k for k in range(1, len(places)) if places[k] != (places[k - 1][0], places[k - 1][1] + 1)]
+    return mark(a, b, [(places[x][1], places[x][1] + places[x][0], y - x - 1 + least) for x, y in zip([0, *ends], [*ends, len(places)], strict=True) if y > x], least)
+
+
+def mark(a: np.ndarray, b: np.ndarray, matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Tiles (place in a, place in b, words) from matches of that form.
 
     Longer matches come first, then those earlier in a and in b. A match that overlaps marked words goes back with its
     free parts, as long as they have `least` words.
     """
-    heap, by_diagonal = [], {}
-    for p, q in pairs:
-        by_diagonal.setdefault(q - p, set()).add(p)
-    for d, places in by_diagonal.items():
-        start = last = None
-        for p in [*sorted(places), None]:
-            if last is not None and p != last + 1:
-                heap.append((-(last - start + least), start, start + d))
-                start = None
-            if start is None:
-                start = p
-            last = p
+    heap = [(-n, p, q) for p, q, n in matches]
     heapq.heapify(heap)
     used_a, used_b, found = np.zeros(len(a), bool), np.zeros(len(b), bool), []
-    while heap:
+    while heap and not used_a.all():
         n, p, q = heapq.heappop(heap)
         n = -n
         free = ~(used_a[p : p + n] | used_b[q : q + n]) & (a[p : p + n] == b[q : q + n])
@@ -122,9 +139,9 @@ def tiles(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]], least: int
 def _leaks(seeds: Seeds, text: str | None, coverage: float) -> list[tuple[int, int, int, int, int]]:
     """(item, its words, tiles, words covered, longest tile) of each item that leaks into the text."""
     w, out = words(text), []
-    for k, pairs in seeds.hits(w).items():
+    for k, matches in seeds.hits(w).items():
         item, a = seeds.items[k]
-        found = tiles(a, w, pairs, seeds.least[k])
+        found = mark(a, w, matches, seeds.least[k])
         covered = sum(n for *_, n in found)
         if found and covered >= coverage * len(a):
             out.append((item, len(a), len(found), covered, max(n for *_, n in found)))
