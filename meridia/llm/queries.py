@@ -23,25 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all texts, written and read back."""
     folder = shared_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), WORD_BPE, folder, END_ID)
     return token_files.read(spark, folder, with_ids=False)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, its score, and whether it is rejected as too far from all languages."""
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", (~langid.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chat turns as calls and results: linked, ordered by dependency, validated and serialised."""
     calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
     return toolcalls.link(calls, results, toolcalls.TURN_TOOLS)
 
 
 #: What op3_tool_calls gives: DuckDB has its own JSON functions.
 OP3_SQL = """
-WITH calls AS (
+WITH RECURSIVE calls AS (
   SELECT conv_id, turn, CAST(turn AS VARCHAR) AS call_id, CASE role WHEN 'system' THEN 'configure' ELSE 'ask' END AS name, text
   FROM conversations WHERE role IN ('system', 'user') AND turn IS NOT NULL AND conv_id IS NOT NULL
 ), results AS (
@@ -55,24 +58,33 @@ WITH calls AS (
     CASE WHEN name = 'configure' AND turn > 0 THEN 'turn: maximum' END,
     CASE WHEN turn < 0 THEN 'turn: minimum' END], lambda x: x IS NOT NULL) AS found
   FROM calls c LEFT JOIN results r USING (conv_id, call_id)
-)
-SELECT conv_id, call_id, CAST(turn AS BIGINT) AS level, turn AS seq, name, len(found) = 0 AS valid, coalesce(array_to_string(found, '; '), '') AS errors, n IS NOT NULL AS linked,
+), known AS (SELECT DISTINCT conv_id, turn, call_id FROM calls),
+needs AS (
+  SELECT DISTINCT c.conv_id, c.call_id, k.call_id AS parent FROM calls c JOIN known k ON k.conv_id = c.conv_id AND c.name = 'ask' AND c.turn >= 1 AND k.turn = CASE c.turn WHEN 1 THEN 0 ELSE c.turn - 2 END
+), chains AS (
+  SELECT conv_id, call_id, CAST(0 AS BIGINT) AS level FROM known k WHERE NOT EXISTS (SELECT 1 FROM needs n WHERE n.conv_id = k.conv_id AND n.call_id = k.call_id)
+  UNION SELECT n.conv_id, n.call_id, c.level + 1 FROM chains c JOIN needs n ON n.conv_id = c.conv_id AND n.parent = c.call_id
+), levels AS (SELECT conv_id, call_id, max(level) AS level FROM chains GROUP BY 1, 2)
+SELECT conv_id, call_id, level, turn AS seq, name, len(found) = 0 AS valid, coalesce(array_to_string(found, '; '), '') AS errors, n IS NOT NULL AS linked,
   '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"turn":' || turn || '},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS record
-FROM checked
+FROM checked JOIN levels USING (conv_id, call_id)
 """
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every text, learned from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (~quality.learnable(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded, with digests of both."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back as chunks; the row of the last chunk of each."""
     folder = shared_folder(spark, "warc")
     warc.write(warc.records(table(spark, sf_dir, "pages")), folder)
     chunks = warc.read(spark, folder, with_payload=False)
@@ -88,15 +100,18 @@ SELECT page_id, n AS payload_bytes, sha1(p) AS payload_digest, CASE WHEN first I
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return sharding.assign(docs, sharding.plan(docs, SHARDS))
+    """The shard and slot of every document."""
+    rows = sharding.records(table(spark, sf_dir, "documents"))
+    return sharding.assign_records(rows, sharding.plan_records(rows, SHARDS))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each item of the benchmark that leaks into it."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document, over shingles of 2 words."""
     return neardup.find(table(spark, sf_dir, "documents"), words=2)
 
 
@@ -116,7 +131,8 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = componen
 
 
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiff.round_trip(table(spark, sf_dir, "documents"))
+    """The texts as TIFF files of all compressions and back, with digests and features."""
+    return tiff.round_trip(table(spark, sf_dir, "documents"), compression=None)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

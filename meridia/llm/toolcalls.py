@@ -1,9 +1,10 @@
 """Chat formatting: tool calls are linked with their results, ordered, validated and serialised, with DataFrame operations only.
 
-Calls and results are hash-joined by conversation and call id. Calls name the calls that they depend on. Where all of a
-conversation's dependencies point to earlier calls, its own order is topological already and costs nothing; only other
-conversations go through the peeling of levels, which also finds cycles. Arguments are parsed as variants and checked
-against a JSON schema; the canonical form has sorted keys, no white space and UTF-8.
+Calls and results are hash-joined by conversation and call id. Calls name the calls that they depend on; the level of a
+call is the length of the longest chain of dependencies before it, so levels are a topological order. Chains of calls
+with one dependency each are followed by doubling, in as many rounds as the logarithm of their length; only calls with
+several dependencies are peeled, a round for each that stands behind another. Both find cycles. Arguments are parsed as
+variants and checked against a JSON schema; the canonical form has sorted keys, no white space and UTF-8.
 """
 
 from __future__ import annotations
@@ -48,6 +49,13 @@ def _typed(kind: Column, wanted: str | list[str]) -> Column:
     return kind.rlike("|".join(_TYPES[t] for t in ([wanted] if isinstance(wanted, str) else wanted)))
 
 
+def _path(key: str) -> str:
+    """The path of a key; raises ValueError if it has quotes of both kinds, which paths can't hold."""
+    if "'" in key and '"' in key:
+        raise ValueError(f"{key}: keys with quotes of both kinds aren't supported")
+    return f'$["{key}"]' if "'" in key else f"$['{key}']"
+
+
 def schema_errors(arguments: Column, schema: dict) -> Column:
     """The violations of a schema (object with properties, required, additionalProperties; type, enum, lengths, bounds), sorted.
 
@@ -61,9 +69,9 @@ def schema_errors(arguments: Column, schema: dict) -> Column:
     v = F.try_parse_json(arguments)
     found: list[Column] = [F.when(v.isNull(), "not JSON"), F.when(v.isNotNull() & ~_typed(F.schema_of_variant(v), "object"), "not an object")]
     for key in schema.get("required", []):
-        found.append(F.when(v.isNotNull() & F.try_variant_get(v, f"$['{key}']", "variant").isNull(), f"{key}: missing"))
+        found.append(F.when(v.isNotNull() & F.try_variant_get(v, _path(key), "variant").isNull(), f"{key}: missing"))
     for key, rule in schema.get("properties", {}).items():
-        path = f"$['{key}']"
+        path = _path(key)
         own = F.try_variant_get(v, path, "variant")
         kind, text, number = F.schema_of_variant(own), F.try_variant_get(v, path, "string"), F.try_variant_get(v, path, "double")
         if "type" in rule:
@@ -85,38 +93,52 @@ def schema_errors(arguments: Column, schema: dict) -> Column:
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, cyclic) of each distinct call of (conv_id, call_id, seq, depends_on).
 
-    Conversations whose dependencies all point to smaller seq keep it as level. In others the level is the length of the
-    longest chain of dependencies before a call, and null for calls on a cycle or behind one. Dependencies on unknown calls
-    are left out.
+    The level is the length of the longest chain of dependencies before a call, and null for calls on a cycle or behind
+    one. Dependencies on unknown calls are left out; those of a repeated call are taken together.
     """
-    spark = calls.sparkSession
-    ids = calls.groupBy("conv_id", "call_id").agg(F.min("seq").alias("seq"))
-    wanted = calls.select("conv_id", "call_id", F.explode("depends_on").alias("parent")).distinct()
-    edges = wanted.join(ids.select("conv_id", F.col("call_id").alias("parent"), F.col("seq").alias("parent_seq")), ["conv_id", "parent"]).join(ids, ["conv_id", "call_id"])
+    spark, key = calls.sparkSession, ["conv_id", "call_id"]
     folder = shared_folder(spark, "levels")
 
     def kept(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    odd = kept("odd", edges.where("coalesce(parent_seq >= seq, true)").select("conv_id").distinct())
-    if odd.isEmpty():
-        return ids.select("conv_id", "call_id", F.col("seq").alias("level"), F.lit(False).alias("cyclic"))
-    rest = kept("rest-0", ids.join(odd, "conv_id", "left_semi").select("conv_id", "call_id"))
-    open_edges = kept("edges-0", edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "parent"))
-    done, k = None, 0
-    while True:  # peel the calls that wait for none
-        ready = kept(f"ready-{k}", rest.join(open_edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(k).cast("long")))
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.union(ready)
-        rest = kept(f"rest-{k + 1}", rest.join(ready, ["conv_id", "call_id"], "left_anti"))
-        open_edges = kept(f"edges-{k + 1}", open_edges.join(ready.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_anti"))
+    ids = calls.select(*key).distinct()
+    wanted = calls.select(*key, F.explode("depends_on").alias("parent")).distinct()
+    edges = wanted.join(ids.withColumnRenamed("call_id", "parent").hint("shuffle_hash"), ["conv_id", "parent"])
+    parents = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("parent").alias("to"))
+    state = kept("state", ids.join(parents.hint("shuffle_hash"), key, "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    done = state.where("n = 0").select(*key, F.lit(0).cast("long").alias("level"))
+
+    # Calls with one dependency: `to` is the call `dist` steps before; it goes on until that one has none or several.
+    chain, k = kept("chain-0", state.where("n = 1").select(*key, "to", F.lit(1).cast("long").alias("dist"), F.lit(True).alias("going"))), 0
+    longest = state.groupBy("conv_id").count().agg(F.max("count")).head()[0] or 0
+    while 1 << k <= longest and not chain.where("going").isEmpty():
+        ahead = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"))
+        met = chain.join(ahead.hint("shuffle_hash"), ["conv_id", "to"], "left")
         k += 1
-    stuck = rest.select("conv_id", "call_id", F.lit(None).cast("long").alias("level"), F.lit(True).alias("cyclic"))
-    peeled = stuck if done is None else done.select("conv_id", "call_id", "level", F.lit(False).alias("cyclic")).union(stuck)
-    plain = ids.join(odd, "conv_id", "left_anti").select("conv_id", "call_id", F.col("seq").cast("long").alias("level"), F.lit(False).alias("cyclic"))
-    return plain.union(peeled)
+        chain = kept(f"chain-{k}", met.select(*key, F.coalesce("next", "to").alias("to"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNotNull().alias("going")))
+    ended = chain.where("not going").select(*key, "to", "dist")  # those that still go are on a cycle or behind one
+
+    # Calls with several: a round for those all of whose dependencies, or their chains' ends, are placed.
+    knots = state.where("n > 1").select(*key)
+    if not knots.isEmpty():
+        own = edges.join(knots.hint("shuffle_hash"), key, "left_semi")
+        through = own.join(chain.select("conv_id", F.col("call_id").alias("parent"), "to", "dist", "going").hint("shuffle_hash"), ["conv_id", "parent"], "left")
+        weights = kept("knots-0", through.select(*key, F.coalesce("to", "parent").alias("to"), F.coalesce("dist", F.lit(0)).alias("dist"), F.coalesce("going", F.lit(False)).alias("never")))
+        placed, j = kept("placed-0", done), 0
+        while True:
+            seen = weights.join(placed.select("conv_id", F.col("call_id").alias("to"), "level").hint("shuffle_hash"), ["conv_id", "to"], "left")
+            ready = seen.groupBy(*key).agg(F.max(F.col("dist") + 1 + F.col("level")).alias("level"), F.max(F.col("level").isNull() | F.col("never")).alias("waits")).where("not waits").select(*key, "level")
+            ready = kept(f"ready-{j}", ready)
+            if ready.isEmpty():
+                break
+            j += 1
+            placed = kept(f"placed-{j}", placed.union(ready))
+            weights = kept(f"knots-{j}", weights.join(ready.hint("shuffle_hash"), key, "left_anti"))
+        done = placed
+    behind = ended.join(done.select("conv_id", F.col("call_id").alias("to"), "level").hint("shuffle_hash"), ["conv_id", "to"]).select(*key, (F.col("level") + F.col("dist")).alias("level"))
+    return ids.join(done.union(behind).hint("shuffle_hash"), key, "left").select(*key, "level", F.col("level").isNull().alias("cyclic"))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFrame:
@@ -134,8 +156,8 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFr
     errors: Column = F.array(F.lit("unknown tool"))
     for tool, schema in sorted(tools.items()):
         errors = F.when(F.col("name") == tool, schema_errors(F.col("arguments"), schema)).otherwise(errors)
-    joined = calls.join(first, ["conv_id", "call_id"], "left")
-    placed = joined.join(levels(calls), ["conv_id", "call_id"])
+    joined = calls.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    placed = joined.join(levels(calls).hint("shuffle_hash"), ["conv_id", "call_id"])
     errors = F.concat(errors, F.when(F.col("cyclic"), F.array(F.lit("cyclic"))).otherwise(F.array().cast("array<string>")))
     text = lambda c: F.when(F.col(c).isNull() if isinstance(c, str) else c.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1))
     record = F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null")), F.lit(',"id":'), text("call_id"), F.lit(',"name":'), text("name"), F.lit(',"result":'), text(F.col("result.content")), F.lit("}"))
