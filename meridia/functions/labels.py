@@ -49,9 +49,13 @@ def metric(key: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*METRICS.items())]), key), key)
 
 
-def config_prefix(config: Column, tool: str) -> Column:
-    """`tool` and what the configuration's prefix stands for; other configurations stay."""
-    out = config
+#: Fixed value: results of the other tool that users compare with have this prefix.
+OTHER = "locator"
+
+
+def config_prefix(config: Column, tool: str, other: str = "Locator") -> Column:
+    """`tool` and what the configuration's prefix stands for, or `other` for the other tool's; other configurations stay."""
+    out = F.when(config.startswith(OTHER), other).otherwise(config)
     for prefix, label in CONFIGS.items():
         out = F.when(config.startswith(prefix), f"{tool} {label}").otherwise(out)
     return out

@@ -125,10 +125,10 @@ def train_all(rows: DataFrame, plans: DataFrame, most: int = 50_000) -> DataFram
                 cols = np.random.default_rng(seed).integers(0, x.shape[1], x.shape[1]) if p.get("loci") else np.arange(x.shape[1])
                 net = Perceptron(x.shape[1], int(p.get("width", 64)), int(p.get("layers", 2)), float(p.get("dropout", 0)), seed)
                 net.fit(x[t][:, cols], y[t], w[t], x[~t][:, cols], y[~t], int(p.get("epochs", 100)), int(p.get("patience", 20)), float(p.get("lr", 1e-2)), float(p.get("l2", 0)))
-                yield pd.DataFrame({"plan": [plan], "loss": [min(net.losses, default=float("nan"))], "params": [params], "columns": [cols.tolist()], "model": [net.dumps()]})
+                yield pd.DataFrame({"plan": [plan], "loss": [min(net.losses, default=float("nan"))], "params": [params], "columns": [cols.tolist()], "model": [net.dumps()], "curve": [net.losses]})
 
     n = max(1, plans.count())
-    return plans.repartition(n, "plan").mapInPandas(run, "plan long, loss double, params string, columns array<int>, model binary")
+    return plans.repartition(n, "plan").mapInPandas(run, "plan long, loss double, params string, columns array<int>, model binary, curve array<double>")
 
 
 def predict(rows: DataFrame, models: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions import kernels
@@ -110,3 +110,28 @@ def clip(points: DataFrame, rings: list[list[tuple[float, float]]]) -> DataFrame
     for r in rings:
         inside = inside | in_ring(F.col("x"), F.col("y"), r)
     return points.where(inside)
+
+
+def in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """All columns of `points` with statefp and name of each region around them; a point on a hole's inside is not in the region.
+
+    Points and regions meet by cells of one degree of the regions' bounding boxes, and rays decide: corners are compared
+    where they are stored, so regions may be many. A point in two parts of one region comes once.
+    """
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    cells = lambda v: F.sequence(F.floor(F.array_min(v)).cast("int"), F.floor(F.array_max(v)).cast("int"))
+    boxes = regions.where(F.size("ring") > 2).withColumn("cx", F.explode(cells(xs))).withColumn("cy", F.explode(cells(ys)))
+    own = points.where("x is not null and y is not null").withColumn("cx", F.floor("x").cast("int")).withColumn("cy", F.floor("y").cast("int"))
+
+    def inside(ring: Column) -> Column:
+        after = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+        crossed = lambda a, b: ((a["y"] > F.col("y")) != (b["y"] > F.col("y"))) & (F.col("x") < (b["x"] - a["x"]) * (F.col("y") - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
+        return F.aggregate(F.zip_with(ring, after, lambda a, b: F.coalesce(crossed(a, b), F.lit(False)).cast("int")), F.lit(0), lambda s, v: s + v) % 2 == 1
+
+    met = own.join(boxes, ["cx", "cy"]).where(inside(F.col("ring")) & ~F.exists("holes", inside))
+    return met.drop("cx", "cy", "part", "ring", "holes").distinct()
+
+
+def named(regions: DataFrame, names: list[str]) -> DataFrame:
+    """The regions of these names: those that a map highlights."""
+    return regions.where(F.col("name").isin(names))

@@ -16,7 +16,25 @@ def metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def replicate_metrics(df: DataFrame, path: str) -> None:
+    """Metrics of each replicate, a JSON object in a folder of its own."""
+    df.write.mode("overwrite").partitionBy("replicate").json(path)
+
+
+def loss_curves(models: DataFrame, path: str) -> None:
+    """The validation losses by epoch of each plan of train_all(), a JSON object each."""
+    models.select("plan", "curve").write.mode("overwrite").json(path)
+
+
+def dump(df: DataFrame, path: str, wanted: bool) -> None:
+    """A table for debugging as CSV, if it is wanted; arrays become one text."""
+    if wanted:
+        flat = [F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) if k.startswith("array") else F.col(c) for c, k in df.dtypes]
+        df.select(*flat).write.mode("overwrite").csv(path, header=True)
+
+
 def table(df: DataFrame, path: str) -> None:
+    """Any flat table as CSV with a header: summaries, metrics by replicate."""
     df.write.mode("overwrite").csv(path, header=True)
 
 
