@@ -12,7 +12,8 @@
    the most coordinate values in common with others. Sizes and sketches are tested and collisions counted, on 4-bit
    fingerprints of all coordinates (so never too few), and what is left is confirmed on the shingle sets. These links give
    components.
-4. Then classes of one posting meet again, but only across components, and only those outside of the posting's largest
+4. Classes outside of the largest component of a posting meet one member of that component, another one for each posting.
+   Then classes of one posting meet again, but only across components, and only those outside of the posting's largest
    component look for partners. The join itself makes the same tests, so only pairs that pass leave it, to be confirmed. A
    link inside a component would change nothing, so none is lost.
 
@@ -235,7 +236,7 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     sets = kept("sets", _sets(thin, words, coordinates))
-    members = sets.select("doc_id", "n", "k1", "k2")
+    rows = sets.select("doc_id", "n", "k1", "k2")
     some = sets.where("n > 0 and doc_id is not null")
     body = [F.first(c).alias(c) for c in ("n", "sig", "mark", "narrow", "wide")]  # equal in all rows of a class
     classes = kept("classes", some.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *body).withColumn("node", F.monotonically_increasing_id()))
@@ -271,31 +272,47 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
             grams = kept(f"{name}-grams-once", grams.dropDuplicates(["node"]))
         return kept(f"{name}-links", _confirm(pairs, grams, percent))
 
-    links = confirmed("star", star).union(_one_document(some, classes, kept))
-    roots = components(links, f"{folder}/roots-1")
+    def mixed(name: str, roots: DataFrame) -> DataFrame:
+        """(value, main, node, root) of the postings that have several components; `main` has the most classes there."""
+        placed = postings.where("first").select("value", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        by_root = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
+        of = by_root.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
+        return kept(name, placed.join(of, "value").select("value", "main", "node", "root"))
 
-    placed = postings.where("first").select("value", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
-    mixed = by_root.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
-    placed = placed.join(mixed, "value").select("value", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "root")])
-    placed = kept("placed", with_detail(placed, "y"))
+    links = confirmed("star", star).union(_one_document(some, classes, kept))
+    roots = components(links, f"{folder}/roots-star")
+
+    placed = mixed("placed-star", roots)
+    picked = F.min(F.struct(F.xxhash64("node", "value").alias("h"), "node")).alias("pick")  # another one for each posting
+    members = placed.where("root = main").groupBy("value").agg(picked).select("value", F.col("pick.node").alias("x_node"))
+    met = placed.where("root <> main").select("value", F.col("node").alias("y_node")).join(members, "value").select("x_node", "y_node").distinct()
+    spread = with_detail(met, "y", "x").where(_may_link("x_", "y_", percent, coordinates, matches)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    spread = kept("spread", spread.join(star, ["a", "b"], "left_anti"))
+    if not spread.isEmpty():
+        links = links.union(confirmed("spread", spread))
+        roots = components(links, f"{folder}/roots-spread")
+        placed = mixed("placed-spread", roots)
+
+    placed = kept("placed", with_detail(placed.select("value", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "root")]), "y"))
     x = placed.where("y_root <> main").select("value", *[F.col(f"y_{c}").alias(f"x_{c}") for c in ("node", "root", *detail)])
     across = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
     more = x.join(placed, "value").where(across & _may_link("x_", "y_", percent, coordinates, matches)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    more = kept("more", more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    known_pairs = star.union(spread).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = kept("more", more.join(known_pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         new = confirmed("more", more)
         if not new.isEmpty():
-            roots = components(links.union(new), f"{folder}/roots-2")
+            roots = components(links.union(new), f"{folder}/roots-more")
 
     linked = roots.join(classes.select("node", "id"), "node")
     least = linked.groupBy("root").agg(F.min("id").alias("component"))
     known = kept("known", classes.select("k1", "k2", "node", "id").join(linked.join(least, "root").select("node", "component"), "node", "left").select("k1", "k2", F.coalesce("component", "id").alias("root")))
-    dropped(spark, *(f"{folder}/{name}" for name in ("classes", "nodes", "postings", "star", "star-wanted", "star-grams", "star-grams-once", "star-links", "several", "placed", "more", "more-wanted", "more-grams", "more-grams-once", "more-links", "roots-1", "roots-2")))
-    spread = members.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+    steps = [f"{name}{part}" for name in ("star", "spread", "more") for part in ("", "-wanted", "-grams", "-grams-once", "-links")]
+    dropped(spark, *(f"{folder}/{name}" for name in ("classes", "nodes", "postings", "several", "placed", "placed-star", "placed-spread", "roots-star", "roots-spread", "roots-more", *steps)))
+    dealt = rows.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    joined = spread.join(salted, ["k1", "k2", "salt"], "left").select("doc_id", "n", "root")
-    out = joined.union(members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("root")))
+    joined = dealt.join(salted, ["k1", "k2", "salt"], "left").select("doc_id", "n", "root")
+    out = joined.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("root")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("root")).alias("kept"))
 
 
