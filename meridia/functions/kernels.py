@@ -38,30 +38,41 @@ def gamma_shape(mean: float, mean_log: float, steps: int = 60) -> float:
     return k
 
 
-def gamma_cdf(x: float, shape: float, rate: float = 1.0) -> float:
-    """The regularised lower incomplete gamma function: a series below shape + 1, else a continued fraction."""
-    z = x * rate
-    if not z > 0:
-        return 0.0
-    front = math.exp(shape * math.log(z) - z - math.lgamma(shape))
-    if z < shape + 1:
-        term = total = 1 / shape
-        k = shape
-        while term > total * 1e-16:
+def gamma_cdf_of(x: np.ndarray, shape: float, rate: float = 1.0) -> np.ndarray:
+    """The regularised lower incomplete gamma function of all values: a series below shape + 1, else a continued fraction."""
+    z = np.asarray(x, float) * rate
+    out = np.where(np.isnan(z), np.nan, 0.0)
+    low, high = (z > 0) & (z < shape + 1), z >= shape + 1
+    front = lambda v: np.exp(shape * np.log(v) - v - math.lgamma(shape))
+    if low.any():
+        v, k = z[low], shape
+        term = np.full(len(v), 1 / shape)
+        total = term.copy()
+        while (term > total * 1e-16).any():
             k += 1
-            term *= z / k
+            term = term * v / k
             total += term
-        return min(1.0, total * front)
-    b, c = z + 1 - shape, 1e300
-    d = h = 1 / b
-    for i in range(1, 500):
-        a = -i * (i - shape)
-        b += 2
-        d, c = 1 / (a * d + b or 1e-300), b + a / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return max(0.0, 1 - front * h)
+        out[low] = np.minimum(1.0, total * front(v))
+    if high.any():
+        v = z[high]
+        tiny = lambda q: np.where(q == 0, 1e-300, q)
+        b, c = v + 1 - shape, np.full(len(v), 1e300)
+        d = 1 / tiny(b)
+        h = d.copy()
+        for i in range(1, 500):
+            a = -i * (i - shape)
+            b = b + 2
+            d, c = 1 / tiny(a * d + b), tiny(b + a / c)
+            h = h * d * c
+            if (np.abs(d * c - 1) < 1e-15).all():
+                break
+        with np.errstate(over="ignore", invalid="ignore"):
+            out[high] = np.where(np.isinf(v), 1.0, np.maximum(0.0, 1 - front(v) * h))
+    return out
+
+
+def gamma_cdf(x: float, shape: float, rate: float = 1.0) -> float:
+    return float(gamma_cdf_of(np.array([x]), shape, rate)[0])
 
 
 def gamma_ppf(p: float, shape: float, rate: float = 1.0) -> float:
@@ -226,3 +237,20 @@ def krige(points: np.ndarray, values: np.ndarray, targets: np.ndarray, sill: flo
     right[:n] = gamma(dist(points, targets))
     w = np.linalg.pinv(left) @ right
     return values @ w[:n], (w * right).sum(0)
+
+
+def _scaled_erfc(x: float) -> float:
+    """exp(x^2) erfc(x) for x >= 0; far out by its asymptotic series."""
+    if x <= 12:
+        return math.exp(x * x) * math.erfc(x)
+    total = term = 1.0
+    for k in range(1, 7):
+        term *= -(2 * k - 1) / (2 * x * x)
+        total += term
+    return total / (x * math.sqrt(math.pi))
+
+
+def scaled_erfc_polynomial(degree: int = 20) -> list[float]:
+    """Coefficients, lowest first, in s = 4 / (2 + x) - 1, of a polynomial that is within 1e-14 of exp(x^2) erfc(x) for x >= 0."""
+    at = lambda s: np.array([_scaled_erfc(4 / (v + 1) - 2) if v > -1 else 0.0 for v in np.atleast_1d(s)])
+    return [float(c) for c in np.polynomial.chebyshev.cheb2poly(np.polynomial.chebyshev.chebinterpolate(at, degree))]

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.operators.neighbors import within
-
-
-def work_folder(df: DataFrame, label: str) -> str:
-    """A new folder in the shared folder of the session; one of this machine only where none is set."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meridia-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from meridia.sources.folders import work_folder
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -76,27 +70,41 @@ def elbow(points: DataFrame, ks: list[int], features: str = "features", seed: in
     return points.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
-def centroid_silhouette(points: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
-    """The mean silhouette by squared Euclidean distance, from the clusters' sums: every point meets every cluster, not every point."""
+def silhouette(points: DataFrame, label: str = "label", features: str = "features", block: int = 2048) -> DataFrame:
+    """The mean silhouette by Euclidean distance over all rows; a row alone in its cluster counts 0, one cluster alone gives null.
+
+    Distances to all rows are the definition: blocks of rows meet blocks, and a task gives a row for each row and cluster,
+    never a row a pair.
+    """
     p = points.select("id", F.col(label).alias("label"), F.col(features).cast("array<double>").alias("v"))
-    dims = p.select("id", "label", F.posexplode("v").alias("d", "x"))
-    means = dims.groupBy("label", "d").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("m2"), F.count("*").alias("n"))
-    stats = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("c"), F.sum("m2").alias("psi"), F.max("n").alias("n"))
-    # mean squared distance to a cluster = |v|^2 - 2 v.c + mean |w|^2
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = p.crossJoin(F.broadcast(stats.select(F.col("label").alias("to"), "c", "psi", "n")))  # a row a cluster
-    d = pairs.select("id", "label", "to", "n", (dot("v", "v") - 2 * dot("v", "c") + F.col("psi")).alias("d"))
+    parts = max(1, -(-p.count() // block))
+    cut, every = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left, right = p.withColumn("b", cut).withColumn("o", every), p.withColumn("o", cut).withColumn("b", every)
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "label": [], "to": [], "s": [], "n": []})
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        kinds, of = np.unique(b["label"].to_numpy(), return_inverse=True)
+        member = np.eye(len(kinds))[of]
+        total = np.concatenate([np.sqrt(((x[i : i + 32, None] - y[None]) ** 2).sum(2)) @ member for i in range(0, len(x), 32)])
+        n = len(kinds)
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), n), "label": np.repeat(a["label"].to_numpy(), n), "to": np.tile(kinds, len(x)), "s": total.ravel(), "n": np.tile(member.sum(0).astype(int), len(x))})
+
+    kind = p.schema["label"].dataType.simpleString()
+    met = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(sums, f"id {p.schema['id'].dataType.simpleString()}, label {kind}, to {kind}, s double, n long")
+    d = met.groupBy("id", "label", "to").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("label") == F.col("to")
-    per = d.groupBy("id", "label").agg(F.max(F.when(own, F.when(F.col("n") > 1, F.col("d") * F.col("n") / (F.col("n") - 1)))).alias("a"), F.min(F.when(~own, F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
-    return per.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+    per = d.groupBy("id", "label").agg(F.max(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
+    s = F.when(F.col("b").isNotNull(), F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+    return per.agg(F.avg(s).alias("silhouette"))
 
 
 def silhouette_k(points: DataFrame, ks: list[int], seed: int = 1) -> DataFrame:
     """(k, silhouette) of a sweep."""
     out = None
     for k in ks:
-        one = centroid_silhouette(kmeans(points, k, seed=seed)).select(F.lit(k).alias("k"), "silhouette")
+        one = silhouette(kmeans(points, k, seed=seed)).select(F.lit(k).alias("k"), "silhouette")
         out = one if out is None else out.union(one)
     return out
 
@@ -128,8 +136,3 @@ def synthetic(samples: DataFrame, knn: DataFrame, factors: DataFrame, by: str) -
     other = samples.select(F.col("id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("weight").alias("nw"))
     half = lambda a, b: (F.col(a) + F.col(b)) / 2
     return placed.join(other, "nbr_id").select("id", "copy", "nbr_id", half("x", "nx").alias("x"), half("y", "ny").alias("y"), half("weight", "nw").alias("weight"))
-
-
-def stratified_order(samples: DataFrame, cluster: str, order) -> DataFrame:  # noqa: ANN001
-    """`place` of each sample within its cluster, from 1."""
-    return samples.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(order)))

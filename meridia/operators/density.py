@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,28 +11,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import kernels
-from meridia.functions.geo import haversine_km, in_boxes, unit_vector
+from meridia.functions.geo import EARTH_KM, haversine_km, in_boxes
+from meridia.operators.neighbors import near_pairs
 
-#: Kernel sums leave out points at which the gaussian is below exp(-18).
-CUT = 6.0
+#: Kernel sums leave out points at which the gaussian is below exp(-36), or 2.4e-16.
+CUT = 8.5
 
 
 def kernel_sums(points: DataFrame, bandwidth: float = 0.03) -> DataFrame:
     """(id, density): the sum of exp(-d^2 / 2h^2) over all points, itself included, with d the central angle in radians.
 
-    Only points within CUT bandwidths meet, by cubes of that edge; each one left out would add less than 2e-8.
+    Only places within CUT bandwidths meet, by cubes of that edge, and each place comes once with its count; n points left
+    out add less than n * 2.4e-16, which is below the rounding of a sum of n terms near 1.
     """
     reach = min(CUT * bandwidth, math.pi)
-    edge = 2 * math.sin(reach / 2) * (1 + 1e-9)
-    cube = [F.floor(c / edge).cast("int").alias(n) for c, n in zip(unit_vector(F.col("x"), F.col("y")), ("cx", "cy", "cz"))]
     p = points.where("x is not null and y is not null")
-    left = p.select("id", "x", "y", *cube)
-    for c in ("cx", "cy", "cz"):
-        left = left.withColumn("o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("o")).drop("o")
-    right = p.select(F.col("x").alias("nx"), F.col("y").alias("ny"), *cube)
-    d = haversine_km(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"), 1.0)
-    pairs = left.join(right, ["cx", "cy", "cz"]).withColumn("d", d).where(F.col("d") <= reach)
-    return pairs.groupBy("id").agg(F.sum(F.exp(-F.col("d") * F.col("d") / (2 * bandwidth * bandwidth))).alias("density"))
+    places = p.groupBy("x", "y").agg(F.count("*").alias("c"))
+    pairs = near_pairs(places.select("x", "y"), places.select(F.col("x").alias("nx"), F.col("y").alias("ny"), "c"), reach * EARTH_KM)
+    d = F.col("dist") / EARTH_KM
+    sums = pairs.groupBy("x", "y").agg(F.sum(F.col("c") * F.exp(-d * d / (2 * bandwidth * bandwidth))).alias("density"))
+    return p.join(sums, ["x", "y"]).select("id", "density")
 
 
 def kde_weights(sums: DataFrame, power: float = 1.0, share: float = 0.95) -> DataFrame:
@@ -67,24 +66,46 @@ def combined_weights(points: DataFrame, parts: list[DataFrame], boxes: list[tupl
     return out
 
 
-def grid_density(points: DataFrame, cells: int = 100, by: list[str] = ()) -> DataFrame:
-    """(gx, gy, density) of a gaussian kernel estimate with Scott's factor on cells x cells places of the bounding box.
+def grid_density(points: DataFrame, cells: int = 100, by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """(i, j, gx, gy, density) of a gaussian kernel estimate with Scott's factor on cells x cells places of the bounding box.
 
-    The places are a stated query set, held against all points; partial sums keep a row for each place and task.
+    With `weight`, points count by it, and Scott's factor takes the effective number of points (sum of weights squared over
+    the sum of their squares). The places are a stated query set, held against all points: each task adds up its points for all places of a
+    group as one product of two matrices after a change of axes, and gives a row for each place.
     """
     by = list(by)
-    f = F.pow(F.col("n").cast("double"), F.lit(-1 / 6)) ** 2
-    s = points.where("x is not null and y is not null").groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cv"))
-    s = s.withColumn("f", f).withColumn("det", (F.col("vx") * F.col("vy") - F.col("cv") * F.col("cv")) * F.col("f") * F.col("f")).where("det > 0")
-    steps = F.sequence(F.lit(0), F.lit(cells - 1))
-    grid = s.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
-    grid = grid.withColumn("gx", F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("i") / (cells - 1)).withColumn("gy", F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("j") / (cells - 1))
-    pts = points.where("x is not null and y is not null").select(*by, "x", "y")
-    pairs = grid.join(pts, by) if by else pts.crossJoin(F.broadcast(grid))  # cells * cells rows
-    dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    q = (F.col("vy") * dx * dx - 2 * F.col("cv") * dx * dy + F.col("vx") * dy * dy) * F.col("f") / F.col("det")
-    norm = 1.0 / (2 * math.pi * F.sqrt("det") * F.col("n"))
-    return pairs.groupBy(*by, "i", "j", "gx", "gy").agg(F.sum(F.exp(-q / 2) * norm).alias("density"))
+    p = points.where("x is not null and y is not null").select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w")).where("w > 0")
+    mean = lambda v: F.sum(F.col("w") * v) / F.sum("w")
+    s = p.groupBy(*by).agg(F.sum("w").alias("n"), (F.sum("w") ** 2 / F.sum(F.col("w") ** 2)).alias("eff"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), mean(F.col("x")).alias("mx"), mean(F.col("y")).alias("my"))
+    centred = p.join(F.broadcast(s) if not by else s, by) if by else p.crossJoin(F.broadcast(s))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    free = 1 - 1 / F.first("eff")  # of the unbiased covariance of weighted points
+    v = centred.groupBy(*by).agg((mean(dx * dx) / free).alias("vx"), (mean(dy * dy) / free).alias("vy"), (mean(dx * dy) / free).alias("cv"))
+    law = (s.join(v, by) if by else s.crossJoin(F.broadcast(v))).withColumn("f", F.pow("eff", F.lit(-1 / 6)) ** 2).withColumn("det", (F.col("vx") * F.col("vy") - F.col("cv") * F.col("cv")) * F.col("f") * F.col("f")).where(F.col("det") > 1e-9 * F.col("vx") * F.col("vy") * F.col("f") * F.col("f"))
+    names = ["x0", "x1", "y0", "y1", "vx", "vy", "cv", "f", "det", "n"]
+    rows = p.join(law.select(*by, *names), by) if by else p.crossJoin(F.broadcast(law.select(*names)))
+    kinds = "".join(f"`{c}` {points.schema[c].dataType.simpleString()}, " for c in by)
+    schema = f"{kinds}i int, j int, gx double, gy double, density double"
+
+    def partial(batches):  # noqa: ANN001, ANN202
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for key, g in b.groupby(by, dropna=False, sort=False) if by else [((), b)]:
+                key = key if isinstance(key, tuple) else (key,)
+                x0, x1, y0, y1, vx, vy, cv, f, det, n = (float(g[c].iloc[0]) for c in names)
+                gx, gy = (a + (z - a) * np.arange(cells) / (cells - 1) for a, z in ((x0, x1), (y0, y1)))
+                if key not in held:
+                    held[key] = [gx, gy, np.zeros((cells, cells))]
+                for at in range(0, len(g), 256):
+                    x, y, w = (g[c].to_numpy()[at : at + 256] for c in ("x", "y", "w"))
+                    u, t = gx[:, None] - x, gy[:, None] - y
+                    q = vy * f / det * (u * u)[:, None, :] - 2 * cv * f / det * u[:, None, :] * t[None] + vx * f / det * (t * t)[None]
+                    held[key][2] += np.exp(-q / 2) @ (w / (2 * math.pi * math.sqrt(det) * n))
+        i, j = (a.ravel() for a in np.meshgrid(np.arange(cells), np.arange(cells), indexing="ij"))
+        for key, (gx, gy, total) in held.items():
+            yield pd.DataFrame({**{c: [k] * len(i) for c, k in zip(by, key)}, "i": i, "j": j, "gx": gx[i], "gy": gy[j], "density": total.ravel()})
+
+    return rows.mapInPandas(partial, schema).groupBy(*by, "i", "j").agg(F.first("gx").alias("gx"), F.first("gy").alias("gy"), F.sum("density").alias("density"))
 
 
 def levels(grid: DataFrame, shares: list[float], by: list[str] = ()) -> DataFrame:
@@ -120,8 +141,42 @@ def to_cell(points: DataFrame, cells: int = 100) -> DataFrame:
     return points.crossJoin(F.broadcast(ends)).withColumn("i", at("x")).withColumn("j", at("y")).drop("x0", "x1", "y0", "y1")
 
 
-def bin_centers(grid: DataFrame) -> DataFrame:
-    return grid.groupBy("bin").agg(F.avg("gx").alias("cx"), F.avg("gy").alias("cy"))
+def bin_centers(grid: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(bin, cx, cy): the mean place of the grid's places of each interval of densities."""
+    return digitize(grid, "density", thresholds).groupBy("bin").agg(F.avg("gx").alias("cx"), F.avg("gy").alias("cy"))
+
+
+def kde_bins(points: DataFrame, bins: int, weight: str | None = None, cells: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """All columns and `bin` of the points, and the bins' centers: by natural breaks of the density where a point stands.
+
+    Bins with at most `most` points go to the nearest larger one, then those of one point. Points without coordinates have a
+    null bin. ValueError if there is one bin only.
+    """
+    grid = grid_density(points, cells, weight=weight)
+    thresholds = jenks_thresholds(grid, "density", bins)[1:-1]  # between classes
+    own = to_cell(points, cells).join(grid.select("i", "j", "density"), ["i", "j"], "left")
+    placed = digitize(own, "density", thresholds).drop("i", "j", "density")
+    if placed.select("bin").where("bin is not null").distinct().count() < 2:
+        raise ValueError("only one bin is found by densities")
+    return merge_small_bins(merge_small_bins(placed, most), 1), bin_centers(grid, thresholds)
+
+
+def threshold_clusters(points: DataFrame, sums: DataFrame, silhouette: Callable[[DataFrame], DataFrame], percentiles: range = range(5, 90, 5)) -> DataFrame:
+    """(percentile, threshold, silhouette) of points split at each percentile of their density, the best first.
+
+    `sums` is kernel_sums(points); `silhouette` gives the mean silhouette of (id, label, features). Percentiles that leave
+    one side empty are left out.
+    """
+    shares = [p / 100 for p in percentiles]
+    cuts = sums.agg(F.percentile("density", F.array(*map(F.lit, shares))).alias("q")).head()["q"]
+    out = None
+    for p, cut in zip(percentiles, cuts or []):
+        labelled = points.join(sums, "id").select("id", (F.col("density") >= cut).cast("int").alias("label"), F.array("x", "y").alias("features"))
+        one = silhouette(labelled).select(F.lit(p).alias("percentile"), F.lit(float(cut)).alias("threshold"), "silhouette")
+        out = one if out is None else out.union(one)
+    if out is None:
+        return points.sparkSession.createDataFrame([], "percentile int, threshold double, silhouette double")
+    return out.where("silhouette is not null").orderBy(F.col("silhouette").desc(), "percentile")
 
 
 def centroids(points: DataFrame, by: str = "bin") -> DataFrame:
@@ -153,18 +208,33 @@ def curve(df: DataFrame, value: str, places: int = 150) -> DataFrame:
     return df.where(F.col(value).isNotNull()).select(value).crossJoin(F.broadcast(grid)).groupBy("i", "at").agg(F.sum(F.exp(-z * z / 2) / (F.col("h") * F.col("n") * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def bandwidth_scores(points: DataFrame, bandwidths: list[float], folds: int = 5) -> DataFrame:
-    """(bandwidth, score): the summed log likelihood of held-out points (fold: id modulo folds) under a plane gaussian kernel."""
-    p = points.withColumn("fold", F.pmod("id", F.lit(folds)))
-    size = p.groupBy("fold").agg(F.count("*").alias("c"))
-    out = p.alias("a").join(p.alias("b"), F.col("a.fold") != F.col("b.fold"))
-    total = points.count()
-    d2 = (F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2
-    cols = [F.sum(F.exp(-d2 / (2 * h * h))).alias(f"h{i}") for i, h in enumerate(bandwidths)]
-    own = out.groupBy(F.col("a.id").alias("id"), F.col("a.fold").alias("fold")).agg(*cols).join(size, "fold")
-    per = [F.log(F.col(f"h{i}") / (2 * math.pi * h * h * (total - F.col("c"))) + 1e-300) for i, h in enumerate(bandwidths)]
-    return own.agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(per)]).select(F.explode(F.arrays_zip(F.array(*[F.lit(h) for h in bandwidths]).alias("bandwidth"), F.array(*[F.col(f"s{i}") for i in range(len(bandwidths))]).alias("score"))).alias("z")).select("z.bandwidth", "z.score")
-
+def bandwidth_scores(points: DataFrame, bandwidths: list[float], folds: int = 5, block: int = 2048) -> DataFrame:
+    """(bandwidth, score): the summed log likelihood of held-out points (fold: id modulo folds) under a plane gaussian kernel.
 
-def as_frame(thresholds: list[float]) -> pd.DataFrame:
-    return pd.DataFrame({"i": range(len(thresholds)), "threshold": thresholds})
+    The kernel reaches all points, so all count: blocks of places meet blocks, and a task gives a row for each place of one block,
+    never a row a pair.
+    """
+    p = points.where("x is not null and y is not null").withColumn("fold", F.pmod("id", F.lit(folds)))
+    total = p.count()
+    parts = max(1, -(-total // block))
+    cut = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = p.select("id", "x", "y", "fold", cut.alias("b")).withColumn("o", every)
+    right = p.select("x", "y", "fold", cut.alias("o")).withColumn("b", every)
+    names = [f"h{i}" for i in range(len(bandwidths))]
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"id": a["id"], "fold": a["fold"]}
+        xa, ya, fa = (a[c].to_numpy(float) for c in ("x", "y", "fold"))
+        xb, yb, fb = (b[c].to_numpy(float) for c in ("x", "y", "fold"))
+        d2 = (xa[:, None] - xb) ** 2 + (ya[:, None] - yb) ** 2
+        other = fa[:, None] != fb
+        return pd.DataFrame(out | {n: (np.exp(-d2 / (2 * h * h)) * other).sum(1) for n, h in zip(names, bandwidths)})
+
+    schema = "id long, fold long, " + ", ".join(f"{n} double" for n in names)
+    met = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(sums, schema)
+    size = p.groupBy("fold").agg(F.count("*").alias("c"))
+    own = met.groupBy("id", "fold").agg(*[F.sum(n).alias(n) for n in names]).join(F.broadcast(size), "fold")  # a row a fold
+    per = [F.log(F.col(n) / (2 * math.pi * h * h * (total - F.col("c"))) + 1e-300) for n, h in zip(names, bandwidths)]
+    pairs = F.arrays_zip(F.array(*[F.lit(float(h)) for h in bandwidths]).alias("bandwidth"), F.array(*names).alias("score"))
+    return own.agg(*[F.sum(x).alias(n) for n, x in zip(names, per)]).select(F.explode(pairs).alias("z")).select("z.bandwidth", "z.score")

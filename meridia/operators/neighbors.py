@@ -1,9 +1,10 @@
 """Exact nearest neighbours without a cross join, and what is predicted from them.
 
-Points on the globe are cut into cubes of their unit vectors: all points within one edge length lie in the 27 cubes
-around a point, so a point whose k-th distance is within it is done; the others go on with cubes of twice the edge, and
-the few that no edge serves meet all points in the end. Vectors of many dimensions are held against blocks of vectors:
-each task multiplies its rows with one block after the other and keeps k candidates a row.
+Points on the globe are taken by place: of many points on one place only the first k + 1 by id can be neighbours, and all of
+them ask the same. Places are cut into cubes of their unit vectors: all places within one edge length lie in the 27 cubes
+around a place, so one whose k-th distance is within it is done; the others go on with cubes of four times the edge, until
+the cubes hold the globe. Vectors of many dimensions are held against blocks of vectors: each task multiplies its rows with
+one block after the other and keeps k candidates a row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.geo import haversine_km, inverse_distance, unit_vector
+from meridia.sources.folders import work_folder
 
 NEIGHBOURS = "id long, nbr_id long, rank int, dist double"
 
@@ -29,54 +31,81 @@ def nearest_on_globe(points: DataFrame, k: int, at_least_km: float = 0.0, with_s
     """(id, nbr_id, rank, dist) of the k nearest of (id, x, y), in km, among `others` (the points themselves by default).
 
     Neighbours nearer than `at_least_km` are passed over, and the point itself unless `with_self`. Points with a null
-    coordinate are left out. A point with fewer than k candidates gets those that there are.
+    coordinate are left out. A point with fewer than k candidates gets those that there are. Rounds are written to the
+    shared folder, so no round computes the ones before again.
     """
-    clean = lambda df: df.where("x is not null and y is not null").select("id", "x", "y")
-    asked, all_points = clean(points), clean(points if others is None else others)
-    n = all_points.count()
+    spark = points.sparkSession
+    clean = lambda df: df.where("x is not null and y is not null").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    asked, folder = clean(points), work_folder(points, "neighbours")
+    on_place = Window.partitionBy("x", "y").orderBy("id")
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    base = kept("others", clean(points if others is None else others).withColumn("r", F.row_number().over(on_place)).where(F.col("r") <= k + 1).select(F.col("id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny")))
+    n = base.count()
     if not n:
-        return asked.sparkSession.createDataFrame([], NEIGHBOURS)
+        return spark.createDataFrame([], NEIGHBOURS)
+    places = rest = kept("rest-0", asked.select("x", "y").distinct().withColumn("place", F.monotonically_increasing_id()))
+    done, step = None, 0
     edge_km = first_edge_km or max(1.0, at_least_km + 6371.0 * math.sqrt(4 * math.pi * (k + 2) / n))
-    done, rest = None, asked
-    while edge_km < 2 * 6371.0:
-        edge = 2 * math.sin(min(edge_km / 6371.0, math.pi) / 2)  # as a chord
-        cube = lambda df, e=edge: [F.floor(c / e).cast("int").alias(n) for c, n in zip(unit_vector(F.col("x"), F.col("y")), ("cx", "cy", "cz"))]
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        left = rest.select("id", "x", "y", *cube(rest))
-        for c in ("cx", "cy", "cz"):
-            left = left.withColumn("o", F.explode(around)).withColumn(c, F.col(c) + F.col("o")).drop("o")
-        right = all_points.select(F.col("id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), *cube(all_points))
-        found = _ranked(_measured(left.join(right, ["cx", "cy", "cz"]), at_least_km, with_self), k)
-        full = found.groupBy("id").agg(F.max("dist").alias("far"), F.count("*").alias("c")).where((F.col("c") >= k) & (F.col("far") <= edge_km)).select("id")
+    while True:
+        last = edge_km >= 2 * 6371.0 or n * 27 * (edge_km / (2 * 6371.0)) ** 2 > n  # such cubes meet all places anyway
+        if last:  # what is left meets all others, dealt over tasks
+            parts = max(1, n // 4096)
+            left = rest.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            met = left.join(base.withColumn("b", F.pmod(F.xxhash64("nbr_id"), F.lit(parts)).cast("int")), "b")
+        else:
+            met = _around(rest, edge_km).join(base.select("*", *_cube("nx", "ny", edge_km)), ["cx", "cy", "cz"])
+        d = met.select(F.col("place").alias("id"), "nbr_id", haversine_km(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")).alias("dist"))
+        found = kept(f"found-{step}", _ranked(d.where(F.col("dist") >= at_least_km) if at_least_km > 0 else d, k + 1))
+        if last:
+            done = found if done is None else done.union(found)
+            break
+        full = found.groupBy("id").agg(F.max("dist").alias("far"), F.count("*").alias("c")).where((F.col("c") >= k + 1) & (F.col("far") <= edge_km)).select("id")
         part = found.join(full, "id", "left_semi")
-        done = part if done is None else done.union(part)
-        rest = rest.join(full, "id", "left_anti")
-        if n * 27 * (edge_km / (2 * 6371.0)) ** 2 > n / 4:
-            break  # cubes as large as this meet a good part of all points anyway
-        edge_km *= 4
-    last = _ranked(_measured(rest.crossJoin(all_points.select(F.col("id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))), at_least_km, with_self), k)
-    out = last.select("id", "nbr_id", "rank", "dist")
-    return out if done is None else done.select("id", "nbr_id", "rank", "dist").union(out)
+        done, step, edge_km = part if done is None else done.union(part), step + 1, edge_km * 4
+        rest = kept(f"rest-{step}", rest.join(full.withColumnRenamed("id", "place"), "place", "left_anti"))
+        if rest.isEmpty():
+            break
+    own = asked.join(places, ["x", "y"]).select("id", "place").join(done.select(F.col("id").alias("place"), "nbr_id", "dist"), "place")
+    return _ranked(own if with_self else own.where("id <> nbr_id"), k).select("id", "nbr_id", "rank", "dist")
 
 
-def _measured(pairs: DataFrame, at_least_km: float, with_self: bool) -> DataFrame:
-    d = pairs.withColumn("dist", haversine_km(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")))
-    d = d if with_self else d.where("id <> nbr_id")
-    return (d.where(F.col("dist") >= at_least_km) if at_least_km > 0 else d).select("id", "nbr_id", "dist")
+def _cube(x: str, y: str, edge_km: float) -> list[Column]:
+    """The cube of a place's unit vector, for an edge whose arc is `edge_km`."""
+    edge = 2 * math.sin(min(edge_km / 6371.0, math.pi) / 2) * (1 + 1e-9)  # as a chord
+    return [F.floor(c / edge).cast("int").alias(n) for c, n in zip(unit_vector(F.col(x), F.col(y)), ("cx", "cy", "cz"))]
+
+
+def _around(df: DataFrame, edge_km: float) -> DataFrame:
+    """Each row of (x, y) in its cube and the 26 around it."""
+    out = df.select("*", *_cube("x", "y", edge_km))
+    for c in ("cx", "cy", "cz"):
+        out = out.withColumn("o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("o")).drop("o")
+    return out
 
 
-def nearest_vectors(points: DataFrame, k: int, with_self: bool = False, block: int = 4096, others: DataFrame | None = None) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, reach_km: float) -> DataFrame:
+    """The columns of both with `dist`, for points (x, y) and (nx, ny) within a reach, by cubes of that edge."""
+    both = _around(left, reach_km).join(right.select("*", *_cube("nx", "ny", reach_km)), ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+    return both.withColumn("dist", haversine_km(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).where(F.col("dist") <= reach_km)
+
+
+def nearest_vectors(points: DataFrame, k: int, with_self: bool = False, block: int = 4096, others: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """(id, nbr_id, rank, dist) of the k nearest of (id, features) by Euclidean distance, ties by id.
 
     `others` is cut into blocks of about `block` vectors; each pair of a block of rows and a block of others is one small
-    matrix product, and k candidates a row go on.
+    matrix product, and k candidates a row go on. With `within` rows look among those with the same value of that column.
     """
     base = points if others is None else others
     n = base.count()
     if not n:
         return points.sparkSession.createDataFrame([], NEIGHBOURS)
     parts = -(-n // block)
-    cut = lambda df, name: df.select(F.col("id").alias(name), F.col("features").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("b"))
+    kind = F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit("null"))
+    cut = lambda df, name: df.select(F.col("id").alias(name), F.col("features").cast("array<double>").alias("v"), kind.alias("g"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("b"))
     left = cut(points, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = cut(base, "id").withColumn("o", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
@@ -98,7 +127,7 @@ def nearest_vectors(points: DataFrame, k: int, with_self: bool = False, block: i
             out.append(pd.DataFrame({"id": a["id"].to_numpy()[i : i + 256][r], "nbr_id": ids[c], "dist": d[r, c]}))
         return pd.concat(out)
 
-    pairs = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(top, "id long, nbr_id long, dist double")
+    pairs = left.groupBy("g", "b", "o").cogroup(right.groupBy("g", "b", "o")).applyInPandas(top, "id long, nbr_id long, dist double")
     return _ranked(pairs, k).select("id", "nbr_id", "rank", "dist")
 
 
@@ -138,13 +167,6 @@ def mean_distance(knn: DataFrame) -> DataFrame:
 
 def within(points: DataFrame, radius_km: float) -> DataFrame:
     """Pairs (a, b), a < b, of points within a radius, by cubes of that edge."""
-    edge = 2 * math.sin(min(radius_km / 6371.0, math.pi) / 2) * (1 + 1e-9)
     p = points.where("x is not null and y is not null")
-    cube = [F.floor(c / edge).cast("int").alias(n) for c, n in zip(unit_vector(F.col("x"), F.col("y")), ("cx", "cy", "cz"))]
-    left = p.select(F.col("id").alias("a"), "x", "y", *cube)
-    for c in ("cx", "cy", "cz"):
-        left = left.withColumn("o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("o")).drop("o")
-    right = p.select(F.col("id").alias("b"), F.col("x").alias("nx"), F.col("y").alias("ny"), *cube)
-    return left.join(right, ["cx", "cy", "cz"]).where("a < b").withColumn("dist", haversine_km(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).where(F.col("dist") <= radius_km).select("a", "b", "dist")
-
-
+    left, right = p.select(F.col("id").alias("a"), "x", "y"), p.select(F.col("id").alias("b"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    return near_pairs(left, right, radius_km).where("a < b").select("a", "b", "dist")

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions import kernels
-from meridia.functions.geo import haversine_km, zero_floor
+from meridia.functions.geo import haversine_km, inverse_distance, zero_floor
 from meridia.operators import neighbors
+from meridia.sources.folders import work_folder
 
 
 def dgeo(px: Column, py: Column, x: Column, y: Column, scale: float = 100.0) -> Column:
@@ -47,7 +49,7 @@ def gamma_p(stats: DataFrame, shape: float, rate: float, level: float) -> DataFr
 
     @F.pandas_udf("double")
     def tail(d: pd.Series) -> pd.Series:
-        return d.map(lambda v: float("nan") if v is None or math.isnan(v) else 1 - kernels.gamma_cdf(v, shape, rate))
+        return pd.Series(1 - kernels.gamma_cdf_of(d.to_numpy(float), shape, rate))
 
     return stats.withColumn("p", tail("d")).withColumn("is_outlier", F.coalesce(F.col("p") < level, F.lit(False)))
 
@@ -60,6 +62,44 @@ def gamma_curve(spark, shape: float, rate: float, level: float, places: int = 10
     return spark.range(places).select(d.alias("d"), F.exp(log).alias("density"), F.lit(top).alias("critical"))
 
 
+def genotype_errors(samples: DataFrame, knn: DataFrame, ks: list[int], power: float = 2.0) -> DataFrame:
+    """(id, k, d): the mean squared difference of each sample's features and those predicted from its k nearest, for each k.
+
+    Of a sample with fewer neighbours all count. A row holds a sample's neighbours, as many as ranks in `knn`, and running
+    sums over ranks serve all k at once.
+    """
+    near = knn.join(samples.select(F.col("id").alias("nbr_id"), F.col("features").alias("nf")), "nbr_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", inverse_distance(F.col("dist"), power).alias("w"), "nf"))).alias("near"))
+    rows = near.join(samples.select("id", "features"), "id").select("id", "features", F.transform("near", lambda r: r["w"]).alias("w"), F.transform("near", lambda r: r["nf"]).alias("nf"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            out = []
+            for i, f, w, nf in zip(b["id"], b["features"], b["w"], b["nf"]):
+                x = np.stack([np.asarray(v, float) for v in nf])
+                run_w = np.cumsum(w)
+                d = ((np.cumsum(np.asarray(w)[:, None] * x, axis=0) / run_w[:, None] - np.asarray(f, float)) ** 2).mean(1)
+                out += [(i, k, float(d[min(k, len(d)) - 1])) for k in ks]
+            yield pd.DataFrame(out, columns=["id", "k", "d"])
+
+    return rows.mapInPandas(run, "id long, k int, d double").withColumn("d", zero_floor(F.col("d"), genetic=True))
+
+
+def k_sums(samples: DataFrame, space: str, least: int = 2, most: int = 50, min_km: float = 1.0, scale: float = 100.0, power: float = 2.0) -> DataFrame:
+    """(k, total): the sum of the statistic over all samples for each number of neighbours, from one table of neighbours."""
+    if space == "geographic":
+        knn = neighbors.nearest_vectors(samples, most)
+        d = dgeo(F.col("pred_x"), F.col("pred_y"), F.col("x"), F.col("y"), scale)
+        return neighbors.sweep_k(knn, samples, samples.select("id", "x", "y"), d, ["x", "y"], least, most, power)
+    knn = neighbors.nearest_on_globe(samples, most, at_least_km=min_km)
+    return genotype_errors(samples, knn, list(range(least, most + 1)), power).groupBy("k").agg(F.sum("d").alias("total"))
+
+
+def best_k(samples: DataFrame, space: str, least: int = 2, most: int = 50, **options) -> int:  # noqa: ANN003
+    """The k with the smallest sum, the smaller of several; `least` if there are no neighbours."""
+    found = k_sums(samples, space, least, most, **options).orderBy("total", "k").head()
+    return int(found["k"]) if found else least
+
+
 def detect(samples: DataFrame, space: str, k: int, level: float, min_km: float = 1.0, scale: float = 100.0, power: float = 2.0, keep=None) -> DataFrame:  # noqa: ANN001
     """(id, d, p, is_outlier) of one pass over (id, x, y, features). Samples without neighbours aren't scored."""
     if space == "geographic":
@@ -69,29 +109,31 @@ def detect(samples: DataFrame, space: str, k: int, level: float, min_km: float =
         stats = rescale(stats)
     else:
         knn = neighbors.nearest_on_globe(samples, k, at_least_km=min_km)
-        long = lambda df, n: df.select(F.col("id").alias(n), F.posexplode("features").alias("locus", "v"))
-        w = knn.withColumn("w", 1.0 / F.pow(F.col("dist") + 1e-8, F.lit(power)))
-        pred = w.join(long(samples, "nbr_id"), "nbr_id").groupBy("id", "locus").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("p"))
-        stats = pred.join(long(samples, "id"), ["id", "locus"]).groupBy("id").agg(F.avg((F.col("p") - F.col("v")) ** 2).alias("d")).withColumn("d", zero_floor(F.col("d"), genetic=True))
+        stats = genotype_errors(samples, knn, [k], power).select("id", "d")
     stats = keep(stats) if keep else stats
     shape, rate = fit_gamma(stats)
     return gamma_p(stats, shape, rate, level)
 
 
-def detect_outliers(samples: DataFrame, mode: str = "composite", k: int = 10, level: float = 0.01, rounds: int | None = None, **options) -> DataFrame:  # noqa: ANN003
+def detect_outliers(samples: DataFrame, mode: str = "composite", k: int | None = None, level: float = 0.01, rounds: int | None = None, k_range: tuple[int, int] = (2, 50), **options) -> DataFrame:  # noqa: ANN003
     """(id, space) of the outliers: passes over the samples that are left, until one finds none.
 
-    There are at most half as many passes as samples; `rounds` stops them earlier. Each pass is written to the shared
-    folder, and what passes found is read as one table, so plans don't grow with the passes.
+    Without `k`, each space takes the best one of `k_range` over all samples first. There are at most half as many passes as
+    samples; `rounds` stops them earlier. Each pass writes its statistic and what it found to the shared folder, and what
+    passes found is read as one table, so plans don't grow with the passes.
     """
-    from meridia.operators.clusters import work_folder
-
     spark, out = samples.sparkSession, None
     most = samples.count() // 2 if rounds is None else rounds
     for space in ("geographic", "genetic") if mode == "composite" else (mode,):
         left, folder = samples, work_folder(samples, f"outliers-{space}")
+
+        def once(stats: DataFrame, r: int = 0) -> DataFrame:
+            stats.write.parquet(f"{folder}/stats-{r}")  # noqa: B023
+            return spark.read.schema(stats.schema).parquet(f"{folder}/stats-{r}")  # noqa: B023
+
+        own_k = k or best_k(samples, space, *k_range, **options)
         for r in range(most):
-            found = detect(left, space, k, level, **options).where("is_outlier").select("id")
+            found = detect(left, space, own_k, level, keep=lambda stats, r=r: once(stats, r), **options).where("is_outlier").select("id")
             found.write.parquet(f"{folder}/{r}")
             if spark.read.schema(found.schema).parquet(f"{folder}/{r}").isEmpty():
                 break

@@ -11,13 +11,13 @@ from meridia.functions import kernels
 from meridia.operators.neighbors import nearest_vectors
 
 
-def weighted_draws(rows: DataFrame, weight: str, draws: int, uniform: Column, buckets: int = 1024) -> DataFrame:
+def weighted_draws(rows: DataFrame, weight: str, draws: int, uniform: Column, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:
     """(draw, id): `draws` ids with replacement, each with a chance in proportion to its weight.
 
     `uniform` gives a number in [0, 1) from the column `draw`. Running sums are taken over buckets of ids and then within a
-    bucket, so no window runs over all rows; a draw goes to its bucket first.
+    bucket, so no window runs over all rows; a draw goes to its bucket first. `bucket` deals the ids, by their hash by default.
     """
-    w = rows.select("id", F.col(weight).cast("double").alias("w")).where("w > 0").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    w = rows.select("id", F.col(weight).cast("double").alias("w")).where("w > 0").withColumn("bucket", F.pmod(F.xxhash64("id") if bucket is None else bucket, F.lit(buckets)).cast("int"))
     sums = w.groupBy("bucket").agg(F.sum("w").alias("s"))
     over = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     edges = sums.select("bucket", F.sum("s").over(over).alias("upper"), "s").withColumn("lower", F.col("upper") - F.col("s"))
@@ -28,17 +28,22 @@ def weighted_draws(rows: DataFrame, weight: str, draws: int, uniform: Column, bu
     return placed.join(within, "bucket").where((F.col("v") < F.col("top")) & (F.col("v") >= F.col("top") - F.col("w"))).select("draw", "id")
 
 
-def smote(rows: DataFrame, label: str, copies: DataFrame, k: int = 5) -> DataFrame:
-    """(id, copy, label, features) of synthetic rows: features moved towards a neighbour of the same class by a hashed share.
+def adaptive_k(sizes: DataFrame, label: str, k: int = 5) -> DataFrame:
+    """(label, k): the neighbours that each class allows: at most `k`, and one less than its rows."""
+    return sizes.select(label, F.least(F.lit(k), F.col("n") - 1).cast("int").alias("k"))
 
-    `copies` has (label, copies) per class. Neighbours are found among the classes that are copied.
+
+def smote(rows: DataFrame, label: str, copies: DataFrame, k: int = 5, share: Column | None = None) -> DataFrame:
+    """(id, copy, label, features) of synthetic rows: features moved towards a neighbour of the same class by a share.
+
+    `copies` has (label, copies) per class. Each copied class looks for its own neighbours, at most `k` and no more than it
+    has; a class of one row gets none. `share`, in [0, 1), is by default a hash of id and copy.
     """
     few = rows.join(copies.where("copies > 0"), label)
-    knn = nearest_vectors(few.select("id", "features"), k).join(few.select("id", F.col(label).alias("own")), "id").join(few.select(F.col("id").alias("nbr_id"), F.col(label).alias("other"), F.col("features").alias("nf")), "nbr_id").where("own = other")
-    knn = knn.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("rank")))
+    knn = nearest_vectors(few.select("id", "features", label), k, within=label).join(few.select(F.col("id").alias("nbr_id"), F.col("features").alias("nf")), "nbr_id")
     many = knn.groupBy("id").agg(F.max("rank").alias("m"))
     made = few.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).join(many, "id").withColumn("rank", ((F.col("id") + F.col("copy")) % F.col("m") + 1).cast("int"))
-    share = F.pmod(F.xxhash64("id", "copy"), F.lit(10_000)) / 10_000.0
+    share = F.pmod(F.xxhash64("id", "copy"), F.lit(10_000)) / 10_000.0 if share is None else share
     return made.join(knn.select("id", "rank", "nf"), ["id", "rank"]).withColumn("u", share).select("id", "copy", F.col(label), F.zip_with("features", "nf", lambda a, b: a + F.col("u") * (b - a)).alias("features"))
 
 

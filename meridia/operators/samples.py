@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +101,30 @@ def replicate_numbers(rows: DataFrame, order: Column, group: str = "config", cyc
 def same_keys(features: DataFrame, targets: DataFrame) -> DataFrame:
     """Keys that only one side has: none if features and targets fit."""
     return features.select("sample").join(targets.select("sample"), "sample", "left_anti").withColumn("missing_in", F.lit("targets")).union(targets.select("sample").join(features.select("sample"), "sample", "left_anti").withColumn("missing_in", F.lit("features")))
+
+
+def join_with_suffixes(left: DataFrame, right: DataFrame, on: str, suffixes: tuple[str, str]) -> DataFrame:
+    """The inner join on a column; other columns that both sides have get a suffix each."""
+    low = lambda df: {c.lower() for c in df.columns}
+    both = (low(left) & low(right)) - {on.lower()}
+    named = lambda df, s: df.select(*[F.col(f"`{c}`").alias(c + s if c.lower() in both else c) for c in df.columns])
+    return named(left, suffixes[0]).join(named(right, suffixes[1]), on)
+
+
+def shuffled(rows: DataFrame, seed: int, key: str = "sample") -> DataFrame:
+    """The rows in an order by a hash of key and seed, range-partitioned: the same for the same seed."""
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+
+
+def column_kinds(df: DataFrame) -> dict[str, str]:
+    """Of each column: string, numeric or other."""
+    kind = lambda t: "string" if t in ("string", "varchar", "char") else "numeric" if re.match("tinyint|smallint|int|bigint|float|double|decimal", t) else "other"
+    return {c: kind(t) for c, t in df.dtypes}
+
+
+def neighbour_count(rows: DataFrame, rule: str) -> int:
+    """The whole part of the square root (`sqrt`) or the logarithm to base 2 (`log2`) of the number of rows."""
+    if rule not in ("sqrt", "log2"):
+        raise ValueError(f"sqrt or log2 is wanted, not {rule!r}")
+    n = rows.count()
+    return math.isqrt(n) if rule == "sqrt" else max(n, 1).bit_length() - 1

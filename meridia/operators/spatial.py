@@ -8,22 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions import kernels
-from meridia.functions.geo import haversine_km, in_ring
+from meridia.functions.geo import in_ring
+from meridia.operators.neighbors import near_pairs
 
 
 def variogram(points: DataFrame, value: str, lag_km: float, lags: int) -> DataFrame:
     """(lag, n, gamma): half the mean squared difference of pairs by distance, up to lags * lag_km.
 
-    Pairs are found by cells of latitude of the full reach, so far bands never meet.
+    Pairs within the reach meet by cubes of that edge and are summed where they meet.
     """
-    reach = lag_km * lags
-    band = reach / 111.0
-    p = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(value).isNotNull()).select("id", "x", "y", F.col(value).cast("double").alias("z")).withColumn("band", F.floor((F.col("y") + 90) / band).cast("int"))
-    left = p.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
-    right = p.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), "band")
-    d = haversine_km(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
-    pairs = left.join(right, "band").where("id < id2").select(d.alias("d"), (0.5 * (F.col("z") - F.col("z2")) ** 2).alias("g")).where(F.col("d") < reach)
-    return pairs.groupBy(F.floor(F.col("d") / lag_km).cast("int").alias("lag")).agg(F.count("*").alias("n"), F.avg("g").alias("gamma"))
+    p = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(value).isNotNull()).select("id", "x", "y", F.col(value).cast("double").alias("z"))
+    right = p.select(F.col("id").alias("id2"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("z2"))
+    pairs = near_pairs(p, right, lag_km * lags).where((F.col("id") < F.col("id2")) & (F.col("dist") < lag_km * lags))
+    return pairs.groupBy(F.floor(F.col("dist") / lag_km).cast("int").alias("lag")).agg(F.count("*").alias("n"), F.avg(0.5 * (F.col("z") - F.col("z2")) ** 2).alias("gamma"))
 
 
 def cubic_regression(df: DataFrame, x: str, y: str) -> DataFrame:

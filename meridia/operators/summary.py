@@ -132,3 +132,19 @@ def gradient_argmin(curve: DataFrame, x: str, y: str) -> DataFrame:
 def best(sweep: DataFrame, param: str, score: Column, largest: bool, by: list[str] = ()) -> DataFrame:
     """The parameter with the best score; the smallest of several."""
     return sweep.withColumn("__s", -score if largest else score).groupBy(*by).agg(F.min_by(param, F.struct("__s", param)).alias("best"))
+
+
+def dissolve(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """A row a group: mean_ and median_ of each column, and n."""
+    return df.groupBy(*by).agg(*[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("median", F.median))], F.count("*").alias("n"))
+
+
+def class_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of each combination of the columns."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def flat_names(df: DataFrame, by: list[str], columns: list[str], kinds: tuple[str, ...] = ("mean", "median", "std")) -> DataFrame:
+    """Several aggregates of several columns, each in one column called column_kind."""
+    of = {"mean": F.avg, "median": F.median, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
+    return df.groupBy(*by).agg(*[of[k](c).alias(f"{c}_{k}") for c in columns for k in kinds])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.geo import scaled
 from meridia.operators import clusters, genotype, model, outliers, samples, summary
+from meridia.sources.folders import work_folder
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def run(dosages: DataFrame, coords: DataFrame, config: Config = Config()) -> dic
     if config.max_snps:
         d = genotype.pick_loci(d, config.max_snps, config.seed)
     wide = genotype.wide(genotype.impute(d)).join(aligned, "sample").withColumn("id", F.xxhash64("sample"))
-    folder = clusters.work_folder(wide, "pipeline")
+    folder = work_folder(wide, "pipeline")
     wide.write.parquet(f"{folder}/samples")
     wide = wide.sparkSession.read.schema(wide.schema).parquet(f"{folder}/samples")
     known = samples.mark_known(wide).where("is_known").drop("is_known")

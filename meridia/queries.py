@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.functions import genetics, geo, labels
+from meridia.functions import genetics, geo, kernels, labels
 from meridia.operators import clusters, density, embedding, genotype, losses, metrics, model, neighbors, outliers, resample, samples, spatial, summary
 from meridia.sources import files
 from meridia.sources import testviews as tv
@@ -111,7 +111,7 @@ def clip_to_polygon(spark, sf_dir):
 
 @query()
 def geodesic(spark, sf_dir):
-    p = tv.pairs(spark, sf_dir).select("id", F.col("px").alias("x_mean"), F.least("py", F.lit(90.0)).alias("y_mean"), F.col("x").alias("known_x"), F.col("y").alias("known_y"))
+    p = tv.pairs(spark, sf_dir).select("id", F.col("px").alias("x_mean"), F.col("py").alias("y_mean"), F.col("x").alias("known_x"), F.col("y").alias("known_y"))
     return summary.geodesic_error(p).select("id", "geodesic_error")
 
 
@@ -194,9 +194,9 @@ def bootstrap_loci(spark, sf_dir):
     return out.select("replicate", F.col("position").cast("long").alias("position"), "locus")
 
 
-@query()
+@query("d", "SELECT locus, count(*) AS n FROM d WHERE locus IN (SELECT locus FROM (SELECT DISTINCT locus FROM d) ORDER BY (locus*7919)%10007, locus LIMIT 50) GROUP BY 1")
 def random_loci(spark, sf_dir):
-    return genotype.pick_loci(tv.dosages(spark, sf_dir), 50).groupBy("locus").agg(F.count("*").alias("n"))
+    return genotype.pick_loci(tv.dosages(spark, sf_dir), 50, order=F.col("locus") * 7919 % 10007).groupBy("locus").agg(F.count("*").alias("n"))
 
 
 _CHILD = "CASE WHEN a = 1 AND b = 1 THEN CASE WHEN u < 0.25 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END WHEN a = b THEN a WHEN a+b = 2 THEN 1 WHEN u < 0.5 THEN least(a, b) ELSE greatest(a, b) END"
@@ -371,7 +371,11 @@ def far_from_mean(spark, sf_dir):
     return summary.far_from_mean(tv.boots(spark, sf_dir), ["sample"]).select("event", "distance", "is_outlier")
 
 
-@query()
+#: Quantiles 0.975 of Student's distribution by degrees of freedom, for SQL.
+_T = ", ".join(f"({n}, {kernels.t_quantile(0.975, n)!r})" for n in range(1, 180))
+
+
+@query("b", f"WITH t(df, t) AS (VALUES {_T}), s AS (SELECT sample, avg(x) AS m, stddev_samp(x) AS s, count(x) AS n FROM b GROUP BY 1) SELECT sample, R[m] AS mean, R[m-t*s/sqrt(n)] AS low, R[m+t*s/sqrt(n)] AS high FROM s LEFT JOIN t ON df = n-1")
 def mean_interval(spark, sf_dir):
     return summary.mean_interval(tv.boots(spark, sf_dir), "x", ["sample"])
 
@@ -417,7 +421,7 @@ def best_of_sweep(spark, sf_dir):
 
 @query("b", "SELECT sample, R[avg(x)] AS mean_x, R[median(x)] AS median_x, count(*) AS n FROM b GROUP BY 1")
 def dissolve(spark, sf_dir):
-    return tv.boots(spark, sf_dir).groupBy("sample").agg(F.avg("x").alias("mean_x"), F.median("x").alias("median_x"), F.count("*").alias("n"))
+    return summary.dissolve(tv.boots(spark, sf_dir), ["sample"], ["x"])
 
 
 # ---- the metrics ---------------------------------------------------------------------------------------------------
@@ -439,19 +443,33 @@ def metrics_distance_by_group(spark, sf_dir):
     return metrics.distance_metrics(metrics.errors(tv.pairs(spark, sf_dir)), ["g"])
 
 
-@query("p q", """
+_RANKS = """
 WITH a AS (SELECT x, px, y, py, rank() OVER (ORDER BY x)+(count(*) OVER (PARTITION BY x)-1)/2.0 AS rx, rank() OVER (ORDER BY px)+(count(*) OVER (PARTITION BY px)-1)/2.0 AS rpx, rank() OVER (ORDER BY y)+(count(*) OVER (PARTITION BY y)-1)/2.0 AS ry, rank() OVER (ORDER BY py)+(count(*) OVER (PARTITION BY py)-1)/2.0 AS rpy FROM q),
 f AS (SELECT x AS t, px AS p FROM q UNION ALL SELECT y, py FROM q), g AS (SELECT rank() OVER (ORDER BY t)+(count(*) OVER (PARTITION BY t)-1)/2.0 AS rt, rank() OVER (ORDER BY p)+(count(*) OVER (PARTITION BY p)-1)/2.0 AS rp FROM f)
-SELECT R[corr(x, px)] AS pearson_corr_longitude, R[corr(y, py)] AS pearson_corr_latitude, R[corr(rx, rpx)] AS spearman_corr_longitude, R[corr(ry, rpy)] AS spearman_corr_latitude, count(*) AS n, R[(SELECT corr(rt, rp) FROM g)] AS rho FROM a""")
+SELECT R[corr(x, px)] AS pearson_corr_longitude, R[corr(y, py)] AS pearson_corr_latitude, R[corr(rx, rpx)] AS spearman_corr_longitude, R[corr(ry, rpy)] AS spearman_corr_latitude, count(*) AS n, R[(SELECT corr(rt, rp) FROM g)] AS rho FROM a"""
+
+
+@query("p q", _RANKS)
 def metrics_correlations(spark, sf_dir):
     return metrics.correlations(metrics.errors(tv.pairs(spark, sf_dir)))
 
 
-@query()
+_KOLMOGOROV = """
+WITH m AS (SELECT avg(km) AS m, stddev_pop(km) AS s, count(*) AS n FROM e), r AS (SELECT km, m, s, n, row_number() OVER (ORDER BY km) AS i, abs(km-m)/s/sqrt(2.0) AS x FROM e, m),
+c AS (SELECT *, 0.5+0.5*sign(km-m)*2/sqrt(pi())*exp(-x*x)*list_sum(list_transform(range(120), lambda k: exp((2*k+1)*ln(greatest(x, 1e-300))-lgamma(2*k+3)+(2*k+1)*ln(2.0)+lgamma(k+2)))) AS f FROM r)
+SELECT R[max(greatest(i/CAST(n AS DOUBLE)-f, f-(i-1)/CAST(n AS DOUBLE)))] AS kolmogorov_smirnov, max(n) AS n FROM c"""
+
+
+@query("p q e", _KOLMOGOROV)
 def metrics_kolmogorov(spark, sf_dir):
     return metrics.kolmogorov_smirnov(metrics.errors(tv.pairs(spark, sf_dir)))
 
 
+@query("p q e", f"SELECT d.*, k.kolmogorov_smirnov, c.* EXCLUDE (n) FROM ({_DISTANCE.format(g='', by='', sg='', on='ON true', sby='')}) d, ({_KOLMOGOROV}) k, ({_RANKS}) c")
+def metrics_without_p_values(spark, sf_dir):
+    return metrics.joined_metrics(metrics.errors(tv.pairs(spark, sf_dir)))
+
+
 @query()
 def metrics_all(spark, sf_dir):
     return metrics.all_metrics(tv.pairs(spark, sf_dir))
@@ -539,7 +557,7 @@ def centroid_distances(spark, sf_dir):
 # ---- density, clusters and oversampling ------------------------------------------------------------------------------
 
 
-_KDE = f"k AS (SELECT id, sum(exp(-d*d/(2*0.03*0.03))) AS density FROM (SELECT a.id, {_hav('a.x', 'a.y', 'b.x', 'b.y')}/6371.0 AS d FROM p a, p b) WHERE d <= 6*0.03 GROUP BY 1)"
+_KDE = f"k AS (SELECT id, sum(exp(-d*d/(2*0.03*0.03))) AS density FROM (SELECT a.id, {_hav('a.x', 'a.y', 'b.x', 'b.y')}/6371.0 AS d FROM p a, p b) GROUP BY 1)"
 
 
 @query("p", f"WITH {_KDE} SELECT id, R[density] AS density FROM k")
@@ -572,7 +590,12 @@ def dbscan_labels(spark, sf_dir):
     return clusters.dbscan(tv.points(spark, sf_dir), 150.0, 2)
 
 
-@query()
+@query("p", """
+WITH c AS (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE a.id <> b.id AND 2*6371.0*asin(sqrt(least(1.0, power(sin(radians(b.y-a.y)/2),2)+cos(radians(a.y))*cos(radians(b.y))*power(sin(radians(b.x-a.x)/2),2)))) <= 150),
+r AS (SELECT id, id AS to_id FROM p UNION SELECT r.id, c.b FROM r JOIN c ON c.a = r.to_id),
+l AS (SELECT id, CASE WHEN id IN (SELECT a FROM c) THEN min(to_id) ELSE -1 END AS label FROM r GROUP BY id),
+s AS (SELECT label, count(*) AS n, 1/(count(*)+1e-5) AS w FROM l WHERE label <> -1 GROUP BY 1), m AS (SELECT min(w) AS lo, max(w) AS hi, sum(w*n)/sum(n) AS noise FROM s)
+SELECT id, R[1+9*(coalesce(w, noise)-lo)/(hi-lo)] AS weight FROM l LEFT JOIN s ON s.label = l.label, m""", recursive=True)
 def dbscan_weights(spark, sf_dir):
     return density.dbscan_weights(clusters.dbscan(tv.points(spark, sf_dir), 150.0, 2))
 
@@ -595,11 +618,11 @@ def silhouette_sweep(spark, sf_dir):
 
 @query("v", """
 WITH w AS (SELECT id, label, list(f ORDER BY k) AS f FROM v GROUP BY 1, 2),
-d AS (SELECT a.id, a.label, b.label AS t, sum(power(list_distance(a.f, b.f), 2)) AS s, count(*) AS n FROM w a, w b GROUP BY 1, 2, 3),
+d AS (SELECT a.id, a.label, b.label AS t, sum(list_distance(a.f, b.f)) AS s, count(*) AS n FROM w a, w b GROUP BY 1, 2, 3),
 x AS (SELECT id, max(CASE WHEN label = t AND n > 1 THEN s/(n-1) END) AS a, min(CASE WHEN label <> t THEN s/n END) AS b FROM d GROUP BY 1)
 SELECT R[avg(coalesce((b-a)/greatest(a, b), 0))] AS silhouette FROM x""")
 def silhouette_of_labels(spark, sf_dir):
-    return clusters.centroid_silhouette(tv.vectors(spark, sf_dir))
+    return clusters.silhouette(tv.vectors(spark, sf_dir))
 
 
 _GRID = """
@@ -609,20 +632,25 @@ grid AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, x0+(x1-x0)*i/{
 z AS (SELECT i, j, gx, gy, sum(exp(-((vy*(gx-x)*(gx-x)-2*cv*(gx-x)*(gy-y)+vx*(gy-y)*(gy-y))*f/det)/2)/(2*pi()*sqrt(det)*n)) AS density FROM grid, p GROUP BY 1, 2, 3, 4)"""
 
 
-@query("p", f"WITH {_GRID.format(n=20, m=19)} SELECT i, j, R[gx] AS gx, R[gy] AS gy, R[density*1000] AS density FROM z")
+@query("p", f"WITH {_GRID.format(n=100, m=99)} SELECT i, j, R[gx] AS gx, R[gy] AS gy, R[density*1000] AS density FROM z")
 def density_grid(spark, sf_dir):
-    return density.grid_density(tv.points(spark, sf_dir), 20).withColumn("density", F.col("density") * 1000)
+    return density.grid_density(tv.points(spark, sf_dir)).withColumn("density", F.col("density") * 1000)
 
 
-@query("p", f"WITH {_GRID.format(n=20, m=19)}, c AS (SELECT density, sum(density) OVER (ORDER BY density ROWS UNBOUNDED PRECEDING) AS c, sum(density) OVER () AS t FROM z) SELECT R[share] AS share, R[min(density)*1000] AS level FROM c, (SELECT CAST(unnest([0.5, 0.7, 0.9]) AS DOUBLE) AS share) WHERE c >= share*t GROUP BY share".replace("[0.5, 0.7, 0.9]", "list_value(0.5, 0.7, 0.9)"))
+@query("p", f"WITH {_GRID.format(n=100, m=99)}, c AS (SELECT density, sum(density) OVER (ORDER BY density ROWS UNBOUNDED PRECEDING) AS c, sum(density) OVER () AS t FROM z) SELECT R[share] AS share, R[min(density)*1000] AS level FROM c, (SELECT CAST(unnest([0.5, 0.7, 0.9]) AS DOUBLE) AS share) WHERE c >= share*t GROUP BY share".replace("[0.5, 0.7, 0.9]", "list_value(0.5, 0.7, 0.9)"))
 def density_levels(spark, sf_dir):
-    g = density.grid_density(tv.points(spark, sf_dir), 20)
+    g = density.grid_density(tv.points(spark, sf_dir))
     return density.levels(g, [0.5, 0.7, 0.9]).withColumn("level", F.col("level") * 1000)
 
 
-@query()
+@query("b", """
+WITH t AS (SELECT sample, x, y+CAST(event%97 AS DOUBLE)/50 AS y FROM b), s AS (SELECT sample, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cv FROM t GROUP BY 1),
+u AS (SELECT *, power(n, -1/CAST(3 AS DOUBLE)) AS f, (vx*vy-cv*cv)*power(n, -2/CAST(3 AS DOUBLE)) AS det FROM s), g AS (SELECT u.*, i, j, x0+(x1-x0)*i/11 AS gx, y0+(y1-y0)*j/11 AS gy FROM u, (SELECT unnest(range(12)) AS i), (SELECT unnest(range(12)) AS j)),
+z AS (SELECT g.sample, i, j, sum(exp(-((vy*(gx-x)*(gx-x)-2*cv*(gx-x)*(gy-y)+vx*(gy-y)*(gy-y))*f/det)/2)/(2*pi()*sqrt(det)*n)) AS density FROM g JOIN t ON t.sample = g.sample GROUP BY 1, 2, 3),
+c AS (SELECT sample, density, sum(density) OVER (PARTITION BY sample ORDER BY density ROWS UNBOUNDED PRECEDING) AS c, sum(density) OVER (PARTITION BY sample) AS t FROM z)
+SELECT sample, R[share] AS share, R[min(density)] AS level FROM c, (SELECT CAST(unnest(list_value(0.5, 0.7, 0.9)) AS DOUBLE) AS share) WHERE c >= share*t GROUP BY sample, share""")
 def contours_by_sample(spark, sf_dir):
-    b = tv.boots(spark, sf_dir)
+    b = tv.boots(spark, sf_dir).withColumn("y", F.col("y") + (F.col("event") % 97).cast("double") / 50)
     return density.levels(density.grid_density(b, 12, ["sample"]), [0.5, 0.7, 0.9], ["sample"])
 
 
@@ -738,7 +766,23 @@ def outliers_genetic(spark, sf_dir):
 
 @query()
 def outliers_composite(spark, sf_dir):
-    return outliers.detect_outliers(_placed(spark, sf_dir), k=5, level=0.05)
+    return outliers.detect_outliers(_placed(spark, sf_dir), level=0.05, k_range=(2, 8))
+
+
+@query("p v", f"""
+WITH w AS (SELECT id, list(f ORDER BY k) AS f FROM v WHERE id IN (SELECT id FROM p) GROUP BY 1), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr_id) AS r FROM (SELECT a.id, b.id AS nbr_id, list_distance(a.f, b.f) AS dist FROM w a, w b WHERE a.id <> b.id)) WHERE r <= 8),
+ks AS (SELECT CAST(unnest(range(2, 9)) AS INTEGER) AS k), s AS (SELECT k, n.id, sum(b.x/power(dist+1e-8, 2))/sum(1/power(dist+1e-8, 2)) AS px, sum(b.y/power(dist+1e-8, 2))/sum(1/power(dist+1e-8, 2)) AS py FROM ks JOIN n ON r <= k JOIN p b ON b.id = nbr_id GROUP BY 1, 2)
+SELECT k, R[sum(greatest({_hav('px', 'py', 'x', 'y')}/100, 1e-8))] AS total FROM s JOIN p ON p.id = s.id GROUP BY 1""")
+def k_sums_geographic(spark, sf_dir):
+    return outliers.k_sums(_placed(spark, sf_dir), "geographic", 2, 8)
+
+
+@query("p v", f"""
+WITH o AS (SELECT * FROM p WHERE id IN (SELECT id FROM v)), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr_id) AS r FROM (SELECT a.id, b.id AS nbr_id, {_hav('a.x', 'a.y', 'b.x', 'b.y')} AS dist FROM o a, o b WHERE a.id <> b.id) WHERE dist >= 1) WHERE r <= 8),
+ks AS (SELECT CAST(unnest(range(2, 9)) AS INTEGER) AS n), s AS (SELECT ks.n AS kk, n.id, v.k, sum(f/power(dist+1e-8, 2))/sum(1/power(dist+1e-8, 2)) AS pf FROM ks JOIN n ON r <= ks.n JOIN v ON v.id = nbr_id GROUP BY 1, 2, 3),
+d AS (SELECT kk, s.id, avg(power(pf-f, 2)) AS d FROM s JOIN v ON v.id = s.id AND v.k = s.k GROUP BY 1, 2) SELECT kk AS k, R[sum(CASE WHEN d <= 1e-8 THEN 1e-6 ELSE d END)] AS total FROM d GROUP BY 1""")
+def k_sums_genetic(spark, sf_dir):
+    return outliers.k_sums(_placed(spark, sf_dir), "genetic", 2, 8)
 
 
 # ---- losses and series ----------------------------------------------------------------------------------------------
@@ -888,7 +932,7 @@ def labels_of_configs(spark, sf_dir):
 WITH s AS (SELECT id, CASE WHEN q < 0.75 THEN 'train' WHEN q < 0.875 THEN 'val' ELSE 'test' END AS split, id%3 AS gt FROM (SELECT id, (row_number() OVER (PARTITION BY g ORDER BY (id*7919)%10007, id)-1)/CAST(count(*) OVER (PARTITION BY g) AS DOUBLE) AS q FROM p))
 SELECT split, gt, count(*) AS n FROM s GROUP BY 1, 2""")
 def class_counts_by_split(spark, sf_dir):
-    return stratified_split(spark, sf_dir).groupBy("split", (F.col("sample") % 3).alias("gt")).agg(F.count("*").alias("n"))
+    return summary.class_counts(stratified_split(spark, sf_dir).withColumn("gt", F.col("sample") % 3), ["split", "gt"])
 
 
 @query("p q e", """
@@ -912,17 +956,22 @@ def quantile_plot(spark, sf_dir):
     return resample.quantile_plot(metrics.errors(tv.pairs(spark, sf_dir)), "km")
 
 
-@query()
+@query("p", """
+WITH c AS (SELECT id, 1+id%5 AS w, sum(1+id%5) OVER (ORDER BY id%64, id ROWS UNBOUNDED PRECEDING) AS top FROM p), d AS (SELECT draw, ((draw*7919+13)%10007)/CAST(10007 AS DOUBLE)*(SELECT max(top) FROM c) AS u FROM (SELECT unnest(range(1000)) AS draw))
+SELECT draw, id FROM d JOIN c ON u < top AND u >= top-w""")
 def weighted_draws(spark, sf_dir):
     p = tv.points(spark, sf_dir).withColumn("w", 1.0 + F.col("id") % 5)
-    return resample.weighted_draws(p, "w", 1000, F.pmod(F.xxhash64("draw"), F.lit(1_000_003)) / 1_000_003.0)
+    return resample.weighted_draws(p, "w", 1000, (F.col("draw") * 7919 + 13) % 10007 / 10007.0, 64, F.col("id"))
 
 
-@query()
+@query("v", """
+WITH w AS (SELECT id, label, list(f ORDER BY k) AS f FROM v WHERE label%2 = 0 GROUP BY 1, 2), d AS (SELECT a.id, b.id AS nbr_id, list_distance(a.f, b.f) AS dist FROM w a JOIN w b ON a.label = b.label AND a.id <> b.id),
+n AS (SELECT id, nbr_id, r, max(r) OVER (PARTITION BY id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr_id) AS r FROM d) WHERE r <= 5)
+SELECT w.id, CAST(1 AS INTEGER) AS copy, w.label, R[list_extract(w.f, 1)+((w.id*37+11)%100)/100.0*(list_extract(o.f, 1)-list_extract(w.f, 1))] AS f0 FROM w JOIN n ON n.id = w.id AND r = (w.id+1)%m+1 JOIN w o ON o.id = n.nbr_id""")
 def smote(spark, sf_dir):
     v = tv.vectors(spark, sf_dir)
     copies = v.groupBy("label").agg(F.count("*").alias("n")).select("label", F.when(F.col("label") % 2 == 0, 1).otherwise(0).alias("copies"))
-    return resample.smote(v, "label", copies).select("id", "copy", "label", F.col("features")[0].alias("f0"))
+    return resample.smote(v, "label", copies, share=(F.col("id") * 36 + F.col("id") * F.col("copy") + 11 * F.col("copy")) % 100 / 100.0).select("id", "copy", "label", F.col("features")[0].alias("f0"))
 
 
 @query("v", f"""

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.operators import genotype, metrics, model, spatial, summary
-from meridia.operators.clusters import work_folder
 from meridia.queries import _hav, _training, query
 from meridia.sources import files, outputs, sinks
 from meridia.sources import testviews as tv
+from meridia.sources.folders import work_folder
 
 
 def _written(lines: DataFrame, name: str) -> str:
