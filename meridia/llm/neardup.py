@@ -208,11 +208,17 @@ def _may_link(x: str, y: str, percent: int, coordinates: int, matches: int) -> C
     """Whether the classes with columns under the prefixes x and y can be linked: sizes, collisions, then sketches."""
     p, q = (lambda c: F.col(x + c)), (lambda c: F.col(y + c))
     room = (p("n") + q("n")) * (100 - percent)  # a link has (100 + percent) * (members of one set only) within this
-    sizes = F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent
     ones = functools.reduce(Column.__add__, (F.bit_count(p(c).bitwiseXOR(q(c))) for c in _SKETCH))
     wide = (F.size(p("wide")) != F.size(q("wide"))) | (F.size(p("wide")) == 0) | (_apart(p("wide"), q("wide")) * (100 + percent) <= room)
+    return _collide(x, y, percent, coordinates, matches) & (ones * (100 + percent) <= room) & wide
+
+
+def _collide(x: str, y: str, percent: int, coordinates: int, matches: int) -> Column:
+    """Whether sizes allow a link and at least `matches` fingerprints are equal."""
+    p, q = (lambda c: F.col(x + c)), (lambda c: F.col(y + c))
+    sizes = F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent
     apart = functools.reduce(Column.__add__, (_differing(p(c), q(c)) for c in _mark_names(coordinates)))
-    return sizes & (apart <= coordinates - matches) & (ones * (100 + percent) <= room) & wide
+    return sizes & (apart <= coordinates - matches)
 
 
 def _mark_names(coordinates: int) -> list[str]:
@@ -256,12 +262,19 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     lists = posted.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("own"), (-F.sum("times")).alias("seldom"))
     first = F.size("own") - (matches - 1)
     chosen = F.filter(F.transform("own", lambda v, i: F.struct(v["value"].alias("value"), (i < first).alias("first"), (i >= F.size("own") - _COMMON).alias("common"))), lambda v: v["first"] | v["common"])
-    postings = kept("postings", lists.where(F.size("own") >= matches).select("node", (-F.size("own")).alias("alone"), "seldom", F.explode(chosen).alias("v")).select("v.value", "v.first", "node", "alone", "seldom"))
+    thin_detail = ["node", "n", *marked]
+    chosen_lists = lists.where(F.size("own") >= matches).select("node", (-F.size("own")).alias("alone"), "seldom", chosen.alias("own"))
+    postings = kept("postings", chosen_lists.join(nodes.select(*thin_detail), "node").select(F.explode("own").alias("v"), "alone", "seldom", *thin_detail).select("v.value", "v.first", "alone", "seldom", *thin_detail))
+
+    def near_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+        """Pairs (a, b) of the heads (x) of postings and the rows (y) there that can be linked: collisions are counted where they meet."""
+        y = rows.select("value", *[F.col(c).alias(f"y_{c}") for c in thin_detail])
+        met = y.join(heads, "value").where((F.col("x_node") != F.col("y_node")) & _collide("x_", "y_", percent, coordinates, matches)).select("x_node", "y_node").distinct()
+        return with_detail(met, "y", "x").where(_may_link("x_", "y_", percent, coordinates, matches)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
-    heads = postings.groupBy("value").agg(F.min(F.struct("alone", "seldom", "node")).alias("head")).select("value", F.col("head.node").alias("x_node"))
-    met = postings.select("value", F.col("node").alias("y_node")).join(heads, "value").where("x_node <> y_node").select("x_node", "y_node").distinct()
-    star = with_detail(met, "y", "x").where(_may_link("x_", "y_", percent, coordinates, matches))
-    star = kept("star", star.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
+    first_of = lambda agg: [F.col(f"{agg}.{c}").alias(f"x_{c}") for c in thin_detail]
+    central = postings.groupBy("value").agg(F.min(F.struct("alone", "seldom", *thin_detail)).alias("head"))
+    star = kept("star", near_heads(postings, central.select("value", *first_of("head"))))
 
     def confirmed(name: str, pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
@@ -274,19 +287,18 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
 
     def mixed(name: str, roots: DataFrame) -> DataFrame:
         """(value, main, node, root) of the postings that have several components; `main` has the most classes there."""
-        placed = postings.where("first").select("value", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = postings.where("first").drop("first", "alone", "seldom").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         by_root = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
         of = by_root.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
-        return kept(name, placed.join(of, "value").select("value", "main", "node", "root"))
+        return kept(name, placed.join(of, "value").select("value", "main", "root", *thin_detail))
 
     links = confirmed("star", star).union(_one_document(some, classes, kept))
     roots = components(links, f"{folder}/roots-star")
 
     placed = mixed("placed-star", roots)
-    picked = F.min(F.struct(F.xxhash64("node", "value").alias("h"), "node")).alias("pick")  # another one for each posting
-    members = placed.where("root = main").groupBy("value").agg(picked).select("value", F.col("pick.node").alias("x_node"))
-    met = placed.where("root <> main").select("value", F.col("node").alias("y_node")).join(members, "value").select("x_node", "y_node").distinct()
-    spread = with_detail(met, "y", "x").where(_may_link("x_", "y_", percent, coordinates, matches)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    picked = F.min(F.struct(F.xxhash64("node", "value").alias("h"), *thin_detail)).alias("pick")  # another one for each posting
+    members = placed.where("root = main").groupBy("value").agg(picked)
+    spread = near_heads(placed.where("root <> main"), members.select("value", *first_of("pick")))
     spread = kept("spread", spread.join(star, ["a", "b"], "left_anti"))
     if not spread.isEmpty():
         links = links.union(confirmed("spread", spread))
