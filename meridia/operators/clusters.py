@@ -79,20 +79,21 @@ def silhouette(points: DataFrame, label: str = "label", features: str = "feature
     p = points.select("id", F.col(label).alias("label"), F.col(features).cast("array<double>").alias("v"))
     parts = max(1, -(-p.count() // block))
     cut, every = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left, right = p.withColumn("b", cut).withColumn("o", every), p.withColumn("o", cut).withColumn("b", every)
+    left = p.withColumn("b", cut).withColumn("o", every)
+    right = p.withColumn("o", cut).select(F.col("label").alias("of"), F.col("v").alias("w"), F.col("o").alias("o2"), every.alias("b2"))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "label": [], "to": [], "s": [], "n": []})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        kinds, of = np.unique(b["label"].to_numpy(), return_inverse=True)
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["w"].to_numpy())
+        kinds, of = np.unique(b["of"].to_numpy(), return_inverse=True)
         member = np.eye(len(kinds))[of]
         total = np.concatenate([np.sqrt(((x[i : i + 32, None] - y[None]) ** 2).sum(2)) @ member for i in range(0, len(x), 32)])
         n = len(kinds)
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), n), "label": np.repeat(a["label"].to_numpy(), n), "to": np.tile(kinds, len(x)), "s": total.ravel(), "n": np.tile(member.sum(0).astype(int), len(x))})
 
     kind = p.schema["label"].dataType.simpleString()
-    met = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(sums, f"id {p.schema['id'].dataType.simpleString()}, label {kind}, to {kind}, s double, n long")
+    met = left.groupBy("b", "o").cogroup(right.groupBy("b2", "o2")).applyInPandas(sums, f"id {p.schema['id'].dataType.simpleString()}, label {kind}, to {kind}, s double, n long")
     d = met.groupBy("id", "label", "to").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("label") == F.col("to")
     per = d.groupBy("id", "label").agg(F.max(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))

@@ -901,17 +901,12 @@ def _training(spark, sf_dir):  # noqa: ANN001, ANN202
 
 @query()
 def bootstrap_training(spark, sf_dir):
-    plans = spark.range(3).select(F.col("id").alias("plan"), F.lit('{"width": 16, "layers": 1, "epochs": 15, "loci": true}').alias("params"))
+    plans = spark.range(10).select(F.col("id").alias("plan"), F.lit('{"width": 64, "layers": 2, "epochs": 50, "loci": true}').alias("params"))
     rows = _training(spark, sf_dir)
     preds = model.predict(rows, model.train_all(rows, plans))
     return summary.bootstrap(preds.withColumnRenamed("id", "sample")).select("sample", "x_mean", "y_mean")
 
 
-@query()
-def tuning(spark, sf_dir):
-    return model.tune(_training(spark, sf_dir), 4, 16, epochs=5).select("plan", "loss")
-
-
 # ---- labels, resampling and the tables behind plots ---------------------------------------------------------------------
 
 
@@ -992,7 +987,7 @@ def minority_distance(spark, sf_dir):
 @query()
 def boosted_trees(spark, sf_dir):
     t = _training(spark, sf_dir)
-    return resample.boosted(t.where("split = 'train'"), t.where("split = 'val'"), rounds=3, depth=3)
+    return resample.boosted(t.where("split = 'train'"), t.where("split = 'val'"))
 
 
 @query()
