@@ -41,8 +41,8 @@ def gamma_shape(mean: float, mean_log: float, steps: int = 60) -> float:
 def gamma_cdf_of(x: np.ndarray, shape: float, rate: float = 1.0) -> np.ndarray:
     """The regularised lower incomplete gamma function of all values: a series below shape + 1, else a continued fraction."""
     z = np.asarray(x, float) * rate
-    out = np.where(np.isnan(z), np.nan, 0.0)
-    low, high = (z > 0) & (z < shape + 1), z >= shape + 1
+    out = np.where(np.isnan(z), np.nan, np.where(np.isposinf(z), 1.0, 0.0))
+    low, high = (z > 0) & (z < shape + 1), (z >= shape + 1) & np.isfinite(z)
     front = lambda v: np.exp(shape * np.log(v) - v - math.lgamma(shape))
     if low.any():
         v, k = z[low], shape
@@ -66,8 +66,7 @@ def gamma_cdf_of(x: np.ndarray, shape: float, rate: float = 1.0) -> np.ndarray:
             h = h * d * c
             if (np.abs(d * c - 1) < 1e-15).all():
                 break
-        with np.errstate(over="ignore", invalid="ignore"):
-            out[high] = np.where(np.isinf(v), 1.0, np.maximum(0.0, 1 - front(v) * h))
+        out[high] = np.maximum(0.0, 1 - front(v) * h)
     return out
 
 

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.sources.folders import work_folder
+
 
 def align(genotyped: DataFrame, coords: DataFrame, keep_all: bool = False) -> DataFrame:
     """Genotyped samples with their coordinates; with `keep_all` also those without (null coordinates)."""
@@ -88,9 +90,8 @@ def tagged_union(tables: dict[str, DataFrame], tag: str = "dataset") -> DataFram
 
 
 def by_position(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str]) -> DataFrame:
-    """Left rows with the right row at the same place of its order. A positional join has one order over all rows: small tables only."""
-    number = lambda df, order: df.withColumn("__row", F.row_number().over(Window.orderBy(*order)))
-    return number(left, order_left).join(number(right, order_right), "__row", "left").drop("__row")
+    """Left rows with the right row at the same place of its order."""
+    return numbered(left, order_left, "__row").join(numbered(right, order_right, "__row"), "__row", "left").drop("__row")
 
 
 def replicate_numbers(rows: DataFrame, order: Column, group: str = "config", cycle: int = 100) -> DataFrame:
@@ -128,3 +129,21 @@ def neighbour_count(rows: DataFrame, rule: str) -> int:
         raise ValueError(f"sqrt or log2 is wanted, not {rule!r}")
     n = rows.count()
     return math.isqrt(n) if rule == "sqrt" else max(n, 1).bit_length() - 1
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "i") -> DataFrame:
+    """The rows with their place from 0 in an order, without one task for all: range partitions number their own rows, on from the rows before.
+
+    The partitions are written to the shared folder, so both passes see the same ones. Ties have places in any order.
+    """
+    spark, folder = rows.sparkSession, work_folder(rows, "numbered")
+    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt.write.parquet(folder)
+    dealt = spark.read.schema(dealt.schema).parquet(folder)
+    counts = sorted((r["__part"], r["n"]) for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect())  # a row a partition
+    starts, before = [], 0
+    for part, n in counts:
+        starts.append((part, before))
+        before += n
+    first = F.broadcast(spark.createDataFrame(starts, "__part int, __first long"))
+    return dealt.join(first, "__part").withColumn(name, F.col("__first") + F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1).drop("__part", "__first")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from meridia.functions import kernels
 from meridia.functions.geo import in_ring
-from meridia.operators.neighbors import near_pairs
+from meridia.operators.neighbors import near_pairs, nearest_on_globe
+from meridia.sources.folders import work_folder
 
 
 def variogram(points: DataFrame, value: str, lag_km: float, lags: int) -> DataFrame:
@@ -35,36 +36,60 @@ def cubic_regression(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.sparkSession.createDataFrame([row], "b0 double, b1 double, b2 double, b3 double, r double, p double")
 
 
-def kriging_surface(points: DataFrame, value: str, cells: int = 100, buffer: float = 0.1, most: int = 1500, lag_km: float = 50.0) -> DataFrame:
-    """(gx, gy, estimate, variance) on a grid over the bounding box and a buffer.
+def fit_variogram(table: DataFrame, lag_km: float) -> tuple[float, float, float]:
+    """Nugget, sill and range (km) of a gaussian variogram, by least squares over the lags of variogram(), weighted by pairs.
 
-    The system is solved once for the points, which must be at most `most` (its size is their square); beyond that they
-    are first averaged on a grid of about that many cells. Grid rows are evaluated in parallel.
+    For each of 60 ranges the best nugget and sill follow from two sums; neither is negative. Without pairs: 0, 1 and a lag.
     """
-    spark = points.sparkSession
+    rows = table.where("lag is not null").orderBy("lag").collect()  # a row a lag
+    if not rows:
+        return 0.0, 1.0, lag_km
+    d, g, w = (np.array([float(f(r)) for r in rows]) for f in (lambda r: (r["lag"] + 0.5) * lag_km, lambda r: r["gamma"], lambda r: r["n"]))
+    best = (np.inf, 0.0, 1.0, lag_km)
+    for reach in np.linspace(lag_km / 2, 2 * (d[-1] + lag_km), 60):
+        s = 1 - np.exp(-((d / (reach * 4 / 7)) ** 2))
+        a = np.column_stack([np.ones(len(d)), s]) * np.sqrt(w)[:, None]
+        c = np.linalg.lstsq(a, g * np.sqrt(w), rcond=None)[0]
+        if c.min() < 0:
+            options = [(0.0, max(0.0, float((w * s * g).sum() / max((w * s * s).sum(), 1e-300)))), (max(0.0, float((w * g).sum() / w.sum())), 0.0)]
+            c = min(options, key=lambda o: float((w * (o[0] + o[1] * s - g) ** 2).sum()))
+        error = float((w * (c[0] + c[1] * s - g) ** 2).sum())
+        if error < best[0] * (1 - 1e-9):
+            best = (error, float(c[0]), float(c[0] + c[1]), float(reach))
+    return best[1], max(best[2], 1e-12), best[3]
+
+
+def kriging_surface(points: DataFrame, value: str, cells: int = 100, buffer: float = 0.1, neighbours: int = 32, lag_km: float = 100.0, lags: int = 10) -> DataFrame:
+    """(gx, gy, estimate, variance) on a grid over the bounding box and a buffer, by ordinary kriging with a fitted gaussian variogram.
+
+    Each place is estimated from its `neighbours` nearest points, whatever their number in all: a small system a place, solved
+    on the executors. Points on one spot count as their mean; points with a null are left out.
+    """
+    spark, folder = points.sparkSession, work_folder(points, "kriging")
     p = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(value).isNotNull()).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(value).cast("double").alias("z"))
-    side = int(most**0.5)
-    ends = p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.var_pop("z").alias("v"), F.count("*").alias("n")).head()
+    p.groupBy("x", "y").agg(F.avg("z").alias("z")).withColumn("id", F.monotonically_increasing_id()).write.parquet(f"{folder}/spots")
+    spots = spark.read.schema("x double, y double, z double, id long").parquet(f"{folder}/spots")
+    ends = spots.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")).head()
     schema = "gx double, gy double, estimate double, variance double"
     if not ends["n"]:
         return spark.createDataFrame([], schema)
-    x0, x1, y0, y1 = ends["x0"], ends["x1"], ends["y0"], ends["y1"]
-    cell = lambda c, a, b: F.floor((F.col(c) - a) * (side - 1e-9) / ((b - a) or 1.0))
-    few = p if ends["n"] <= most else p.groupBy(cell("x", x0, x1).alias("i"), cell("y", y0, y1).alias("j")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))
-    rows = few.groupBy("x", "y").agg(F.avg("z").alias("z")).orderBy("x", "y").toPandas()
-    bx, by = (x1 - x0) * buffer, (y1 - y0) * buffer
-    gx, gy = np.linspace(x0 - bx, x1 + bx, cells), np.linspace(y0 - by, y1 + by, cells)
-    reach = float(max(lag_km, 111.0 * max(x1 - x0, y1 - y0) / 4))
-    sill = float(ends["v"] or 1.0)
+    nugget, sill, reach = fit_variogram(variogram(spots, "z", lag_km, lags), lag_km)
+    bx, by = (ends["x1"] - ends["x0"]) * buffer, (ends["y1"] - ends["y0"]) * buffer
+    step = lambda i, low, high: F.lit(low) + F.lit(high - low) * i / max(1, cells - 1)
+    grid = spark.range(cells * cells).select("id", step(F.floor(F.col("id") / cells), ends["x0"] - bx, ends["x1"] + bx).alias("x"), step(F.col("id") % cells, ends["y0"] - by, ends["y1"] + by).alias("y"))
+    knn = nearest_on_globe(grid, min(neighbours, ends["n"]), with_self=True, others=spots)
+    near = knn.join(spots.select(F.col("id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), "z"), "nbr_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "nx", "ny", "z"))).alias("near"))
+    flat = near.join(grid, "id").select("x", "y", "near.nx", "near.ny", "near.z")
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            for j in b["j"]:
-                target = np.column_stack([gx, np.full(cells, gy[j])])
-                z, v = kernels.krige(rows[["x", "y"]].to_numpy(), rows["z"].to_numpy(), target, sill, reach, 0.05 * sill)
-                yield pd.DataFrame({"gx": gx, "gy": gy[j], "estimate": z, "variance": v})
+            out = []
+            for x, y, nx, ny, z in zip(b["x"], b["y"], b["nx"], b["ny"], b["z"]):
+                e, v = kernels.krige(np.column_stack([nx, ny]), np.asarray(z, float), np.array([[x, y]]), sill, reach, nugget)
+                out.append((x, y, float(e[0]), max(0.0, float(v[0]))))  # a variance of 0 may be off by rounding
+            yield pd.DataFrame(out, columns=["gx", "gy", "estimate", "variance"])
 
-    return spark.range(cells).withColumnRenamed("id", "j").mapInPandas(run, schema)
+    return flat.mapInPandas(run, schema)
 
 
 def convex_hull(points: DataFrame, by: str) -> DataFrame:

@@ -819,7 +819,7 @@ def variogram(spark, sf_dir):
 
 @query()
 def kriging(spark, sf_dir):
-    return spatial.kriging_surface(metrics.errors(tv.pairs(spark, sf_dir)), "km", 30)
+    return spatial.kriging_surface(metrics.errors(tv.pairs(spark, sf_dir)), "km")
 
 
 @query()

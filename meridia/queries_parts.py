@@ -78,7 +78,7 @@ WITH {_KDE}, c AS (SELECT CAST(unnest(range(5, 90, 5)) AS INTEGER) AS percentile
 l AS (SELECT percentile, threshold, k.id, x, y, density >= threshold AS high FROM c, k JOIN p ON p.id = k.id),
 d AS (SELECT a.percentile, any_value(a.threshold) AS threshold, a.id, a.high, b.high AS other, sum(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS s, count(*) AS n FROM l a JOIN l b ON a.percentile = b.percentile GROUP BY 1, 3, 4, 5),
 m AS (SELECT percentile, any_value(threshold) AS threshold, id, max(CASE WHEN high = other AND n > 1 THEN s/(n-1) END) AS a, min(CASE WHEN high <> other THEN s/n END) AS b FROM d GROUP BY 1, 3)
-SELECT percentile, R[any_value(threshold)] AS threshold, R[avg(coalesce((b-a)/greatest(a, b), 0))] AS silhouette FROM m GROUP BY 1"""
+SELECT percentile, R[any_value(threshold)] AS threshold, R[avg(coalesce((b-a)/greatest(a, b), 0))] AS silhouette FROM m GROUP BY 1 HAVING count(b) > 0"""
 
 
 @query("p", _THRESHOLDS)

@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia import queries as Q
+from meridia import queries_files, queries_parts  # noqa: F401  they register their queries
 from meridia.functions import genetics, geo, kernels
-from meridia.operators import clusters, density, embedding, genotype, metrics, model, neighbors, outliers, resample, samples, spatial, summary
+from meridia.operators import clusters, density, embedding, genotype, metrics, model, neighbors, outliers, resample, samples, search, spatial, summary
 from meridia.plans import options, pipeline
-from meridia.sources import files, sinks
+from meridia.sources import files, outputs, sinks
 from meridia.streaming import replicates
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +30,7 @@ def duck():
 
 
 #: The others are run at a larger scale by the driver; these stand for each part.
-COMPARED = ["haversine", "scale_and_back", "coordinate_validity", "iupac_codes", "mode_imputation", "mendelian_hybrids", "bootstrap_loci", "choose_unknown", "stratified_split", "synchronise_samples", "bootstrap_summary", "metrics_distance_by_group", "metrics_correlations", "knn_globe", "knn_globe_at_least", "knn_vectors", "optimal_k_sweep", "combined_weights", "dbscan_labels", "density_levels", "merge_small_bins", "synthetic_samples", "loss_functions", "early_stopping", "variogram", "polynomial_features", "search_space"]
+COMPARED = ["haversine", "scale_and_back", "coordinate_validity", "iupac_codes", "mode_imputation", "mendelian_hybrids", "bootstrap_loci", "choose_unknown", "stratified_split", "synchronise_samples", "bootstrap_summary", "metrics_distance_by_group", "metrics_correlations", "knn_globe", "knn_globe_at_least", "knn_vectors", "optimal_k_sweep", "combined_weights", "dbscan_labels", "density_levels", "merge_small_bins", "synthetic_samples", "loss_functions", "early_stopping", "variogram", "polynomial_features", "search_space", "vcf_dosages", "coordinates_by_tabs", "prediction_files", "metric_files", "outlier_file", "study_files", "region_file", "points_in_regions", "k_sums_geographic", "k_sums_genetic", "silhouette_of_labels", "threshold_clusters", "metrics_without_p_values", "weighted_draws", "smote", "contours_by_sample", "join_with_suffixes", "outlier_map", "training_history"]
 
 
 @pytest.mark.parametrize("name", COMPARED)
@@ -380,3 +381,151 @@ def test_options():
             f(bad)
     with pytest.raises(ValueError):
         options.color_scale(5, 5)
+
+
+# ---- parts that have no SQL, against plain versions -------------------------------------------------------------------
+
+
+def test_losses_and_gradients():
+    rng = np.random.default_rng(0)
+    y = rng.random((20, 2)) * 0.5 + 0.25
+    out, w = y + rng.normal(0, 0.05, (20, 2)), rng.random(20) + 0.5
+    for kind in model.LOSSES:
+        _, g = model.loss_and_gradient(kind, out, y, w)
+        for i, j in ((0, 0), (3, 1), (19, 0)):
+            e = np.zeros_like(out)
+            e[i, j] = 1e-6
+            slope = (model.loss_and_gradient(kind, out + e, y, w)[0] - model.loss_and_gradient(kind, out - e, y, w)[0]) / 2e-6
+            assert abs(slope - g[i, j]) < 1e-6 * max(1, abs(slope))
+    with pytest.raises(ValueError):
+        model.loss_and_gradient("other", out, y, w)
+    assert model.hidden_layers(10) == (5, 5) and model.hidden_layers(1) == (1, 1)
+
+
+def test_training_over_files_equals_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    rows = [(i, "val" if i % 4 == 0 else "train", v.tolist(), float(0.5 + 0.1 * v[0]), float(0.5 + 0.1 * v[1]), 1.0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, split string, features array<double>, tx double, ty double, weight double")
+    plans = spark.createDataFrame([(0, '{"width": 2, "layers": 2, "epochs": 40}'), (1, '{"width": 2, "layers": 2, "epochs": 40, "medians": [0.0]}')], "plan long, params string")
+    for rows_a_file in (1000, 60):
+        monkeypatch.setattr(model, "FILE_ROWS", rows_a_file)
+        got = {r["plan"]: r for r in model.train_all(df, plans).collect()}
+        assert got[0]["loss"] < 0.05 and len(got[1]["curve"]) == 1
+    fitted = model.train_all(df, plans)
+    seen = model.predict(df, fitted).where("plan = 0").collect()
+    assert len(seen) == 400 and all(r["valid"] == (abs(r["x"]) <= 180 and abs(r["y"]) <= 90) for r in seen)
+
+
+def test_search_goes_on_where_it_stopped(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, "val" if i % 4 == 0 else "train", v.tolist(), float(0.5 + 0.1 * v[0]), 0.5, 1.0) for i, v in enumerate(rng.normal(size=(80, 4)))]
+    df = spark.createDataFrame(rows, "id long, split string, features array<double>, tx double, ty double, weight double")
+    first = search.tune(df, 4, 10, f"file://{tmp_path}/s", epochs=2, parallel=4).collect()
+    both = search.tune(df, 8, 10, f"file://{tmp_path}/s", epochs=2, parallel=4).collect()
+    assert [tuple(r) for r in both[:4]] == [tuple(r) for r in first] and [r["plan"] for r in both] == list(range(8))
+
+
+def test_suggestions_move_to_good_values():
+    rng, bounds = np.random.default_rng(4), {"lr": ("log", 1e-4, 1e-1), "layers": ("int", 2, 20)}
+    trials = [(abs(np.log10(lr) + 2) + abs(n - 5) / 10, {"lr": lr, "layers": n}) for lr in (1e-4, 1e-3, 9e-3, 1.1e-2, 5e-2, 1e-1) for n in (2, 5, 12, 20)]
+    got = [search.suggest(trials, bounds, rng) for _ in range(40)]
+    assert all(1e-4 <= g["lr"] <= 1e-1 and 2 <= g["layers"] <= 20 and isinstance(g["layers"], int) for g in got)
+    assert np.median([abs(np.log10(g["lr"]) + 2) for g in got]) < 0.75 and np.median([g["layers"] for g in got]) < 11
+    assert search.medians([[3, 1], [2, 4]]) == [] and search.medians([[3, 1], [2, 4], [5], [1, 1], [4, 2]]) == [3, 1.5]
+
+
+def test_lle_unrolls_a_curve(spark):
+    t = np.linspace(0, 1, 80)
+    rows = [(int(i), [float(np.cos(4 * a)), float(np.sin(4 * a)), float(a)]) for i, a in enumerate(t)]
+    made, error = embedding.lle(spark.createDataFrame(rows, "id long, features array<double>"), 6, 1)
+    got = [r["features"][0] for r in made.orderBy("id").collect()]
+    assert abs(np.corrcoef(got, t)[0, 1]) > 0.97 and error < 1e-3
+    with pytest.raises(ValueError):
+        embedding.lle(made, 6, 1, most=10)
+    grid = embedding.lle_grid(spark.createDataFrame(rows, "id long, features array<double>"), [5, 6], [1], folds=2).collect()
+    assert len(grid) == 2 and grid[0]["score"] >= grid[1]["score"]
+
+
+def test_nmf_finds_its_factors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((60, 2)) @ rng.random((2, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    _, basis, error = embedding.nmf(df, 2, rounds=40)
+    assert basis.shape == (2, 12) and (basis >= 0).all() and error < 0.05 * np.linalg.norm(x)
+    assert len(embedding.nmf(df, None, rounds=3)[1]) in (2, 3)
+
+
+def test_kriging_and_its_variogram(spark):
+    rng = np.random.default_rng(6)
+    xy = rng.uniform(-10, 10, (300, 2))
+    rows = [(i, float(a), float(b), float(a + 2 * b)) for i, (a, b) in enumerate(xy)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = spatial.kriging_surface(p, "z", 6, buffer=-0.1, neighbours=16).toPandas()
+    assert len(got) == 36 and np.abs(got.estimate - (got.gx + 2 * got.gy)).max() < 2.5 and (got.variance > -1e-6).all()
+    nugget, sill, reach = spatial.fit_variogram(spark.createDataFrame([(i, 100, float(2 + 5 * (1 - np.exp(-(((i + 0.5) * 100 / (500 * 4 / 7)) ** 2))))) for i in range(10)], "lag int, n long, gamma double"), 100.0)
+    assert abs(nugget - 2) < 0.3 and abs(sill - 7) < 0.3 and abs(reach - 500) < 60
+    assert spatial.kriging_surface(p.where("false"), "z", 6).count() == 0
+
+
+def test_silhouette_against_numpy(spark):
+    rng = np.random.default_rng(7)
+    x, label = rng.normal(size=(50, 3)), rng.integers(0, 3, 50)
+    label[0] = 9  # alone
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "id long, label int, features array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    want = []
+    for i, c in enumerate(label):
+        own = (label == c) & (np.arange(50) != i)
+        b = min(d[i, label == k].mean() for k in set(label) - {c})
+        want.append((b - d[i, own].mean()) / max(b, d[i, own].mean()) if own.any() else 0.0)
+    for block in (2048, 7):
+        assert abs(clusters.silhouette(df, block=block).head()[0] - np.mean(want)) < 1e-9
+    assert clusters.silhouette(df.where("label = 1")).head()[0] is None
+
+
+def test_neighbours_on_one_place_and_over_the_date_line(spark):
+    rows = [(i, 10.0, 20.0) for i in range(40)] + [(100, 179.9, 0.0), (101, -179.9, 0.0), (102, 0.0, 90.0), (103, 90.0, 89.9), (104, None, 1.0)]
+    p = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {}
+    for r in neighbors.nearest_on_globe(p, 3).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["nbr_id"], r["dist"]))
+    assert len(got) == 44 and [n for _, n, _ in sorted(got[0])] == [1, 2, 3] and [n for _, n, _ in sorted(got[2])] == [0, 1, 3]
+    assert sorted(got[100])[0][1] == 101 and sorted(got[102])[0][1] == 103
+    assert [r["nbr_id"] for r in neighbors.nearest_on_globe(p.where("id = 3"), 2, with_self=True, others=p).orderBy("rank").collect()] == [0, 1]
+
+
+def test_numbered_has_no_gaps(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    got = {r["v"]: r["i"] for r in samples.numbered(df, ["v"]).collect()}
+    assert got == {v: v for v in range(1000)}
+    assert samples.numbered(df.where("false"), ["v"]).count() == 0
+
+
+def test_outputs(spark, tmp_path):
+    place = outputs.Layout(str(tmp_path), "t")
+    assert place.path("models", "m") == f"{tmp_path}/models/t_m"
+    with pytest.raises(ValueError):
+        place.path("other", "m")
+    log = outputs.logger("meridia-test", str(tmp_path / "log.txt"))
+    log.info("hello")
+    outputs.logger("meridia-test")
+    assert "hello" in (tmp_path / "log.txt").read_text() and outputs.clock(3723.9) == "01:02:03"
+    models = spark.createDataFrame([(0, [2.0, 1.0])], "plan long, curve array<double>")
+    sinks.loss_curves(models, f"{tmp_path}/curves")
+    assert spark.read.json(f"{tmp_path}/curves").head()["curve"] == [2.0, 1.0]
+
+
+def test_embeddings_by_name(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.integers(0, 3, (30, 8)).astype(float))], "id long, features array<double>")
+    for kind in ("none", "polynomial", "pca", "mca", "nmf", "kernelpca", "mds", "lle"):
+        assert embedding.embed(df, kind, 2).count() == 30
+    with pytest.raises(ValueError):
+        embedding.embed(df, "tsne")
+
+
+def test_gamma_law_of_arrays():
+    x = np.array([np.nan, -1, 0, 0.1, 1, 5, 20, 200, np.inf])
+    got = kernels.gamma_cdf_of(x, 2.5, 0.7)
+    assert np.isnan(got[0]) and (np.diff(got[1:]) >= 0).all() and got[-1] == 1 and abs(kernels.gamma_cdf(kernels.gamma_ppf(0.3, 2.5, 0.7), 2.5, 0.7) - 0.3) < 1e-9
