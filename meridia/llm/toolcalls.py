@@ -113,7 +113,7 @@ def levels(calls: DataFrame) -> DataFrame:
     # Calls with one dependency: `to` is the call `dist` steps before; it goes on until that one has none or several.
     chain, k = kept("chain-0", state.where("n = 1").select(*key, "to", F.lit(1).cast("long").alias("dist"), F.lit(True).alias("going"))), 0
     longest = state.groupBy("conv_id").count().agg(F.max("count")).head()[0] or 0
-    while 1 << k <= longest and not chain.where("going").isEmpty():
+    while 1 << k <= 2 * longest and not chain.where("going").isEmpty():
         ahead = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"))
         met = chain.join(ahead.hint("shuffle_hash"), ["conv_id", "to"], "left")
         k += 1
