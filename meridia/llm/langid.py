@@ -60,7 +60,7 @@ class Model:
     langs: list[str]  # of each centroid
     centroids: np.ndarray  # a row each, of length 1
     idf: np.ndarray
-    least: np.ndarray  # least cosine by the power of two of the number of different n-grams
+    least: np.ndarray  # limit of the cosine by the power of two of the number of different n-grams
 
     def vector(self, n: np.ndarray) -> np.ndarray:
         v = np.sqrt(n).astype(np.float32) * self.idf
@@ -82,13 +82,14 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float = 0.6, seed: int = 7) -> Model:
+def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float = 0.6, low: float = 0.01, seed: int = 7) -> Model:
     """Learns from `doc_id`, `text` and `lang` of at most about `per_lang` rows of each language, drawn by a hash of doc_id.
 
     The bound on the sample is `per_lang`; whole texts of the drawn rows are counted on the executors. Rows with a null
     text, language or id, and texts without letters, teach nothing; an empty table gives a model that rejects all.
-    `slack`: the limit of rejection is the least cosine of the sample's texts of about that many n-grams times this; where
-    the sample has no text of that size, those of the nearest size count.
+    `slack`: the limit of rejection is the quantile `low` of the cosines of the sample's texts of about that many n-grams,
+    times this, so that a few odd texts in the sample don't open it; where the sample has no text of that size, those of
+    the nearest size count.
     The driver holds the sample's counts (6 bytes for each different n-gram of a text) and one language's rows at a time
     as vectors.
     """
@@ -105,12 +106,11 @@ def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float =
             at = [np.flatnonzero(x) for x in n]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([x[i].astype("<u4").tobytes() for x, i in zip(n, at, strict=True)], pa.binary())], names=["lang", "doc_id", "at", "n"])
 
-    got = mapped(drawn, run, "lang string, doc_id long, at binary, n binary", __name__).toPandas().sort_values(["lang", "doc_id"], kind="stable") if sizes else None
     width = 1 << BITS
-    if got is None or not len(got) or not got["at"].map(len).sum():
+    got = mapped(drawn, run, "lang string, doc_id long, at binary, n binary", __name__).where("length(at) > 0").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")]) if sizes else None
+    if got is None or not got.num_rows:
         return Model([], np.zeros((0, width), np.float32), np.ones(width, np.float32), np.zeros(24, np.float32))
-    got = got[got["at"].map(len) > 0]
-    sparse = [(np.frombuffer(a, "<u2"), np.frombuffer(n, "<u4")) for a, n in zip(got["at"], got["n"], strict=True)]
+    sparse = [(np.frombuffer(a.as_buffer(), "<u2"), np.frombuffer(n.as_buffer(), "<u4")) for a, n in zip(got["at"], got["n"], strict=True)]
     seen = np.zeros(width)
     for at, _ in sparse:
         seen[at] += 1
@@ -124,16 +124,18 @@ def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float =
             row /= max(float(np.linalg.norm(row)), 1e-9)
         return x
 
-    langs, centroids, of = [], [], got["lang"].to_numpy()
+    langs, centroids, of = [], [], np.array(got["lang"].to_pylist())
     rows_of = {lang: np.flatnonzero(of == lang) for lang in sorted(set(of))}
     for lang, own in rows_of.items():
         found = _spherical(vectors(own), clusters, seed)
         langs += [lang] * len(found)
         centroids.append(found)
     model = Model(langs, np.concatenate(centroids), idf, np.zeros(24, np.float32))
-    least = np.full(24, np.inf)
+    best = np.zeros(len(sparse))
     for own in rows_of.values():
-        np.minimum.at(least, np.array([len(sparse[k][0]).bit_length() for k in own]), (vectors(own) @ model.centroids.T).max(1))
+        best[own] = (vectors(own) @ model.centroids.T).max(1)
+    sizes_of = np.array([len(at).bit_length() for at, _ in sparse])
+    least = np.array([np.quantile(best[sizes_of == k], low) if (sizes_of == k).any() else np.inf for k in range(24)])
     seen = np.flatnonzero(np.isfinite(least))
     nearest = seen[np.abs(np.arange(24)[:, None] - seen[None]).argmin(1)]  # sizes that the sample lacks have the limit of the nearest one
     model.least = (np.minimum.accumulate(least[::-1])[::-1] * slack)[nearest].astype(np.float32)
