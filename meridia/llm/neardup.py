@@ -40,7 +40,6 @@ _SEED = 20240229
 _BLOCK = 2048
 #: Bits of the parity sketch of a set, and the size of a set above which it gets a second, wider one.
 _BITS, _FEW = 1024, 1500
-_SKETCH = [f"s{i}" for i in range(_BITS // 64)]
 #: Of each class's values the commonest ones, under which it looks for the head of its group.
 _COMMON = 4
 #: Ids that are broadcast to pick texts; more are joined.
@@ -208,7 +207,7 @@ def _may_link(x: str, y: str, percent: int, coordinates: int, matches: int) -> C
     """Whether the classes with columns under the prefixes x and y can be linked: sizes, collisions, then sketches."""
     p, q = (lambda c: F.col(x + c)), (lambda c: F.col(y + c))
     room = (p("n") + q("n")) * (100 - percent)  # a link has (100 + percent) * (members of one set only) within this
-    ones = functools.reduce(Column.__add__, (F.bit_count(p(c).bitwiseXOR(q(c))) for c in _SKETCH))
+    ones = functools.reduce(Column.__add__, (F.bit_count(p("narrow")[i].bitwiseXOR(q("narrow")[i])) for i in range(_BITS // 64)))
     wide = (F.size(p("wide")) != F.size(q("wide"))) | (F.size(p("wide")) == 0) | (_apart(p("wide"), q("wide")) * (100 + percent) <= room)
     return _collide(x, y, percent, coordinates, matches) & (ones * (100 + percent) <= room) & wide
 
@@ -217,14 +216,10 @@ def _collide(x: str, y: str, percent: int, coordinates: int, matches: int) -> Co
     """Whether sizes allow a link and at least `matches` fingerprints are equal."""
     p, q = (lambda c: F.col(x + c)), (lambda c: F.col(y + c))
     sizes = F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent
-    apart = functools.reduce(Column.__add__, (_differing(p(c), q(c)) for c in _mark_names(coordinates)))
+    apart = functools.reduce(Column.__add__, (_differing(p("mark")[i], q("mark")[i]) for i in range(-(-coordinates // 16))))
     return sizes & (apart <= coordinates - matches)
 
 
-def _mark_names(coordinates: int) -> list[str]:
-    return [f"m{i}" for i in range(-(-coordinates // 16))]
-
-
 def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id and kept.
 
@@ -248,9 +243,8 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     classes = kept("classes", some.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *body).withColumn("node", F.monotonically_increasing_id()))
     # Only sets that can be linked to a different one: a set with one shingle more or less must be able to reach `percent`.
     linkable = classes.where((F.floor(F.col("n") * 100 / percent) > F.col("n")) | (F.ceil(F.col("n") * percent / 100) < F.col("n")))
-    marked = _mark_names(coordinates)
-    detail = ["n", *marked, *_SKETCH, "wide"]
-    nodes = kept("nodes", linkable.select("node", "n", *[F.col("mark")[i].alias(c) for i, c in enumerate(marked)], *[F.col("narrow")[i].alias(c) for i, c in enumerate(_SKETCH)], "wide"))
+    detail = ["n", "mark", "narrow", "wide"]
+    nodes = kept("nodes", linkable.select("node", *detail))
 
     def with_detail(pairs: DataFrame, *sides: str) -> DataFrame:
         for side in sides:
@@ -262,7 +256,7 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     lists = posted.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("own"), (-F.sum("times")).alias("seldom"))
     first = F.size("own") - (matches - 1)
     chosen = F.filter(F.transform("own", lambda v, i: F.struct(v["value"].alias("value"), (i < first).alias("first"), (i >= F.size("own") - _COMMON).alias("common"))), lambda v: v["first"] | v["common"])
-    thin_detail = ["node", "n", *marked]
+    thin_detail = ["node", "n", "mark"]
     chosen_lists = lists.where(F.size("own") >= matches).select("node", (-F.size("own")).alias("alone"), "seldom", chosen.alias("own"))
     postings = kept("postings", chosen_lists.join(nodes.select(*thin_detail), "node").select(F.explode("own").alias("v"), "alone", "seldom", *thin_detail).select("v.value", "v.first", "alone", "seldom", *thin_detail))
 
@@ -292,18 +286,23 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
         of = by_root.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
         return kept(name, placed.join(of, "value").select("value", "main", "root", *thin_detail))
 
-    links = confirmed("star", star).union(_one_document(some, classes, kept))
-    roots = components(links, f"{folder}/roots-star")
+    def cleared(*names: str) -> None:
+        dropped(spark, *(f"{folder}/{name}{part}" for name in names for part in ("", "-wanted", "-grams", "-grams-once")))
 
-    placed = mixed("placed-star", roots)
+    links = confirmed("star", star).union(_one_document(some, classes, kept))
+    # One step of the way to components is enough here: a class goes with its most central linked head.
+    rank = postings.select(F.col("node").alias("a"), "alone", "seldom").distinct()
+    hubs = links.join(rank, "a", "left").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("alone", "seldom", "a")).alias("hub")).select("node", F.col("hub.a").alias("root"))
+    placed = mixed("placed-star", hubs)
     picked = F.min(F.struct(F.xxhash64("node", "value").alias("h"), *thin_detail)).alias("pick")  # another one for each posting
     members = placed.where("root = main").groupBy("value").agg(picked)
     spread = near_heads(placed.where("root <> main"), members.select("value", *first_of("pick")))
     spread = kept("spread", spread.join(star, ["a", "b"], "left_anti"))
     if not spread.isEmpty():
         links = links.union(confirmed("spread", spread))
-        roots = components(links, f"{folder}/roots-spread")
-        placed = mixed("placed-spread", roots)
+    roots = components(links, f"{folder}/roots")
+    placed = mixed("placed-spread", roots)
+    cleared("placed-star")
 
     placed = kept("placed", with_detail(placed.select("value", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "root")]), "y"))
     x = placed.where("y_root <> main").select("value", *[F.col(f"y_{c}").alias(f"x_{c}") for c in ("node", "root", *detail)])
@@ -313,14 +312,14 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     more = kept("more", more.join(known_pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         new = confirmed("more", more)
+        cleared("placed", "placed-spread", "more", "spread", "star")
         if not new.isEmpty():
             roots = components(links.union(new), f"{folder}/roots-more")
 
     linked = roots.join(classes.select("node", "id"), "node")
     least = linked.groupBy("root").agg(F.min("id").alias("component"))
     known = kept("known", classes.select("k1", "k2", "node", "id").join(linked.join(least, "root").select("node", "component"), "node", "left").select("k1", "k2", F.coalesce("component", "id").alias("root")))
-    steps = [f"{name}{part}" for name in ("star", "spread", "more") for part in ("", "-wanted", "-grams", "-grams-once", "-links")]
-    dropped(spark, *(f"{folder}/{name}" for name in ("classes", "nodes", "postings", "several", "placed", "placed-star", "placed-spread", "roots-star", "roots-spread", "roots-more", *steps)))
+    cleared("classes", "nodes", "postings", "several", "star", "star-links", "spread", "spread-links", "more", "more-links", "placed", "placed-spread", "roots", "roots-more")
     dealt = rows.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     joined = dealt.join(salted, ["k1", "k2", "salt"], "left").select("doc_id", "n", "root")

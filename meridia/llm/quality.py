@@ -90,9 +90,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, label: str = "qual
             found = [np.unique(grams(x), return_counts=True) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([f[i].astype("<u4").tobytes() for f in found], pa.binary()) for i in (0, 1))], names=["doc_id", "y", "at", "n"])
 
-    got = mapped(drawn.select("doc_id", "text", F.col("y").cast("int").alias("y")), run, "doc_id long, y int, at binary, n binary", __name__).toPandas().sort_values(["doc_id", "y"], kind="stable")
-    data = [(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(n, "<u4")) for a, n in zip(got["at"], got["n"], strict=True)]
-    return ftrl([(at, SCALE * n / max(1, n.sum())) for at, n in data], got["y"].tolist(), epochs, alpha, beta, l1, l2, seed)
+    got = mapped(drawn.select("doc_id", "text", F.col("y").cast("int").alias("y")), run, "doc_id long, y int, at binary, n binary", __name__).toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    data = [(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(n.as_buffer(), "<u4")) for a, n in zip(got["at"], got["n"], strict=True)]
+    return ftrl([(at, (SCALE / max(1, int(n.sum())) * n).astype(np.float32)) for at, n in data], got["y"].to_pylist(), epochs, alpha, beta, l1, l2, seed)
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: list[int], epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> Model:

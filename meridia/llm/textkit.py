@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -50,11 +51,16 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 def dropped(spark: SparkSession, *folders: str) -> None:
-    """Removes folders of the shared folder that no table reads any more."""
+    """Removes folders of the shared folder that no table reads any more.
+
+    Shuffle files and broadcasts of the steps that wrote them go when the driver collects its garbage, which is asked for.
+    """
     jvm = spark._jvm
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def chunks(text: str) -> list[str]:
