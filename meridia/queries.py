@@ -22,17 +22,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(F.col(f"`{n}`"), DIGITS) + 0.0).alias(n) if k in ("double", "float") else F.col(f"`{n}`") for n, k in df.dtypes])
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return df.select(*[(F.round(F.col(f"`{n}`"), digits) + 0.0).alias(n) if k in ("double", "float") else F.col(f"`{n}`") for n, k in df.dtypes])
 
 
-def query(views: str = "", sql: str | None = None, recursive: bool = False):  # noqa: ANN201
-    """Registers a function of (spark, sf_dir); `views` are the names of the WITH parts that its SQL starts with."""
+def query(views: str = "", sql: str | None = None, recursive: bool = False, digits: int = DIGITS):  # noqa: ANN201
+    """Registers a function of (spark, sf_dir); `views` are the names of the WITH parts that its SQL starts with.
+
+    `digits`: fewer for numbers that come from iterations, which engines end at other last digits.
+    """
 
     def register(f: Callable[[SparkSession, str], DataFrame]):  # noqa: ANN202
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql is not None:
-            text = re.sub(r"R\[([^\[\]]*)\]", rf"(round(\1, {DIGITS}) + 0.0)", sql.strip())
+            text = re.sub(r"R\[([^\[\]]*)\]", rf"(round(\1, {digits}) + 0.0)", sql.strip())
             parts = ", ".join(tv.SQL[v] for v in views.split())
             if parts:
                 word = "WITH RECURSIVE" if recursive else "WITH"
@@ -109,7 +112,19 @@ def clip_to_polygon(spark, sf_dir):
     return spatial.clip(inside.where("abs(abs(x) + abs(y) - 60) > 1e-9"), [diamond]).select("id")
 
 
-@query()
+_STEP = """SELECT *, sqrt(power(cu2*sin(lam), 2)+power(cu1*su2-su1*cu2*cos(lam), 2)) AS ss, su1*su2+cu1*cu2*cos(lam) AS cs FROM {t}"""
+_SIDE = """SELECT *, atan2(ss, cs) AS sg, CASE WHEN ss = 0 THEN 0 ELSE cu1*cu2*sin(lam)/ss END AS sa FROM ({s})"""
+_MID = """SELECT *, 1-sa*sa AS c2, CASE WHEN 1-sa*sa < 1e-15 THEN 0 ELSE cs-2*su1*su2/(1-sa*sa) END AS cm FROM ({s})"""
+_INVERSE = _MID.format(s=_SIDE.format(s=_STEP.format(t="{t}")))
+
+
+@query("p q", f"""
+WITH k AS (SELECT 6378.137 AS a, 1/298.257223563 AS f, 6378.137*(1-1/298.257223563) AS b), u AS (SELECT id, atan((1-f)*tan(radians(py))) AS u1, atan((1-f)*tan(radians(y))) AS u2, radians(x-px) AS l FROM q, k),
+it AS (SELECT 0 AS i, id, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2, l, l AS lam FROM u
+ UNION ALL SELECT i+1, id, su1, cu1, su2, cu2, l, l+(1-c)*f*sa*(sg+c*ss*(cm+c*cs*(-1+2*cm*cm))) FROM (SELECT *, f/16*c2*(4+f*(4-3*c2)) AS c FROM ({_INVERSE.format(t="it")}), k) WHERE i < 20),
+e AS (SELECT *, c2*(a*a-b*b)/(b*b) AS w FROM ({_INVERSE.format(t="(SELECT * FROM it WHERE i = 20)")}), k),
+g AS (SELECT *, 1+w/16384*(4096+w*(-768+w*(320-175*w))) AS ga, w/1024*(256+w*(-128+w*(74-47*w))) AS gb FROM e)
+SELECT id, R[b*ga*(sg-gb*ss*(cm+gb/4*(cs*(-1+2*cm*cm)-gb/6*cm*(-3+4*ss*ss)*(-3+4*cm*cm))))] AS geodesic_error FROM g""", recursive=True)
 def geodesic(spark, sf_dir):
     p = tv.pairs(spark, sf_dir).select("id", F.col("px").alias("x_mean"), F.col("py").alias("y_mean"), F.col("x").alias("known_x"), F.col("y").alias("known_y"))
     return summary.geodesic_error(p).select("id", "geodesic_error")
@@ -738,13 +753,27 @@ def r_squared(spark, sf_dir):
     return outliers.r_squared(tv.pairs(spark, sf_dir), [("px", "x"), ("py", "y")])
 
 
-@query()
+#: The gamma law of t(id, d) in SQL: shape by bisection of ln k - psi(k) = ln mean - mean ln, tail by its power series.
+_PSI = "(ln({k}+10)-1/(2*({k}+10))-1/(12*power({k}+10, 2))+1/(120*power({k}+10, 4))-1/(252*power({k}+10, 6))+1/(240*power({k}+10, 8))-1/(132*power({k}+10, 10))-list_sum(list_transform(range(10), lambda i: 1/({k}+i))))"
+_LAW = f"""
+m AS (SELECT avg(d) AS mean, ln(avg(d))-avg(ln(d)) AS s FROM t WHERE d > 0),
+cuts AS (SELECT 0 AS step, CAST(1e-3 AS DOUBLE) AS lo, CAST(1e6 AS DOUBLE) AS hi FROM m UNION ALL SELECT step+1, CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid END FROM (SELECT step, lo, hi, mid, ln(mid)-{_PSI.format(k="mid")} > s AS over FROM (SELECT *, sqrt(lo*hi) AS mid FROM cuts, m) WHERE step < 110)),
+law AS (SELECT sqrt(lo*hi) AS shape, sqrt(lo*hi)/mean AS rate FROM cuts, m WHERE step = 110)"""
+_CDF = "exp(-{z}+shape*ln(greatest({z}, 1e-300)))*list_sum(list_transform(range(400), lambda n: exp(n*ln(greatest({z}, 1e-300))-lgamma(shape+n+1))))"
+_TAIL = f"{_LAW}, u AS (SELECT id, d, 1-{_CDF.format(z='d*rate')} AS p FROM t, law) SELECT id, R[d] AS d, R[p] AS p, p < 0.05 AS is_outlier FROM u"
+
+
+@query("p q e", f"WITH t AS (SELECT id, km AS d FROM e), {_TAIL}", recursive=True, digits=6)
 def gamma_outliers(spark, sf_dir):
     e = metrics.errors(tv.pairs(spark, sf_dir)).select("id", F.col("km").alias("d"))
     return outliers.gamma_p(e, *outliers.fit_gamma(e), 0.05)
 
 
-@query()
+@query("p q e", f"""
+WITH t AS (SELECT id, km AS d FROM e), {_LAW},
+tops AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(2000 AS DOUBLE) AS hi UNION ALL SELECT step+1, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END FROM (SELECT step, lo, hi, mid, {_CDF.format(z='mid*rate')} < 0.95 AS below FROM (SELECT *, (lo+hi)/2 AS mid FROM tops, law) WHERE step < 70)),
+c AS (SELECT (lo+hi)/2 AS critical FROM tops WHERE step = 70), x AS (SELECT i*(1.5*critical/999) AS d, critical, shape, rate FROM (SELECT unnest(range(1000)) AS i), c, law)
+SELECT R[d] AS d, R[exp((shape-1)*ln(greatest(d, 1e-12))-d*rate+(shape*ln(rate)-lgamma(shape)))] AS density, R[critical] AS critical FROM x""", recursive=True, digits=6)
 def gamma_curve(spark, sf_dir):
     e = metrics.errors(tv.pairs(spark, sf_dir)).select("id", F.col("km").alias("d"))
     return outliers.gamma_curve(spark, *outliers.fit_gamma(e), 0.05)
@@ -754,12 +783,18 @@ def _placed(spark, sf_dir):  # noqa: ANN001, ANN202
     return tv.vectors(spark, sf_dir).join(tv.points(spark, sf_dir).select("id", "x", "y"), "id").select("id", "x", "y", "features")
 
 
-@query()
+@query("p v", f"""
+WITH w AS (SELECT id, list(f ORDER BY k) AS f FROM v WHERE id IN (SELECT id FROM p) GROUP BY 1), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr_id) AS r FROM (SELECT a.id, b.id AS nbr_id, list_distance(a.f, b.f) AS dist FROM w a, w b WHERE a.id <> b.id)) WHERE r <= 5),
+s AS (SELECT n.id, sum(b.x/power(dist+1e-8, 2))/sum(1/power(dist+1e-8, 2)) AS px, sum(b.y/power(dist+1e-8, 2))/sum(1/power(dist+1e-8, 2)) AS py FROM n JOIN p b ON b.id = nbr_id GROUP BY 1),
+o AS (SELECT s.id, greatest({_hav('px', 'py', 'x', 'y')}/100, 1e-8) AS d FROM s JOIN p ON p.id = s.id), top AS (SELECT max(d) AS top FROM o),
+t AS (SELECT id, CASE WHEN top > 20 THEN d/power(10, ceil(log10(top/20)-1e-12)) ELSE d END AS d FROM o, top), {_TAIL}""", recursive=True, digits=6)
 def outliers_geographic(spark, sf_dir):
     return outliers.detect(_placed(spark, sf_dir), "geographic", 5, 0.05)
 
 
-@query()
+@query("p v", f"""
+WITH o AS (SELECT * FROM p WHERE id IN (SELECT id FROM v)), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr_id) AS r FROM (SELECT a.id, b.id AS nbr_id, {_hav('a.x', 'a.y', 'b.x', 'b.y')} AS dist FROM o a, o b WHERE a.id <> b.id) WHERE dist >= 1) WHERE r <= 5),
+s AS (SELECT n.id, v.k, sum(f/power(dist+1e-8, 2))/sum(1/power(dist+1e-8, 2)) AS pf FROM n JOIN v ON v.id = nbr_id GROUP BY 1, 2), t AS (SELECT s.id, avg(power(pf-f, 2)) AS d FROM s JOIN v ON v.id = s.id AND v.k = s.k GROUP BY 1), {_TAIL}""", recursive=True, digits=6)
 def outliers_genetic(spark, sf_dir):
     return outliers.detect(_placed(spark, sf_dir), "genetic", 5, 0.05)
 
@@ -822,9 +857,14 @@ def kriging(spark, sf_dir):
     return spatial.kriging_surface(metrics.errors(tv.pairs(spark, sf_dir)), "km")
 
 
-@query()
+@query("p q e", """
+WITH t AS (SELECT abs(y)/90 AS x, km AS y FROM e), a AS (SELECT avg(x) AS m, avg(x*x) AS a2, avg(x*x*x) AS a3, avg(y) AS my, corr(x, y) AS r FROM t),
+p1 AS (SELECT x, y, x-m AS p1 FROM t, a), f1 AS (SELECT avg(x*x*p1)/avg(p1*p1) AS b, avg(x*x*x*p1)/avg(p1*p1) AS g, avg(y*p1)/avg(p1*p1) AS c1 FROM p1),
+p2 AS (SELECT x, y, p1, x*x-a2-b*p1 AS p2 FROM p1, a, f1), f2 AS (SELECT avg(x*x*x*p2)/avg(p2*p2) AS d, avg(y*p2)/avg(p2*p2) AS c2 FROM p2),
+p3 AS (SELECT y, x*x*x-a3-g*p1-d*p2 AS p3 FROM p2, a, f1, f2), f3 AS (SELECT avg(y*p3)/avg(p3*p3) AS c3 FROM p3)
+SELECT R[my-c1*m+c2*(b*m-a2)+c3*(g*m-a3-d*(b*m-a2))] AS b0, R[c1-c2*b+c3*(d*b-g)] AS b1, R[c2-c3*d] AS b2, R[c3] AS b3, R[r] AS r FROM a, f1, f2, f3""")
 def cubic_regression(spark, sf_dir):
-    return spatial.cubic_regression(metrics.errors(tv.pairs(spark, sf_dir)).withColumn("s", F.abs("y") / 90), "s", "km")
+    return spatial.cubic_regression(metrics.errors(tv.pairs(spark, sf_dir)).withColumn("s", F.abs("y") / 90), "s", "km").drop("p")
 
 
 @query()
@@ -946,7 +986,11 @@ def box_statistics(spark, sf_dir):
     return resample.box_statistics(metrics.errors(tv.pairs(spark, sf_dir)), "km", ["g"])
 
 
-@query()
+#: Quantiles of the normal law, for SQL.
+_Z = ", ".join(f"({i}, {kernels.normal_quantile(i / 100)!r})" for i in range(1, 100))
+
+
+@query("p q e", f"WITH z(i, z) AS (VALUES {_Z}), s AS (SELECT avg(km) AS m, stddev_pop(km) AS s, quantile_cont(km, list_value({', '.join(f'{i}/100.0' for i in range(1, 100))})) AS q FROM e) SELECT R[i/100.0] AS p, R[m+s*z] AS normal, R[list_extract(q, i)] AS observed FROM z, s")
 def quantile_plot(spark, sf_dir):
     return resample.quantile_plot(metrics.errors(tv.pairs(spark, sf_dir)), "km")
 
