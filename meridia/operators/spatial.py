@@ -93,17 +93,24 @@ def kriging_surface(points: DataFrame, value: str, cells: int = 100, buffer: flo
 
 
 def convex_hull(points: DataFrame, by: str) -> DataFrame:
-    """(group, i, x, y): corners of each group's hull. Each task reduces its points first, so no group is gathered whole."""
+    """(group, i, x, y): corners of each group's hull, from the smallest (x, y) on, against the clock; a place where it turns by less than 1e-9 isn't one.
+
+    Each task reduces its points first, so no group is gathered whole.
+    """
 
     def hull(p: np.ndarray) -> np.ndarray:
         p = np.unique(p, axis=0)
         if len(p) < 3:
             return p
 
+        def turn(o, a, b):  # noqa: ANN001, ANN202
+            u, v = a - o, b - o
+            return (u[0] * v[1] - u[1] * v[0]) / (np.hypot(*u) * np.hypot(*v))
+
         def half(q):  # noqa: ANN001, ANN202
             out = []
             for a in q:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (a[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (a[0] - out[-2][0]) <= 0:
+                while len(out) > 1 and turn(out[-2], out[-1], a) <= 1e-9:
                     out.pop()
                 out.append(a)
             return out[:-1]

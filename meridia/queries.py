@@ -458,10 +458,20 @@ def metrics_distance_by_group(spark, sf_dir):
     return metrics.distance_metrics(metrics.errors(tv.pairs(spark, sf_dir)), ["g"])
 
 
-_RANKS = """
-WITH a AS (SELECT x, px, y, py, rank() OVER (ORDER BY x)+(count(*) OVER (PARTITION BY x)-1)/2.0 AS rx, rank() OVER (ORDER BY px)+(count(*) OVER (PARTITION BY px)-1)/2.0 AS rpx, rank() OVER (ORDER BY y)+(count(*) OVER (PARTITION BY y)-1)/2.0 AS ry, rank() OVER (ORDER BY py)+(count(*) OVER (PARTITION BY py)-1)/2.0 AS rpy FROM q),
-f AS (SELECT x AS t, px AS p FROM q UNION ALL SELECT y, py FROM q), g AS (SELECT rank() OVER (ORDER BY t)+(count(*) OVER (PARTITION BY t)-1)/2.0 AS rt, rank() OVER (ORDER BY p)+(count(*) OVER (PARTITION BY p)-1)/2.0 AS rp FROM f)
-SELECT R[corr(x, px)] AS pearson_corr_longitude, R[corr(y, py)] AS pearson_corr_latitude, R[corr(rx, rpx)] AS spearman_corr_longitude, R[corr(ry, rpy)] AS spearman_corr_latitude, count(*) AS n, R[(SELECT corr(rt, rp) FROM g)] AS rho FROM a"""
+
+
+def _ranks(g: str = "") -> str:
+    """Pearson's and Spearman's correlations, of all rows or by a column."""
+    part, also, first = (f"PARTITION BY {g} ", f"{g}, ", f"{g}, ") if g else ("", "", "")
+    rank = lambda c: f"rank() OVER ({part}ORDER BY {c})+(count(*) OVER (PARTITION BY {also}{c})-1)/2.0"
+    by = f" GROUP BY {g}" if g else ""
+    return f"""
+WITH a AS (SELECT {first}x, px, y, py, {rank('x')} AS rx, {rank('px')} AS rpx, {rank('y')} AS ry, {rank('py')} AS rpy FROM q),
+f AS (SELECT {first}x AS t, px AS p FROM q UNION ALL SELECT {first}y, py FROM q), w AS (SELECT {first}{rank('t')} AS rt, {rank('p')} AS rp FROM f), o AS (SELECT {first}corr(rt, rp) AS rho FROM w{by})
+SELECT {f'a.{g}, ' if g else ''}R[corr(x, px)] AS pearson_corr_longitude, R[corr(y, py)] AS pearson_corr_latitude, R[corr(rx, rpx)] AS spearman_corr_longitude, R[corr(ry, rpy)] AS spearman_corr_latitude, count(*) AS n, R[any_value(rho)] AS rho FROM a JOIN o ON {f'o.{g} = a.{g}' if g else 'true'}{f' GROUP BY a.{g}' if g else ''}"""
+
+
+_RANKS = _ranks()
 
 
 @query("p q", _RANKS)
@@ -469,10 +479,38 @@ def metrics_correlations(spark, sf_dir):
     return metrics.correlations(metrics.errors(tv.pairs(spark, sf_dir)))
 
 
-_KOLMOGOROV = """
-WITH m AS (SELECT avg(km) AS m, stddev_pop(km) AS s, count(*) AS n FROM e), r AS (SELECT km, m, s, n, row_number() OVER (ORDER BY km) AS i, abs(km-m)/s/sqrt(2.0) AS x FROM e, m),
+def _kolmogorov(g: str = "") -> str:
+    """The largest gap to the normal distribution, whose error function is a series of positive terms; of all rows or by a column."""
+    key, by, part = (f"{g}, ", f" GROUP BY {g}", f"PARTITION BY {g} ") if g else ("", "", "")
+    return f"""
+WITH m AS (SELECT {key}avg(km) AS m, stddev_pop(km) AS s, count(*) AS n FROM e{by}), r AS (SELECT {f'e.{g}, ' if g else ''}km, m, s, n, row_number() OVER ({part.replace(g, 'e.' + g) if g else ''}ORDER BY km) AS i, abs(km-m)/s/sqrt(2.0) AS x FROM e JOIN m ON {f'm.{g} = e.{g}' if g else 'true'}),
 c AS (SELECT *, 0.5+0.5*sign(km-m)*2/sqrt(pi())*exp(-x*x)*list_sum(list_transform(range(120), lambda k: exp((2*k+1)*ln(greatest(x, 1e-300))-lgamma(2*k+3)+(2*k+1)*ln(2.0)+lgamma(k+2)))) AS f FROM r)
-SELECT R[max(greatest(i/CAST(n AS DOUBLE)-f, f-(i-1)/CAST(n AS DOUBLE)))] AS kolmogorov_smirnov, max(n) AS n FROM c"""
+SELECT {key}R[max(greatest(i/CAST(n AS DOUBLE)-f, f-(i-1)/CAST(n AS DOUBLE)))] AS kolmogorov_smirnov, max(n) AS n FROM c{by}"""
+
+
+_KOLMOGOROV = _kolmogorov()
+
+
+def _correlation_p(r: str, n: str) -> str:
+    """The two-sided p-value of a correlation: the regularised incomplete beta function of 1 - r^2, by its series."""
+    x, a = f"greatest(1-{r}*{r}, 1e-300)", f"(({n}-2)/2.0)"
+    return f"exp({a}*ln({x})+0.5*ln(greatest(1-{x}, 1e-300))+lgamma({a}+0.5)-lgamma({a}+1)-lgamma(0.5))*list_sum(list_transform(range(400), lambda i: exp(i*ln({x})+lgamma({a}+0.5+i)-lgamma({a}+0.5)-lgamma({a}+1+i)+lgamma({a}+1))))"
+
+
+def _kolmogorov_p(d: str, n: str) -> str:
+    z = f"({d}*(sqrt({n})+0.12+0.11/sqrt({n})))"
+    return f"CASE WHEN {z} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2*list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k%2 = 1 THEN 1 ELSE -1 END)*exp(-2*k*k*{z}*{z}))))) END"
+
+
+def _all_metrics(g: str = "") -> str:
+    d = _DISTANCE.format(g=f"{g},", by=f"GROUP BY {g}", sg=f"e.{g},", on=f"ON e.{g} = s.{g}", sby=f"GROUP BY e.{g}") if g else _DISTANCE.format(g="", by="", sg="", on="ON true", sby="")
+    own = lambda sql: sql.replace("R[", "(").replace("] AS", ") AS")  # noqa: E731  unrounded: p-values follow from them
+    on = lambda t: f"ON {t}.{g} = d.{g}" if g else "ON true"
+    plain = ["root_mean_squared_error", "mean_dist", "median_dist", "stdev_dist", "skewness", "mad_haversine", "coefficient_of_variation", "interquartile_range", "percentile_25", "percentile_50", "percentile_75", "percent_within_20km", "percent_within_50km", "percent_within_75km", "mean_absolute_z_score"]
+    pairs = [(f"{kind}_corr_{axis}", f"{kind}_pvalue_{axis}", "d.n") for kind in ("spearman", "pearson") for axis in ("longitude", "latitude")] + [("rho", "rho_p", "(2*d.n)")]
+    parts = [f"R[d.{c}] AS {c}" for c in plain] + [f"R[c.{r}] AS {r}, R[{_correlation_p('c.' + r, n)}] AS {p}" for r, p, n in pairs]
+    parts.append(f"R[k.kolmogorov_smirnov] AS kolmogorov_smirnov, R[{_kolmogorov_p('k.kolmogorov_smirnov', 'd.n')}] AS kolmogorov_smirnov_pval")
+    return f"SELECT {f'd.{g}, ' if g else ''}{', '.join(parts)} FROM ({own(d)}) d JOIN ({own(_kolmogorov(g))}) k {on('k')} JOIN ({own(_ranks(g))}) c {on('c')}"
 
 
 @query("p q e", _KOLMOGOROV)
@@ -485,12 +523,12 @@ def metrics_without_p_values(spark, sf_dir):
     return metrics.joined_metrics(metrics.errors(tv.pairs(spark, sf_dir)))
 
 
-@query()
+@query("p q e", _all_metrics())
 def metrics_all(spark, sf_dir):
     return metrics.all_metrics(tv.pairs(spark, sf_dir))
 
 
-@query()
+@query("p q e", _all_metrics("g"))
 def metrics_all_by_group(spark, sf_dir):
     return metrics.all_metrics(tv.pairs(spark, sf_dir), ["g"])
 
@@ -679,7 +717,16 @@ def quantile_thresholds(spark, sf_dir):
     return density.quantile_thresholds(tv.table(spark, sf_dir, "events"), "value", 6)
 
 
-@query()
+_JENKS = ", ".join(f"d{c} AS (SELECT b.j, min(a.t+b.cq-a.cq-power(b.cs-a.cs, 2)/(b.cw-a.cw)) AS t, arg_min(a.j, a.t+b.cq-a.cq-power(b.cs-a.cs, 2)/(b.cw-a.cw)) AS cut, any_value(b.cw) AS cw, any_value(b.cs) AS cs, any_value(b.cq) AS cq FROM d{c - 1} a JOIN d1 b ON a.j < b.j GROUP BY 1)" for c in range(2, 6))
+
+
+@query("", f"""
+WITH c AS (SELECT value AS v, CAST(count(*) AS DOUBLE) AS w FROM events WHERE value IS NOT NULL GROUP BY 1), z AS (SELECT v, w, v-(SELECT avg(value) FROM events) AS z, row_number() OVER (ORDER BY v) AS j FROM c),
+s AS (SELECT v, j, sum(w) OVER o AS cw, sum(w*z) OVER o AS cs, sum(w*z*z) OVER o AS cq FROM z WINDOW o AS (ORDER BY j ROWS UNBOUNDED PRECEDING)),
+d1 AS (SELECT j, cq-cs*cs/cw AS t, CAST(0 AS BIGINT) AS cut, cw, cs, cq FROM s), {_JENKS},
+e5 AS (SELECT max(j) AS j FROM d5), e4 AS (SELECT cut AS j FROM d5 WHERE j = (SELECT j FROM e5)), e3 AS (SELECT cut AS j FROM d4 WHERE j = (SELECT j FROM e4)), e2 AS (SELECT cut AS j FROM d3 WHERE j = (SELECT j FROM e3)), e1 AS (SELECT cut AS j FROM d2 WHERE j = (SELECT j FROM e2)),
+ends AS (SELECT 0 AS i, CAST(1 AS BIGINT) AS j UNION ALL SELECT 1, j FROM e1 UNION ALL SELECT 2, j FROM e2 UNION ALL SELECT 3, j FROM e3 UNION ALL SELECT 4, j FROM e4 UNION ALL SELECT 5, j FROM e5)
+SELECT CAST(i AS INTEGER) AS i, R[v] AS threshold FROM ends JOIN s ON s.j = ends.j""")
 def jenks_breaks(spark, sf_dir):
     t = density.jenks_thresholds(tv.table(spark, sf_dir, "events"), "value", 5)
     return spark.createDataFrame(list(enumerate(t)), "i int, threshold double")
@@ -867,7 +914,12 @@ def cubic_regression(spark, sf_dir):
     return spatial.cubic_regression(metrics.errors(tv.pairs(spark, sf_dir)).withColumn("s", F.abs("y") / 90), "s", "km").drop("p")
 
 
-@query()
+@query("p", """
+WITH u AS (SELECT DISTINCT g, x, y FROM p), a AS (SELECT o.g, o.x, o.y, atan2(t.y-o.y, t.x-o.x) AS t FROM u o JOIN u t ON t.g = o.g AND (t.x <> o.x OR t.y <> o.y)),
+n AS (SELECT g, x, y, t, lead(t) OVER w AS nxt, first_value(t) OVER w AS t0 FROM a WINDOW w AS (PARTITION BY g, x, y ORDER BY t)),
+c AS (SELECT g, x, y FROM n GROUP BY 1, 2, 3 HAVING max(coalesce(nxt-t, t0+2*pi()-t)) > pi()+1e-9), m AS (SELECT g, avg(x) AS cx, avg(y) AS cy, min(struct_pack(x := x, y := y)) AS low FROM c GROUP BY 1),
+r AS (SELECT c.*, atan2(y-cy, x-cx)-atan2(low.y-cy, low.x-cx) AS turn FROM c JOIN m ON m.g = c.g)
+SELECT g, CAST(row_number() OVER (PARTITION BY g ORDER BY CASE WHEN turn < 0 THEN turn+2*pi() ELSE turn END)-1 AS INTEGER) AS i, R[x] AS x, R[y] AS y FROM r""")
 def convex_hull(spark, sf_dir):
     return spatial.convex_hull(tv.points(spark, sf_dir), "g")
 
