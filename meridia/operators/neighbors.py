@@ -93,17 +93,22 @@ def near_pairs(left: DataFrame, right: DataFrame, reach_km: float) -> DataFrame:
     return both.withColumn("dist", haversine_km(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).where(F.col("dist") <= reach_km)
 
 
-def nearest_vectors(points: DataFrame, k: int, with_self: bool = False, block: int = 4096, others: DataFrame | None = None, within: str | None = None) -> DataFrame:
+def nearest_vectors(points: DataFrame, k: int, with_self: bool = False, block: int | None = None, others: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """(id, nbr_id, rank, dist) of the k nearest of (id, features) by Euclidean distance, ties by id.
 
-    `others` is cut into blocks of about `block` vectors; each pair of a block of rows and a block of others is one small
-    matrix product, and k candidates a row go on. With `within` rows look among those with the same value of that column.
+    Both sides are cut into blocks of about `block` vectors: by default at most 32,768, and at least 4,096 unless the session has
+    more cores than pairs of blocks. A task holds one pair of blocks and gives k candidates a row, so a row is copied as
+    often as there are blocks. With `within` rows look among those with the same value of that column.
     """
     base = points if others is None else others
     n = base.count()
     if not n:
         return points.sparkSession.createDataFrame([], NEIGHBOURS)
-    parts = -(-n // block)
+    if block is None:
+        wanted = math.isqrt(4 * points.sparkSession.sparkContext.defaultParallelism) + 1
+        parts = max(-(-n // 32_768), min(-(-n // 4096), wanted))
+    else:
+        parts = -(-n // block)
     kind = F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit("null"))
     cut = lambda df, name: df.select(F.col("id").alias(name), F.col("features").cast("array<double>").alias("v"), kind.alias("g"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("b"))
     left = cut(points, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
