@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -90,10 +91,17 @@ def owned(owner: str, empty: Callable[[], object]) -> None:
 
 
 def claim(owner: str) -> None:
-    """Empties the tables of all other operators: a worker that goes on to another operator doesn't keep them."""
-    for other in [o for o in _TABLES if o != owner]:
+    """Empties the tables of all other operators and gives their memory back: a worker that goes on to another one doesn't keep them."""
+    others = [o for o in _TABLES if o != owner]
+    for other in others:
         for empty in _TABLES.pop(other):
             empty()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # small blocks stay with the process otherwise; only some C libraries have it
+        if trim is not None:
+            trim(0)
 
 
 class Memo(dict):
