@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meridia.llm import bpe, decontam, langid, neardup, quality
 from meridia.llm.queries import WORD_BPE, table
-from meridia.llm.textkit import free_name, shared_folder
+from meridia.llm.textkit import dropped, free_name, shared_folder
 
 #: Documents with a smaller chance of label 1 go.
 LEAST_QUALITY = 0.5
@@ -63,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             schema = docs.schema
             docs.write.mode("overwrite").parquet(f"{folder}/{k}")
             docs = spark.read.schema(schema).parquet(f"{folder}/{k}")
+            dropped(spark, *([f"{folder}/{k - 1}"] if k else []))
     return docs
