@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from meridia.functions import kernels
 from meridia.functions.geo import EARTH_KM, haversine_km, in_boxes
 from meridia.operators.neighbors import near_pairs
+from meridia.operators.summary import capped, quantiles
+from meridia.sources.folders import work_folder
 
 #: Kernel sums leave out points at which the gaussian is below exp(-36), or 2.4e-16.
 CUT = 8.5
@@ -36,8 +38,9 @@ def kernel_sums(points: DataFrame, bandwidth: float = 0.03) -> DataFrame:
 def kde_weights(sums: DataFrame, power: float = 1.0, share: float = 0.95) -> DataFrame:
     """(id, weight): 1 / (density + 1e-5)^power, capped at a percentile."""
     w = sums.select("id", (1.0 / F.pow(F.col("density") + 1e-5, F.lit(power))).alias("weight"))
-    top = w.agg(F.percentile("weight", F.lit(share)).alias("top"))
-    return w.crossJoin(F.broadcast(top)).select("id", F.least("weight", "top").alias("weight"))
+    folder = work_folder(w, "weights")
+    w.write.parquet(folder)  # the sums are computed once
+    return capped(w.sparkSession.read.schema(w.schema).parquet(folder), "weight", share)
 
 
 def cluster_weights(labels: DataFrame, label: str = "label") -> DataFrame:
@@ -123,8 +126,8 @@ def digitize(df: DataFrame, value: str, thresholds: list[float], name: str = "bi
 
 def quantile_thresholds(df: DataFrame, value: str, bins: int) -> DataFrame:
     """(i, threshold): the quantiles i / bins for i = 1 .. bins - 1."""
-    q = F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)]))
-    return df.agg(q.alias("q")).select(F.posexplode("q").alias("i", "threshold")).select((F.col("i") + 1).alias("i"), "threshold")
+    q = quantiles(df, value, [i / bins for i in range(1, bins)])
+    return df.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(q) if x is not None], "i int, threshold double")
 
 
 def jenks_thresholds(df: DataFrame, value: str, classes: int) -> list[float]:
@@ -168,9 +171,9 @@ def threshold_clusters(points: DataFrame, sums: DataFrame, silhouette: Callable[
     one side empty are left out.
     """
     shares = [p / 100 for p in percentiles]
-    cuts = sums.agg(F.percentile("density", F.array(*map(F.lit, shares))).alias("q")).head()["q"]
+    cuts = quantiles(sums, "density", shares)
     out = None
-    for p, cut in zip(percentiles, cuts or []):
+    for p, cut in zip(percentiles, cuts if cuts[0] is not None else []):
         labelled = points.join(sums, "id").select("id", (F.col("density") >= cut).cast("int").alias("label"), F.array("x", "y").alias("features"))
         one = silhouette(labelled).select(F.lit(p).alias("percentile"), F.lit(float(cut)).alias("threshold"), "silhouette")
         out = one if out is None else out.union(one)

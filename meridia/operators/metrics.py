@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import kernels
 from meridia.functions.geo import haversine_km
+from meridia.operators.summary import quantiles
 
 NAMES = ["root_mean_squared_error", "mean_dist", "median_dist", "stdev_dist", "kolmogorov_smirnov", "kolmogorov_smirnov_pval", "skewness", "rho", "rho_p", "spearman_corr_longitude", "spearman_corr_latitude", "spearman_pvalue_longitude", "spearman_pvalue_latitude", "pearson_corr_longitude", "pearson_corr_latitude", "pearson_pvalue_longitude", "pearson_pvalue_latitude", "mad_haversine", "coefficient_of_variation", "interquartile_range", "percentile_25", "percentile_50", "percentile_75", "percent_within_20km", "percent_within_50km", "percent_within_75km", "mean_absolute_z_score"]
 
@@ -27,9 +28,14 @@ def errors(pairs: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def distance_metrics(e: DataFrame, by: list[str] = (), within_20km: float = 25.0) -> DataFrame:
-    """Moments, percentiles and shares of `km`, a row for each group: two aggregations, no window over all rows."""
+    """Moments, percentiles and shares of `km`, a row for each group: two aggregations, no window over all rows.
+
+    Without groups the percentiles come from quantiles(), as one task can't hold all errors.
+    """
     by = list(by)
-    q = F.percentile("km", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    given = None if by else quantiles(e, "km", [0.25, 0.5, 0.75])
+    q = F.percentile("km", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if by else F.first(F.array(*[F.lit(x).cast("double") for x in given]))
+    away = F.median(F.abs(F.col("km") - F.col("q")[1])) if by else F.first(F.lit(None if given[1] is None else quantiles(e.select(F.abs(F.col("km") - given[1]).alias("d")), "d", [0.5])[0]).cast("double"))
     first = e.groupBy(*by).agg(
         F.count("km").alias("n"),
         F.sqrt(F.avg(F.col("km") * F.col("km"))).alias("root_mean_squared_error"),
@@ -41,7 +47,7 @@ def distance_metrics(e: DataFrame, by: list[str] = (), within_20km: float = 25.0
     joined = e.join(first, by) if by else e.crossJoin(F.broadcast(first))  # one row
     sd = F.nullif(F.col("stdev_dist"), F.lit(0.0))
     second = joined.groupBy(*by).agg(
-        F.median(F.abs(F.col("km") - F.col("q")[1])).alias("mad_haversine"),
+        away.alias("mad_haversine"),
         F.avg(F.pow((F.col("km") - F.col("mean_dist")) / sd, F.lit(3.0))).alias("skewness"),
         F.avg(F.abs((F.col("km") - F.col("mean_dist")) / sd)).alias("mean_absolute_z_score"),
     )

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.geo import haversine_km, inverse_distance, unit_vector
+from meridia.operators.summary import quantiles
 from meridia.sources.folders import work_folder
 
 NEIGHBOURS = "id long, nbr_id long, rank int, dist double"
@@ -156,7 +157,8 @@ def sweep_k(knn: DataFrame, values: DataFrame, truth: DataFrame, statistic: Colu
 
 def kth_distance(knn: DataFrame, k: int, share: float = 0.95) -> DataFrame:
     """The percentile of the k-th neighbours' distances: a radius for density clustering."""
-    return knn.where(F.col("rank") == k).agg(F.percentile("dist", F.lit(share)).alias("eps"))
+    q = quantiles(knn.where(F.col("rank") == k), "dist", [share])
+    return knn.sparkSession.createDataFrame([(q[0],)], "eps double")
 
 
 def nearest_label(asked: DataFrame, labelled: DataFrame, label: str) -> DataFrame:

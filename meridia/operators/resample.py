@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import kernels
 from meridia.operators.neighbors import nearest_vectors
+from meridia.operators.summary import quantiles
 
 
 def weighted_draws(rows: DataFrame, weight: str, draws: int, uniform: Column, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:
@@ -96,7 +97,8 @@ def box_statistics(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def quantile_plot(df: DataFrame, value: str, places: int = 99) -> DataFrame:
     """(p, normal, observed): observed quantiles beside those of a normal law with the same mean and deviation."""
     ps = [(i + 1) / (places + 1) for i in range(places)]
-    s = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.percentile(value, F.array(*map(F.lit, ps))).alias("q"))
+    q = quantiles(df, value, ps)
+    s = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).withColumn("q", F.array(*[F.lit(x).cast("double") for x in q]))
     z = F.array(*[F.lit(kernels.normal_quantile(p)) for p in ps])
     rows = s.select("m", "s", F.explode(F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), z.alias("z"), F.col("q"))).alias("r"))
     return rows.select("r.p", (F.col("m") + F.col("s") * F.col("r.z")).alias("normal"), F.col("r.q").alias("observed"))

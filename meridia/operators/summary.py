@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import kernels
 from meridia.functions.geo import haversine_km, unit_vector
+from meridia.sources.folders import work_folder
 
 
 def bootstrap(preds: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -117,8 +120,8 @@ def min_max(df: DataFrame, value: str, low: float = 1.0, high: float = 10.0, nam
 
 def capped(df: DataFrame, value: str, share: float = 0.95) -> DataFrame:
     """Values above a percentile become that percentile."""
-    s = df.agg(F.percentile(value, F.lit(share)).alias("__p"))
-    return df.crossJoin(F.broadcast(s)).withColumn(value, F.least(value, "__p")).drop("__p")
+    top = quantiles(df, value, [share])[0]
+    return df if top is None else df.withColumn(value, F.least(value, F.lit(top)))
 
 
 def gradient_argmin(curve: DataFrame, x: str, y: str) -> DataFrame:
@@ -148,3 +151,53 @@ def flat_names(df: DataFrame, by: list[str], columns: list[str], kinds: tuple[st
     """Several aggregates of several columns, each in one column called column_kind."""
     of = {"mean": F.avg, "median": F.median, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
     return df.groupBy(*by).agg(*[of[k](c).alias(f"{c}_{k}") for c in columns for k in kinds])
+
+
+#: Values up to which Spark's percentile is asked, or that are fetched from a narrow bin; bins of a round.
+FEW, NARROW, BINS = 2_000_000, 10_000, 4096
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], few: int = FEW) -> list[float | None]:
+    """The exact quantiles of a column, with linear interpolation; nulls don't count, and without values all are None.
+
+    Up to `few` values are one aggregation. More are counted in bins between the extremes, then in finer bins of those that
+    hold the wanted places, until such a bin has few values or one: no task holds all different values. Both ways give the
+    same numbers. The values are written once to the shared folder.
+    """
+    spark, folder = df.sparkSession, work_folder(df, "quantiles")
+    df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).write.parquet(folder)
+    v = spark.read.schema("v double").parquet(folder)
+    n = v.count()
+    if not n:
+        return [None] * len(shares)
+    if n <= few:
+        return list(v.agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("q")).head()["q"])
+    places = sorted({k for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
+    low, high = v.agg(F.min("v"), F.max("v")).head()
+    open_parts, found = [(low, high, 0, places)], {}
+    while open_parts:
+        part, bin_ = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for i, (a, b, _, _) in enumerate(open_parts):  # at most two a share
+            inside = F.col("v").between(a, b)
+            part = F.when(inside, i).otherwise(part)
+            bin_ = F.when(inside, F.least(F.floor((F.col("v") - a) / (b - a) * BINS), F.lit(BINS - 1)) if b > a else F.lit(0)).otherwise(bin_)
+        counts = v.select("v", part.alias("part"), bin_.alias("bin")).where("part is not null").groupBy("part", "bin").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("part", "bin").collect()  # at most BINS a part
+        finer = []
+        for i, (_, _, before, wanted) in enumerate(open_parts):
+            for r in (r for r in counts if r["part"] == i):
+                own = [k for k in wanted if before <= k < before + r["n"]]
+                if own and r["a"] == r["b"]:
+                    found |= dict.fromkeys(own, r["a"])
+                elif own and r["n"] <= NARROW:
+                    values = sorted(x["v"] for x in v.where(F.col("v").between(r["a"], r["b"])).collect())
+                    found |= {k: values[k - before] for k in own}
+                elif own:
+                    finer.append((r["a"], r["b"], before, own))
+                before += r["n"]
+        open_parts = finer
+    out = []
+    for s in shares:
+        k = s * (n - 1)
+        a, b = found[math.floor(k)], found[math.ceil(k)]
+        out.append(a if a == b else a + (b - a) * (k - math.floor(k)))
+    return out

@@ -529,3 +529,14 @@ def test_gamma_law_of_arrays():
     x = np.array([np.nan, -1, 0, 0.1, 1, 5, 20, 200, np.inf])
     got = kernels.gamma_cdf_of(x, 2.5, 0.7)
     assert np.isnan(got[0]) and (np.diff(got[1:]) >= 0).all() and got[-1] == 1 and abs(kernels.gamma_cdf(kernels.gamma_ppf(0.3, 2.5, 0.7), 2.5, 0.7) - 0.3) < 1e-9
+
+
+def test_quantiles_by_bins_equal_those_of_one_task(spark):
+    rng = np.random.default_rng(10)
+    values = np.concatenate([rng.lognormal(0, 4, 30_000), np.full(20_000, 3.25), rng.integers(0, 5, 1000)])
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "v double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.61803, 0.95, 1.0]
+    got, plain = summary.quantiles(df, "v", shares, few=0), summary.quantiles(df, "v", shares)
+    assert np.allclose(got, np.quantile(values, shares), rtol=1e-12) and np.allclose(got, plain, rtol=1e-12)
+    assert summary.quantiles(df.where("v is null"), "v", [0.5]) == [None]
+    assert summary.quantiles(df.where("v = 3.25"), "v", [0.3], few=0) == [3.25]
