@@ -58,13 +58,18 @@ def in_boxes(lon: Column, lat: Column, boxes: list[tuple[float, float, float, fl
 
 
 def in_ring(lon: Column, lat: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point lies in the polygon of the ring, by counting crossings of a ray."""
-    crossings = F.lit(0)
+    """Whether a point lies in the polygon of the ring, by counting crossings of a ray; points within 1e-9 of its border do."""
+    crossings, border = F.lit(0), F.lit(False)
     for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
+        length = ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5
+        if length:
+            away = F.abs((lat - y1) * (x2 - x1) - (lon - x1) * (y2 - y1)) / length
+            along = ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / length
+            border = border | ((away <= 1e-9) & along.between(-1e-9, length + 1e-9))
         if y1 != y2:
             low, high = min(y1, y2), max(y1, y2)
             crossings = crossings + ((lat >= low) & (lat < high) & (lon < (lat - y1) * ((x2 - x1) / (y2 - y1)) + x1)).cast("int")
-    return crossings % 2 == 1
+    return border | (crossings % 2 == 1)
 
 
 def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:

@@ -105,11 +105,11 @@ def focus_regions(spark, sf_dir):
     return tv.points(spark, sf_dir).select("id", geo.in_boxes(F.col("x"), F.col("y"), [(-100, -50, 0, 60), (-80, 20, -30, 30)]).alias("hits"))
 
 
-@query("p", "SELECT id FROM p WHERE abs(x)+abs(y) < 60")
+@query("p", "SELECT id FROM p WHERE abs(round(x))+abs(round(y)) <= 60")
 def clip_to_polygon(spark, sf_dir):
     diamond = [(-60.0, 0.0), (0.0, 60.0), (60.0, 0.0), (0.0, -60.0)]
-    inside = tv.points(spark, sf_dir)
-    return spatial.clip(inside.where("abs(abs(x) + abs(y) - 60) > 1e-9"), [diamond]).select("id")
+    on_edges = tv.points(spark, sf_dir).withColumn("x", F.round("x")).withColumn("y", F.round("y"))  # so that points stand on the border
+    return spatial.clip(on_edges, [diamond]).select("id")
 
 
 _STEP = """SELECT *, sqrt(power(cu2*sin(lam), 2)+power(cu1*su2-su1*cu2*cos(lam), 2)) AS ss, su1*su2+cu1*cu2*cos(lam) AS cs FROM {t}"""
