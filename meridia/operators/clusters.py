@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -9,7 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.operators.neighbors import within
+from meridia.functions.geo import EARTH_KM, unit_vector
+from meridia.operators.neighbors import near_pairs
 from meridia.sources.folders import work_folder
 
 
@@ -40,20 +43,41 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def dbscan(points: DataFrame, radius_km: float, least: int = 2) -> DataFrame:
-    """(id, label): the smallest core id of a point's cluster; -1 for noise.
+    """(id, label): the smallest core id of a point's cluster; -1 for noise, and for points with a null coordinate.
 
     A core has at least `least` points within the radius, itself included. Cores in reach of each other are one cluster;
-    another point joins the cluster of its smallest core in reach.
+    another point joins the cluster of its smallest core in reach. Points on one place are one row with their count. All
+    places of a cube whose diagonal is the radius are in reach of each other: where such a cube holds enough points, they
+    are tied to its smallest one instead of in pairs, and two such cubes give one edge.
     """
-    near = within(points, radius_km)
-    both = near.select("a", "b").union(near.select("b", "a"))
-    cores = both.groupBy(F.col("a").alias("id")).agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select("id")
-    if least <= 1:
-        cores = points.select("id")
-    inner = near.join(cores.withColumnRenamed("id", "a"), "a", "left_semi").join(cores.withColumnRenamed("id", "b"), "b", "left_semi")
-    core = cores.join(components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
-    edge = both.join(core.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("label", "b").alias("near"))
-    return points.select("id").join(core, "id", "left").join(edge, "id", "left").select("id", F.coalesce("label", "near", F.lit(-1)).alias("label"))
+    spark, folder = points.sparkSession, work_folder(points, "dbscan")
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    known = points.where("x is not null and y is not null")
+    edge = 2 * math.sin(min(radius_km / EARTH_KM, math.pi) / 2) / math.sqrt(3) * (1 - 1e-9)
+    cube = F.concat_ws(",", *[F.floor(c / edge).cast("string") for c in unit_vector(F.col("x"), F.col("y"))])
+    places = known.groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("c")).withColumn("cube", cube)
+    full = places.groupBy("cube").agg(F.sum("c").alias("n"), F.min("id").alias("centre")).where(F.col("n") >= least)
+    places = kept("places", places.join(full.select("cube", "centre"), "cube", "left").select("id", "x", "y", "c", F.when(F.col("centre").isNotNull(), F.col("cube")).alias("cube"), "centre"))
+    left = places.select(F.col("id").alias("a"), "x", "y", F.col("c").alias("wa"), F.col("cube").alias("ca"))
+    right = places.select(F.col("id").alias("b"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("c").alias("wb"), F.col("cube").alias("cb"))
+    met = near_pairs(left, right, radius_km).where((F.col("a") < F.col("b")) & ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
+    both_full = F.col("ca").isNotNull() & F.col("cb").isNotNull()
+    key = lambda cube, own: F.when(both_full, F.col(cube)).otherwise(F.col(own).cast("string"))
+    near = kept("near", met.groupBy(key("ca", "a").alias("ka"), key("cb", "b").alias("kb"), both_full.alias("cubes")).agg(F.min("a").alias("a"), F.min("b").alias("b"), F.first("wa").alias("wa"), F.first("wb").alias("wb")))
+    single = near.where("not cubes")
+    around = single.select(F.col("a").alias("id"), F.col("wb").alias("w")).union(single.select("b", "wa")).groupBy("id").agg(F.sum("w").alias("w"))
+    cores = kept("cores", places.join(around, "id", "left").where(F.col("centre").isNotNull() | (F.col("c") + F.coalesce("w", F.lit(0)) >= least)).select("id"))
+    inner = single.select("a", "b").join(cores.withColumnRenamed("id", "a"), "a", "left_semi").join(cores.withColumnRenamed("id", "b"), "b", "left_semi")
+    inner = inner.select("a", "b").union(near.where("cubes").select("a", "b")).union(places.where("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    core = kept("labels", cores.join(components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
+    sides = single.select("a", "b").union(single.select("b", "a"))
+    border = sides.join(core.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("label", "b").alias("near"))
+    labelled = places.select("id", "x", "y").join(core, "id", "left").join(border, "id", "left").select("x", "y", F.coalesce("label", "near", F.lit(-1)).alias("label"))
+    return points.select("id", "x", "y").join(labelled, ["x", "y"], "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def kmeans(points: DataFrame, k: int, features: str = "features", seed: int = 1) -> DataFrame:

@@ -540,3 +540,21 @@ def test_quantiles_by_bins_equal_those_of_one_task(spark):
     assert np.allclose(got, np.quantile(values, shares), rtol=1e-12) and np.allclose(got, plain, rtol=1e-12)
     assert summary.quantiles(df.where("v is null"), "v", [0.5]) == [None]
     assert summary.quantiles(df.where("v = 3.25"), "v", [0.3], few=0) == [3.25]
+
+
+def test_dbscan_against_plain(spark):
+    rng = np.random.default_rng(11)
+    xy = np.concatenate([rng.normal(0, 0.3, (60, 2)), rng.normal(5, 0.05, (40, 2)), rng.uniform(-10, 10, (60, 2)), np.tile([[8.0, 8.0]], (5, 1))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(999, None, 1.0)], "id long, x double, y double")
+    rad = np.radians(xy)
+    h = np.sin((rad[:, None, 1] - rad[:, 1]) / 2) ** 2 + np.cos(rad[:, None, 1]) * np.cos(rad[:, 1]) * np.sin((rad[:, None, 0] - rad[:, 0]) / 2) ** 2
+    near = 2 * 6371.0 * np.arcsin(np.sqrt(h)) <= 40
+    for least in (1, 2, 4, 12):
+        core, label = near.sum(1) >= least, list(range(len(xy)))
+        for _ in range(len(xy)):
+            new = [min([label[j] for j in np.flatnonzero(near[i] & core)], default=label[i]) if core[i] else label[i] for i in range(len(xy))]
+            if new == label:
+                break
+            label = new
+        want = {i: label[i] if core[i] else next((label[j] for j in np.flatnonzero(near[i] & core)), -1) for i in range(len(xy))}
+        assert {r["id"]: r["label"] for r in clusters.dbscan(df, 40.0, least).collect()} == want | {999: -1}
