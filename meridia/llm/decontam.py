@@ -6,7 +6,9 @@ item that shares a seed, matches are grown along runs of seeds, and the longest
 marked as a tile again and again. An item leaks into a document if tiles cover enough of its words, in whatever order
 they stand there.
 
-The benchmark is a stated query set: it is taken in blocks of bounded size, each held against all documents.
+A benchmark of a few blocks is a stated query set: each block, of bounded size, is broadcast and held against all documents.
+A larger one is joined: documents give the seeds that a Bloom filter of all benchmark seeds lets through, these are joined with
+the items' seeds, and each pair that shares one is tiled. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import chunks, fields, mapped, Memo, only, owned, slices
+from .textkit import chunks, fields, free_name, mapped, Memo, only, owned, shared_folder, slices
 
 #: Words of the shortest tile.
 LEAST = 5
@@ -31,6 +33,10 @@ LEAST = 5
 COVERAGE = 0.5
 #: Characters of benchmark text that are held against the documents at once.
 BLOCK = 8_000_000
+#: Blocks up to which each is a pass over the documents.
+PASSES = 4
+#: Largest Bloom filter, in bits: 64 MB.
+BLOOM_BITS = 1 << 29
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -136,6 +142,94 @@ def mark(a: np.ndarray, b: np.ndarray, matches: list[tuple[int, int, int]], leas
     return found
 
 
+def _bloom_places(seeds: np.ndarray, bits: int) -> np.ndarray:
+    """Three places of each seed in a filter of `bits` bits (a power of two)."""
+    shift = np.uint64(65 - bits.bit_length())
+    return np.stack([seeds * np.uint64(m) >> shift for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)])
+
+
+def _item_seeds(items: DataFrame, least: int) -> DataFrame:
+    """(item, size, seed): the different seeds of each item, and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for item, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words(x)
+                size = min(least, len(w))
+                s = np.unique(rolling(w, size)) if size else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(s), pa.int64()), pa.array([size] * len(s), pa.int32()), pa.array(s.view(np.int64))], names=["item", "size", "seed"])
+
+    return mapped(items.select("item", "text"), run, "item long, size int, seed long", __name__)
+
+
+def _bloom(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The filter of all seeds; tasks give their own ones, which the driver joins one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            at = _bloom_places(b.column(0).to_numpy().view(np.uint64), bits).ravel()
+            np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([own.tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in mapped(seeds.select("seed").coalesce(8), run, "bits binary", __name__).toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _joined(thin: DataFrame, benchmark: DataFrame, least: int, coverage: float, item_id: str, text: str) -> DataFrame:
+    """(key, item_id, item_words, n_tiles, covered_words, longest_tile, coverage) of texts and items; key is the text's MD5."""
+    spark, folder = thin.sparkSession, shared_folder(thin.sparkSession, "decontam")
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    found = only(benchmark, item_id=item_id, text=text).where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    items = kept("items", found.withColumn("item", F.monotonically_increasing_id()))
+    seeds = kept("seeds", _item_seeds(items, least))
+    sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most `least`
+    bits = min(BLOOM_BITS, max(1 << 16, 1 << (16 * seeds.count()).bit_length()))
+    shared = spark.sparkContext.broadcast(_bloom(seeds, bits))  # of a bounded size
+    keyed = thin.where("text is not null").select(F.md5("text").alias("key"), "text")
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for b in slices(batches):
+            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words(x)
+                for size in sizes:
+                    s = np.unique(rolling(w, size))
+                    at = _bloom_places(s, bits)
+                    s = s[(table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=0)]
+                    if len(s):
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(s)), pa.array([size] * len(s), pa.int32()), pa.array(s.view(np.int64))], names=["key", "size", "seed"])
+
+    met = mapped(keyed, hits, "key string, size int, seed long", __name__).join(seeds, ["size", "seed"]).select("key", "item").distinct()
+    pairs = kept("pairs", met)
+    texts = keyed.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    both = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "key").select("key", "item_id", "item_text", "text")
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = []
+            for key, item, item_text, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(key, *r, r[3] / r[1]) for r in _leaks(Seeds([(item, item_text)], least), x, coverage)]
+            kinds = [pa.string(), *[pa.int64()] * 5, pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", *_FOUND])
+
+    return mapped(both, tile, "key string, item_id long, item_words long, n_tiles long, covered_words long, longest_tile long, coverage double", __name__)
+
+
+_FOUND = ["item_id", "item_words", "n_tiles", "covered_words", "longest_tile", "coverage"]
+
+
+def _large(benchmark: DataFrame, text: str, block: int, passes: int) -> bool:
+    total = only(benchmark, text=text).agg(F.sum(F.length("text"))).head()[0] or 0
+    return total > block * passes
+
+
 def _leaks(seeds: Seeds, text: str | None, coverage: float) -> list[tuple[int, int, int, int, int]]:
     """(item, its words, tiles, words covered, longest tile) of each item that leaks into the text."""
     w, out = words(text), []
@@ -145,7 +239,7 @@ def _leaks(seeds: Seeds, text: str | None, coverage: float) -> list[tuple[int, i
         covered = sum(n for *_, n in found)
         if found and covered >= coverage * len(a):
             out.append((item, len(a), len(found), covered, max(n for *_, n in found)))
-    return sorted(out)
+    return sorted(out, key=lambda r: (r[0] is None, r))
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple[int, str]]]:
@@ -158,7 +252,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterato
         yield sorted({(r["item_id"], r["text"]) for r in rows.collect()}, key=lambda x: (x[0] is None, x))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passes: int = PASSES) -> DataFrame:
     """A row for each document and item that leaks into it: doc_id, item_id, item_words, n_tiles, covered_words, longest_tile, coverage.
 
     Null texts leak nothing, nor do null items; items of fewer than `least` words leak where
@@ -168,6 +262,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     """
     spark, thin = docs.sparkSession, only(docs, doc_id=doc_id, text=text)
     schema = T.StructType([thin.schema["doc_id"], *fields("item_id long, item_words long, n_tiles long, covered_words long, longest_tile long, coverage double")])
+    if _large(benchmark, item_text, block, passes):
+        found = _joined(thin, benchmark, least, coverage, item_id, item_text)
+        return thin.select("doc_id", F.md5("text").alias("key")).join(found, "key").select("doc_id", *_FOUND)
     out = spark.createDataFrame([], schema)
     for items in _blocks(benchmark, item_id, item_text, block):
         shared = spark.sparkContext.broadcast(Seeds(items, least))  # a block has a bounded size
@@ -186,9 +283,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block: int = BLOCK, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs` into which no item leaks, with all columns; null texts stay."""
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block: int = BLOCK, text: str = "text", item_id: str = "item_id", item_text: str = "text", passes: int = PASSES) -> DataFrame:
+    """The rows of `docs` into which no item leaks, with all columns; null texts stay, repeated rows stay repeated."""
     spark, out = docs.sparkSession, docs
+    if _large(benchmark, item_text, block, passes):
+        key = free_name("key", docs.columns)
+        gone = _joined(only(docs, text=text), benchmark, least, coverage, item_id, item_text).select(F.col("key").alias(key)).distinct()
+        return docs.withColumn(key, F.md5(F.col(f"`{text}`"))).join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     for items in _blocks(benchmark, item_id, item_text, block):
         shared = spark.sparkContext.broadcast(Seeds(items, least))  # a block has a bounded size
 

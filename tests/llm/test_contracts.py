@@ -259,8 +259,24 @@ def test_leaks_against_plain(spark):
     items = [(i, word(int(n))) for i, n in enumerate((2, 4, 7, 12, 18))] + [(9, "a a a a a a a a")]
     docs = [(i, word(30)) for i in range(25)]
     docs += [(100 + i, f"{word(5)} {items[k][1]} {word(4)}") for i, k in enumerate((0, 1, 2, 3, 4))] + [(200, " ".join(items[4][1].split()[9:] + items[4][1].split()[:9])), (201, "a " * 60), (202, ""), (203, None)]
-    got = decontam.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"], r["covered_words"]) for r in got} == _plain_leaks(docs, items, 5, 0.5)
+    want = _plain_leaks(docs, items, 5, 0.5)
+    df, bench = spark.createDataFrame([*docs, docs[26], (None, docs[26][1])], DOCS), spark.createDataFrame([*items, items[0], (None, items[3][1])], "item_id long, text string")
+    both = []
+    for passes in (decontam.PASSES, 0):
+        rows = decontam.leaks(df, bench, passes=passes).collect()
+        assert {(r["doc_id"], r["item_id"], r["covered_words"]) for r in rows if r["doc_id"] is not None and r["item_id"] is not None} == want
+        clean = decontam.clean(df.withColumn("key", F.lit("k")), bench, passes=passes)
+        assert clean.columns == ["doc_id", "text", "key"]
+        both.append((sorted(map(str, rows)), sorted(map(str, clean.collect()))))
+    assert both[0] == both[1] and both[0][1]
+
+
+def test_joined_leaks_of_the_table(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    a, b = (sorted(map(tuple, decontam.leaks(docs, bench, passes=p).collect())) for p in (decontam.PASSES, 0))
+    assert a == b and a
+    none = docs.where("false")
+    assert decontam.leaks(none, bench, passes=0).count() == 0 and decontam.clean(none, bench, passes=0).count() == 0
 
 
 def test_repeated_seeds_stay_bounded():
