@@ -260,15 +260,13 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     chosen_lists = lists.where(F.size("own") >= matches).select("node", (-F.size("own")).alias("alone"), "seldom", chosen.alias("own"))
     postings = kept("postings", chosen_lists.join(nodes.select(*thin_detail), "node").select(F.explode("own").alias("v"), "alone", "seldom", *thin_detail).select("v.value", "v.first", "alone", "seldom", *thin_detail))
 
-    def near_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
-        """Pairs (a, b) of the heads (x) of postings and the rows (y) there that can be linked: collisions are counted where they meet."""
-        y = rows.select("value", *[F.col(c).alias(f"y_{c}") for c in thin_detail])
-        met = y.join(heads, "value").where((F.col("x_node") != F.col("y_node")) & _collide("x_", "y_", percent, coordinates, matches)).select("x_node", "y_node").distinct()
-        return with_detail(met, "y", "x").where(_may_link("x_", "y_", percent, coordinates, matches)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-
-    first_of = lambda agg: [F.col(f"{agg}.{c}").alias(f"x_{c}") for c in thin_detail]
+    # Collisions with the heads are counted where they meet, so only pairs that have enough of them take their details.
     central = postings.groupBy("value").agg(F.min(F.struct("alone", "seldom", *thin_detail)).alias("head"))
-    star = kept("star", near_heads(postings, central.select("value", *first_of("head"))))
+    heads = central.select("value", *[F.col(f"head.{c}").alias(f"x_{c}") for c in thin_detail])
+    y = postings.select("value", *[F.col(c).alias(f"y_{c}") for c in thin_detail])
+    met = y.join(heads, "value").where((F.col("x_node") != F.col("y_node")) & _collide("x_", "y_", percent, coordinates, matches)).select("x_node", "y_node").distinct()
+    star = with_detail(met, "y", "x").where(_may_link("x_", "y_", percent, coordinates, matches))
+    star = kept("star", star.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
 
     def confirmed(name: str, pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
@@ -281,10 +279,10 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
 
     def mixed(name: str, roots: DataFrame) -> DataFrame:
         """(value, main, node, root) of the postings that have several components; `main` has the most classes there."""
-        placed = postings.where("first").drop("first", "alone", "seldom").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = postings.where("first").select("value", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         by_root = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
         of = by_root.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
-        return kept(name, placed.join(of, "value").select("value", "main", "root", *thin_detail))
+        return kept(name, placed.join(of, "value").select("value", "main", "root", "node"))
 
     def cleared(*names: str) -> None:
         dropped(spark, *(f"{folder}/{name}{part}" for name in names for part in ("", "-wanted", "-grams", "-grams-once")))
@@ -294,10 +292,12 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     rank = postings.select(F.col("node").alias("a"), "alone", "seldom").distinct()
     hubs = links.join(rank, "a", "left").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("alone", "seldom", "a")).alias("hub")).select("node", F.col("hub.a").alias("root"))
     placed = mixed("placed-star", hubs)
-    picked = F.min(F.struct(F.xxhash64("node", "value").alias("h"), *thin_detail)).alias("pick")  # another one for each posting
-    members = placed.where("root = main").groupBy("value").agg(picked)
-    spread = near_heads(placed.where("root <> main"), members.select("value", *first_of("pick")))
-    spread = kept("spread", spread.join(star, ["a", "b"], "left_anti"))
+    picked = F.min(F.struct(F.xxhash64("node", "value").alias("h"), "node")).alias("pick")  # another one for each posting
+    members = placed.where("root = main").groupBy("value").agg(picked).select("value", F.col("pick.node").alias("a"))
+    met = placed.where("root <> main").select("value", F.col("node").alias("b")).join(members, "value").where("a <> b").select("a", "b").distinct()
+    met = met.join(star, ["a", "b"], "left_anti").select(F.col("a").alias("x_node"), F.col("b").alias("y_node"))
+    spread = with_detail(met, "y", "x").where(_may_link("x_", "y_", percent, coordinates, matches))
+    spread = kept("spread", spread.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
     if not spread.isEmpty():
         links = links.union(confirmed("spread", spread))
     roots = components(links, f"{folder}/roots")
