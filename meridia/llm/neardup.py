@@ -236,13 +236,18 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+    def cleared(*names: str) -> None:
+        dropped(spark, *(f"{folder}/{name}{part}" for name in names for part in ("", "-wanted", "-grams", "-grams-once")))
+
     sets = kept("sets", _sets(thin, words, coordinates))
-    rows = sets.select("doc_id", "n", "k1", "k2")
-    some = sets.where("n > 0 and doc_id is not null")
+    rows = kept("rows", sets.select("doc_id", "n", "k1", "k2"))
+    some = "n > 0 and doc_id is not null"
     body = [F.first(c).alias(c) for c in ("n", "sig", "mark", "narrow", "wide")]  # equal in all rows of a class
-    classes = kept("classes", some.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *body).withColumn("node", F.monotonically_increasing_id()))
+    whole = kept("whole", sets.where(some).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *body).withColumn("node", F.monotonically_increasing_id()))
+    classes = kept("classes", whole.select("node", "id", "k1", "k2", "n"))
+    cleared("sets")
     # Only sets that can be linked to a different one: a set with one shingle more or less must be able to reach `percent`.
-    linkable = classes.where((F.floor(F.col("n") * 100 / percent) > F.col("n")) | (F.ceil(F.col("n") * percent / 100) < F.col("n")))
+    linkable = whole.where((F.floor(F.col("n") * 100 / percent) > F.col("n")) | (F.ceil(F.col("n") * percent / 100) < F.col("n")))
     detail = ["n", "mark", "narrow", "wide"]
     nodes = kept("nodes", linkable.select("node", *detail))
 
@@ -260,6 +265,8 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
     chosen_lists = lists.where(F.size("own") >= matches).select("node", (-F.size("own")).alias("alone"), "seldom", chosen.alias("own"))
     postings = kept("postings", chosen_lists.join(nodes.select(*thin_detail), "node").select(F.explode("own").alias("v"), "alone", "seldom", *thin_detail).select("v.value", "v.first", "alone", "seldom", *thin_detail))
 
+    cleared("whole")
+
     # Collisions with the heads are counted where they meet, so only pairs that have enough of them take their details.
     central = postings.groupBy("value").agg(F.min(F.struct("alone", "seldom", *thin_detail)).alias("head"))
     heads = central.select("value", *[F.col(f"head.{c}").alias(f"x_{c}") for c in thin_detail])
@@ -284,10 +291,8 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int =
         of = by_root.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("top.root").alias("main"))
         return kept(name, placed.join(of, "value").select("value", "main", "root", "node"))
 
-    def cleared(*names: str) -> None:
-        dropped(spark, *(f"{folder}/{name}{part}" for name in names for part in ("", "-wanted", "-grams", "-grams-once")))
-
-    links = confirmed("star", star).union(_one_document(some, classes, kept))
+    links = confirmed("star", star).union(_one_document(rows.where(some), classes, kept))
+    dropped(spark, *(f"{folder}/star{part}" for part in ("-wanted", "-grams", "-grams-once")))
     # One step of the way to components is enough here: a class goes with its most central linked head.
     rank = postings.select(F.col("node").alias("a"), "alone", "seldom").distinct()
     hubs = links.join(rank, "a", "left").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("alone", "seldom", "a")).alias("hub")).select("node", F.col("hub.a").alias("root"))
