@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality, sharding, tiff, token_files, toolcalls, warc
+from . import bpe, decontam, fingerprints, langid, merkle, neardup, quality, sharding, tiff, token_files, toolcalls, vectorcodes, warc
 from .textkit import shared_folder
 
 #: Path of the tokenizer file; it stays where the public package keeps it.
@@ -135,6 +135,80 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.round_trip(table(spark, sf_dir, "documents"), compression=None)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable vectors, their errors, the errors of their labels, and the digest of all codebooks."""
+    coded, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    found = vectorcodes.with_label_errors(coded).withColumn("codebooks_sha256", F.lit(books.sha256()))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """What op11_vector_codes gives: plain rounds over all entries, for vectors of one length that 8 divides."""
+    distance = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, part, list_slice(v, part * len(v) // {parts} + 1, (part + 1) * len(v) // {parts}) AS x FROM kept, range({parts}) r(part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))"""
+    for k in range(rounds + 1):
+        out += f""",
+a{k} AS (SELECT vec_id, any_value(label) AS label, part, any_value(x) AS x, min(struct_pack(d := d, e := entry)) AS best FROM (SELECT vec_id, label, p.part, x, entry, {distance} AS d FROM p JOIN c{k} b ON b.part = p.part) GROUP BY vec_id, part)"""
+        if k < rounds:
+            out += f""",
+m{k} AS (SELECT part, entry, list(m ORDER BY i) AS c FROM (SELECT part, best.e AS entry, i, sum(x[i + 1]) AS s, count(*) AS n, CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) AS m FROM a{k}, range(len(x)) r(i) GROUP BY part, best.e, i) GROUP BY part, entry),
+c{k + 1} AS (SELECT part, entry, coalesce(m.c, b.c) AS c FROM c{k} b LEFT JOIN m{k} m USING (part, entry))"""
+    return out + f""",
+e AS (SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256 FROM e
+"""
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, with the proof of each held against its tampered text."""
+    return merkle.manifest_of_documents(table(spark, sf_dir, "documents"))
+
+
+#: What op12_merkle gives for ids that don't repeat: levels by recursion; the CRC-32 of an id's digits bit by bit.
+OP12_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT) for i in range(8)]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS tampered FROM d
+), trees AS (
+  SELECT source, 0 AS level, i, n, h FROM leaves
+  UNION ALL SELECT source, level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM trees WHERE n > 1 GROUP BY source, level, i // 3
+), subroots AS (SELECT source, h, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM trees WHERE n = 1),
+top AS (
+  SELECT 0 AS level, i, n, h FROM subroots
+  UNION ALL SELECT level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 3
+), nodes AS (  -- every node of both kinds of trees; the trees over subroots go on from the sources' heights
+  SELECT coalesce('s' || source, 'null') AS tree, level, i, n, h FROM trees WHERE n > 1 UNION ALL SELECT 'top', level, i, n, h FROM top WHERE n > 1
+), runs AS (SELECT tree, level, i // 3 AS run, list(struct_pack(i := i, h := h) ORDER BY i) AS members FROM nodes GROUP BY tree, level, i // 3),
+way AS (
+  SELECT l.doc_id, l.h AS leaf, s.h AS subroot, coalesce(l.tampered, l.h) AS folded, '' AS proof, coalesce('s' || l.source, 'null') AS tree, 0 AS level, l.i, s.height, s.i AS place FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+  UNION ALL
+  SELECT doc_id, leaf, subroot,
+    CASE WHEN members IS NULL THEN folded ELSE sha256(array_to_string(list_transform(members, lambda m: CASE WHEN m.i = w.i THEN folded ELSE m.h END), '')) END,
+    CASE WHEN members IS NULL THEN proof ELSE proof || coalesce(array_to_string(list_transform(list_filter(members, lambda m: m.i <> w.i), lambda m: m.h), ''), '') END,
+    CASE WHEN w.tree <> 'top' AND w.level = height THEN 'top' ELSE w.tree END, CASE WHEN w.tree <> 'top' AND w.level = height THEN 0 ELSE w.level + 1 END,
+    CASE WHEN w.tree <> 'top' AND w.level = height THEN place ELSE w.i // 3 END, height, place
+  FROM way w LEFT JOIN runs r ON r.tree = w.tree AND r.level = w.level AND r.run = w.i // 3
+  WHERE w.tree <> 'top' OR r.run IS NOT NULL
+), done AS (SELECT * FROM way w WHERE tree = 'top' AND level = (SELECT max(level) FROM top))
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT h FROM top WHERE n = 1) AS verified FROM done
+"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness to each other and to the next document's."""
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this subpackage
 
@@ -142,8 +216,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_language_id, op3_tool_calls, op4_quality, op5_bpe, op6_warc, op7_sharding, op8_decontamination, op9_near_duplicates, op10_tiff, pipeline)}
+    return {f.__name__: f for f in (op1_token_files, op2_language_id, op3_tool_calls, op4_quality, op5_bpe, op6_warc, op7_sharding, op8_decontamination, op9_near_duplicates, op10_tiff, op11_vector_codes, op12_merkle, op13_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tool_calls": OP3_SQL, "op6_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL}
+    return {"op3_tool_calls": OP3_SQL, "op6_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL, "op11_vector_codes": _op11_sql(), "op12_merkle": OP12_SQL}
