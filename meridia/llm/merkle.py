@@ -146,7 +146,7 @@ class Forest:
         self.leaves = self._written(placed.withColumn("segment", F.shiftright("at", SEGMENT_BITS)))
         dropped(self.spark, f"{self.folder}/0")
         self.starts = self._starts()
-        last = max(1, parts) - 1
+        last = (self.leaves.agg(F.max("segment")).head()[0] or 0) >> (33 - SEGMENT_BITS)  # the number of the last partition, as it was dealt
         #: Bits that a round takes off the segment's number; the last round has one group.
         self.shifts = [0, 33 - SEGMENT_BITS]
         while last >> (self.shifts[-1] - (33 - SEGMENT_BITS)):
