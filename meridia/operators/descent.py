@@ -111,8 +111,8 @@ def _round(graph: DataFrame, table: DataFrame, k: int, seed: int) -> DataFrame:
 def nearest(points: DataFrame, k: int, rounds: int = 12, least_change: float = 0.002, slack: int | None = None, seed: int = 0) -> DataFrame:
     """(id, nbr_id, rank, dist): about the k nearest other rows of each row of (id long, features) by Euclidean distance.
 
-    Lists are kept a little longer than k (`slack` more, by default half of k and at least 5) while rounds go on, until less than `least_change` of their
-    places change. Distances are exact; ties of distance go to the smaller id. Ids must differ; vectors have one length, rows
+    Lists are longer than k while rounds go on (by `slack`, the larger of 20 and k by default: longer ones find more), until less
+    than `least_change` of their places change. Distances are exact; ties of distance go to the smaller id. Ids must differ; vectors have one length, rows
     without a vector are left out. Fewer than k + 1 rows give shorter lists, and one row or none gives no list.
     """
     spark, folder = points.sparkSession, work_folder(points, "descent")
@@ -137,7 +137,7 @@ def nearest(points: DataFrame, k: int, rounds: int = 12, least_change: float = 0
     if n < 2:
         return spark.createDataFrame([], "id long, nbr_id long, rank int, dist double")
     width = table.select((F.length("v") / 8).cast("int")).head()[0]
-    more = k + (max(5, k // 2) if slack is None else slack)
+    more = k + (max(20, k) if slack is None else slack)
     seeds = None
     for tree in range(TREES):
         one = _seeds(table, more, width, n, tree, seed)

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,11 +77,16 @@ def tiles(dosages: DataFrame, kind: str = "pca", rows: int = ROWS, cols: int = C
     n, p = samples.count(), loci.count()
     part = lambda c, size: (F.col(c) / size).cast("long")
     cells = thin.join(samples, "sample").join(loci, "locus").select(part("i", rows).alias("rb"), part("j", cols).alias("cb"), (F.col("i") % rows).cast("int").alias("r"), (F.col("j") % cols).cast("int").alias("c"), "code")
+    down, across = -(-n // rows), -(-p // cols)
+    # a tile without any call still has its place in the matrix
+    places = spark.range(down * across).select((F.col("id") / F.lit(max(across, 1))).cast("long").alias("rb"), (F.col("id") % max(across, 1)).alias("cb"), F.lit(-1).alias("r"), F.lit(-1).alias("c"), F.lit(None).cast("int").alias("code"))
+    cells = cells.union(places)
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         rb, cb = (k.as_py() for k in key)
         have = min(rows, n - rb * rows), min(cols, p - cb * cols)
         x = np.full(have, -1, np.int8)
+        t = t.filter(pc.greater_equal(t.column("r"), 0))
         code = t.column("code")
         x[t.column("r").to_numpy(), t.column("c").to_numpy()] = code.fill_null(-1).to_numpy()
         if kind == "pca":
