@@ -59,9 +59,10 @@ def integers(values: np.ndarray, parts: int, scale: int) -> np.ndarray:
     """floor(scale * x) of rows of components as rows x parts x components; zeros fill the last part up."""
     n, width = values.shape
     most = _most(width)
-    out = np.zeros((n, -(-width // parts) * parts), np.int64)
+    own = -(-width // parts)
+    out = np.zeros((n, own * parts), np.int64)
     out[:, :width] = np.clip(np.floor(values.astype(np.float64) * scale), -most, most)
-    return out.reshape(n, parts, -1)
+    return out.reshape(n, parts, own)
 
 
 def _up(squares: np.ndarray) -> np.ndarray:
