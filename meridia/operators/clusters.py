@@ -6,21 +6,64 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meridia.functions.geo import EARTH_KM, unit_vector
 from meridia.operators.neighbors import near_pairs
 from meridia.sources.folders import work_folder
 
 
+#: Nodes that a task ties to each other at once.
+HELD_NODES = 200_000
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: each task ties what its rows connect to the smallest node, some 200,000 nodes at a time."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        above: dict = {}
+
+        def top(x):  # noqa: ANN001, ANN202
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        def tied():  # noqa: ANN202
+            pairs = [(top(x), x) for x in above]
+            return pa.RecordBatch.from_arrays([pa.array([t for t, x in pairs if t != x], kind), pa.array([x for t, x in pairs if t != x], kind)], names=["a", "b"])
+
+        kind = None
+        for batch in batches:
+            kind = kind or batch.schema.field("a").type
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                above.setdefault(x, x)
+                above.setdefault(y, y)
+                x, y = top(x), top(y)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+            if len(above) >= HELD_NODES:
+                yield tied()
+                above = {}
+        if above:
+            yield tied()
+
+    return edges.select("a", "b").mapInArrow(run, T.StructType([T.StructField(c, edges.schema["a"].dataType) for c in "ab"]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of the edges (a, b) reaches.
 
-    Each round takes the least label among neighbours and then follows labels twice as far; tables between rounds are
-    written to the shared folder, so a lost executor costs one round.
+    Tasks first tie what their own edges connect. Then, round by round, each node is hooked to its first neighbour in an
+    order (of ids at first, then by a new hash in each round, in which at most half of the nodes are expected to come before all
+    of their neighbours), hooks are followed to their ends by doubling, and the ends' edges are tied again. So rounds grow with
+    the logarithm of the nodes, on any graph. Tables between rounds are written to the shared folder; an edge of a node to
+    itself gives that node a component of its own.
     """
     spark, folder, step = edges.sparkSession, work_folder(edges, "components"), 0
 
@@ -30,16 +73,29 @@ def components(edges: DataFrame) -> DataFrame:
         df.write.parquet(f"{folder}/{step}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{step}")
 
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        low = kept(label.join(near, "id").select("id", F.least("component", "m").alias("new"), F.col("component").alias("old")))
-        hop = low.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        label = kept(low.join(hop, "new").select("id", F.col("far").alias("component"), (F.col("far") != F.col("old")).alias("moved")))
-        if label.where("moved").isEmpty():
-            return label.select("id", "component")
-        label = label.select("id", "component")
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    left, roots, turn = kept(_stars(edges).distinct()), None, 0
+    while not left.isEmpty():
+        place = (lambda c: F.col(c)) if turn == 0 else (lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c)))
+        both = left.union(left.select("b", "a")).toDF("id", "other")
+        first = both.groupBy("id").agg(F.min_by("other", place("other")).alias("other"))
+        up = kept(first.select("id", F.when(place("other") < place("id"), F.col("other")).otherwise(F.col("id")).alias("root")))
+        while True:  # two steps at once, until nothing moves
+            hop = lambda df, k: df.join(up.select(F.col("id").alias(f"r{k}"), F.col("root").alias(f"r{k + 1}")), f"r{k}")  # noqa: B023, E731
+            far = hop(hop(up.select("id", F.col("root").alias("r0")), 0), 1)
+            moved = kept(far.select("id", F.col("r2").alias("root"), (F.col("r2") != F.col("r0")).alias("moved")))
+            up = moved.select("id", "root")
+            if moved.where("moved").isEmpty():
+                break
+        to = up.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        roots = up if roots is None else kept(roots.join(to, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+        ends = left.join(up.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+        ends = ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        left, turn = kept(_stars(ends).distinct()), turn + 1
+    if roots is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    least = roots.groupBy("root").agg(F.min("id").alias("component"))
+    return nodes.join(kept(roots.join(least, "root").select("id", "component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def dbscan(points: DataFrame, radius_km: float, least: int = 2) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import kernels
 from meridia.functions.geo import haversine_km, inverse_distance, zero_floor
-from meridia.operators import neighbors
+from meridia.operators import descent, neighbors
 from meridia.sources.folders import work_folder
 
 
@@ -84,10 +84,15 @@ def genotype_errors(samples: DataFrame, knn: DataFrame, ks: list[int], power: fl
     return rows.mapInPandas(run, "id long, k int, d double").withColumn("d", zero_floor(F.col("d"), genetic=True))
 
 
-def k_sums(samples: DataFrame, space: str, least: int = 2, most: int = 50, min_km: float = 1.0, scale: float = 100.0, power: float = 2.0) -> DataFrame:
+def _genetic(samples: DataFrame, k: int, approximate: bool) -> DataFrame:
+    """The k nearest samples by features: exact by blocks, or about those by descent, whose work grows with the rows alone."""
+    return descent.nearest(samples, k) if approximate else neighbors.nearest_vectors(samples, k)
+
+
+def k_sums(samples: DataFrame, space: str, least: int = 2, most: int = 50, min_km: float = 1.0, scale: float = 100.0, power: float = 2.0, approximate: bool = False) -> DataFrame:
     """(k, total): the sum of the statistic over all samples for each number of neighbours, from one table of neighbours."""
     if space == "geographic":
-        knn = neighbors.nearest_vectors(samples, most)
+        knn = _genetic(samples, most, approximate)
         d = dgeo(F.col("pred_x"), F.col("pred_y"), F.col("x"), F.col("y"), scale)
         return neighbors.sweep_k(knn, samples, samples.select("id", "x", "y"), d, ["x", "y"], least, most, power)
     knn = neighbors.nearest_on_globe(samples, most, at_least_km=min_km)
@@ -100,10 +105,10 @@ def best_k(samples: DataFrame, space: str, least: int = 2, most: int = 50, **opt
     return int(found["k"]) if found else least
 
 
-def detect(samples: DataFrame, space: str, k: int, level: float, min_km: float = 1.0, scale: float = 100.0, power: float = 2.0, keep=None) -> DataFrame:  # noqa: ANN001
-    """(id, d, p, is_outlier) of one pass over (id, x, y, features). Samples without neighbours aren't scored."""
+def detect(samples: DataFrame, space: str, k: int, level: float, min_km: float = 1.0, scale: float = 100.0, power: float = 2.0, keep=None, approximate: bool = False) -> DataFrame:  # noqa: ANN001
+    """(id, d, p, is_outlier) of one pass over (id, x, y, features). Samples without neighbours aren't scored; `approximate` as in _genetic()."""
     if space == "geographic":
-        knn = neighbors.nearest_vectors(samples, k)
+        knn = _genetic(samples, k, approximate)
         pred = neighbors.weighted_prediction(knn, samples, ["x", "y"], power)
         stats = pred.join(samples, "id").select("id", dgeo(F.col("pred_x"), F.col("pred_y"), F.col("x"), F.col("y"), scale).alias("d"))
         stats = rescale(stats)

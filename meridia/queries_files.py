@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridia.operators import genotype, metrics, model, spatial, summary
 from meridia.queries import _hav, _training, query
-from meridia.sources import files, outputs, sinks
+from meridia.sources import files, outputs, sinks, variants
 from meridia.sources import testviews as tv
 from meridia.sources.folders import work_folder
 
@@ -215,3 +215,42 @@ def debug_dump(spark, sf_dir):
     sinks.dump(v, path, False)
     sinks.dump(v, path, True)
     return spark.read.csv(path, header=True).select("id", F.size(F.split("features", ",")).alias("n"))
+
+
+_PLACED = "SELECT s.sample, 'c' || (l.locus % 3) AS chrom, l.locus AS pos, d.dosage FROM (SELECT DISTINCT sample FROM d) s CROSS JOIN (SELECT DISTINCT locus FROM d) l LEFT JOIN d ON d.sample = s.sample AND d.locus = l.locus"
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> str:
+    """The calls as a folder of block-compressed VCF files with indexes; loci stand on three sequences."""
+    calls = tv.calls(spark, sf_dir)
+    names = [str(r["sample"]) for r in calls.select("sample").distinct().orderBy("sample").collect()]  # the columns of the header
+    rows = calls.select(F.concat(F.lit("c"), F.col("locus") % 3).alias("chrom"), F.col("locus").alias("pos"), F.concat(F.lit("L"), "locus").alias("id"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), "sample", "a1", "a2")
+    folder = f"{work_folder(calls, 'files')}/blocks"
+    variants.write(variants.records(rows, names), variants.header(names), folder)
+    return folder
+
+
+@query("d", f"""
+WITH t AS ({_PLACED})
+SELECT chrom, sample, count(*) AS records, count(*) FILTER (dosage IS NULL) AS missing, CAST(sum(dosage) AS BIGINT) AS alternative, max(pos) AS last FROM t GROUP BY 1, 2""")
+def vcf_blocks(spark, sf_dir):
+    calls = variants.read(spark, _blocks(spark, sf_dir), range_bytes=1 << 18)
+    return calls.groupBy("chrom", F.col("sample").cast("long").alias("sample")).agg(F.count("*").alias("records"), F.count_if("is_missing").alias("missing"), F.sum((F.col("a1") + F.col("a2")).cast("long")).alias("alternative"), F.max("pos").alias("last"))
+
+
+_REGION = "chrom = 'c1' AND pos BETWEEN 40 AND 130"
+
+
+@query("d", f"WITH t AS ({_PLACED}) SELECT sample, pos, dosage FROM t WHERE {_REGION} AND sample IN (1, 3, 5, 8)")
+def vcf_region(spark, sf_dir):
+    calls = variants.read(spark, _blocks(spark, sf_dir)).where(f"{_REGION} AND sample IN ('1', '3', '5', '8')")
+    return calls.select(F.col("sample").cast("long").alias("sample"), "pos", (F.col("a1") + F.col("a2")).alias("dosage"))
+
+
+@query("d", f"WITH t AS ({_PLACED}) SELECT chrom, pos, count(*) AS samples, CAST(sum(dosage) AS BIGINT) AS alternative FROM t WHERE chrom IN ('c0', 'c2') AND pos >= 60 GROUP BY 1, 2")
+def vcf_joined(spark, sf_dir):
+    folder = _blocks(spark, sf_dir)
+    one = folder + ".vcf.gz"
+    variants.joined(folder, one)
+    calls = variants.read(spark, one, range_bytes=1 << 18).where("chrom IN ('c0', 'c2') AND pos >= 60")
+    return calls.groupBy("chrom", "pos").agg(F.count("*").alias("samples"), F.sum((F.col("a1") + F.col("a2")).cast("long")).alias("alternative"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia import queries as Q
-from meridia import queries_files, queries_parts  # noqa: F401  they register their queries
+from meridia import queries_files, queries_parts, queries_scale  # noqa: F401  they register their queries
 from meridia.functions import genetics, geo, kernels
 from meridia.operators import clusters, density, embedding, genotype, metrics, model, neighbors, outliers, resample, samples, search, spatial, summary
 from meridia.plans import options, pipeline
