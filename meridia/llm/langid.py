@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import mapped, only, slices
+from .textkit import below, mapped, MASK, only, slices
 
 #: Language of texts without letters.
 NONE = "und"
@@ -83,22 +83,22 @@ def learnable(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float = 0.6, low: float = 0.01, seed: int = 7) -> Model:
-    """Learns from `doc_id`, `text` and `lang` of at most about `per_lang` rows of each language, drawn by a hash of doc_id.
+    """Learns from `doc_id`, `text` and `lang` of at most `per_lang` documents of each language, the first in an order by a hash of doc_id.
 
     The bound on the sample is `per_lang`; whole texts of the drawn rows are counted on the executors. Rows with a null
-    text, language or id, and texts without letters, teach nothing; an empty table gives a model that rejects all.
+    text, language or id, and texts without letters, teach nothing, and a repeated id counts once for each language (with one of its
+    texts); an empty table gives a model that rejects all.
     `slack`: the limit of rejection is the quantile `low` of the cosines of the sample's texts of about that many n-grams,
     times this, so that a few odd texts in the sample don't open it; where the sample has no text of that size, those of
     the nearest size count.
     The driver holds the sample's counts (6 bytes for each different n-gram of a text) and one language's rows at a time
-    as vectors.
+    as vectors; the model has 0.8 MB a language, so languages are taken to be some hundreds at most.
     """
     rows = only(docs, doc_id="doc_id", text="text", lang="lang").where("lang is not null and text is not null and doc_id is not null").where(learnable(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).select("lang", "doc_id", "text")
+    draw = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit(MASK))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    bounds = docs.sparkSession.createDataFrame([(lang, below(per_lang, n)) for lang, n in sorted(sizes.items())], "lang string, most long")
+    drawn = rows.join(F.broadcast(bounds), "lang").where(draw <= F.col("most")).select("lang", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -107,7 +107,10 @@ def fit(docs: DataFrame, per_lang: int = 1000, clusters: int = 3, slack: float =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([x[i].astype("<u4").tobytes() for x, i in zip(n, at, strict=True)], pa.binary())], names=["lang", "doc_id", "at", "n"])
 
     width = 1 << BITS
-    got = mapped(drawn, run, "lang string, doc_id long, at binary, n binary", __name__).where("length(at) > 0").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")]) if sizes else None
+    counted = mapped(drawn, run, "lang string, doc_id long, at binary, n binary", __name__).where("length(at) > 0")
+    once = counted.groupBy("lang", "doc_id").agg(F.min(F.struct("at", "n")).alias("f")).select("lang", "doc_id", "f.at", "f.n")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))  # of the few more than are wanted
+    got = once.withColumn("r", first).where(F.col("r") <= per_lang).drop("r").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")]) if sizes else None
     if got is None or not got.num_rows:
         return Model([], np.zeros((0, width), np.float32), np.ones(width, np.float32), np.zeros(24, np.float32))
     sparse = [(np.frombuffer(a.as_buffer(), "<u2"), np.frombuffer(n.as_buffer(), "<u4")) for a, n in zip(got["at"], got["n"], strict=True)]
@@ -158,10 +161,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", columns: tuple[st
     """All columns of `docs` and the language, the cosine of the nearest centroid and whether the text is rejected.
 
     Null texts and texts without a letter are NONE with score 0, and rejected. Only `text` is read for the prediction;
-    columns called as the new ones are replaced.
+    columns called as the new ones are replaced. Each row is predicted by itself, so repeated rows get the same, and an empty
+    table gives an empty one; of two centroids that are equally near the first counts.
     """
     keep = docs.drop(*columns)
-    shared = keep.sparkSession.sparkContext.broadcast(model)  # of a fixed size: centroids x 2 ** BITS numbers
+    shared = keep.sparkSession.sparkContext.broadcast(model)  # centroids x 2 ** BITS numbers, 0.8 MB a language
     schema = T.StructType([*keep.schema.fields, *(T.StructField(c, k) for c, k in zip(columns, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

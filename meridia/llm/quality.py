@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import chunks, mapped, Memo, only, owned, slices
+from .textkit import below, chunks, mapped, MASK, Memo, only, owned, slices
 
 #: Bits of the n-gram hash.
 BITS = 18
@@ -75,22 +75,25 @@ def learnable(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, label: str = "quality", epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, seed: int = 11) -> Model:
-    """Learns from at most about `rows` labelled rows, drawn by a hash of doc_id: that is the bound on the sample.
+    """Learns from at most `rows` different labels (doc_id, y), the first in an order by a hash of them: that is the bound on the sample.
 
-    Labels that are null or neither 0 nor 1, null ids and null texts teach nothing; a document with several labels
-    counts with each. With no rows all scores are 0.5. Whole texts are hashed on the executors.
+    Labels that are null or neither 0 nor 1, null ids and null texts teach nothing; a document with both labels counts with
+    each, and a label or a document that is repeated counts once (of several texts of one id, one). With no rows all scores
+    are 0.5. Whole texts are hashed on the executors.
     """
-    marks = only(labels, doc_id="doc_id", y=label).where("doc_id is not null and y in (0, 1)").where(learnable(F.col("doc_id")))
-    total = marks.count()
-    marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(total, 1))))
-    drawn = only(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(marks), "doc_id")  # marks: at most about `rows` rows
+    marks = only(labels, doc_id="doc_id", y=label).where("doc_id is not null and y in (0, 1)").where(learnable(F.col("doc_id"))).select("doc_id", F.col("y").cast("int").alias("y")).distinct()
+    draw = F.xxhash64("doc_id", "y", F.lit(seed)).bitwiseAND(F.lit(MASK))
+    # those below a bound are a few more than are wanted, so that the order of all needn't be found
+    marks = marks.withColumn("draw", draw).where(F.col("draw") <= below(rows, marks.count())).orderBy("draw", "doc_id", "y").limit(rows).select("doc_id", "y")
+    drawn = only(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(marks), "doc_id")  # marks: at most `rows` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = [np.unique(grams(x), return_counts=True) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([f[i].astype("<u4").tobytes() for f in found], pa.binary()) for i in (0, 1))], names=["doc_id", "y", "at", "n"])
 
-    got = mapped(drawn.select("doc_id", "text", F.col("y").cast("int").alias("y")), run, "doc_id long, y int, at binary, n binary", __name__).toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    counted = mapped(drawn.select("doc_id", "text", "y"), run, "doc_id long, y int, at binary, n binary", __name__)
+    got = counted.groupBy("doc_id", "y").agg(F.min(F.struct("at", "n")).alias("f")).select("doc_id", "y", "f.at", "f.n").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     data = [(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(n.as_buffer(), "<u4")) for a, n in zip(got["at"], got["n"], strict=True)]
     return ftrl([(at, (SCALE / max(1, int(n.sum())) * n).astype(np.float32)) for at, n in data], got["y"].to_pylist(), epochs, alpha, beta, l1, l2, seed)
 
@@ -121,7 +124,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: list[int], epochs: int, a
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """All columns of `docs` and the chance of label 1; null and empty texts have the chance that the bias gives.
 
-    Only `text` is read for the score; a column called `column` is replaced.
+    Only `text` is read for the score; a column called `column` is replaced. Each row is scored by itself, so repeated rows get
+    the same score and an empty table gives an empty one.
     """
     keep = docs.drop(column)
     shared = keep.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2 ** BITS numbers

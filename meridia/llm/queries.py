@@ -33,7 +33,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, its score, and whether it is rejected as too far from all languages."""
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
-    return found.select("doc_id", (~langid.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(~langid.learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every text, learned from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (~quality.learnable(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return found.select("doc_id", F.coalesce(~quality.learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

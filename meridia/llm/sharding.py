@@ -1,17 +1,19 @@
 """Shards of nearly equal size by sampled splitters, with DataFrame operations only.
 
-Records are ordered by a key (a hash of the text, so equal texts stand together) and then by document id. A sample in
-which a record's chance grows with its size gives quantiles of the order as splitters of many fine ranges. The ranges'
+Records are ordered by a key (a hash of the text, so equal texts stand together), then by document id and by their place in
+the table, so no two records share a place. A sample in which a record's chance grows with its size gives quantiles of
+the order as splitters of many fine ranges. The ranges'
 exact sizes are summed; overfull ones get more splitters from a denser sample of their own rows until each is small, or
 one record. Ranges of one key are one unit. Large units go to the emptiest shards, largest first, and the other ranges
-fill the room that is left, in order. Only a key that fits into no shard's room is cut. Only splitters and one row for
-each range come to the driver: their number follows from the parameters, not from the data.
+fill the room that is left, in order. Only a key that fits into no shard's room is cut. Only a sample of records (about the
+draws that were asked for, whatever repeats), splitters and one row for each range come to the driver: their number
+follows from the parameters, not from the data.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ class Plan:
 def _records(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     thin = only(docs, doc_id=doc_id, text=text)
-    place = F.concat(F.lpad(F.hex(F.xxhash64(t)), 16, "0"), F.lpad(F.coalesce(F.hex(F.col("doc_id").cast("long")), F.lit("")), 16, "0"))
+    place = F.concat(F.lpad(F.hex(F.xxhash64(t)), 16, "0"), F.lpad(F.coalesce(F.hex(F.col("doc_id").cast("long")), F.lit("")), 16, "0"), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
     return thin.select("doc_id", (F.octet_length(t) + OVERHEAD).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), place.alias("place"))
 
 
@@ -114,11 +116,16 @@ def plan_records(rows: DataFrame, shards: int, fine: int = 48, draws_per_range:
         cuts = sorted({*cuts, *(x for r in over for x in _finer(r, of.get(r["range"], []), most))})
     found = {r["range"]: r for r in got}
     shard = _packed([found.get(r) for r in range(len(cuts) + 1)], shards, total / shards, most)
+    return Plan(shards, cuts, shard, _first_slots(shard, {r: x["n"] for r, x in found.items()}, shards))
+
+
+def _first_slots(shard: list[int], counts: dict[int, int], shards: int) -> list[int]:
+    """For each range the rows of its shard's ranges before it."""
     first, rows_of = [0] * len(shard), [0] * shards
     for r, to in enumerate(shard):
         first[r] = rows_of[to]
-        rows_of[to] += found[r]["n"] if r in found else 0
-    return Plan(shards, cuts, shard, first)
+        rows_of[to] += counts.get(r, 0)
+    return first
 
 
 def _packed(ranges: list[dict | None], shards: int, target: float, most: float) -> list[int]:
@@ -159,7 +166,7 @@ def _packed(ranges: list[dict | None], shards: int, target: float, most: float)
 
 
 def records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32 and place of each row, written to the shared folder: texts are read once."""
+    """doc_id, size, text_crc32 and place of each row, written to the shared folder: texts are read once, and a row's place stays."""
     spark, found = docs.sparkSession, _records(docs, doc_id, text)
     folder = shared_folder(spark, "records")
     found.write.mode("overwrite").parquet(folder)
@@ -169,8 +176,8 @@ def records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def plan(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", fine: int = 48, draws_per_range: int = 6, seed: int = 5) -> Plan:
     """Chooses the splitters and the shard of each range. `fine` ranges a shard.
 
-    Equal texts go to one shard, as long as they fit into its room; an empty table has one range. Ties, that is rows of
-    equal id and text, are one place and are never cut.
+    Equal texts go to one shard, as long as they fit into its room; an empty table has one range. Rows of equal id and text
+    are records of their own: ranges and shards can part them where they are too many.
     """
     return plan_records(records(docs, doc_id, text), shards, fine, draws_per_range, seed)
 
@@ -178,10 +185,12 @@ def plan(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text
 def assign(docs: DataFrame, p: Plan, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: this law has none) of every row of `docs`.
 
-    Null texts count as empty (8 bytes). Null ids are allowed; rows repeated with their id and text stay together.
-    Slots of a shard are numbered without gaps: each range numbers its own rows, on from the rows of the ranges before.
+    Null texts count as empty (8 bytes). Null ids are allowed; of rows repeated with their id and text any may take any of their
+    slots. Slots of a shard are numbered without gaps: each range numbers its own rows, on from the rows of the ranges before.
     """
-    return assign_records(_records(docs, doc_id, text), p)
+    rows = records(docs, doc_id, text)
+    counts = {r["range"]: r["n"] for r in rows.groupBy(_range_of(F.col("place"), p.splitters).alias("range")).agg(F.count("*").alias("n")).collect()}  # a row a range
+    return assign_records(rows, replace(p, first_slot=_first_slots(p.shard, counts, p.shards)))
 
 
 def assign_records(rows: DataFrame, p: Plan) -> DataFrame:
@@ -199,7 +208,7 @@ def write(docs: DataFrame, p: Plan, folder: str, doc_id: str = "doc_id", text: s
     called `shard` are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    place = F.concat(F.lpad(F.hex(F.xxhash64(t)), 16, "0"), F.lpad(F.coalesce(F.hex(F.col(doc_id).cast("long")), F.lit("")), 16, "0"))
-    placed = docs.withColumn("__range", _range_of(place, p.splitters))
+    place = F.concat(F.lpad(F.hex(F.xxhash64(t)), 16, "0"), F.lpad(F.coalesce(F.hex(F.col(doc_id).cast("long")), F.lit("")), 16, "0"), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
+    placed = docs.withColumn("__place", place).withColumn("__range", _range_of(F.col("__place"), p.splitters)).drop("__place")
     shard = F.element_at(F.split(F.lit(",".join(map(str, p.shard))), ","), F.col("__range") + 1).cast("int")
     placed.repartition("__range").withColumn("shard", shard).drop("__range").write.mode("overwrite").partitionBy("shard").parquet(folder)

@@ -157,6 +157,16 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+#: Of a 64-bit hash, the bits that make a number from 0.
+MASK = (1 << 63) - 1
+
+
+def below(wanted: int, total: int) -> int:
+    """A bound that some more than `wanted` of `total` rows' hashes (from 0 to MASK) are expected to lie below; all, where there are few."""
+    share = (wanted + 6 * wanted**0.5 + 20) / max(total, 1)
+    return MASK if share >= 1 else int(MASK * share)
+
+
 _KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 
 

@@ -38,19 +38,22 @@ def records(pages: DataFrame, key: str = "page_id", payload: str = "html", url:
 
     Null payloads count as empty. Of the rows with equal payloads (by length and SHA-1) of at least `least` bytes, those
     with the largest key are responses and the others revisit it; rows with a null key are revisits if any other has a
-    key. All shorter payloads are responses. Other columns are left out.
+    key. All shorter payloads are responses. `named` marks the records of a payload whose response is a single row, which revisits can
+    name by its record id; where rows that repeat have the largest key, all of them are responses, and revisits name them by
+    key and digest. Other columns are left out.
     """
     body = F.coalesce(F.encode(F.col("payload"), "UTF-8"), F.lit(b""))
     rows = only(pages, page_id=key, url=url, payload=payload).select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     # Repeated payloads only, a row each: partial sums before the shuffle keep a hot payload small.
-    repeated = rows.where(F.col("payload_bytes") >= least).groupBy("payload_bytes", "payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    long = rows.where(F.col("payload_bytes") >= least).groupBy("payload_bytes", "payload_digest", "page_id").agg(F.count("*").alias("copies"))
+    repeated = long.groupBy("payload_bytes", "payload_digest").agg(F.max("page_id").alias("first"), F.max_by("copies", "page_id").alias("copies"), F.sum("copies").alias("n")).where("n > 1 and first is not null").drop("n")
     salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Short payloads revisit nothing: they are dealt by their key, not by their few digests.
     salt = F.when(F.col("payload_bytes") >= least, F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).otherwise(-1 - F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)).cast("int"))
     joined = rows.withColumn("salt", salt).join(salted, ["payload_bytes", "payload_digest", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"), (F.col("first").isNotNull() & ~revisit).alias("named"))
+    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"), (F.coalesce(F.col("copies") == 1, F.lit(False)) & F.col("first").isNotNull()).alias("named"))
 
 
 def _record_id(name: str) -> str:
@@ -66,7 +69,9 @@ def _head(r: dict, own: str) -> bytes:
     if r["page_id"] is not None:
         lines.append(f"WARC-X-Key: {r['page_id']}")
     if r["revisit"]:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(f"{r['refers_to']}/{r['payload_digest']}")}", f"WARC-X-Refers-To-Key: {r['refers_to']}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-X-Refers-To-Key: {r['refers_to']}"]
+        if r["named"]:
+            lines.append(f"WARC-Refers-To: {_record_id(f"{r['refers_to']}/{r['payload_digest']}")}")
     lines.append(f"Content-Length: {len(http) + (0 if r['revisit'] else r['payload_bytes'])}")
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
@@ -74,9 +79,9 @@ def _head(r: dict, own: str) -> bytes:
 def write(found: DataFrame, folder: str, level: int = 4) -> DataFrame:
     """Writes the rows of records() as one archive a partition, and returns the table of archives (path, n_records).
 
-    A task writes under a name of its own and renames in the end, so that it can run again. A response that others revisit
-    has a record id made of its key and digest; all other records, among them rows that repeat such a response, have ids
-    made of the archive's name and their place in it, so a record id is never given twice. An empty table gives no
+    A task writes under a name of its own and renames in the end, so that it can run again. A single response that others revisit
+    has a record id made of its key and digest; all other records, among them responses that are repeated rows, have ids
+    made of the archive's name and their place in it, so a record id is never given twice, in whatever archives rows are. An empty table gives no
     archive; rows of null keys or urls have no such field.
     """
     spark = found.sparkSession
@@ -85,16 +90,12 @@ def write(found: DataFrame, folder: str, level: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        name, n, out, given = uuid.uuid4().hex, 0, None, set()
+        name, n, out = uuid.uuid4().hex, 0, None
         for b in slices(batches):
             out = out or fs.open_output_stream(f"{root}/.{name}")
             for r in b.to_pylist():
                 member = zlib.compressobj(level, zlib.DEFLATED, 31)
-                own = f"{r['page_id']}/{r['payload_digest']}"
-                if not r["named"] or own in given:
-                    own = f"{name}/{n}"
-                else:
-                    given.add(own)
+                own = f"{r['page_id']}/{r['payload_digest']}" if r["named"] and not r["revisit"] else f"{name}/{n}"
                 out.write(member.compress(_head(r, own)))
                 body = memoryview(b"" if r["revisit"] else r["payload"])
                 for at in range(0, len(body), CHUNK):
