@@ -5,14 +5,14 @@ Input: pairs (x, y, px, py), longitude and latitude in degrees. Rows with a null
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions import kernels
 from meridia.functions.geo import haversine_km
-from meridia.operators.summary import quantiles
+from meridia.operators.summary import kept, quantiles, running_totals
 
 NAMES = ["root_mean_squared_error", "mean_dist", "median_dist", "stdev_dist", "kolmogorov_smirnov", "kolmogorov_smirnov_pval", "skewness", "rho", "rho_p", "spearman_corr_longitude", "spearman_corr_latitude", "spearman_pvalue_longitude", "spearman_pvalue_latitude", "pearson_corr_longitude", "pearson_corr_latitude", "pearson_pvalue_longitude", "pearson_pvalue_latitude", "mad_haversine", "coefficient_of_variation", "interquartile_range", "percentile_25", "percentile_50", "percentile_75", "percent_within_20km", "percent_within_50km", "percent_within_75km", "mean_absolute_z_score"]
 
@@ -33,9 +33,10 @@ def distance_metrics(e: DataFrame, by: list[str] = (), within_20km: float = 25.0
     Without groups the percentiles come from quantiles(), as one task can't hold all errors.
     """
     by = list(by)
-    given = None if by else quantiles(e, "km", [0.25, 0.5, 0.75])
+    e = e if by else kept(e.select("km"), "errors")
+    given = None if by else quantiles(e, "km", [0.25, 0.5, 0.75], written=True)
     q = F.percentile("km", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if by else F.first(F.array(*[F.lit(x).cast("double") for x in given]))
-    away = F.median(F.abs(F.col("km") - F.col("q")[1])) if by else F.first(F.lit(None if given[1] is None else quantiles(e.select(F.abs(F.col("km") - given[1]).alias("d")), "d", [0.5])[0]).cast("double"))
+    away = F.median(F.abs(F.col("km") - F.col("q")[1])) if by else F.first(F.lit(None if given[1] is None else quantiles(e.select(F.abs(F.col("km") - given[1]).alias("d")), "d", [0.5], written=True)[0]).cast("double"))
     first = e.groupBy(*by).agg(
         F.count("km").alias("n"),
         F.sqrt(F.avg(F.col("km") * F.col("km"))).alias("root_mean_squared_error"),
@@ -55,45 +56,48 @@ def distance_metrics(e: DataFrame, by: list[str] = (), within_20km: float = 25.0
     return both.select(*by, "n", "root_mean_squared_error", "mean_dist", F.col("q")[1].alias("median_dist"), "stdev_dist", "skewness", "mad_haversine", (F.col("stdev_dist") / F.nullif(F.col("mean_dist"), F.lit(0.0))).alias("coefficient_of_variation"), (F.col("q")[2] - F.col("q")[0]).alias("interquartile_range"), F.col("q")[0].alias("percentile_25"), F.col("q")[1].alias("percentile_50"), F.col("q")[2].alias("percentile_75"), "percent_within_20km", "percent_within_50km", "percent_within_75km", "mean_absolute_z_score")
 
 
-def ranked(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """The columns as average ranks. Values are counted first, so the window runs over different values only."""
-    by, out = list(by), df
-    for c in columns:
-        counts = df.groupBy(*by, c).agg(F.count("*").alias("c"))
-        over = Window.partitionBy(*by).orderBy(c)
-        upto = F.sum("c").over(over.rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select(*by, c, (upto - (F.col("c") - 1) / 2).alias(f"rank_{c}"))
-        out = out.join(ranks, [*by, c])
-    return out
+def ranks(df: DataFrame, kinds: dict[str, list[str]], by: list[str] = ()) -> DataFrame:
+    """(by, kind, value, rank): the average rank of each different value among those of the columns of its kind, within a group.
+
+    Values are counted first, and all kinds are one table whose running totals need no window over all values.
+    """
+    by = list(by)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("double").alias("value")) for k, cs in kinds.items() for c in cs]))
+    counts = df.select(*by, cells.alias("cell")).select(*by, "cell.kind", "cell.value").groupBy(*by, "kind", "value").agg(F.count("*").alias("c"))
+    upto = running_totals(counts, [*by, "kind"], ["value"], "c", "upto")
+    return upto.select(*by, "kind", "value", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
 
 
 def correlations(e: DataFrame, by: list[str] = ()) -> DataFrame:
     """Pearson and Spearman correlation for each axis, and Spearman's of both axes together."""
     by = list(by)
-    axes = ranked(e.select(*by, "x", "y", "px", "py"), ["x", "y", "px", "py"], by)
-    one = axes.groupBy(*by).agg(F.corr("x", "px").alias("pearson_corr_longitude"), F.corr("y", "py").alias("pearson_corr_latitude"), F.corr("rank_x", "rank_px").alias("spearman_corr_longitude"), F.corr("rank_y", "rank_py").alias("spearman_corr_latitude"), F.count("*").alias("n"))
+    axes = e.select(*by, "x", "y", "px", "py")
+    found = ranks(axes, {"x": ["x"], "y": ["y"], "px": ["px"], "py": ["py"], "t": ["x", "y"], "p": ["px", "py"]}, by)
+
+    def ranked(df: DataFrame, kind: str, c: str) -> DataFrame:
+        own = found.where(F.col("kind") == kind).select(*by, F.col("value").alias(c), F.col("rank").alias(f"rank_{kind}"))
+        return df.join(own, [*by, c])
+
+    each = functools.reduce(lambda df, c: ranked(df, c, c), ("x", "y", "px", "py"), axes)
+    one = each.groupBy(*by).agg(F.corr("x", "px").alias("pearson_corr_longitude"), F.corr("y", "py").alias("pearson_corr_latitude"), F.corr("rank_x", "rank_px").alias("spearman_corr_longitude"), F.corr("rank_y", "rank_py").alias("spearman_corr_latitude"), F.count("*").alias("n"))
     flat = e.select(*by, F.col("x").alias("t"), F.col("px").alias("p")).union(e.select(*by, F.col("y").alias("t"), F.col("py").alias("p")))
-    two = ranked(flat, ["t", "p"], by).groupBy(*by).agg(F.corr("rank_t", "rank_p").alias("rho"))
+    two = ranked(ranked(flat, "t", "t"), "p", "p").groupBy(*by).agg(F.corr("rank_t", "rank_p").alias("rho"))
     return one.join(two, by) if by else one.crossJoin(F.broadcast(two))
 
 
 def kolmogorov_smirnov(e: DataFrame, by: list[str] = ()) -> DataFrame:
     """The largest gap between the distribution of `km` and the normal one with its mean and population deviation.
 
-    A first pass bins by error, so that ranks need no window over all rows: the rank of a row is its place in its bin
-    after the rows of the bins before.
+    Errors are counted by value; running totals of the counts give how many are below a value and how many up to it, without
+    a window over all of them.
     """
     by = list(by)
-    stats = e.groupBy(*by).agg(F.avg("km").alias("m"), F.stddev_pop("km").alias("s"), F.count("*").alias("total"), F.min("km").alias("lo"), F.max("km").alias("hi"))
-    joined = e.select(*by, "km").join(stats, by) if by else e.select("km").crossJoin(F.broadcast(stats))
-    binned = joined.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("km") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096)).otherwise(0))
-    counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("c"))
-    before = counts.select(*by, "bin", F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = binned.join(before, [*by, "bin"])
-    i = F.col("before") + F.row_number().over(Window.partitionBy(*by, "bin").orderBy("km"))
-    z = (F.col("km") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0))
-    cdf = _normal_cdf(z)
-    gaps = placed.select(*by, "total", F.greatest(i / F.col("total") - cdf, cdf - (i - 1) / F.col("total")).alias("gap"))
+    stats = e.groupBy(*by).agg(F.avg("km").alias("m"), F.stddev_pop("km").alias("s"), F.count("km").alias("total"))
+    counts = e.where("km is not null").groupBy(*by, "km").agg(F.count("*").alias("c"))
+    placed = running_totals(counts, by, ["km"], "c", "upto")
+    placed = placed.join(stats, by) if by else placed.crossJoin(F.broadcast(stats))  # one row
+    cdf = _normal_cdf((F.col("km") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0)))
+    gaps = placed.select(*by, "total", F.greatest(F.col("upto") / F.col("total") - cdf, cdf - (F.col("upto") - F.col("c")) / F.col("total")).alias("gap"))
     return gaps.groupBy(*by).agg(F.max("gap").alias("kolmogorov_smirnov"), F.max("total").alias("n"))
 
 
@@ -132,12 +136,3 @@ def all_metrics(pairs: DataFrame, by: list[str] = (), within_20km: float = 25.0,
 
     kinds = ", ".join([*(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in by), *(f"{n} double" for n in NAMES)])
     return out.mapInPandas(p_values, kinds)
-
-
-def numpy_metrics(x, y, px, py) -> pd.Series:
-    """The distance metrics by numpy, for tests."""
-    x, y, px, py = (np.radians(np.asarray(v, float)) for v in (x, y, px, py))
-    h = np.sin((py - y) / 2) ** 2 + np.cos(y) * np.cos(py) * np.sin((px - x) / 2) ** 2
-    e = 2 * 6371.0 * np.arcsin(np.sqrt(h))
-    q = np.percentile(e, [25, 50, 75])
-    return pd.Series({"root_mean_squared_error": np.sqrt((e**2).mean()), "mean_dist": e.mean(), "median_dist": q[1], "stdev_dist": e.std(), "percentile_25": q[0], "percentile_75": q[2], "mad_haversine": np.median(np.abs(e - q[1])), "percent_within_50km": 100 * (e < 50).mean(), "mean_absolute_z_score": np.abs((e - e.mean()) / e.std()).mean(), "skewness": (((e - e.mean()) / e.std()) ** 3).mean()})

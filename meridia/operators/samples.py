@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.operators.summary import running_totals
 from meridia.sources.folders import work_folder
 
 
@@ -24,7 +25,7 @@ def mark_known(samples: DataFrame) -> DataFrame:
 def choose_unknown(samples: DataFrame, share: float, order: Column | None = None, seed: int = 0) -> DataFrame:
     """Marks exactly ceil(share * n) samples as unknown, in an order by hash (or as given), if all are known.
 
-    The bound is found from a count of the order's values, so no window runs over all samples.
+    Samples are numbered by range partitions, so neither a window nor a limit holds them in one task.
     """
     order = F.xxhash64("sample", F.lit(seed)) if order is None else order
     placed = samples.withColumn("__o", order)
@@ -32,8 +33,7 @@ def choose_unknown(samples: DataFrame, share: float, order: Column | None = None
     if head["open"] or not head["n"]:
         return mark_known(samples)
     k = -int(-share * head["n"] // 1)
-    first = placed.select("__o", "sample").orderBy("__o", "sample").limit(k).select("sample").withColumn("__hit", F.lit(True))
-    return samples.join(first, "sample", "left").withColumn("is_known", F.col("__hit").isNull()).drop("__hit")
+    return numbered(placed, ["__o", "sample"], "__i").withColumn("is_known", F.col("__i") >= k).drop("__i", "__o")
 
 
 def extract(samples: DataFrame, outliers: DataFrame) -> DataFrame:
@@ -44,9 +44,11 @@ def extract(samples: DataFrame, outliers: DataFrame) -> DataFrame:
 
 def split(samples: DataFrame, train: float, val: float, order: Column, cluster: str = "cluster") -> DataFrame:
     """`split` (train, val, test) within each cluster by an order: shares train, val / 2, and the rest, without overlap."""
-    w = Window.partitionBy(cluster)
-    place = (F.row_number().over(w.orderBy(order, "sample")) - 1) / F.count("*").over(w)
-    return samples.withColumn("split", F.when(place < train, "train").when(place < train + val / 2, "val").otherwise("test"))
+    placed = running_totals(samples.withColumn("__o", order).withColumn("__1", F.lit(1)), [cluster], ["__o", "sample"], "__1", "__i")
+    sizes = samples.groupBy(F.col(cluster).alias("__cluster")).agg(F.count("*").alias("__n"))
+    placed = placed.join(sizes, F.col(cluster).eqNullSafe(F.col("__cluster")))
+    place = (F.col("__i") - 1) / F.col("__n")
+    return placed.withColumn("split", F.when(place < train, "train").when(place < train + val / 2, "val").otherwise("test")).drop("__o", "__1", "__i", "__cluster", "__n")
 
 
 def disjoint(a: DataFrame, b: DataFrame) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -157,22 +158,68 @@ def flat_names(df: DataFrame, by: list[str], columns: list[str], kinds: tuple[st
 FEW, NARROW, BINS = 2_000_000, 10_000, 4096
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float], few: int = FEW) -> list[float | None]:
+def running_totals(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """The rows with `name`: the sum of `value` over the rows of their group up to and including them, in an order.
+
+    Rows are range-partitioned by group and order and written; each partition sums its own rows, on from the partitions before,
+    so neither all rows nor a large group are in one task. Rows that are equal in all of the order are summed in any order.
+    """
+    spark, folder = df.sparkSession, work_folder(df, "totals")
+    dealt = df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id())
+    dealt.write.parquet(folder)
+    dealt = spark.read.schema(dealt.schema).parquet(folder)
+    sums = dealt.groupBy("__part", *by).agg(F.sum(value).alias("__sum"))  # a row a partition, and one more a group
+    before = F.sum("__sum").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    keys = ["__part", *by]
+    starts = sums.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]
+    own = F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = dealt.withColumn(name, own).join(starts, functools.reduce(lambda x, y: x & y, same))
+    return joined.withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before", *[f"__k{i}" for i in range(len(keys))])
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The table, written to the shared folder and read again."""
+    folder = work_folder(df, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], few: int = FEW, written: bool = False) -> list[float | None]:
     """The exact quantiles of a column, with linear interpolation; nulls don't count, and without values all are None.
 
     Up to `few` values are one aggregation. More are counted in bins between the extremes, then in finer bins of those that
     hold the wanted places, until such a bin has few values or one: no task holds all different values. Both ways give the
-    same numbers. The values are written once to the shared folder.
+    same numbers; in both NaN counts as larger than all others. The values are written once to the shared folder, unless
+    `df` is `written` itself.
     """
-    spark, folder = df.sparkSession, work_folder(df, "quantiles")
-    df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).write.parquet(folder)
-    v = spark.read.schema("v double").parquet(folder)
-    n = v.count()
+    v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    v = v if written else kept(v, "quantiles")
+    if v.count() <= few:
+        found = v.agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("q")).head()["q"]
+        return [None] * len(shares) if found is None else list(found)
+    inf = float("inf")
+    ends = v.agg(F.count("*").alias("n"), F.count_if(F.col("v") == -inf).alias("least"), F.count_if(F.col("v") == inf).alias("most"), F.count_if(F.isnan("v")).alias("nan")).head()
+    n = ends["n"]
     if not n:
         return [None] * len(shares)
-    if n <= few:
-        return list(v.agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("q")).head()["q"])
-    places = sorted({k for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
+    places = {k for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))}
+    first, last = ends["least"], n - ends["nan"] - ends["most"]  # the places of finite values
+    found = {k: -inf if k < first else float("nan") if k >= n - ends["nan"] else inf for k in places if not first <= k < last}
+    v = v.where((F.col("v") > -inf) & (F.col("v") < inf))
+    found |= _places(v, sorted(k - first for k in places if first <= k < last), first)
+    out = []
+    for s in shares:
+        k = s * (n - 1)
+        a, b, part = found[math.floor(k)], found[math.ceil(k)], k - math.floor(k)
+        out.append(a if a == b or not part else (1 - part) * a + part * b)
+    return out
+
+
+def _places(v: DataFrame, places: list[int], shift: int) -> dict[int, float]:
+    """The finite values at places of their order, by the place plus `shift`."""
+    if not places:
+        return {}
     low, high = v.agg(F.min("v"), F.max("v")).head()
     open_parts, found = [(low, high, 0, places)], {}
     while open_parts:
@@ -180,24 +227,20 @@ def quantiles(df: DataFrame, value: str, shares: list[float], few: int = FEW) ->
         for i, (a, b, _, _) in enumerate(open_parts):  # at most two a share
             inside = F.col("v").between(a, b)
             part = F.when(inside, i).otherwise(part)
-            bin_ = F.when(inside, F.least(F.floor((F.col("v") - a) / (b - a) * BINS), F.lit(BINS - 1)) if b > a else F.lit(0)).otherwise(bin_)
+            width = b / BINS - a / BINS  # in this order it can't leave the range of numbers
+            bin_ = F.when(inside, F.least(F.floor((F.col("v") / BINS - a / BINS) / width * BINS), F.lit(BINS - 1)) if width > 0 else F.lit(0)).otherwise(bin_)
         counts = v.select("v", part.alias("part"), bin_.alias("bin")).where("part is not null").groupBy("part", "bin").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("part", "bin").collect()  # at most BINS a part
         finer = []
         for i, (_, _, before, wanted) in enumerate(open_parts):
             for r in (r for r in counts if r["part"] == i):
                 own = [k for k in wanted if before <= k < before + r["n"]]
                 if own and r["a"] == r["b"]:
-                    found |= dict.fromkeys(own, r["a"])
+                    found |= {k + shift: r["a"] for k in own}
                 elif own and r["n"] <= NARROW:
                     values = sorted(x["v"] for x in v.where(F.col("v").between(r["a"], r["b"])).collect())
-                    found |= {k: values[k - before] for k in own}
+                    found |= {k + shift: values[k - before] for k in own}
                 elif own:
                     finer.append((r["a"], r["b"], before, own))
                 before += r["n"]
         open_parts = finer
-    out = []
-    for s in shares:
-        k = s * (n - 1)
-        a, b = found[math.floor(k)], found[math.ceil(k)]
-        out.append(a if a == b else a + (b - a) * (k - math.floor(k)))
-    return out
+    return found
