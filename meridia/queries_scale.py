@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meridia.operators import descent, optics, outliers, wide
+from meridia.operators import descent, metrics, notches, optics, outliers, spatial, wide
 from meridia.queries import _hav, _placed, query
+from meridia.sources import shapefiles
 from meridia.sources import testviews as tv
+from meridia.sources.folders import work_folder
 
 #: Points within 400 km, core distances for three points, and clusters at three radii.
 _OPTICS = f"""
@@ -57,3 +59,51 @@ def knn_descent(spark, sf_dir):
 def k_sums_descent(spark, sf_dir):
     """The sweep over numbers of neighbours with neighbours by descent."""
     return outliers.k_sums(_placed(spark, sf_dir), "geographic", 2, 20, approximate=True)
+
+
+#: How often a row counts in each of 200 replicates, by plain draws, and the two rows around the median.
+_WEIGHTED = f"""
+WITH ch AS (SELECT k, sum(exp(-1.0) / f) OVER (ORDER BY k) AS upto FROM (SELECT k, CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) AS f FROM range({notches.MOST}) t(k))),
+u AS (SELECT g, id, km, r, CAST(((id + 1) % {notches.PRIME} * 7919 + (r + 1) * 104729 + (id % {notches.PRIME}) * r * 31) % {notches.PRIME} AS DOUBLE) / {notches.PRIME} AS u FROM e, range(200) t(r)),
+w AS (SELECT g, id, km, r, (SELECT count(*) FROM ch WHERE upto <= u) AS w FROM u),
+c AS (SELECT g, km, r, w, sum(w) OVER (PARTITION BY g, r ORDER BY km, id) AS upto, sum(w) OVER (PARTITION BY g, r) AS total FROM w),
+m AS (SELECT g, r, min(km) FILTER (upto > floor(0.5 * (total - 1))) AS a, min(km) FILTER (upto > ceil(0.5 * (total - 1))) AS b, any_value(0.5 * (total - 1) - floor(0.5 * (total - 1))) AS f FROM c WHERE total > 0 GROUP BY 1, 2)
+"""
+
+
+@query("p q e", f"{_WEIGHTED} SELECT g, R[quantile_cont(a * (1 - f) + b * f, 0.025)] AS low, R[quantile_cont(a * (1 - f) + b * f, 0.975)] AS high, count(*) AS replicates FROM m GROUP BY g")
+def bootstrap_notch(spark, sf_dir):
+    """The interval of the median error of each group."""
+    e = metrics.errors(tv.pairs(spark, sf_dir))
+    return notches.notch(e, "id", "km", ["g"], replicates=200, draw="modulo")
+
+
+_BOXES = "b AS (SELECT g, floor(avg(x)) + 0.005 AS cx, floor(avg(y)) + 0.005 AS cy FROM p GROUP BY 1)"
+
+
+def _maps(spark, sf_dir):
+    """A region a group around its points' centre, with a hole in every third, as two zipped shapefiles."""
+    centre = lambda c: F.floor(F.avg(c)) + 0.005
+    boxes = tv.points(spark, sf_dir).groupBy("g").agg(centre("x").alias("cx"), centre("y").alias("cy"))
+    corner = lambda dx, dy: F.struct((F.col("cx") + dx).cast("double").alias("x"), (F.col("cy") + dy).cast("double").alias("y"))
+    ring = lambda r, turns: F.array(*[corner(r * dx, r * dy) for dx, dy in turns])
+    outer = ring(40, [(-1, -1), (-1, 1), (1, 1), (1, -1), (-1, -1)])
+    hole = ring(15, [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)])
+    named = F.create_map(F.lit("NAME"), F.col("g").cast("string"), F.lit("STATEFP"), F.lpad(F.col("g").cast("string"), 2, "0"))
+    rows = boxes.select(F.concat(F.lit("map"), F.col("g") % 2).alias("layer"), named.alias("attributes"), F.when(F.col("g") % 3 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"))
+    folder = f"{work_folder(rows, 'maps')}"
+    shapefiles.write(rows, folder)
+    return folder
+
+
+@query("p", f"WITH {_BOXES} SELECT CAST(b.g AS VARCHAR) AS name, lpad(CAST(b.g AS VARCHAR), 2, '0') AS statefp, count(*) AS n FROM b JOIN p ON abs(p.x - cx) < 40 AND abs(p.y - cy) < 40 AND NOT (b.g % 3 = 0 AND abs(p.x - cx) < 15 AND abs(p.y - cy) < 15) GROUP BY 1, 2")
+def points_in_shapefiles(spark, sf_dir):
+    found = shapefiles.regions(spark, _maps(spark, sf_dir))
+    inside = spatial.in_regions(tv.points(spark, sf_dir), found.select("name", "ring", "holes"))
+    return inside.groupBy("name").agg(F.count("*").alias("n")).select("name", F.lpad("name", 2, "0").alias("statefp"), "n")
+
+
+@query("p", f"WITH {_BOXES} SELECT lpad(CAST(g AS VARCHAR), 2, '0') AS statefp, CAST(g AS VARCHAR) AS name, 0 AS part, 5 AS corners, CASE WHEN g % 3 = 0 THEN 1 ELSE 0 END AS holes, R[cx - 40] AS west, R[cy + 40] AS north FROM b WHERE g = 3")
+def shapefile_state(spark, sf_dir):
+    found = shapefiles.regions(spark, _maps(spark, sf_dir), fips="3")
+    return found.select("statefp", "name", "part", F.size("ring").alias("corners"), F.size("holes").alias("holes"), F.array_min(F.transform("ring", lambda p: p["x"])).alias("west"), F.array_max(F.transform("ring", lambda p: p["y"])).alias("north"))

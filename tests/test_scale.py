@@ -13,8 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from meridia.operators import clusters, descent, embedding, neighbors, optics, samples, summary, wide
-from meridia.sources import bgzf, files, variants
+from meridia.functions import projections
+from meridia.operators import clusters, descent, embedding, neighbors, notches, optics, samples, summary, wide
+from meridia.sources import bgzf, files, shapefiles, variants
 from meridia.sources import testviews as tv
 
 SF = "/root/testdata/sf0.001"
@@ -334,3 +335,101 @@ def test_picks_and_splits_have_no_limit_over_rows(spark):
         assert "TakeOrdered" not in text and "SinglePartition" not in text
     counts = Counter((r["cluster"], r["split"]) for r in parts.collect())
     assert all(counts[c, s] == n for c in range(3) for s, n in (("train", 800), ("val", 51), ("test", 149)))  # 0.8 + 0.1 / 2 lies above 0.85
+
+
+# ---- bootstrapped notches --------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("draw", ["hash", "modulo"])
+def test_bootstrap_equals_plain_resampling(spark, monkeypatch, draw):
+    monkeypatch.setattr(notches, "PART_ROWS", 60)
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "a", "b"]), rng.choice([rng.random(), 0.5])) for i in range(400)] + [(500, "c", 2.0), (501, "d", None), (502, "d", math.nan)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    for share in (0.5, 0.9):
+        got = {(r["g"], r["replicate"]): r["q"] for r in notches.bootstrap(df, "id", "v", ["g"], share, 40, 3, draw).collect()}
+        w = notches.weights(np.array([r[0] for r in rows]), 40, 3, draw)
+        want = {}
+        for g in "abcd":
+            for rep in range(40):
+                values = [v for (i, own, v), n in zip(rows, w[:, rep]) for _ in range(n) if own == g and v is not None and not math.isnan(v)]
+                if values:
+                    want[g, rep] = np.quantile(values, share)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+    whole = notches.notch(df, "id", "v", replicates=40, seed=3, draw=draw).collect()
+    assert len(whole) == 1 and whole[0]["low"] <= 0.5 <= whole[0]["high"]
+    assert notches.notch(df.where("v is null"), "id", "v", replicates=5).count() == 0
+
+
+def test_weights_are_poisson():
+    w = notches.weights(np.arange(20_000), 30, 1, "hash")
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.05 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.7
+
+
+# ---- shapefiles and projections --------------------------------------------------------------------------------------
+
+
+def test_transverse_mercator_both_ways():
+    tm = projections.utm(15)
+    rng = np.random.default_rng(3)
+    lon, lat = rng.uniform(-123, -63, 500), rng.uniform(-84, 84, 500)
+    back = tm.inverse(*tm.forward(lon, lat))
+    assert np.allclose(back[0], lon, atol=1e-9) and np.allclose(back[1], lat, atol=1e-9)
+    assert np.allclose(tm.forward(np.array([-93.0]), np.array([0.0])), [[500_000], [0]], atol=1e-6)
+    # along the meridian the northing is the arc of the ellipse
+    e2 = tm.f * (2 - tm.f)
+    phi = np.linspace(0, np.radians(47.3), 200_001)
+    m = tm.a * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5
+    arc = ((m[1:] + m[:-1]) / 2 * np.diff(phi)).sum()
+    assert math.isclose(tm.forward(np.array([-93.0]), np.array([47.3]))[1][0], 0.9996 * arc, abs_tol=1e-3)
+    # it is conformal: a small step east and one north have one scale and are at right angles
+    h = 1e-6
+    x, y = tm.forward(np.array([-90.0, -90.0 + h, -90.0]), np.array([41.0, 41.0, 41.0 + h]))
+    nu, rho = tm.a / math.sqrt(1 - e2 * math.sin(math.radians(41)) ** 2), tm.a * (1 - e2) / (1 - e2 * math.sin(math.radians(41)) ** 2) ** 1.5
+    east, north = np.array([x[1] - x[0], y[1] - y[0]]) / (nu * math.cos(math.radians(41))), np.array([x[2] - x[0], y[2] - y[0]]) / rho
+    assert np.allclose(east @ north / (np.linalg.norm(east) * np.linalg.norm(north)), 0, atol=1e-5) and math.isclose(np.linalg.norm(east), np.linalg.norm(north), rel_tol=1e-5)
+
+
+UTM_PRJ = 'PROJCS["WGS_1984_UTM_Zone_15N",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["False_Easting",500000.0],PARAMETER["False_Northing",0.0],PARAMETER["Central_Meridian",-93.0],PARAMETER["Scale_Factor",0.9996],PARAMETER["Latitude_Of_Origin",0.0],UNIT["Meter",1.0]]'
+
+
+def square(x, y, r, clockwise=True):
+    ring = [(x - r, y - r), (x - r, y + r), (x + r, y + r), (x + r, y - r), (x - r, y - r)]
+    return ring if clockwise else ring[::-1]
+
+
+def test_shapefiles_equal_their_geojson_twin(spark, tmp_path):
+    import json
+
+    maps = [({"STATEFP": "05", "NAME": "Plain"}, [square(-93, 35, 2)]), ({"STATEFP": "05", "NAME": "Inseln über"}, [square(-91, 34, 1), square(-91, 34, 0.4, False), square(-95, 31, 1), square(-91, 34, 0.2)]), ({"STATEFP": "48", "NAME": ""}, [square(-90, 41, 1)])]
+    twin = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"STATEFP": "05", "NAME": "Plain"}, "geometry": {"type": "Polygon", "coordinates": [maps[0][1][0]]}},
+        {"type": "Feature", "properties": {"STATEFP": "05", "NAME": "Inseln über"}, "geometry": {"type": "MultiPolygon", "coordinates": [[maps[1][1][0], maps[1][1][1]], [maps[1][1][2]], [maps[1][1][3]]]}},
+        {"type": "Feature", "properties": {"STATEFP": "48", "NAME": None}, "geometry": {"type": "Polygon", "coordinates": [maps[2][1][0]]}},
+    ]}
+    (tmp_path / "t.geojson").write_text(json.dumps(twin))
+    tm = projections.utm(15)
+    plane = [(a, [list(zip(*(v.tolist() for v in tm.forward(*np.array(r).T)))) for r in rings]) for a, rings in maps]
+    for name, content in (("degrees.zip", shapefiles.packed(maps)), ("plane.zip", shapefiles.packed(plane, UTM_PRJ))):
+        (tmp_path / name).write_bytes(content)
+        for fips in (None, "5"):
+            want = sorted(files.regions(spark, str(tmp_path / "t.geojson"), fips).collect(), key=str)
+            got = sorted(shapefiles.regions(spark, str(tmp_path / name), fips).collect(), key=str)
+            assert [(r["statefp"], r["name"], r["part"]) for r in got] == [(r["statefp"], r["name"], r["part"]) for r in want]
+            for a, b in zip(got, want):
+                assert np.allclose(a["ring"], b["ring"], atol=1e-9) and len(a["holes"]) == len(b["holes"])
+                assert all(np.allclose(p, q, atol=1e-9) for p, q in zip(a["holes"], b["holes"]))
+
+
+def test_shapefiles_that_are_odd(spark, tmp_path):
+    (tmp_path / "none.zip").write_bytes(shapefiles.packed([]))
+    assert shapefiles.read(spark, str(tmp_path / "none.zip")).count() == 0
+    (tmp_path / "odd.zip").write_bytes(shapefiles.packed([({"A": "x"}, [square(0, 0, 1, clockwise=False)])]))  # a hole in nothing
+    row = shapefiles.read(spark, str(tmp_path / "odd.zip")).head()
+    assert row["attributes"] == {"A": "x"} and len(row["ring"]) == 5 and shapefiles.regions(spark, str(tmp_path / "odd.zip")).head()["statefp"] is None
+    (tmp_path / "bad.zip").write_bytes(shapefiles.packed([({}, [square(0, 0, 1)])], UTM_PRJ.replace("Transverse_Mercator", "Lambert_Conformal_Conic")))
+    with pytest.raises(Exception, match="Lambert_Conformal_Conic"):
+        shapefiles.read(spark, str(tmp_path / "bad.zip")).collect()
+    x, y = projections.to_degrees('PROJCS["w",PROJECTION["Mercator_Auxiliary_Sphere"],UNIT["Meter",1.0]]')(np.array([20037508.342789244]), np.array([0.0]))
+    assert np.allclose([x, y], [[180], [0]])
