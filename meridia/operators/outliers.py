@@ -62,26 +62,38 @@ def gamma_curve(spark, shape: float, rate: float, level: float, places: int = 10
     return spark.range(places).select(d.alias("d"), F.exp(log).alias("density"), F.lit(top).alias("critical"))
 
 
-def genotype_errors(samples: DataFrame, knn: DataFrame, ks: list[int], power: float = 2.0) -> DataFrame:
+#: Loci of a block.
+BLOCK = 1024
+
+
+def genotype_errors(samples: DataFrame, knn: DataFrame, ks: list[int], power: float = 2.0, block: int = BLOCK) -> DataFrame:
     """(id, k, d): the mean squared difference of each sample's features and those predicted from its k nearest, for each k.
 
-    Of a sample with fewer neighbours all count. A row holds a sample's neighbours, as many as ranks in `knn`, and running
-    sums over ranks serve all k at once.
+    Of a sample with fewer neighbours all count. Features meet in blocks of loci, so a group is a sample's block with those of its
+    neighbours, as many as ranks in `knn`; running sums over ranks, a matrix for all groups of one size, serve all k at once.
     """
-    near = knn.join(samples.select(F.col("id").alias("nbr_id"), F.col("features").alias("nf")), "nbr_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", inverse_distance(F.col("dist"), power).alias("w"), "nf"))).alias("near"))
-    rows = near.join(samples.select("id", "features"), "id").select("id", "features", F.transform("near", lambda r: r["w"]).alias("w"), F.transform("near", lambda r: r["nf"]).alias("nf"))
+    cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("features") - 1) / block).cast("int")), lambda b: F.slice("features", b * block + 1, F.lit(block))))
+    pieces = samples.select("id", F.col("features").cast("array<double>").alias("features")).where(F.size("features") > 0).select("id", cut.alias("b", "f"))
+    near = knn.select("id", "rank", inverse_distance(F.col("dist"), power).alias("w"), "nbr_id").join(pieces.select(F.col("id").alias("nbr_id"), "b", F.col("f").alias("nf")), "nbr_id")
+    near = near.groupBy("id", "b").agg(F.array_sort(F.collect_list(F.struct("rank", "w", "nf"))).alias("near"))  # no longer than the ranks
+    rows = near.join(pieces, ["id", "b"]).select("id", "f", F.transform("near", lambda r: r["w"]).alias("w"), F.transform("near", lambda r: r["nf"]).alias("nf"))
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            out = []
-            for i, f, w, nf in zip(b["id"], b["features"], b["w"], b["nf"]):
-                x = np.stack([np.asarray(v, float) for v in nf])
-                run_w = np.cumsum(w)
-                d = ((np.cumsum(np.asarray(w)[:, None] * x, axis=0) / run_w[:, None] - np.asarray(f, float)) ** 2).mean(1)
-                out += [(i, k, float(d[min(k, len(d)) - 1])) for k in ks]
-            yield pd.DataFrame(out, columns=["id", "k", "d"])
-
-    return rows.mapInPandas(run, "id long, k int, d double").withColumn("d", zero_floor(F.col("d"), genetic=True))
+            shape = pd.Series([(len(w), len(f)) for w, f in zip(b["w"], b["f"])], index=b.index, dtype=object)
+            for (ranks, loci), at in shape.groupby(shape).groups.items():
+                own = b.loc[at]
+                for i in range(0, len(own), 64):
+                    part = own.iloc[i : i + 64]
+                    x = np.stack([np.concatenate(v.tolist()) for v in part["nf"]]).reshape(len(part), ranks, loci)
+                    w = np.stack(part["w"].to_numpy())
+                    f = np.stack(part["f"].to_numpy())
+                    upto = np.cumsum(w[:, :, None] * x, axis=1) / np.cumsum(w, axis=1)[:, :, None]
+                    d = ((upto - f[:, None]) ** 2).sum(2)[:, [min(k, ranks) - 1 for k in ks]]
+                    yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), len(ks)), "k": np.tile(np.array(ks, np.int32), len(part)), "s": d.ravel(), "n": loci})
+
+    sums = rows.mapInPandas(run, "id long, k int, s double, n long").groupBy("id", "k").agg((F.sum("s") / F.sum("n")).alias("d"))
+    return sums.withColumn("d", zero_floor(F.col("d"), genetic=True))
 
 
 def _genetic(samples: DataFrame, k: int, approximate: bool) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from meridia.functions import kernels
 from meridia.operators.neighbors import nearest_vectors
-from meridia.operators.summary import quantiles
+from meridia.operators.samples import numbered
+from meridia.operators.summary import quantiles, running_totals
 
 
 def weighted_draws(rows: DataFrame, weight: str, draws: int, uniform: Column, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:
@@ -55,6 +56,25 @@ def edited(rows: DataFrame, label: str, k: int = 3) -> DataFrame:
     return rows.join(won, "id").where(F.col(label) == F.col("won")).drop("won")
 
 
+def smoteenn(rows: DataFrame, label: str, k: int = 5, edit_k: int = 3) -> DataFrame:
+    """(id, copy, label, features): every class brought to the size of the largest by smote(), then what edited() leaves of all.
+
+    Original rows have copy 0. Each row of a smaller class gets the same number of copies, and the first rows in an order by hash
+    one more, until the sizes are equal; a class looks for at most `k` neighbours and no more than it has, and a class of
+    one row gets no copies. Features are arrays of doubles, ids differ. An empty table gives an empty one.
+    """
+    base = rows.select("id", F.col(label).alias("label"), F.col("features").cast("array<double>").alias("features"))
+    sizes = base.groupBy("label").agg(F.count("*").alias("n"))
+    short = sizes.crossJoin(F.broadcast(sizes.agg(F.max("n").alias("top")))).select("label", F.floor((F.col("top") - F.col("n")) / F.col("n")).alias("each"), ((F.col("top") - F.col("n")) % F.col("n")).alias("more"), "n")
+    made = smote(base, "label", short.where("n > 1").select("label", (F.col("each") + F.when(F.col("more") > 0, 1).otherwise(0)).alias("copies")), k)
+    placed = running_totals(base.select("id", "label", F.xxhash64("id").alias("h"), F.lit(1).alias("one")), ["label"], ["h", "id"], "one", "place").select("id", "place")
+    limit = F.col("each") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0)
+    made = made.join(placed, "id").join(short, "label").where(F.col("copy") <= limit).select("id", "copy", "label", "features")
+    whole = numbered(base.select("id", F.lit(0).alias("copy"), "label", "features").union(made), ["id", "copy"], "__n")
+    left = edited(whole.select(F.col("__n").alias("id"), "label", "features"), "label", edit_k).select(F.col("id").alias("__n"))
+    return whole.join(left, "__n").select("id", "copy", F.col("label").alias(label), "features")
+
+
 def boosted(rows: DataFrame, test: DataFrame, rounds: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
     """(id, tx, ty) predicted by two forests of boosted trees, one an axis, fitted on (features, tx, ty, weight)."""
     vector = lambda df: df.withColumn("v", array_to_vector(F.col("features").cast("array<double>")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import kernels
@@ -36,6 +36,27 @@ def cubic_regression(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.sparkSession.createDataFrame([row], "b0 double, b1 double, b2 double, b3 double, r double, p double")
 
 
+def optimal_density(df: DataFrame, x: str, y: str, places: int = 1000) -> DataFrame:
+    """(density, error): the knee of the cubic curve of y on x, at evenly spread places between the extremes of x.
+
+    The curve is taken as falling and convex: the knee is the first place inside at which 1 - y - x, both scaled to 0 .. 1, has a
+    local maximum from which it comes down by more than a step later. No such place, fewer than four rows or a flat curve: no row.
+    """
+    fitted = cubic_regression(df, x, y)
+    ends = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi"))
+    grid = df.sparkSession.range(places).select("id").crossJoin(F.broadcast(fitted)).crossJoin(F.broadcast(ends))  # a row each
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("id") / (places - 1)
+    curve = grid.select("id", at.alias("x"), *(f"b{k}" for k in range(4))).select("id", "x", sum((F.col(f"b{k}") * F.pow("x", F.lit(float(k))) for k in range(1, 4)), F.col("b0")).alias("y"))
+    flat = curve.agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    gap = 1 - (F.col("y") - F.col("low")) / (F.col("high") - F.col("low")) - F.col("id") / (places - 1)
+    d = curve.crossJoin(F.broadcast(flat)).where("high > low").select("id", "x", "y", gap.alias("d"))
+    w = Window.orderBy("id")  # over `places` rows
+    later = F.min("d").over(w.rowsBetween(1, Window.unboundedFollowing))
+    tops = d.select("*", F.lag("d").over(w).alias("before"), F.lead("d").over(w).alias("after"), later.alias("later"))
+    found = tops.where((F.col("d") >= F.col("before")) & (F.col("d") >= F.col("after")) & (F.col("later") < F.col("d") - 1 / (places - 1)))
+    return found.orderBy("id").limit(1).select(F.col("x").alias("density"), F.col("y").alias("error"))
+
+
 def fit_variogram(table: DataFrame, lag_km: float) -> tuple[float, float, float]:
     """Nugget, sill and range (km) of a gaussian variogram, by least squares over the lags of variogram(), weighted by pairs.
 

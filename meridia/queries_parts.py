@@ -36,9 +36,13 @@ def neighbour_counts(spark, sf_dir):
 @query("p", "SELECT count(*) AS n, count(DISTINCT id) AS different, true AS same_order, true AS other_order FROM p")
 def shuffled_samples(spark, sf_dir):
     p = tv.points(spark, sf_dir)
-    order = lambda seed: [r["id"] for r in samples.shuffled(p, seed, "id").select("id").collect()]
-    one, again, other = order(1), order(1), order(2)
-    return spark.createDataFrame([(len(one), len(set(one)), one == again, one != other)], "n long, different long, same_order boolean, other_order boolean")
+
+    def placed(seed: int, name: str):  # noqa: ANN202
+        return samples.numbered(p.select("id", F.xxhash64("id", F.lit(seed)).alias("h")), ["h", "id"], name).select("id", name)
+
+    both = placed(1, "one").join(placed(1, "again"), "id").join(placed(2, "other"), "id")
+    same, other = F.bool_and(F.col("one") == F.col("again")), F.bool_or(F.col("one") != F.col("other"))
+    return both.agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"), same.alias("same_order"), other.alias("other_order"))
 
 
 @query("b", "SELECT tool, R[avg(x)] AS x_mean, R[median(x)] AS x_median, R[stddev_samp(x)] AS x_std, R[avg(y)] AS y_mean, R[median(y)] AS y_median, R[stddev_samp(y)] AS y_std FROM b GROUP BY 1")

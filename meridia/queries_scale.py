@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meridia.operators import descent, metrics, notches, optics, outliers, spatial, wide
-from meridia.queries import _hav, _placed, query
-from meridia.sources import shapefiles
+from meridia.operators import descent, metrics, notches, optics, outliers, resample, spatial, summary, wide
+from meridia.queries import ORACLE, _hav, _placed, query
+from meridia.sources import shapefiles, sinks
 from meridia.sources import testviews as tv
 from meridia.sources.folders import work_folder
 
@@ -107,3 +107,49 @@ def points_in_shapefiles(spark, sf_dir):
 def shapefile_state(spark, sf_dir):
     found = shapefiles.regions(spark, _maps(spark, sf_dir), fips="3")
     return found.select("statefp", "name", "part", F.size("ring").alias("corners"), F.size("holes").alias("holes"), F.array_min(F.transform("ring", lambda p: p["x"])).alias("west"), F.array_max(F.transform("ring", lambda p: p["y"])).alias("north"))
+
+
+_CUBIC = ORACLE["cubic_regression"].partition(" t AS (SELECT abs(y)/90")[2]
+
+
+@query("p q e", f"""
+WITH t AS (SELECT abs(y)/90{_CUBIC.partition("SELECT (round(my")[0].rstrip()},
+c AS (SELECT my-c1*m+c2*(b*m-a2)+c3*(g*m-a3-d*(b*m-a2)) AS b0, c1-c2*b+c3*(d*b-g) AS b1, c2-c3*d AS b2, c3 AS b3 FROM a, f1, f2, f3),
+grid AS (SELECT i, lo + (hi - lo) * i / 999 AS x FROM range(1000) r(i), (SELECT min(x) AS lo, max(x) AS hi FROM t)),
+yy AS (SELECT i, x, b0 + b1 * x + b2 * x * x + b3 * x * x * x AS y FROM grid, c), dd AS (SELECT i, x, y, 1 - (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) - i / 999.0 AS d FROM yy),
+tops AS (SELECT *, lag(d) OVER (ORDER BY i) AS before, lead(d) OVER (ORDER BY i) AS after, min(d) OVER (ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM dd)
+SELECT R[x] AS density, R[y] AS error FROM tops WHERE d >= before AND d >= after AND later < d - 1 / 999.0 ORDER BY i LIMIT 1""", digits=6)
+def optimal_density(spark, sf_dir):
+    """The knee of the errors' cubic curve over the density."""
+    e = metrics.errors(tv.pairs(spark, sf_dir)).withColumn("s", F.abs("y") / 90)
+    return spatial.optimal_density(e, "s", "km")
+
+
+_RANKED = ", ".join(f"rank() OVER (PARTITION BY g ORDER BY {c}) + (count(*) OVER (PARTITION BY g, {c}) - 1) / 2.0 AS r_{c}" for c in ("x", "px", "y", "py"))
+
+
+@query("p q", f"""
+WITH k AS (SELECT *, {_RANKED} FROM q), c AS (SELECT g, corr(x, px) AS pearson_corr_longitude, corr(y, py) AS pearson_corr_latitude, corr(r_x, r_px) AS spearman_corr_longitude, corr(r_y, r_py) AS spearman_corr_latitude FROM k GROUP BY 1),
+u AS (SELECT metric, value FROM c UNPIVOT (value FOR metric IN (pearson_corr_longitude, pearson_corr_latitude, spearman_corr_longitude, spearman_corr_latitude)))
+SELECT metric, count(*) AS count, R[avg(value)] AS mean, R[stddev_samp(value)] AS std, R[min(value)] AS min, R[quantile_cont(value, 0.25)] AS q25, R[quantile_cont(value, 0.5)] AS q50, R[quantile_cont(value, 0.75)] AS q75, R[max(value)] AS max FROM u GROUP BY 1""")
+def correlation_distributions(spark, sf_dir):
+    """How the correlations of each group are spread."""
+    c = metrics.correlations(metrics.errors(tv.pairs(spark, sf_dir)), ["g"])
+    names = ["pearson_corr_longitude", "pearson_corr_latitude", "spearman_corr_longitude", "spearman_corr_latitude"]
+    return summary.describe(summary.long_form(c, ["g"], names), ["metric"], "value")
+
+
+@query("", "SELECT user_id AS plan, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS epoch, R[value] AS loss FROM events")
+def loss_curve_files(spark, sf_dir):
+    """Curves written as JSON and read again."""
+    curve = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"])
+    curves = tv.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("plan")).agg(curve.alias("curve"))
+    path = f"{work_folder(curves, 'files')}/curves"
+    sinks.loss_curves(curves, path)
+    return spark.read.schema("plan long, curve array<double>").json(path).select("plan", F.posexplode("curve").alias("epoch", "loss"))
+
+
+@query()
+def smoteenn(spark, sf_dir):
+    """All vectors with synthetic ones of the smaller labels, less those among other labels."""
+    return resample.smoteenn(tv.vectors(spark, sf_dir), "label").select("id", "copy", "label")

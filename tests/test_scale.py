@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meridia.functions import projections
-from meridia.operators import clusters, descent, embedding, neighbors, notches, optics, samples, summary, wide
+from meridia.operators import clusters, descent, embedding, neighbors, notches, optics, outliers, resample, samples, spatial, summary, wide
 from meridia.sources import bgzf, files, shapefiles, variants
 from meridia.sources import testviews as tv
 
@@ -433,3 +433,78 @@ def test_shapefiles_that_are_odd(spark, tmp_path):
         shapefiles.read(spark, str(tmp_path / "bad.zip")).collect()
     x, y = projections.to_degrees('PROJCS["w",PROJECTION["Mercator_Auxiliary_Sphere"],UNIT["Meter",1.0]]')(np.array([20037508.342789244]), np.array([0.0]))
     assert np.allclose([x, y], [[180], [0]])
+
+
+# ---- parts put together ----------------------------------------------------------------------------------------------
+
+
+def test_smoteenn_balances_and_edits(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "a", rng.normal(0, 1, 3).tolist()) for i in range(60)] + [(100 + i, "b", rng.normal(6, 1, 3).tolist()) for i in range(23)] + [(200, "c", [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, label string, features array<double>")
+    found = resample.smoteenn(df, "label").collect()
+    kinds = Counter((r["label"], r["copy"] > 0) for r in found)
+    assert kinds["b", False] == 23 and kinds["b", True] == 37 and kinds["a", True] == 0  # apart, so editing takes none of them
+    assert kinds["c", False] == kinds["c", True] == 0  # alone among others: no copies, and edited out
+    assert max(r["copy"] for r in found) == 2 and len({(r["id"], r["copy"]) for r in found}) == len(found)
+    own = {i: np.array(f) for i, label, f in rows if label == "b"}
+    for r in (r for r in found if r["copy"]):
+        way = [(o - own[r["id"]], np.array(r["features"]) - own[r["id"]]) for i, o in own.items() if i != r["id"]]
+        assert any(np.allclose(step, line * (step @ line) / (line @ line), atol=1e-9) and -1e-9 <= (step @ line) / (line @ line) <= 1 for line, step in way)
+    assert resample.smoteenn(df.limit(0), "label").count() == 0
+
+
+def test_genotype_errors_over_several_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 3, (30, 50)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    knn = neighbors.nearest_vectors(df, 4).where("NOT (id = 3 AND rank > 2)")  # one row has fewer
+    got = {(r["id"], r["k"]): r["d"] for r in outliers.genotype_errors(df, knn, [1, 2, 4], block=16).collect()}
+    near = {}
+    for r in sorted(knn.collect(), key=lambda r: r["rank"]):
+        near.setdefault(r["id"], []).append((r["nbr_id"], r["dist"]))
+    for i, found in near.items():
+        for k in (1, 2, 4):
+            w = np.array([1 / (d + 1e-8) ** 2 for _, d in found[:k]])
+            want = (((w[:, None] * x[[n for n, _ in found[:k]]]).sum(0) / w.sum() - x[i]) ** 2).mean()
+            assert math.isclose(got[i, k], want, rel_tol=1e-9)
+    assert len(got) == 90
+
+
+def test_nested_configuration(tmp_path):
+    text = """---
+# options
+min_mac: 2
+prefix: 'run # one'   # a comment
+outliers:
+  detect: True
+  limits: [0.01, 2, 'a, b']
+  spaces:
+    - genetic
+    - geographic
+grid:
+- lr: 0.1
+  widths: {first: 8, last: 4}
+- lr: 1e-3
+  widths: null
+empty:
+path: a#b
+"""
+    (tmp_path / "c.yaml").write_text(text)
+    assert files.config(str(tmp_path / "c.yaml")) == {"min_mac": 2, "prefix": "run # one", "outliers": {"detect": True, "limits": [0.01, 2, "a, b"], "spaces": ["genetic", "geographic"]}, "grid": [{"lr": 0.1, "widths": {"first": 8, "last": 4}}, {"lr": 0.001, "widths": None}], "empty": None, "path": "a#b"}
+    (tmp_path / "e.yaml").write_text("# nothing\n")
+    assert files.config(str(tmp_path / "e.yaml")) == {}
+    for bad in ("a: 1\n   b: 2\n", "just a text\n", "a: 1\n- b\n"):
+        (tmp_path / "b.yaml").write_text(bad)
+        with pytest.raises(ValueError):
+            files.config(str(tmp_path / "b.yaml"))
+
+
+def test_optimal_density_of_a_curve_with_and_without_a_knee(spark):
+    x = np.linspace(0, 1, 300)
+    falling = spark.createDataFrame([(float(a), float((1 - a) ** 3)) for a in x], "x double, y double")
+    found = spatial.optimal_density(falling, "x", "y").collect()
+    grid = np.arange(1000) / 999
+    assert len(found) == 1 and math.isclose(found[0]["density"], grid[np.argmax(1 - (1 - grid) ** 3 - grid)], abs_tol=1e-9)
+    assert spatial.optimal_density(falling.withColumn("y", F.col("x")), "x", "y").count() == 0
+    assert spatial.optimal_density(falling.limit(2), "x", "y").count() == 0
