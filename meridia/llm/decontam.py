@@ -8,7 +8,7 @@ they stand there.
 
 A benchmark of a few blocks is a stated query set: each block, of bounded size, is broadcast and held against all documents.
 A larger one is joined: documents give the seeds that a Bloom filter of all benchmark seeds lets through, these are joined with
-the items' seeds, and each pair that shares one is tiled. Both ways give the same rows.
+the items' seeds, and each pair whose shared seeds can cover enough of the item is tiled. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -149,17 +149,17 @@ def _bloom_places(seeds: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _item_seeds(items: DataFrame, least: int) -> DataFrame:
-    """(item, size, seed): the different seeds of each item, and their words."""
+    """(item, words, size, seed, n): the different seeds of each item, their words and how often they stand there, and the item's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             for item, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = words(x)
                 size = min(least, len(w))
-                s = np.unique(rolling(w, size)) if size else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([item] * len(s), pa.int64()), pa.array([size] * len(s), pa.int32()), pa.array(s.view(np.int64))], names=["item", "size", "seed"])
+                s, n = np.unique(rolling(w, size) if size else np.zeros(0, np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(s), pa.int64()), pa.array([len(w)] * len(s), pa.int64()), pa.array([size] * len(s), pa.int32()), pa.array(s.view(np.int64)), pa.array(n, pa.int64())], names=["item", "words", "size", "seed", "n"])
 
-    return mapped(items.select("item", "text"), run, "item long, size int, seed long", __name__)
+    return mapped(items.select("item", "text"), run, "item long, words long, size int, seed long, n long", __name__)
 
 
 def _bloom(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -186,8 +186,7 @@ def _joined(thin: DataFrame, benchmark: DataFrame, least: int, coverage: float,
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    found = only(benchmark, item_id=item_id, text=text).where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    items = kept("items", found.withColumn("item", F.monotonically_increasing_id()))
+    items = kept("items", _items(benchmark, item_id, text).withColumn("item", F.monotonically_increasing_id()))
     seeds = kept("seeds", _item_seeds(items, least))
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most `least`
     bits = min(BLOOM_BITS, max(1 << 16, 1 << (16 * seeds.count()).bit_length()))
@@ -206,8 +205,10 @@ def _joined(thin: DataFrame, benchmark: DataFrame, least: int, coverage: float,
                     if len(s):
                         yield pa.RecordBatch.from_arrays([pa.array([key] * len(s)), pa.array([size] * len(s), pa.int32()), pa.array(s.view(np.int64))], names=["key", "size", "seed"])
 
-    met = mapped(keyed, hits, "key string, size int, seed long", __name__).join(seeds, ["size", "seed"]).select("key", "item").distinct()
-    pairs = kept("pairs", met)
+    # what the shared seeds can cover at most: pairs that can't reach the coverage, such as those with one common line, aren't tiled
+    found = mapped(keyed, hits, "key string, size int, seed long", __name__).distinct().join(seeds, ["size", "seed"])
+    met = found.groupBy("key", "item").agg(F.sum(F.col("n") * F.col("size")).alias("most"), F.max("words").alias("words")).where(F.col("most") >= F.lit(coverage) * F.col("words"))
+    pairs = kept("pairs", met.select("key", "item"))
     texts = keyed.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     both = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "key").select("key", "item_id", "item_text", "text")
 
@@ -225,8 +226,13 @@ def _joined(thin: DataFrame, benchmark: DataFrame, least: int, coverage: float,
 _FOUND = ["item_id", "item_words", "n_tiles", "covered_words", "longest_tile", "coverage"]
 
 
-def _large(benchmark: DataFrame, text: str, block: int, passes: int) -> bool:
-    total = only(benchmark, text=text).agg(F.sum(F.length("text"))).head()[0] or 0
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """The different items that have a text."""
+    return only(benchmark, item_id=item_id, text=text).where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+
+
+def _large(benchmark: DataFrame, item_id: str, text: str, block: int, passes: int) -> bool:
+    total = _items(benchmark, item_id, text).agg(F.sum(F.length("text"))).head()[0] or 0
     return total > block * passes
 
 
@@ -243,8 +249,8 @@ def _leaks(seeds: Seeds, text: str | None, coverage: float) -> list[tuple[int, i
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The items with a text, in blocks of about `size` characters; each block's size is known before it is fetched."""
-    items = only(benchmark, item_id=item_id, text=text).where("text is not null").select(F.col("item_id").cast("long"), "text")
+    """The different items with a text, in blocks of about `size` characters, however often an item is repeated."""
+    items = _items(benchmark, item_id, text)
     total = items.agg(F.sum(F.length("text"))).head()[0] or 0
     n = -(-total // size)
     for k in range(n):
@@ -256,13 +262,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     """A row for each document and item that leaks into it: doc_id, item_id, item_words, n_tiles, covered_words, longest_tile, coverage.
 
     Null texts leak nothing, nor do null items; items of fewer than `least` words leak where
-    they stand as a whole. Repeated documents give
+    they stand as a whole. Texts of any length are read whole, a batch of bounded size at a time. Repeated documents give
     repeated rows; items repeated with id and text count once, a repeated id with another text is an item of its own.
     An empty benchmark or table gives no rows. Other columns are left out.
     """
     spark, thin = docs.sparkSession, only(docs, doc_id=doc_id, text=text)
     schema = T.StructType([thin.schema["doc_id"], *fields("item_id long, item_words long, n_tiles long, covered_words long, longest_tile long, coverage double")])
-    if _large(benchmark, item_text, block, passes):
+    if _large(benchmark, item_id, item_text, block, passes):
         found = _joined(thin, benchmark, least, coverage, item_id, item_text)
         return thin.select("doc_id", F.md5("text").alias("key")).join(found, "key").select("doc_id", *_FOUND)
     out = spark.createDataFrame([], schema)
@@ -286,7 +292,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block: int = BLOCK, text: str = "text", item_id: str = "item_id", item_text: str = "text", passes: int = PASSES) -> DataFrame:
     """The rows of `docs` into which no item leaks, with all columns; null texts stay, repeated rows stay repeated."""
     spark, out = docs.sparkSession, docs
-    if _large(benchmark, item_text, block, passes):
+    if _large(benchmark, item_id, item_text, block, passes):
         key = free_name("key", docs.columns)
         gone = _joined(only(docs, text=text), benchmark, least, coverage, item_id, item_text).select(F.col("key").alias(key)).distinct()
         return docs.withColumn(key, F.md5(F.col(f"`{text}`"))).join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
