@@ -218,24 +218,33 @@ def knee(x: np.ndarray, y: np.ndarray) -> int:
     return int((yn - xn).argmax())
 
 
-def krige(points: np.ndarray, values: np.ndarray, targets: np.ndarray, sill: float, range_km: float, nugget: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ordinary kriging with a gaussian variogram on great-circle distances: estimates and variances at the targets."""
+def _krige_parts(points: np.ndarray, targets: np.ndarray, sill: float, range_km: float, nugget: float) -> tuple[np.ndarray, np.ndarray]:
+    """The systems and right sides of ordinary kriging; leading dimensions are stacks of neighbourhoods."""
 
     def dist(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        p, q = np.radians(p), np.radians(q)
-        h = np.sin((p[:, None, 1] - q[None, :, 1]) / 2) ** 2 + np.cos(p[:, None, 1]) * np.cos(q[None, :, 1]) * np.sin((p[:, None, 0] - q[None, :, 0]) / 2) ** 2
+        p, q = np.radians(p)[..., :, None, :], np.radians(q)[..., None, :, :]
+        h = np.sin((p[..., 1] - q[..., 1]) / 2) ** 2 + np.cos(p[..., 1]) * np.cos(q[..., 1]) * np.sin((p[..., 0] - q[..., 0]) / 2) ** 2
         return 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(1, h)))
 
     def gamma(d: np.ndarray) -> np.ndarray:
         return np.where(d > 0, nugget + (sill - nugget) * (1 - np.exp(-((d / (range_km * 4 / 7)) ** 2))), 0)
 
-    n = len(points)
-    left = np.ones((n + 1, n + 1))
-    left[:n, :n], left[n, n] = gamma(dist(points, points)), 0
-    right = np.ones((n + 1, len(targets)))
-    right[:n] = gamma(dist(points, targets))
-    w = np.linalg.pinv(left) @ right
-    return values @ w[:n], (w * right).sum(0)
+    n = points.shape[-2]
+    left = np.ones((*points.shape[:-2], n + 1, n + 1))
+    left[..., :n, :n], left[..., n, n] = gamma(dist(points, points)), 0
+    right = np.ones((*points.shape[:-2], n + 1, targets.shape[-2]))
+    right[..., :n, :] = gamma(dist(points, targets))
+    return left, right
+
+
+def krige(points: np.ndarray, values: np.ndarray, targets: np.ndarray, sill: float, range_km: float, nugget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ordinary kriging with a gaussian variogram on great-circle distances: estimates and variances at the targets.
+
+    With leading dimensions (values: ... x n, points: ... x n x 2, targets: ... x m x 2) all neighbourhoods are solved at once.
+    """
+    left, right = _krige_parts(points, targets, sill, range_km, nugget)
+    w = np.linalg.pinv(left, hermitian=True) @ right
+    return (values[..., None, :] @ w[..., :-1, :])[..., 0, :], (w * right).sum(-2)
 
 
 def _scaled_erfc(x: float) -> float:

@@ -71,17 +71,17 @@ def ranks(df: DataFrame, kinds: dict[str, list[str]], by: list[str] = ()) -> Dat
 def correlations(e: DataFrame, by: list[str] = ()) -> DataFrame:
     """Pearson and Spearman correlation for each axis, and Spearman's of both axes together."""
     by = list(by)
-    axes = e.select(*by, "x", "y", "px", "py")
-    found = ranks(axes, {"x": ["x"], "y": ["y"], "px": ["px"], "py": ["py"], "t": ["x", "y"], "p": ["px", "py"]}, by)
+    axes = e.select(*by, *[F.col(c).alias(f"_{c}") for c in ("x", "y", "px", "py")])  # a group may be one of them
+    found = ranks(axes, {"x": ["_x"], "y": ["_y"], "px": ["_px"], "py": ["_py"], "t": ["_x", "_y"], "p": ["_px", "_py"]}, by)
 
-    def ranked(df: DataFrame, kind: str, c: str) -> DataFrame:
-        own = found.where(F.col("kind") == kind).select(*by, F.col("value").alias(c), F.col("rank").alias(f"rank_{kind}"))
-        return df.join(own, [*by, c])
+    def ranked(df: DataFrame, kind: str) -> DataFrame:
+        own = found.where(F.col("kind") == kind).select(*by, F.col("value").alias(f"_{kind}"), F.col("rank").alias(f"rank_{kind}"))
+        return df.join(own, [*by, f"_{kind}"])
 
-    each = functools.reduce(lambda df, c: ranked(df, c, c), ("x", "y", "px", "py"), axes)
-    one = each.groupBy(*by).agg(F.corr("x", "px").alias("pearson_corr_longitude"), F.corr("y", "py").alias("pearson_corr_latitude"), F.corr("rank_x", "rank_px").alias("spearman_corr_longitude"), F.corr("rank_y", "rank_py").alias("spearman_corr_latitude"), F.count("*").alias("n"))
-    flat = e.select(*by, F.col("x").alias("t"), F.col("px").alias("p")).union(e.select(*by, F.col("y").alias("t"), F.col("py").alias("p")))
-    two = ranked(ranked(flat, "t", "t"), "p", "p").groupBy(*by).agg(F.corr("rank_t", "rank_p").alias("rho"))
+    each = functools.reduce(ranked, ("x", "y", "px", "py"), axes)
+    one = each.groupBy(*by).agg(F.corr("_x", "_px").alias("pearson_corr_longitude"), F.corr("_y", "_py").alias("pearson_corr_latitude"), F.corr("rank_x", "rank_px").alias("spearman_corr_longitude"), F.corr("rank_y", "rank_py").alias("spearman_corr_latitude"), F.count("*").alias("n"))
+    flat = axes.select(*by, F.col("_x").alias("_t"), F.col("_px").alias("_p")).union(axes.select(*by, "_y", "_py"))
+    two = ranked(ranked(flat, "t"), "p").groupBy(*by).agg(F.corr("rank_t", "rank_p").alias("rho"))
     return one.join(two, by) if by else one.crossJoin(F.broadcast(two))
 
 
