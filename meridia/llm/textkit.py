@@ -51,16 +51,26 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + os.path.abspath(base)}/{label}-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Collects garbage and gives memory that this process doesn't use back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # small blocks stay with the process otherwise; only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def dropped(spark: SparkSession, *folders: str) -> None:
     """Removes folders of the shared folder that no table reads any more.
 
-    Shuffle files and broadcasts of the steps that wrote them go when the driver collects its garbage, which is asked for.
+    Shuffle files and broadcasts of the steps that wrote them go when the driver collects its garbage, which is asked for; its
+    Python part gives back what samples and models took.
     """
     jvm = spark._jvm
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
+    give_back()
     jvm.System.gc()
 
 
@@ -97,11 +107,7 @@ def claim(owner: str) -> None:
         for empty in _TABLES.pop(other):
             empty()
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # small blocks stay with the process otherwise; only some C libraries have it
-        if trim is not None:
-            trim(0)
+        give_back()
 
 
 class Memo(dict):
