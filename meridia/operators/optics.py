@@ -37,10 +37,10 @@ def core_distances(places: DataFrame, least: int, most_km: float) -> DataFrame:
         return places.select(F.col("id").alias("place"), F.lit(0.0).alias("core"))
     knn = nearest_on_globe(places.where(F.col("c") < least), least - 1, others=places.select("id", "x", "y"))
     within = F.sum("n").over(Window.partitionBy("id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    met = knn.join(places.select(F.col("id").alias("nbr_id"), F.col("c").alias("n")), "nbr_id").withColumn("n", within)
-    far = met.join(places.select("id", "c"), "id").where(F.col("n") + F.col("c") >= least).groupBy("id").agg(F.min("dist").alias("far"))
+    met = knn.join(places.select(F.col("id").alias("nbr_id"), F.col("c").alias("n")).hint("merge"), "nbr_id").withColumn("n", within)
+    far = met.join(places.select("id", "c").hint("merge"), "id").where(F.col("n") + F.col("c") >= least).groupBy("id").agg(F.min("dist").alias("far"))
     core = F.when(F.col("c") >= least, 0.0).when(F.col("far") <= most_km, F.col("far"))
-    return places.join(far, "id", "left").select(F.col("id").alias("place"), core.alias("core"))
+    return places.join(far.hint("merge"), "id", "left").select(F.col("id").alias("place"), core.alias("core"))
 
 
 def _forest(edges: DataFrame, folder: str) -> DataFrame:
@@ -62,14 +62,14 @@ def _forest(edges: DataFrame, folder: str) -> DataFrame:
         taken.append(best.select("e.a", "e.b", "e.weight").distinct())
         # each tree hangs on the one its edge leads to; of two that took the same edge the smaller is the root
         back = best.select(F.col("tree").alias("other"), F.col("e").alias("e2"))
-        up = kept(best.join(back, "other", "left").select("tree", F.when((F.col("e") == F.col("e2")) & (F.col("tree") < F.col("other")), F.col("tree")).otherwise(F.col("other")).alias("root")))
+        up = kept(best.join(back.hint("merge"), "other", "left").select("tree", F.when((F.col("e") == F.col("e2")) & (F.col("tree") < F.col("other")), F.col("tree")).otherwise(F.col("other")).alias("root")))
         while True:
             over = up.select(F.col("tree").alias("root"), F.col("root").alias("next"))
-            new = kept(up.join(over, "root").select("tree", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            new = kept(up.join(over.hint("merge"), "root").select("tree", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
             up = new.select("tree", "root")
             if new.where("moved").isEmpty():
                 break
-        end = lambda t, r: up.select(F.col("tree").alias(t), F.col("root").alias(r))  # noqa: B023, E731
+        end = lambda t, r: up.select(F.col("tree").alias(t), F.col("root").alias(r)).hint("merge")  # noqa: B023, E731
         merged = left.join(end("ta", "ra"), "ta").join(end("tb", "rb"), "tb").where("ra <> rb")
         low, high = F.least("ra", "rb"), F.greatest("ra", "rb")
         # between two trees only the lightest edge can be taken
@@ -97,11 +97,11 @@ def optics(points: DataFrame, least: int = 4, most_km: float = 500.0) -> Reachab
 
     known = points.where("x is not null and y is not null")
     spots = kept("spots", known.groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("c")))
-    of = points.select("id", "x", "y").join(spots.select("x", "y", F.col("id").alias("place")), ["x", "y"], "left").select("id", "place")
+    of = points.select("id", "x", "y").join(spots.select("x", "y", F.col("id").alias("place")).hint("merge"), ["x", "y"], "left").select("id", "place")
     places = kept("places", core_distances(spots, least, most_km))
     a, b = spots.select(F.col("id").alias("a"), "x", "y"), spots.select(F.col("id").alias("b"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     near = kept("near", near_pairs(a, b, most_km).where("a < b").select("a", "b", "dist"))
-    core = lambda name: places.select(F.col("place").alias(name), F.col("core").alias(f"core_{name}"))
+    core = lambda name: places.select(F.col("place").alias(name), F.col("core").alias(f"core_{name}")).hint("merge")
     weighed = near.join(core("a"), "a").join(core("b"), "b").select("a", "b", F.greatest("dist", "core_a", "core_b").alias("weight"), (F.col("core_a").isNotNull() & F.col("core_b").isNotNull()).alias("both"))
     return Reachability(of, places, near, _forest(weighed.where("both").drop("both"), f"{folder}/forest"), most_km)
 
@@ -116,12 +116,12 @@ def labels(r: Reachability, radius_km: float) -> DataFrame:
         raise ValueError(f"{radius_km} km are more than the {r.most_km} km that were prepared")
     cores = r.places.where(F.col("core") <= radius_km)
     tied = components(r.forest.where(F.col("weight") <= radius_km).select("a", "b"))
-    core = cores.join(tied.withColumnRenamed("id", "place"), "place", "left").select("place", "core", F.coalesce("component", "place").alias("own"))
+    core = cores.join(tied.withColumnRenamed("id", "place").hint("merge"), "place", "left").select("place", "core", F.coalesce("component", "place").alias("own"))
     in_reach = r.near.where(F.col("dist") <= radius_km)
     sides = in_reach.select("a", "b", "dist").union(in_reach.select("b", "a", "dist"))
-    border = sides.join(core.select(F.col("place").alias("b"), "core", "own"), "b").groupBy(F.col("a").alias("place")).agg(F.min_by("own", F.struct(F.greatest("core", "dist"), F.col("b"))).alias("near"))
-    placed = r.places.select("place").join(core.select("place", "own"), "place", "left").join(border, "place", "left").select("place", F.coalesce("own", "near", F.lit(-1)).alias("label"))
-    return r.points.join(placed, "place", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+    border = sides.join(core.select(F.col("place").alias("b"), "core", "own").hint("merge"), "b").groupBy(F.col("a").alias("place")).agg(F.min_by("own", F.struct(F.greatest("core", "dist"), F.col("b"))).alias("near"))
+    placed = r.places.select("place").join(core.select("place", "own").hint("merge"), "place", "left").join(border.hint("merge"), "place", "left").select("place", F.coalesce("own", "near", F.lit(-1)).alias("label"))
+    return r.points.join(placed.hint("merge"), "place", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def profile(r: Reachability, radii: list[float]) -> DataFrame:
@@ -137,5 +137,5 @@ def bins(points: DataFrame, least: int = 4, radius_km: float = 500.0) -> DataFra
     """All columns of the points and `bin`: the number of their cluster from 0 in order of the clusters' smallest ids, -1 for noise."""
     found = labels(optics(points, least, radius_km), radius_km)
     numbers = numbered(found.where("label >= 0").select("label").distinct(), ["label"], "bin")
-    placed = found.join(numbers, "label", "left").select("id", F.coalesce("bin", F.lit(-1)).alias("bin"))
-    return points.join(placed, "id")
+    placed = found.join(numbers.hint("merge"), "label", "left").select("id", F.coalesce("bin", F.lit(-1)).alias("bin"))
+    return points.join(placed.hint("merge"), "id")

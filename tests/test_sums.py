@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meridia.operators import clusters, density, sums
+from meridia.operators import clusters, density, neighbors, optics, sums
 
 PLACES = [(i, float(i * 37 % 360 - 180) + (i % 7) / 10, float(i * 53 % 171 - 85)) for i in range(90)] + [(1000 + i, 10.0 + i % 5 / 10, 20.0 + i % 3 / 10) for i in range(60)]
 
@@ -58,3 +58,30 @@ def test_bandwidth_scores_in_small_blocks(spark, small_blocks):
     for h, score in got.items():
         others = (np.exp(-d / (2 * h * h)) * (fold[:, None] != fold)).sum(1) / (2 * np.pi * h * h * (fold[:, None] != fold).sum(1))
         assert score == pytest.approx(np.log(others + 1e-300).sum(), rel=1e-12)
+
+
+def test_neighbours_on_the_globe_broadcast_nothing(spark):
+    """Small tables too: what is small here, or looks so before rows are copied to 27 cubes, grows with the points."""
+    points = spark.range(400).select("id", (F.col("id") * 37 % 360 - 180.0).alias("x"), (F.col("id") * 53 % 170 - 85.0).alias("y"))
+    for found in (neighbors.within(points, 300.0), neighbors.nearest_on_globe(points, 3)):
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_optics_broadcasts_nothing(spark):
+    points = spark.range(300).select("id", (F.col("id") % 60 / 10.0).alias("x"), (F.col("id") % 7 / 10.0).alias("y"))
+    assert "BroadcastExchange" not in optics.labels(optics.optics(points, 3, 40.0), 20.0)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_nearest_vectors_far_from_the_origin(spark, shift):
+    """Distances and ties are those of exact differences, also where squares of the vectors have no digits left for them."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(150, 8)), rng.integers(0, 2, (150, 8))]) + shift
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, features array<double>")
+    got = {(r["id"], r["rank"]): (r["nbr_id"], r["dist"]) for r in neighbors.nearest_vectors(rows, 4, block=100).collect()}
+    for i, x in enumerate(v):
+        d = np.sqrt(((v - x) ** 2).sum(1))
+        d[i] = np.inf
+        want = sorted((d[j], j) for j in range(len(v)))[:4]
+        assert [got[i, r + 1][0] for r in range(4)] == [j for _, j in want]
+        assert np.allclose([got[i, r + 1][1] for r in range(4)], [w for w, _ in want], rtol=1e-14, atol=0)
