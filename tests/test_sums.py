@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.operators import clusters, density, neighbors, optics, sums
+from meridia.plans import pipeline
 
 PLACES = [(i, float(i * 37 % 360 - 180) + (i % 7) / 10, float(i * 53 % 171 - 85)) for i in range(90)] + [(1000 + i, 10.0 + i % 5 / 10, 20.0 + i % 3 / 10) for i in range(60)]
 
@@ -85,3 +86,11 @@ def test_nearest_vectors_far_from_the_origin(spark, shift):
         want = sorted((d[j], j) for j in range(len(v)))[:4]
         assert [got[i, r + 1][0] for r in range(4)] == [j for _, j in want]
         assert np.allclose([got[i, r + 1][1] for r in range(4)], [w for w, _ in want], rtol=1e-14, atol=0)
+
+
+def test_samples_without_calls_at_the_picked_loci_stay_in_the_plan(spark):
+    rows = [(s, f"L{10 * (s % 2) + i}", (s + i) % 3) for s in range(40) for i in range(8)]
+    dosages = spark.createDataFrame(rows, "sample long, locus string, dosage int")
+    coords = spark.createDataFrame([(s, float(s * 8 % 90) if s % 5 else None, float(s * 7 % 60) if s % 5 else None) for s in range(40)], "sample long, x double, y double")
+    config = pipeline.Config(max_snps=1, nboots=1, n_bins=2, params={"width": 4, "layers": 1, "epochs": 1, "patience": 1, "lr": 1e-2, "l2": 0.0, "dropout": 0.0})
+    assert pipeline.run(dosages, coords, config)["summary"].count() == 40  # half of them have no call at the one locus
