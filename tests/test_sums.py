@@ -94,3 +94,12 @@ def test_samples_without_calls_at_the_picked_loci_stay_in_the_plan(spark):
     coords = spark.createDataFrame([(s, float(s * 8 % 90) if s % 5 else None, float(s * 7 % 60) if s % 5 else None) for s in range(40)], "sample long, x double, y double")
     config = pipeline.Config(max_snps=1, nboots=1, n_bins=2, params={"width": 4, "layers": 1, "epochs": 1, "patience": 1, "lr": 1e-2, "l2": 0.0, "dropout": 0.0})
     assert pipeline.run(dosages, coords, config)["summary"].count() == 40  # half of them have no call at the one locus
+
+
+def test_grid_counts_each_place_once(spark):
+    """A thousand copies of a place are one row of the products, and the estimate is that of all rows."""
+    points = spark.range(40_000).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    grid = density.grid_density(points, 5)
+    assert "RepartitionByExpression" in grid._jdf.queryExecution().optimizedPlan().toString() or "Repartition " in grid._jdf.queryExecution().optimizedPlan().toString()
+    few = density.grid_density(points.where("id < 35"), 5, weight="x").count()
+    assert few == 25 and grid.count() == 25
