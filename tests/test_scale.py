@@ -3,6 +3,7 @@
 import gzip
 import math
 import os
+import pickle
 import random
 import tempfile
 from collections import Counter
@@ -508,3 +509,18 @@ def test_optimal_density_of_a_curve_with_and_without_a_knee(spark):
     assert len(found) == 1 and math.isclose(found[0]["density"], grid[np.argmax(1 - (1 - grid) ** 3 - grid)], abs_tol=1e-9)
     assert spatial.optimal_density(falling.withColumn("y", F.col("x")), "x", "y").count() == 0
     assert spatial.optimal_density(falling.limit(2), "x", "y").count() == 0
+
+
+def test_vcf_records_grow_with_calls_and_ranges_stay_thin(spark, tmp_path):
+    names = [f"s{i}" for i in range(3000)]
+    calls = spark.createDataFrame([("1", 5 + k, "x", "A", "C", names[i], 0, 1) for k in range(4) for i in (0, 7 + k, 2999)] + [("1", 99, "y", "A", "C", "other", 1, 1)], "chrom string, pos long, id string, ref string, alt string, sample string, a1 int, a2 int")
+    lines = {r["pos"]: r["line"].split("\t")[9:] for r in variants.records(calls, names).collect()}
+    assert all(len(v) == 3000 for v in lines.values()) and set(lines[99]) == {"./."}
+    assert all({i for i, v in enumerate(lines[5 + k]) if v == "0/1"} == {0, 7 + k, 2999} for k in range(4))
+    made = variants.records(calls, names)
+    assert "element_at" not in made._jdf.queryExecution().analyzed().toString()  # a map is searched from its start for each sample
+    variants.write(made, variants.header(names), f"file://{tmp_path}/v", 2)
+    found = variants.ranges(f"file://{tmp_path}/v", 1 << 20, variants.Wanted())
+    assert found and all(len(pickle.dumps(r)) < 2000 for r in found)
+    back = variants.read(spark, f"file://{tmp_path}/v")
+    assert back.count() == 15000 and back.where("NOT is_missing").count() == 12
