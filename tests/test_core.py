@@ -136,6 +136,16 @@ def test_vcf(spark, tmp_path, packed):
     assert {r["dosage"] for r in genotype.impute(kept).collect()} <= {0, 1, 2}
 
 
+def test_vcf_takes_apart_calls_without_patterns(spark, tmp_path):
+    head = VCF.split("\n")[0] + "\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"s{i}" for i in range(8))
+    cells = ["0|1", ".", "", "1|.", "./1:3", "0/1/1", "1", "x/0"]
+    (tmp_path / "m.vcf").write_text(head + "\r\n1\t10\ta\tA\tG\t.\t.\t.\tGT:DP\t" + "\t".join(cells) + "\r\n")
+    calls = files.vcf(spark, str(tmp_path / "m.vcf"))
+    assert [(r["a1"], r["a2"]) for r in calls.orderBy("sample").collect()] == [(0, 1), (None, None), (None, None), (1, None), (None, 1), (0, 1), (1, 1), (None, 0)]
+    plan = calls._jdf.queryExecution().optimizedPlan().toString()
+    assert "[/|]" not in plan and "regexp_replace" not in plan and "NOT" in plan
+
+
 @pytest.mark.parametrize("sep", [",", "\t", " "])
 def test_coordinates(spark, tmp_path, sep):
     path = tmp_path / "c.txt"
