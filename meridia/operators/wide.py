@@ -25,6 +25,8 @@ from meridia.sources.folders import work_folder
 
 #: Samples and loci of a tile: 4 MB of calls, 32 MB as numbers while it is multiplied.
 ROWS, COLS = 2048, 2048
+#: A tile is multiplied call by call if at most one place in so many has one.
+SPARSE = 16
 _BLOCK = "at long, m binary"
 
 
@@ -56,6 +58,42 @@ def dense(codes: bytes, rows: int, stats: bytes, kind: str, n: int, scale: float
         return np.where(mass > 0, n**0.5 * (z / scale - mass / n) / np.sqrt(mass), 0.0)
 
 
+def times(codes: bytes, rows: int, stats: bytes, kind: str, n: int, scale: float, v: np.ndarray, transposed: bool) -> np.ndarray:
+    """The tile's part of the matrix (transposed: its transpose) times v; a tile with few calls is never made dense.
+
+    Missing calls are 0 in a PCA. In an MCA they are the same in all rows, so that part is one row of numbers.
+    """
+    x = np.frombuffer(codes, np.int8)
+    at = np.flatnonzero(x >= 0)
+    if len(at) * SPARSE > len(x):
+        a = dense(codes, rows, stats, kind, n, scale)
+        return (a.T if transposed else a) @ v
+    s, cols = np.frombuffer(stats), len(x) // rows
+    r, c, code = at // cols, at % cols, x[at]
+    if kind == "pca":
+        a, same, width = code - s[c], None, cols
+    else:
+        mass, c, width = s / scale, 3 * c + code, 3 * cols
+        root = np.sqrt(np.where(mass > 0, mass, np.inf))
+        a, same = n**0.5 / scale / root[c], -(n**-0.5) * mass / root
+    if transposed:
+        out = _added(c, r, a, v, width)
+        return out if same is None else out + same[:, None] * v.sum(0)
+    out = _added(r, c, a, v, rows)
+    return out if same is None else out + same @ v
+
+
+def _added(to: np.ndarray, of: np.ndarray, a: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """The rows of v at `of` times a, added at the places `to` of a table of `size` rows."""
+    out = np.zeros((size, v.shape[1]))
+    if len(to):
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        first = np.flatnonzero(np.diff(to, prepend=-1))
+        out[to[first]] = np.add.reduceat(v[of[order]] * a[order, None], first)
+    return out
+
+
 def tiles(dosages: DataFrame, kind: str = "pca", rows: int = ROWS, cols: int = COLS) -> Tiles:
     """Tiles of (sample, locus, dosage). Of repeated pairs the largest counts, pairs that are not there are missing.
 
@@ -136,10 +174,8 @@ def _product(t: Tiles, blocks: DataFrame, transposed: bool, folder: str) -> Data
         for b in batches:
             for r in range(b.num_rows):
                 at, rows, codes, stats, m = (c[r].as_py() for c in b.columns)
-                a = dense(codes, rows, stats, kind, n, scale)
-                a = a.T if transposed else a
-                v = np.frombuffer(m).reshape(a.shape[1], -1)
-                yield _block([at], [a @ v])
+                height = rows if transposed else len(codes) // rows * (1 if kind == "pca" else 3)
+                yield _block([at], [times(codes, rows, stats, kind, n, scale, np.frombuffer(m).reshape(height, -1), transposed)])
 
     return _summed(met.mapInArrow(run, _BLOCK), folder)
 

@@ -524,3 +524,19 @@ def test_vcf_records_grow_with_calls_and_ranges_stay_thin(spark, tmp_path):
     assert found and all(len(pickle.dumps(r)) < 2000 for r in found)
     back = variants.read(spark, f"file://{tmp_path}/v")
     assert back.count() == 15000 and back.where("NOT is_missing").count() == 12
+
+
+@pytest.mark.parametrize("kind", ["pca", "mca"])
+def test_tiles_with_few_calls_are_not_made_dense(kind, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows, cols, n = 60, 50, 200
+    x = np.where(rng.random((rows, cols)) < 0.04, rng.integers(0, 3, (rows, cols)), -1).astype(np.int8)
+    stats = rng.random(cols) * 2 if kind == "pca" else rng.integers(0, 9, 3 * cols).astype(float)
+    stats = stats if kind == "pca" else np.maximum(stats, np.stack([(x == k).sum(0) for k in range(3)], 1).ravel())
+    a = wide.dense(x.tobytes(), rows, stats.tobytes(), kind, n, 700.0)
+    right, left = rng.normal(size=(a.shape[1], 4)), rng.normal(size=(rows, 4))
+    monkeypatch.setattr(wide, "dense", None)
+    given = (x.tobytes(), rows, stats.tobytes(), kind, n, 700.0)
+    assert np.allclose(wide.times(*given, right, False), a @ right) and np.allclose(wide.times(*given, left, True), a.T @ left)
+    none = np.full((rows, cols), -1, np.int8)
+    assert wide.times(none.tobytes(), *given[1:], right, False).shape == (rows, 4)
