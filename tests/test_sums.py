@@ -103,3 +103,22 @@ def test_grid_counts_each_place_once(spark):
     assert "RepartitionByExpression" in grid._jdf.queryExecution().optimizedPlan().toString() or "Repartition " in grid._jdf.queryExecution().optimizedPlan().toString()
     few = density.grid_density(points.where("id < 35"), 5, weight="x").count()
     assert few == 25 and grid.count() == 25
+
+
+def test_copies_and_near_vectors_are_met_once_each(spark):
+    """Of equal vectors the first by id are met, so copies make no square; what single precision can't tell apart is told by differences."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([np.repeat(rng.normal(size=(2, 6)), 150, axis=0), 3 + 1e-9 * rng.normal(size=(200, 6))])
+    ids = rng.permutation(len(v)) + 7
+    kept = neighbors._first_of_equal(v, ids, 4)
+    assert len(kept) == 8 + 200 and set(ids[kept][kept < 150]) == set(np.sort(ids[:150])[:4])
+    rows = [(int(i), x.tolist()) for i, x in zip(ids, v)] + [(9000, None), (9001, [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    for block, others in ((None, None), (150, None), (None, df.where("id % 3 = 0"))):
+        there = np.ones(len(v), bool) if others is None else ids % 3 == 0
+        got = {(r["id"], r["rank"]): (r["nbr_id"], r["dist"]) for r in neighbors.nearest_vectors(df, 3, block=block, others=others).collect()}
+        assert len(got) == 3 * len(v)
+        for i, x in zip(ids, v):
+            d = np.sqrt(((v - x) ** 2).sum(1))
+            want = sorted((e, j) for e, j, t in zip(d, ids, there) if t and j != i)[:3]
+            assert [got[i, r + 1][0] for r in range(3)] == [j for _, j in want]
