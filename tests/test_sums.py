@@ -1,5 +1,7 @@
 """Sums over pairs of places in blocks against plain sums, whatever the blocks' sizes."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +124,22 @@ def test_copies_and_near_vectors_are_met_once_each(spark):
             d = np.sqrt(((v - x) ** 2).sum(1))
             want = sorted((e, j) for e, j, t in zip(d, ids, there) if t and j != i)[:3]
             assert [got[i, r + 1][0] for r in range(3)] == [j for _, j in want]
+
+
+def test_silhouette_meets_equal_rows_once(spark):
+    """The mean is that of all rows, also far from the origin and beside near rows; equal rows of a cluster are one row of the products."""
+    rng = np.random.default_rng(8)
+    v = np.concatenate([np.repeat(rng.normal(size=(3, 5)), 40, axis=0), rng.normal(size=(60, 5)), 2 + 1e-9 * rng.normal(size=(50, 5))]) + 1e4
+    kind = rng.integers(0, 3, len(v))
+    kind[-1] = 7  # alone in its cluster
+    df = spark.createDataFrame([(i, int(c), x.tolist()) for i, (c, x) in enumerate(zip(kind, v))], "id long, label int, features array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    want = []
+    for i, c in enumerate(kind):
+        n = (kind == c).sum()
+        b = min(d[i, kind == o].mean() for o in set(kind) - {c})
+        a = d[i, kind == c].sum() / (n - 1) if n > 1 else None
+        want.append(0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
+    for block in (None, 30):
+        assert math.isclose(clusters.silhouette(df, block=block).head()[0], np.mean(want), abs_tol=1e-10)
+    assert clusters.silhouette(df.where("label = 7")).head()[0] is None and clusters.silhouette(df.limit(0)).head()[0] is None
