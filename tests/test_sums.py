@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meridia.operators import clusters, density, neighbors, optics, sums
+from meridia.operators import clusters, density, neighbors, optics, outliers, sums
 from meridia.plans import pipeline
 
 PLACES = [(i, float(i * 37 % 360 - 180) + (i % 7) / 10, float(i * 53 % 171 - 85)) for i in range(90)] + [(1000 + i, 10.0 + i % 5 / 10, 20.0 + i % 3 / 10) for i in range(60)]
@@ -143,3 +143,27 @@ def test_silhouette_meets_equal_rows_once(spark):
     for block in (None, 30):
         assert math.isclose(clusters.silhouette(df, block=block).head()[0], np.mean(want), abs_tol=1e-10)
     assert clusters.silhouette(df.where("label = 7")).head()[0] is None and clusters.silhouette(df.limit(0)).head()[0] is None
+
+
+@pytest.mark.parametrize("space", ["geographic", "genetic"])
+def test_passes_take_outliers_out_of_lists_that_are_searched_once(spark, space, monkeypatch):
+    """Lists without those that are gone are those of a new search, and passes find what passes with new searches find."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(x), float(y), v.tolist()) for i, (x, y, v) in enumerate(zip(rng.normal(0, 4, 90), rng.normal(0, 4, 90), rng.gamma(0.4, size=(90, 4))))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, features array<double>")
+    search = (lambda asked, k, others: neighbors.nearest_vectors(asked, k, others=others)) if space == "geographic" else (lambda asked, k, others: neighbors.nearest_on_globe(asked, k, at_least_km=1.0, others=others))
+    gone = df.where("id % 3 > 0").select("id")
+    left = df.where("id % 3 = 0")
+    new = {(r["id"], r["rank"]): (r["nbr_id"], r["dist"]) for r in search(left, 4, left).collect()}
+    got = {(r["id"], r["rank"]): (r["nbr_id"], r["dist"]) for r in outliers.left_over(search(df, 9, df), 4, gone, 9, lambda asked: search(asked, 4, left), left).collect()}
+    assert got == new and len(got) == 120  # some lists had fewer than 4 left
+    asked, plain, rest = [], set(), df
+    for _ in range(3):
+        found = {r["id"] for r in outliers.detect(rest, space, 3, 0.2).where("is_outlier").collect()}
+        plain |= found
+        rest = df.where(~F.col("id").isin(list(plain)))
+    name = "nearest_vectors" if space == "geographic" else "nearest_on_globe"
+    real = getattr(neighbors, name)
+    monkeypatch.setattr(neighbors, name, lambda points, *a, **o: (asked.append(o.get("others") is None), real(points, *a, **o))[1])
+    assert plain and {r["id"] for r in outliers.detect_outliers(df, space, 3, 0.2, rounds=3).collect()} == plain
+    assert asked.count(True) == 1  # all rows are searched once
