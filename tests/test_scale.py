@@ -540,3 +540,46 @@ def test_tiles_with_few_calls_are_not_made_dense(kind, monkeypatch):
     assert np.allclose(wide.times(*given, right, False), a @ right) and np.allclose(wide.times(*given, left, True), a.T @ left)
     none = np.full((rows, cols), -1, np.int8)
     assert wide.times(none.tobytes(), *given[1:], right, False).shape == (rows, 4)
+
+
+def test_lle_equals_the_whole_matrix_and_has_no_limit_over_rows(spark, monkeypatch):
+    """The passes over blocks give the values and vectors of the whole matrix; groups that are apart give vectors of error 0."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 40))
+    square = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(square, np.inf)
+
+    def matrix(x, near):
+        m = np.eye(len(x))
+        for i, to in enumerate(near):
+            z = x[to] - x[i]
+            w = np.linalg.solve(z @ z.T + np.eye(6) * 1e-3 * (z**2).sum(), np.ones(6))
+            m[i, to] -= w / w.sum()
+        return m, *np.linalg.eigh(m.T @ m)
+
+    m, values, vectors = matrix(x, np.argsort(square, axis=1)[:, :6])
+    monkeypatch.setattr(embedding, "DENSE_ROWS", 0)
+    got, own = embedding._lowest(lambda v: m @ v, lambda v: m.T @ v, 300, 2, 1e-9, 500)  # restarts and all
+    assert np.allclose(got, values[1:3], rtol=1e-6) and np.allclose(np.abs(own), np.abs(vectors[:, 1:3]), atol=1e-4)
+    x, square = x[:50], square[:50, :50]
+    m, values, vectors = matrix(x, np.argsort(square, axis=1)[:, :6])
+    monkeypatch.setattr(embedding, "SPARSE_ROWS", 32)
+    for dense in (0, 5000):
+        monkeypatch.setattr(embedding, "DENSE_ROWS", dense)
+        made, error = embedding.lle(spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>"), 6, 2)
+        y = np.stack(made.orderBy("id").toPandas()["features"])
+        assert np.isclose(error, values[1:3].sum(), rtol=1e-6) and np.allclose(np.abs(y), np.abs(vectors[:, 1:3]), atol=1e-5)
+    # four groups apart: three vectors across the ones have no error
+    monkeypatch.setattr(embedding, "DENSE_ROWS", 0)
+    apart = np.concatenate([rng.normal(size=(14, 40)) + 1000 * np.eye(40)[g] for g in range(4)])
+    made, none = embedding.lle(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(apart)], "id long, features array<double>"), 6, 2)
+    y = np.stack(made.orderBy("id").toPandas()["features"])
+    assert none < 1e-10 and np.allclose(y.T @ y, np.eye(2), atol=1e-8) and np.allclose(y.sum(0), 0, atol=1e-8)
+
+
+def test_lle_takes_more_than_5000_rows(spark, monkeypatch):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(5100, 2)))]
+    many = spark.createDataFrame([*rows, (9000, None), (9001, [1.0, float("nan")])], "id long, features array<double>")
+    monkeypatch.setattr(embedding, "_lowest", lambda forward, back, n, k, *_: (forward(np.ones((n, k)))[:k, 0], np.eye(n)[:, :k]))  # the limit alone is looked at
+    made, error = embedding.lle(many, 4, 1)
+    assert made.count() == 5100 and abs(error) < 1e-9  # weights of a row have the sum 1
