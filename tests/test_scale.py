@@ -211,6 +211,20 @@ def test_descent_of_small_and_equal_rows(spark):
     assert same.groupBy("id").count().where("count <> 4").isEmpty() and same.agg(F.max("dist")).head()[0] == 0
 
 
+def test_descent_meets_by_block(spark):
+    """Vectors go to a block once, in single precision about their mean; pairs that leave a block are the best of each row."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x + 1e8)], "id long, features array<double>")
+    exact = neighbors.nearest_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate((x + 1e8) - 1e8)], "id long, features array<double>"), 5)
+    assert descent.recall(descent.nearest(df, 5), exact).head()[0] >= 0.95
+    table = spark.createDataFrame([(i, v.astype(np.float32).tobytes()) for i, v in enumerate(np.concatenate([x, np.tile(x[:1], (900, 1))]))], "id long, v binary")
+    sizes = [r["count"] for r in descent._placed(table, 200, 2400, 8, 0).groupBy("block").count().collect()]
+    assert sum(sizes) == 2400 and max(sizes) < 320 and len(sizes) <= 24  # equal rows are dealt over blocks
+    of, to, dist = descent._cut([(np.array([1, 1, 2]), np.array([5, 3, 4]), np.array([0.5, 0.5, 1.0])), (np.array([1, 1]), np.array([9, 5]), np.array([0.1, 0.7]))], 2)
+    assert (of.tolist(), to.tolist(), dist.tolist()) == ([1, 1, 2], [9, 3, 4], [0.1, 0.5, 1.0])
+
+
 # ---- components and OPTICS -------------------------------------------------------------------------------------------
 
 
