@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meridia.functions import projections
-from meridia.operators import clusters, descent, embedding, neighbors, notches, optics, outliers, resample, samples, spatial, summary, wide
+from meridia.operators import clusters, descent, embedding, genotype, neighbors, notches, optics, outliers, resample, samples, spatial, summary, wide
 from meridia.sources import bgzf, files, shapefiles, variants
 from meridia.sources import testviews as tv
 
@@ -597,3 +597,17 @@ def test_lle_takes_more_than_5000_rows(spark, monkeypatch):
     monkeypatch.setattr(embedding, "_lowest", lambda forward, back, n, k, *_: (forward(np.ones((n, k)))[:k, 0], np.eye(n)[:, :k]))  # the limit alone is looked at
     made, error = embedding.lle(many, 4, 1)
     assert made.count() == 5100 and abs(error) < 1e-9  # weights of a row have the sum 1
+
+
+def test_genetic_distance_joins_nothing_and_partitions_follow_rows(spark, monkeypatch):
+    """The true dosage beside the predicted one gives what the join of two tables gives; a large table has more partitions."""
+    few = tv.dosages(spark, SF)
+    d = few.where("dosage is not null")
+    p = d.select("sample", "locus", ((F.col("dosage") + F.col("locus") % 2) / 2).alias("dosage"))
+    want = {r["sample"]: r["dg"] for r in genotype.squared_error(p, d).collect()}
+    got = genotype.squared_error(d.select("sample", "locus", ((F.col("dosage") + F.col("locus") % 2) / 2).alias("dosage"), F.col("dosage").alias("actual")))
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert {r["sample"]: pytest.approx(r["dg"], abs=1e-12) for r in got.collect()} == want and len(want) == 10
+    monkeypatch.setattr(tv, "PART_ROWS", 500)
+    many = tv.dosages(spark, SF)
+    assert many.rdd.getNumPartitions() == 12 and sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, few.collect()), key=str)
