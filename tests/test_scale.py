@@ -611,3 +611,18 @@ def test_genetic_distance_joins_nothing_and_partitions_follow_rows(spark, monkey
     monkeypatch.setattr(tv, "PART_ROWS", 500)
     many = tv.dosages(spark, SF)
     assert many.rdd.getNumPartitions() == 12 and sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, few.collect()), key=str)
+
+
+def test_lle_passes_over_a_small_matrix_run_no_jobs(spark, monkeypatch):
+    """The matrix comes to the driver once if it has few entries; passes on the executors give the same."""
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(7).normal(size=(60, 30)))], "id long, features array<double>")
+    monkeypatch.setattr(embedding, "DENSE_ROWS", 0)
+    remote, made = embedding._sparse_product, []
+    monkeypatch.setattr(embedding, "_sparse_product", lambda blocks, v: made.append(1) or remote(blocks, v))
+    held, error = embedding.lle(rows, 5, 1)
+    assert not made
+    monkeypatch.setattr(embedding, "HELD_ENTRIES", 60 * 5 - 1)
+    spread, other = embedding.lle(rows, 5, 1)
+    assert len(made) > 2 and np.isclose(error, other, rtol=1e-6)
+    a, b = (np.stack(t.orderBy("id").toPandas()["features"]) for t in (held, spread))
+    assert np.allclose(a, b, atol=1e-5)
