@@ -5,6 +5,10 @@ move. The axes come from a block Krylov range finder: a random start, products w
 tiles and blocks, each new block orthogonalised against all before by tall-skinny QR (Cholesky factors of summed Gram
 matrices, done twice). The projection of the matrix on all blocks so far falls out of those sums, so the driver holds only
 matrices of (vectors x vectors). It ends when the residuals of the wanted axes are small.
+
+With up to HELD_ROWS samples, calls are kept as stripes of loci, missing ones left out, and the vectors of samples come to the
+driver: a pass is one job, that of the matrix times its transpose. With up to GRAM_ROWS samples and few calls that product is
+formed once, and passes run no jobs.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridia.functions import kernels
 from meridia.operators.samples import numbered
 from meridia.sources.folders import work_folder
 
@@ -27,6 +32,14 @@ from meridia.sources.folders import work_folder
 ROWS, COLS = 2048, 2048
 #: A tile is multiplied call by call if at most one place in so many has one.
 SPARSE = 16
+#: Samples up to which the driver holds some vectors with a number for each.
+HELD_ROWS = 100_000
+#: Samples and calls up to which the products of all samples are formed: 512 MB, and 12 bytes a call.
+GRAM_ROWS, GRAM_CALLS = 8192, 8_000_000
+#: Samples up to which those products are decomposed as a whole.
+WHOLE_ROWS = 2000
+#: Calls of a stripe of loci.
+STRIPE_CALLS = 500_000
 _BLOCK = "at long, m binary"
 
 
@@ -94,25 +107,43 @@ def _added(to: np.ndarray, of: np.ndarray, a: np.ndarray, v: np.ndarray, size: i
     return out
 
 
-def tiles(dosages: DataFrame, kind: str = "pca", rows: int = ROWS, cols: int = COLS) -> Tiles:
-    """Tiles of (sample, locus, dosage). Of repeated pairs the largest counts, pairs that are not there are missing.
+@dataclass
+class Calls:
+    """`table`: sample, locus, code, repeated pairs once; `samples`: sample, i; `loci`: locus, j. All written to `folder`."""
 
-    Missing calls of a PCA stand for the mean of their locus, those of an MCA for no category; other dosages than 0, 1 and 2
-    are an error in MCA, whole numbers up to 100 are taken by PCA. Loci without any call are columns of zeros.
-    """
+    table: DataFrame
+    samples: DataFrame
+    loci: DataFrame
+    n: int
+    p: int
+    there: int  # calls that aren't null
+    folder: str
+
+
+def calls(dosages: DataFrame, kind: str = "pca") -> Calls:
+    """Numbered samples and loci of (sample, locus, dosage). Of repeated pairs the largest counts."""
     spark = dosages.sparkSession
     folder = work_folder(dosages, "tiles")
     thin = dosages.groupBy("sample", "locus").agg(F.max("dosage").cast("int").alias("code"))
     thin.write.parquet(f"{folder}/calls")
     thin = spark.read.schema(thin.schema).parquet(f"{folder}/calls")
-    low, high = thin.agg(F.min("code"), F.max("code")).head()
+    low, high, there = thin.agg(F.min("code"), F.max("code"), F.count("code")).head()
     if low is not None and (low < 0 or high > (2 if kind == "mca" else 100)):
         raise ValueError(f"dosages from {low} to {high} are out of range")
     samples, loci = (numbered(thin.select(c).distinct(), [c], name) for c, name in (("sample", "i"), ("locus", "j")))
     samples.write.parquet(f"{folder}/samples")
     loci.write.parquet(f"{folder}/loci")
     samples, loci = spark.read.schema(samples.schema).parquet(f"{folder}/samples"), spark.read.schema(loci.schema).parquet(f"{folder}/loci")
-    n, p = samples.count(), loci.count()
+    return Calls(thin, samples, loci, samples.count(), loci.count(), there, folder)
+
+
+def tiles(c: Calls, kind: str = "pca", rows: int = ROWS, cols: int = COLS) -> Tiles:
+    """Tiles of calls. Pairs that are not there are missing.
+
+    Missing calls of a PCA stand for the mean of their locus, those of an MCA for no category; other dosages than 0, 1 and 2
+    are an error in MCA, whole numbers up to 100 are taken by PCA. Loci without any call are columns of zeros.
+    """
+    spark, folder, thin, samples, loci, n, p = c.table.sparkSession, c.folder, c.table, c.samples, c.loci, c.n, c.p
     part = lambda c, size: (F.col(c) / size).cast("long")
     cells = thin.join(samples, "sample").join(loci, "locus").select(part("i", rows).alias("rb"), part("j", cols).alias("cb"), (F.col("i") % rows).cast("int").alias("r"), (F.col("j") % cols).cast("int").alias("c"), "code")
     down, across = -(-n // rows), -(-p // cols)
@@ -357,6 +388,185 @@ def _squares(t: Tiles) -> float:
     return t.table.select("rows", "codes", "stats").mapInArrow(run, "x double").agg(F.sum("x")).head()[0] or 0.0
 
 
+@dataclass
+class Stripes:
+    """`table`: stripe, ends, at, w, same, squares: of the columns of some loci where each ends, its samples (int32) and their numbers,
+    a number that every sample has besides (MCA; else empty), and the sum of all squares."""
+
+    table: DataFrame
+    calls: Calls
+    kind: str
+    loci: int  # of a stripe
+    many: int
+
+
+_STRIPE = "stripe long, ends binary, at binary, w binary, same binary, squares double"
+
+
+def stripes(c: Calls, kind: str, most: int = COLS) -> Stripes:
+    """The matrix by stripes of at most `most` loci, without the calls that are missing."""
+    spark, n, p, scale = c.table.sparkSession, c.n, c.p, float(c.there)
+    size = max(1, min(most, STRIPE_CALLS * p // max(c.there, 1), -(-p // spark.sparkContext.defaultParallelism)))
+    many = -(-p // size)
+    cells = c.table.where("code is not null").join(c.samples, "sample").join(c.loci, "locus").select(F.floor(F.col("j") / size).alias("stripe"), F.col("i").cast("int").alias("i"), (F.col("j") % size).cast("int").alias("c"), "code")
+    # a stripe without any call still has its place
+    cells = cells.union(spark.range(many).select("id", F.lit(-1).alias("i"), F.lit(-1).alias("c"), F.lit(0).alias("code")))
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        stripe = key[0].as_py()
+        t = t.filter(pc.greater_equal(t.column("i"), 0))
+        i, at, code = (t.column(x).to_numpy() for x in ("i", "c", "code"))
+        width = min(size, p - stripe * size)
+        if kind == "mca":
+            at, width = 3 * at + code, 3 * width
+        order = np.lexsort((i, at))
+        i, at, code = i[order], at[order], code[order]
+        have = np.bincount(at, minlength=width)
+        if kind == "pca":
+            w, same = code - (np.bincount(at, weights=code, minlength=width) / np.maximum(have, 1))[at], np.zeros(0)
+            squares = float((w**2).sum())
+        else:
+            mass = have / scale
+            root = np.sqrt(np.where(mass > 0, mass, np.inf))
+            w, same = n**0.5 / scale / root[at], -(n**-0.5) * mass / root
+            squares = float((n / root**2 * (have * (1 / scale - mass / n) ** 2 + (n - have) * (mass / n) ** 2)).sum())
+        binary = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+        return pa.table({"stripe": [stripe], "ends": binary(np.cumsum(have), np.int64), "at": binary(i, np.int32), "w": binary(w, float), "same": binary(same, float), "squares": [squares]})
+
+    packed = cells.groupBy("stripe").applyInArrow(pack, _STRIPE)
+    packed.write.parquet(f"{c.folder}/stripes")
+    return Stripes(spark.read.schema(_STRIPE).parquet(f"{c.folder}/stripes"), c, kind, size, many)
+
+
+def _across(ends: np.ndarray, at: np.ndarray, w: np.ndarray, same: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The transpose of a stripe times v."""
+    starts, y = np.append(0, ends[:-1]), np.zeros((len(ends), v.shape[1]))
+    some = ends > starts
+    if some.any():
+        y[some] = np.add.reduceat(w[:, None] * v[at], starts[some], axis=0)
+    return y + same[:, None] * v.sum(0) if len(same) else y
+
+
+def _back(ends: np.ndarray, at: np.ndarray, w: np.ndarray, same: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """A stripe times y."""
+    spread = y[np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))] * w[:, None]
+    out = np.stack([np.bincount(at, weights=x, minlength=n) for x in spread.T], axis=1)
+    return out + same @ y if len(same) else out
+
+
+def _parts(ends: bytes, at: bytes, w: bytes, same: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(ends, np.int64), np.frombuffer(at, np.int32), np.frombuffer(w), np.frombuffer(same)
+
+
+def _read(b: pa.RecordBatch) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Number and parts of the stripes of a batch."""
+    for r in range(b.num_rows):
+        yield b.column("stripe")[r].as_py(), _parts(*(b.column(c)[r].as_py() for c in ("ends", "at", "w", "same")))
+
+
+def _squared(t: DataFrame, v: np.ndarray) -> np.ndarray:
+    """The matrix times its transpose times v: a task sums its stripes, Spark the tasks' sums, which come by blocks of rows."""
+    shared, n = t.sparkSession.sparkContext.broadcast(v), len(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for _, parts in _read(b):
+                own = _back(*parts, _across(*parts, shared.value), n)
+                total = own if total is None else total + own
+        if total is not None:
+            yield _block(list(range(0, n, 8192)), [total[a : a + 8192] for a in range(0, n, 8192)])
+
+    def add(key: tuple, g: pa.Table) -> pa.Table:
+        return pa.table({"at": [key[0].as_py()], "m": pa.array([np.sum([np.frombuffer(m) for m in g.column("m").to_pylist()], axis=0).tobytes()], pa.binary())})
+
+    out = np.zeros_like(v)
+    for r in t.select("stripe", "ends", "at", "w", "same").mapInArrow(run, _BLOCK).groupBy("at").applyInArrow(add, _BLOCK).collect():
+        m = np.frombuffer(r["m"]).reshape(-1, v.shape[1])
+        out[r["at"] : r["at"] + len(m)] = m
+    shared.destroy()
+    return out
+
+
+def _products(t: DataFrame, n: int) -> np.ndarray:
+    """The products of all samples, a task a block of them; all stripes go to every executor."""
+    spark = t.sparkSession
+    held = [tuple(bytes(x) for x in r) for r in t.select("ends", "at", "w", "same").toLocalIterator()]
+    shared = spark.sparkContext.broadcast(held)
+    size = max(1, min(512, -(-n // spark.sparkContext.defaultParallelism)))
+
+    def rows(first: int) -> np.ndarray:
+        last = min(n, first + size)
+        out = np.zeros((last - first, n))
+        flat, shift, whole = out.reshape(-1), np.zeros(n), 0.0
+        for found in shared.value:
+            ends, at, w, same = _parts(*found)
+            have = np.diff(ends, prepend=0)
+            col = np.repeat(np.arange(len(ends)), have)
+            if len(at) * SPARSE > n * len(ends):  # made dense by some columns
+                for c in range(0, len(ends), 1024):
+                    a, b = (ends[c - 1] if c else 0), ends[min(c + 1024, len(ends)) - 1]
+                    x = np.zeros((n, min(1024, len(ends) - c)))
+                    x[at[a:b], col[a:b] - c] = w[a:b]
+                    out += x[first:last] @ x.T
+            else:
+                mine = np.flatnonzero((at >= first) & (at < last))
+                upto = np.cumsum(have[col[mine]])
+                for a, b in itertools.pairwise(np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, 4_000_000)), len(mine)))):
+                    one = mine[a:b]
+                    many = have[col[one]]
+                    other = np.repeat(ends[col[one]] - np.cumsum(many), many) + np.arange(many.sum())
+                    one = np.repeat(one, many)
+                    np.add.at(flat, (at[one].astype(np.int64) - first) * n + at[other], w[one] * w[other])
+            if len(same):
+                shift += np.bincount(at, weights=w * same[col], minlength=n)
+                whole += same @ same
+        return out + shift[first:last, None] + shift + whole
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in b.column("id").to_pylist():
+                yield _block([first], [rows(first)])
+
+    out = np.zeros((n, n))
+    for r in spark.range(0, n, size, -(-n // size)).mapInArrow(run, _BLOCK).toLocalIterator(prefetchPartitions=True):
+        m = np.frombuffer(r["m"]).reshape(-1, n)
+        out[r["at"] : r["at"] + len(m)] = m
+    shared.destroy()
+    return out
+
+
+def held_axes(t: Stripes, k: int, tolerance: float = 1e-8, passes: int = 500, extra: int = 8) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """As axes(): singular values, left axes as an array, and right axes as blocks, from stripes."""
+    spark, n = t.table.sparkSession, t.calls.n
+    k = min(k, n, t.calls.p * (3 if t.kind == "mca" else 1))
+    if n <= GRAM_ROWS and t.calls.there <= GRAM_CALLS:
+        g = _products(t.table, n)
+        if n <= WHOLE_ROWS:
+            values, left = np.linalg.eigh((g + g.T) / 2)
+            values, left = values[::-1][:k], left[:, ::-1][:, :k]
+        else:
+            values, left = kernels.leading(lambda v: g @ v, n, k, min(n, k + extra), tolerance, passes, 40)
+    else:
+        spread = t.table.repartition(min(t.many, 2 * spark.sparkContext.defaultParallelism), "stripe").persist(StorageLevel.DISK_ONLY)
+        try:
+            values, left = kernels.leading(lambda v: _squared(spread, v), n, k, min(n, k + extra), tolerance, passes)
+        finally:
+            spread.unpersist()
+    sigma = np.sqrt(np.maximum(values, 0))
+    shared = spark.sparkContext.broadcast(left)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for stripe, parts in _read(b):
+                yield _block([stripe], [_across(*parts, shared.value)])
+
+    right = _written(t.table.select("stripe", "ends", "at", "w", "same").mapInArrow(run, _BLOCK), f"{t.calls.folder}/right")
+    sign = _signs(right, k)
+    inverse = np.divide(sign, sigma, out=np.zeros(k), where=sigma > 1e-12 * max(float(sigma[0]), 1e-300))
+    return sigma, left * sign, _scaled(right, inverse, f"{t.calls.folder}/scaled")
+
+
 @dataclass
 class Embedding:
     """`samples`: sample, features (its coordinates); `loci`: locus, features (the right axes; of an MCA three a category in turn)."""
@@ -372,21 +582,45 @@ def embed(dosages: DataFrame, kind: str = "pca", k: int = 10, tolerance: float =
 
     An empty table, and one without any variation, give no axes.
     """
-    t = tiles(dosages, kind, rows, cols)
-    try:
-        whole = _squares(t) if t.n and t.p else 0.0
+    empty = lambda c: dosages.select(c, F.array().cast("array<double>").alias("features")).distinct()
+    none = lambda: Embedding(empty("sample"), empty("locus"), np.zeros(0), np.zeros(0))
+    found = calls(dosages, kind)
+    if not found.n or not found.p:
+        return none()
+    own = lambda sigma: sigma * (found.n**0.5 if kind == "mca" else 1.0)
+    if found.n <= HELD_ROWS:
+        s = stripes(found, kind, cols)
+        whole = s.table.agg(F.sum("squares")).head()[0]
         if not whole:
-            empty = lambda c: dosages.select(c, F.array().cast("array<double>").alias("features")).distinct()
-            return Embedding(empty("sample"), empty("locus"), np.zeros(0), np.zeros(0))
-        sigma, left, right = axes(t, k, tolerance)
-        own = sigma * (t.n**0.5 if kind == "mca" else 1.0)
-        samples = _unpacked(left, t.samples, "sample", "i", rows, own)
-        if kind == "pca":
-            loci = _unpacked(right, t.loci, "locus", "j", cols, np.ones(len(sigma)))
-        else:
-            each = _unpacked(right, t.loci.withColumn("category", F.explode(F.array(*[F.lit(c) for c in range(3)]))).withColumn("j3", 3 * F.col("j") + F.col("category")).select(F.struct("locus", "category").alias("locus"), "j3"), "locus", "j3", 3 * cols, np.ones(len(sigma)))
-            loci = each.groupBy("locus.locus").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("locus.category", "features"))), lambda x: x["features"])).alias("features"))
-        shares = sigma**2 / whole if kind == "pca" else sigma**2
-        return Embedding(samples, loci, sigma, shares)
-    finally:
-        t.close()
+            return none()
+        sigma, left, right = held_axes(s, k, tolerance)
+        samples, size = _looked_up(found.samples, left * own(sigma)), s.loci
+    else:
+        t = tiles(found, kind, rows, cols)
+        try:
+            whole = _squares(t)
+            if not whole:
+                return none()
+            sigma, left, right = axes(t, k, tolerance)
+        finally:
+            t.close()
+        samples, size = _unpacked(left, found.samples, "sample", "i", rows, own(sigma)), cols
+    if kind == "pca":
+        loci = _unpacked(right, found.loci, "locus", "j", size, np.ones(len(sigma)))
+    else:
+        each = _unpacked(right, found.loci.withColumn("category", F.explode(F.array(*[F.lit(c) for c in range(3)]))).withColumn("j3", 3 * F.col("j") + F.col("category")).select(F.struct("locus", "category").alias("locus"), "j3"), "locus", "j3", 3 * size, np.ones(len(sigma)))
+        loci = each.groupBy("locus.locus").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("locus.category", "features"))), lambda x: x["features"])).alias("features"))
+    shares = sigma**2 / whole if kind == "pca" else sigma**2
+    return Embedding(samples, loci, sigma, shares)
+
+
+def _looked_up(samples: DataFrame, rows: np.ndarray) -> DataFrame:
+    """(sample, features) by the samples' numbers."""
+    shared = samples.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = shared.value[b.column("i").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([b.column("sample"), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["sample", "features"])
+
+    return samples.select("sample", "i").mapInArrow(run, f"sample {samples.schema['sample'].dataType.simpleString()}, features array<double>")

@@ -626,3 +626,36 @@ def test_lle_passes_over_a_small_matrix_run_no_jobs(spark, monkeypatch):
     assert len(made) > 2 and np.isclose(error, other, rtol=1e-6)
     a, b = (np.stack(t.orderBy("id").toPandas()["features"]) for t in (held, spread))
     assert np.allclose(a, b, atol=1e-5)
+
+
+@pytest.mark.parametrize("limits", [{}, {"WHOLE_ROWS": 0, "STRIPE_CALLS": 900}, {"GRAM_ROWS": 0, "STRIPE_CALLS": 900}, {"HELD_ROWS": 0}])
+def test_wide_axes_by_products_passes_and_tiles_are_the_same(spark, monkeypatch, limits):
+    """Products of samples, passes over stripes and passes over tiles against the matrix; only tiles take many jobs a pass."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 3, (60, 300))
+    x[rng.random(x.shape) < 0.1] = -1
+    x[:, 100:][rng.random((60, 200)) < 0.97] = -2  # stripes with few calls are multiplied call by call
+    x[:, [5, 250]] = -1
+    for name, value in limits.items():
+        monkeypatch.setattr(wide, name, value)
+    tiled, made = wide._product, []
+    monkeypatch.setattr(wide, "_product", lambda *a: made.append(1) or tiled(*a))
+    z = np.where(x < 0, np.nan, x).astype(float)
+    z[:, [5, 250]] = 0
+    z[:, np.isnan(z).all(0)] = 0
+    z = np.nan_to_num(z - np.nanmean(z, 0))
+    there = (x[:, :, None] == np.arange(3)).reshape(60, -1).astype(float)
+    mass = there.sum(0) / there.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = np.where(mass > 0, 60**0.5 * (there / there.sum() - mass / 60) / np.sqrt(mass), 0.0)
+    for kind, want, own in (("pca", z, 1.0), ("mca", m, 60**0.5)):
+        u, sigma, v = np.linalg.svd(want, full_matrices=False)
+        e = wide.embed(long_table(spark, x), kind, 3, rows=16, cols=40)
+        assert np.allclose(e.singular, sigma[:3], rtol=1e-8)
+        assert np.allclose(e.shares, sigma[:3] ** 2 / ((z**2).sum() if kind == "pca" else 1), rtol=1e-8)
+        a = np.array([r["features"] for r in e.samples.orderBy("sample").collect()])
+        assert np.allclose(np.abs(a), np.abs(u[:, :3] * sigma[:3] * own), atol=1e-6)
+        loci = {r["locus"]: np.reshape(r["features"], (-1, 3)) for r in e.loci.collect()}
+        right = np.concatenate([loci[j] if j in loci else np.zeros((want.shape[1] // 300, 3)) for j in range(300)])
+        assert np.allclose(want @ right * own, a, atol=1e-6) and (right[np.abs(right).argmax(0), range(3)] > 0).all()
+    assert bool(made) == ("HELD_ROWS" in limits)
