@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import kernels
-from meridia.functions.geo import in_ring
+from meridia.functions.geo import haversine_km, in_ring
 from meridia.operators.neighbors import near_pairs, nearest_on_globe
 from meridia.sources.folders import work_folder
 
@@ -16,12 +16,27 @@ from meridia.sources.folders import work_folder
 def variogram(points: DataFrame, value: str, lag_km: float, lags: int) -> DataFrame:
     """(lag, n, gamma): half the mean squared difference of pairs by distance, up to lags * lag_km.
 
-    Pairs within the reach meet by cubes of that edge and are summed where they meet.
+    Pairs within the reach meet by cubes of that edge and are summed where they meet. Points on one place are one row with their count,
+    mean and squares about it, of which the sums over pairs of points follow; where ids are repeated, whose rows are no pairs, points
+    meet one by one.
     """
-    p = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(value).isNotNull()).select("id", "x", "y", F.col(value).cast("double").alias("z"))
-    right = p.select(F.col("id").alias("id2"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("z2"))
-    pairs = near_pairs(p, right, lag_km * lags).where((F.col("id") < F.col("id2")) & (F.col("dist") < lag_km * lags))
-    return pairs.groupBy(F.floor(F.col("dist") / lag_km).cast("int").alias("lag")).agg(F.count("*").alias("n"), F.avg(0.5 * (F.col("z") - F.col("z2")) ** 2).alias("gamma"))
+    p = points.where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(value).isNotNull()).select("id", "x", "y", F.col(value).cast("double").alias("z"))
+    reach, lag = lag_km * lags, F.floor(F.col("dist") / lag_km).cast("int").alias("lag")
+    if not p.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        right = p.select(F.col("id").alias("id2"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("z2"))
+        pairs = near_pairs(p, right, reach).where((F.col("id") < F.col("id2")) & (F.col("dist") < reach))
+        return pairs.groupBy(lag).agg(F.count("*").alias("n"), F.avg(0.5 * (F.col("z") - F.col("z2")) ** 2).alias("gamma"))
+    found = p.groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("c"), F.avg("z").alias("m"), (F.var_pop("z") * F.count("*")).alias("s"))
+    folder = work_folder(points, "variogram")
+    found.write.parquet(folder)
+    places = points.sparkSession.read.schema(found.schema).parquet(folder)
+    right = places.select(F.col("id").alias("id2"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("c").alias("c2"), F.col("m").alias("m2"), F.col("s").alias("s2"))
+    met = near_pairs(places, right, reach).where((F.col("id") < F.col("id2")) & (F.col("dist") < reach))
+    c, c2 = F.col("c"), F.col("c2")
+    across = met.groupBy(lag).agg(F.sum(c * c2).alias("n"), F.sum(c * c2 * (F.col("m") - F.col("m2")) ** 2 + c * F.col("s2") + c2 * F.col("s")).alias("g"))
+    alike = places.where("c > 1").withColumn("dist", haversine_km(F.col("x"), F.col("y"), F.col("x"), F.col("y"))).where(F.col("dist") < reach)
+    within = alike.groupBy(lag).agg(F.sum((c * (c - 1) / 2).cast("long")).alias("n"), F.sum(c * F.col("s")).alias("g"))
+    return across.union(within).groupBy("lag").agg(F.sum("n").alias("n"), (0.5 * F.sum("g") / F.sum("n")).alias("gamma"))
 
 
 def cubic_regression(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -659,3 +659,28 @@ def test_wide_axes_by_products_passes_and_tiles_are_the_same(spark, monkeypatch,
         right = np.concatenate([loci[j] if j in loci else np.zeros((want.shape[1] // 300, 3)) for j in range(300)])
         assert np.allclose(want @ right * own, a, atol=1e-6) and (right[np.abs(right).argmax(0), range(3)] > 0).all()
     assert bool(made) == ("HELD_ROWS" in limits)
+
+
+def test_variogram_pairs_places_not_points(spark):
+    """Points on one place meet others as one row, and count as all their pairs; rows of a repeated id are no pairs."""
+    rng = np.random.default_rng(11)
+    spots = rng.uniform(-8, 8, (12, 2))
+    rows = [(i, *map(float, spots[i % 12]), float(rng.normal() + 1000)) for i in range(150)]
+
+    def plain(rows):
+        n, g = Counter(), Counter()
+        for a in rows:
+            for b in rows:
+                u, v = np.radians(a[1:3]), np.radians(b[1:3])
+                d = 2 * 6371.0 * np.arcsin(min(1.0, np.sqrt(np.sin((v[1] - u[1]) / 2) ** 2 + np.cos(u[1]) * np.cos(v[1]) * np.sin((v[0] - u[0]) / 2) ** 2)))
+                if a[0] < b[0] and d < 900:
+                    n[int(d // 300)] += 1
+                    g[int(d // 300)] += 0.5 * (a[3] - b[3]) ** 2
+        return {k: (n[k], pytest.approx(g[k] / n[k], rel=1e-9)) for k in n}
+
+    ddl = "id long, x double, y double, v double"
+    found = spatial.variogram(spark.createDataFrame([*rows, (900, None, 1.0, 2.0), (901, 1.0, 1.0, None), (None, 1.0, 1.0, 2.0)], ddl), "v", 300.0, 3)
+    assert {r["lag"]: (r["n"], r["gamma"]) for r in found.collect()} == plain(rows)
+    assert "c2" in found._jdf.queryExecution().toString()  # counts go into the join
+    twice = rows + rows[:5]
+    assert {r["lag"]: (r["n"], r["gamma"]) for r in spatial.variogram(spark.createDataFrame(twice, ddl), "v", 300.0, 3).collect()} == plain(twice)
