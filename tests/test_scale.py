@@ -684,3 +684,25 @@ def test_variogram_pairs_places_not_points(spark):
     assert "c2" in found._jdf.queryExecution().toString()  # counts go into the join
     twice = rows + rows[:5]
     assert {r["lag"]: (r["n"], r["gamma"]) for r in spatial.variogram(spark.createDataFrame(twice, ddl), "v", 300.0, 3).collect()} == plain(twice)
+
+
+@pytest.mark.parametrize("space", ["geographic", "genetic"])
+def test_outlier_passes_search_once_and_find_what_new_searches_find(spark, monkeypatch, space):
+    """Each pass over lists gives the outliers of a search among those that are left; only lists that are too short are searched anew."""
+    rng = np.random.default_rng(4)
+    base = rng.uniform(-20, 20, (90, 2))
+    odd = base + (np.arange(90)[:, None] % 9 == 0) * rng.normal(0, 12, (90, 2))
+    rows = spark.createDataFrame([(i, *map(float, odd[i]), [*map(float, base[i]), float(i % 3)]) for i in range(90)], "id long, x double, y double, features array<double>")
+    want, left = set(), rows
+    for _ in range(3):
+        new = {r["id"] for r in outliers.detect(left, space, 3, 0.05).where("is_outlier").collect()}
+        want |= new
+        left = left.where(~F.col("id").isin(list(want)))
+    searched, where = [], "nearest_vectors" if space == "geographic" else "nearest_on_globe"
+    search = getattr(neighbors, where)
+    monkeypatch.setattr(neighbors, where, lambda df, *a, **kw: searched.append(df.count()) or search(df, *a, **kw))
+    found = {r["id"] for r in outliers.detect_outliers(rows, space, k=3, level=0.05, rounds=3).collect()}
+    assert found == want and len(want) > 3 and searched[0] == 90 and sum(searched[1:]) < 90
+    real = outliers._Lists.__init__
+    monkeypatch.setattr(outliers._Lists, "__init__", lambda self, samples, space, long, *a: real(self, samples, space, 3, *a))  # every list that loses one is too short
+    assert {r["id"] for r in outliers.detect_outliers(rows, space, k=3, level=0.05, rounds=3).collect()} == want and len(searched) > 2
